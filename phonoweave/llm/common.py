@@ -57,18 +57,41 @@ BLANKS = " \t\n\x0b\f\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def let(value, body) -> F.Column:
+    """body(value) with the value computed once, however often the body uses it and the optimizer copies the expression."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def words(text) -> F.Column:
     """Array of words: runs of anything but white space, A-Z lower-cased. Empty for null and blank texts."""
     trimmed = F.btrim(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), F.lit(BLANKS))
-    return F.when(F.length(trimmed) == 0, F.array().cast("array<string>")).otherwise(F.split(trimmed, "[ \\t\\n\\x0B\\f\\r]+"))
+    return F.filter(F.split(trimmed, "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
+
 
+def word_hashes(text) -> F.Column:
+    return F.transform(words(text), lambda w: F.xxhash64(w))
 
-def shingle_hashes(word_hashes, size: int) -> F.Column:
+
+def shingle_hashes(hashes, size: int) -> F.Column:
     """Array of 64-bit shingle hashes by position, from an array of word hashes; fewer words make one shingle, none make none."""
-    n = F.size(word_hashes)
-    whole = F.transform(F.sequence(F.lit(0), n - size), lambda i: F.xxhash64(*[F.get(word_hashes, i + k) for k in range(size)]))
-    return (
-        F.when(n >= size, whole)
-        .when(n > 0, F.array(F.aggregate(word_hashes, F.lit(7).cast("long"), lambda a, h: F.xxhash64(a, h))))
-        .otherwise(F.array().cast("array<bigint>"))
-    )
+
+    def of(w):
+        n = F.size(w)
+        whole = F.transform(F.sequence(F.lit(0), n - size), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(size)]))
+        short = F.array(F.aggregate(w, F.lit(7).cast("long"), lambda a, h: F.xxhash64(a, h)))
+        return F.when(n >= size, whole).when(n > 0, short).otherwise(F.array().cast("array<bigint>"))
+
+    return let(hashes, of)
+
+
+def with_marks(docs: DataFrame, marks: DataFrame, most: int = 50_000) -> DataFrame:
+    """Texts of the documents that have marks: doc_id, text, marks (all of the id's, as an array).
+
+    marks: doc_id and other columns, distinct, materialized. Few marked documents are broadcast after a count; more are
+    shuffled.
+    """
+    names = [c for c in marks.columns if c != "doc_id"]
+    grouped = marks.groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("marks"))
+    few = marks.limit(most + 1).count() <= most
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return texts.join(F.broadcast(grouped) if few else grouped, "doc_id")

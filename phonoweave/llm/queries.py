@@ -7,16 +7,29 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from phonoweave.llm import byte_bpe, html_text, quality, token_files, wordpiece
+from phonoweave.llm import byte_bpe, chat, decontaminate, html_text, jaccard_join, licenses, quality, token_files, wordpiece
 from phonoweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tools = spark.createDataFrame([chat.RESPOND], "name string, parameter string, type string, required boolean")
+    return chat.link_calls(table(spark, sf_dir, "conversations"), tools)
+
+
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.wordpiece_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
@@ -29,11 +42,19 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Query] = {
+    "op1_chat_format": op1_chat_format,
+    "op2_licenses": op2_licenses,
+    "op4_decontaminate": op4_decontaminate,
+    "op8_jaccard_join": op8_jaccard_join,
     "op3_token_counts": op3_token_counts,
     "op5_token_files": op5_token_files,
     "op6_quality": op6_quality,
