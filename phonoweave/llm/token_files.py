@@ -99,6 +99,16 @@ class WordEncoder:
                 yield self._whole(text) if parts is None else b"".join([chunks[p] for p in parts])
 
 
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """One for each Python worker: its caches serve all tasks that the worker runs."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 class FrameWriter:
     """Writes one file, frame by frame."""
 
@@ -192,7 +202,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int)
         encoder, out, name, n_docs, n_tokens, first = None, None, uuid.uuid4().hex, 0, 0, None
         for batch in batches:
             if batch.num_rows and out is None:
-                encoder = WordEncoder(tokenizer)
+                encoder = encoder_of(tokenizer)
                 place.create_dir(root, recursive=True)
                 out = place.open_output_stream(f"{root}/{name}.tmp")
                 writer = FrameWriter(out)
