@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from phonoweave.llm import byte_bpe, chat, decontaminate, html_text, jaccard_join, licenses, quality, token_files, wordpiece
+from phonoweave.llm import byte_bpe, chat, decontaminate, html_text, jaccard_join, licenses, quality, token_files, vector_dedup, wordpiece
 from phonoweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,10 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.vector_components(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat_format": op1_chat_format,
     "op2_licenses": op2_licenses,
@@ -60,6 +64,7 @@ QUERIES: dict[str, Query] = {
     "op6_quality": op6_quality,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_html_text": op9_html_text,
+    "op10_vector_dedup": op10_vector_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
