@@ -253,9 +253,11 @@ def encode_documents(docs: DataFrame, ranks: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, offsets array<int>")
 
 
-def round_trip_digests(docs: DataFrame, ranks: str) -> DataFrame:
-    """Encode and decode every whole text: doc_id, n_tokens, ids_sha256, decoded_sha256, n_pieces."""
+def round_trip(docs: DataFrame, ranks: str, keep_ids: bool = False) -> DataFrame:
+    """Encode and decode every whole text: doc_id, n_tokens, ids_sha256, decoded_sha256, n_pieces, and the ids if asked for."""
     small_batches(docs.sparkSession)
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_pieces", *["ids"] * keep_ids]
+    kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int32()))
 
     def run(batches):
         bpe = coder(ranks)
@@ -266,9 +268,9 @@ def round_trip_digests(docs: DataFrame, ranks: str) -> DataFrame:
                 for pieces, offsets in bpe.encode(part):
                     ids = [i for p in pieces for i in p]
                     shown = ",".join([decimal[i] for i in ids])
-                    rows.append((len(ids), hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest(), len(offsets) - 1))
-            columns = list(zip(*rows)) if rows else [()] * 4
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_pieces"])
+                    rows.append((len(ids), hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest(), len(offsets) - 1, *[ids] * keep_ids))
+            columns = list(zip(*rows)) if rows else [()] * (len(names) - 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_pieces long")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_pieces long" + ", ids array<int>" * keep_ids
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)

@@ -187,3 +187,17 @@ def fit_and_score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sa
     small_batches(docs.sparkSession)
     model = train(labelled_sample(docs, labels.where(~held_out(F.col("doc_id"))), sample_rows))
     return quality_scores(docs, model, threshold).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of docs, with all their columns, whose score reaches the threshold."""
+    small_batches(docs.sparkSession)
+    model = train(labelled_sample(docs, labels.where(~held_out(F.col("doc_id"))), sample_rows))
+    sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
+
+    def run(batches):
+        own = Model(*sent.value)
+        for batch in batches:
+            yield batch.filter(pa.array([own.score(t) >= threshold for t in batch.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
