@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from phonoweave.plans import text_queries
+
+QUERIES = {**text_queries.QUERIES}
+ORACLE_SQL = {**text_queries.ORACLE_SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    """Tokens of mixed texts with languages, spans and boundaries."""
+    return text_queries.tokenize(spark, sf_dir)
