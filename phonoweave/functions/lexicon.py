@@ -42,7 +42,7 @@ HAN_SEED = {
     "儿": ("er2", "ji4"), "吧": ("ba5", "baa6"), "啊": ("a5", "aa3"), "呢": ("ne5", "ne1"), "第": ("di4", "dai6"), "初": ("chu1", "co1"),
     "很": ("hen3", "han2"), "楼": ("lou2", "lau4"), "班": ("ban1", "baan1"), "连": ("lian2", "lin4"), "水": ("shui3", "seoi2"), "手": ("shou3", "sau2"),
     "老": ("lao3", "lou5"), "鼠": ("shu3", "syu2"), "展": ("zhan3", "zin2"), "览": ("lan3", "laam5"), "馆": ("guan3", "gun2"), "世": ("shi4", "sai3"),
-    "界": ("jie4", "gaai3"), "银": ("yin2", "ngan4"), "快": ("kuai4", "faai3"), "乐": ("le4,yue4", "lok6"), "家": ("jia1", "gaa1"), "妈": ("ma1", "maa1"),
+    "界": ("jie4", "gaai3"), "银": ("yin2", "ngan4"), "快": ("kuai4", "faai3"), "乐": ("le4,yue4", "lok6"), "微": ("wei1", "mei4"), "克": ("ke4", "hak1"), "负": ("fu4", "fu6"), "之": ("zhi1", "zi1"), "幺": ("yao1", "jiu1"), "家": ("jia1", "gaa1"), "妈": ("ma1", "maa1"),
 }
 #: Phrases whose readings differ from those of their characters.
 PHRASE_SEED = {"差旅": "chai1 lv3", "乐亭": "lao4 ting2", "和泥抹墙": "huo2 ni2 mo3 qiang2", "银行": "yin2 hang2", "长大": "zhang3 da4", "重来": "chong2 lai2", "快乐": "kuai4 le4", "妈妈": "ma1 ma5"}
