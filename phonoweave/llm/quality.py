@@ -108,15 +108,17 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 4, rate: float = 0.5, batch: int = 16, seed: int = 13) -> Model:
-    """rows: buckets, counts, label. Embeddings and softmax by minibatch gradient descent, the rate falling to zero."""
+def train(rows: list[tuple[np.ndarray, np.ndarray, int]], steps: int = 640, rate: float = 0.5, batch: int = 16, seed: int = 13) -> Model:
+    """rows: buckets, counts, label. Embeddings and softmax by minibatch gradient descent, the rate falling to zero over the steps."""
     size = 1 << BUCKET_BITS
     if not rows:
         return Model(np.zeros(size, np.float32), 0.0)
     random = np.random.default_rng(seed)
     vectors = random.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (size, DIMENSIONS)).astype(np.float32)
     output, bias = np.zeros((DIMENSIONS, 2), np.float32), np.zeros(2, np.float32)
-    steps, done = epochs * -(-len(rows) // batch), 0
+    done, per_epoch = 0, -(-len(rows) // batch)
+    epochs = -(-steps // per_epoch)
+    steps = epochs * per_epoch
     for _ in range(epochs):
         order = random.permutation(len(rows))
         for at in range(0, len(rows), batch):

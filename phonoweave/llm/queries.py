@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from phonoweave.llm import byte_bpe, chat, decontaminate, html_text, jaccard_join, licenses, quality, token_files, vector_dedup, wordpiece
 from phonoweave.llm.common import table
+from phonoweave.llm.oracle import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,5 +69,3 @@ QUERIES: dict[str, Query] = {
     "op9_html_text": op9_html_text,
     "op10_vector_dedup": op10_vector_dedup,
 }
-
-ORACLE_SQL: dict[str, str] = {}
