@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 from phonoweave.functions import lexicon, scripts
 from phonoweave.functions import phonetics as P
-from phonoweave.functions.text import compatibility, fold, latin_tables
+from phonoweave.functions.text import compatibility, fold
 from phonoweave.operators import numbers, spelling
 from phonoweave.operators.sandhi import Sandhi, Word
 
@@ -89,8 +89,9 @@ class Converter:
         forced = {w.lower() for w in lexicon.FORCE_SPELLINGS}
         self.words = {w: r for w, r in options.english.items() if w not in forced}
         self.sandhi = Sandhi(neutral=options.neutral)
-        self.longest = max(map(len, options.phrases), default=1)
-        self.unfoldable = set(latin_tables()[2])
+        self.known = set(options.phrases) | self.sandhi.known
+        self.longest = max(map(len, self.known), default=1)
+        self.seen: dict[tuple[str, str | None], tuple] = {}
 
     # Normalization.
 
@@ -102,7 +103,9 @@ class Converter:
             value = "".join(self.o.simplified_to_traditional.get(c, c) for c in value)
         latin = False
         for char, span in zip(value, spans):
-            if scripts.is_latin(char):
+            if char.isascii():
+                latin = char.isalpha()
+            elif scripts.is_latin(char):
                 try:
                     fold(char)
                 except ValueError:
@@ -118,8 +121,7 @@ class Converter:
 
     def segment(self, text: str) -> list[tuple[str, str]]:
         """Longest known words first, then single characters; tags are coarse."""
-        known = set(self.o.phrases) | self.sandhi.known
-        most = max(self.longest, max(map(len, self.sandhi.known), default=1))
+        known, most = self.known, self.longest
         out, at = [], 0
         while at < len(text):
             size = next((k for k in range(min(most, len(text) - at), 1, -1) if text[at : at + k] in known), 1)
@@ -222,17 +224,18 @@ class Converter:
         return {"text": text, "source_spans": spans, "phones": phones, "alphabet": alphabet, "native": native, "tone": tone, "contour": "", "stress": [{"index": i, "stress": s} for i, s in stress], "is_unknown": unknown}
 
     def english_unit(self, token: dict, pos: str | None) -> None:
-        try:
-            word = fold(token["text"].translate({ord("’"): "'", ord("‘"): "'"}))
-        except ValueError as e:
-            raise BackendError(str(e)) from None
-        rendered = self.english(word, pos)
-        phones, stress = [], []
-        for phone in rendered:
-            if phone[-1].isdigit():
-                stress.append((len(phones), int(phone[-1])))
-            phones.append(phone.rstrip("012"))
-        token["units"] = [self._unit(token["text"], token["source_spans"], phones, "arpabet", " ".join(rendered), None, False, stress)]
+        got = self.seen.get((token["text"], pos))
+        if got is None:
+            try:
+                word = fold(token["text"].translate({ord("’"): "'", ord("‘"): "'"}))
+            except ValueError as e:
+                raise BackendError(str(e)) from None
+            rendered = self.english(word, pos)
+            phones = [p.rstrip("012") for p in rendered]
+            got = (phones, " ".join(rendered), [(k, int(p[-1])) for k, p in enumerate(rendered) if p[-1].isdigit()])
+            if len(self.seen) < 200_000:
+                self.seen[token["text"], pos] = got
+        token["units"] = [self._unit(token["text"], token["source_spans"], list(got[0]), "arpabet", got[1], None, False, got[2])]
         token["backend"] = "english"
 
     # Post-processing and checks.

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from phonoweave.operators import similarity
 from phonoweave.operators.utterance import Converter, Options
@@ -14,6 +16,17 @@ _UNIT = f"struct<text:string,source_spans:{_SPANS},phones:array<string>,alphabet
 _TOKEN = f"struct<id:int,text:string,start:int,end:int,language:string,kind:string,boundary:string,pos:string,units:array<{_UNIT}>,backend:string,source_spans:{_SPANS}>"
 RESULT = f"original string, normalized string, output string, tokens array<{_TOKEN}>, phones array<string>, base_phones array<string>, warnings array<string>, error string"
 
+_CONVERTERS: dict[str, Converter] = {}
+
+
+def _converter(options: Options) -> Converter:
+    """One for each set of options in a Python worker, so that words are looked up once."""
+    key = repr(options)
+    if key not in _CONVERTERS:
+        _CONVERTERS.clear()
+        _CONVERTERS[key] = Converter(options)
+    return _CONVERTERS[key]
+
 
 class Engine:
     """Engine(mode="mandarin", output="native", ...).transform(df, "text"); options are those of Options."""
@@ -23,13 +36,13 @@ class Engine:
 
     def convert(self, text: Column) -> Column:
         """The result of each utterance, as a struct; one Arrow UDF, stateless."""
-        options = self.options
+        options, kind = self.options, to_arrow_type(StructType.fromDDL(RESULT))
 
-        def run(texts: pd.Series) -> pd.DataFrame:
-            converter = Converter(options)
-            return pd.DataFrame([converter.convert(t) for t in texts], columns=["original", "normalized", "output", "tokens", "phones", "base_phones", "warnings", "error"])
+        def run(texts: pa.Array) -> pa.Array:
+            converter = _converter(options)
+            return pa.array([converter.convert(t) for t in texts.to_pylist()], kind)
 
-        return F.pandas_udf(run, RESULT)(text)
+        return F.arrow_udf(run, RESULT)(text)
 
     def transform(self, df: DataFrame, text: str = "text", result: str = "result", strict: bool = False) -> DataFrame:
         """Adds the result; strict: a row with an error fails the job when its phones are read."""
@@ -49,11 +62,11 @@ class Engine:
         """A SQL function from a text to its phones, blanks between."""
         options = self.options
 
-        def run(texts: pd.Series) -> pd.Series:
-            converter = Converter(options)
-            return texts.map(lambda t: " ".join(converter.convert(t)["phones"]))
+        def run(texts: pa.Array) -> pa.Array:
+            converter = _converter(options)
+            return pa.array([" ".join(converter.convert(t)["phones"]) for t in texts.to_pylist()], pa.string())
 
-        spark.udf.register(name, F.pandas_udf(run, "string"))
+        spark.udf.register(name, F.arrow_udf(run, "string"))
 
 
 def to_lines(df: DataFrame, result: str = "result") -> DataFrame:
