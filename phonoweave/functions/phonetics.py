@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Container
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -136,10 +137,10 @@ JYUTPING_PATTERN = rf"^({'|'.join(sorted(JYUTPING_ONSETS[1:], key=lambda o: (-le
 JYUTPING_FINAL_PATTERN = rf"^({'|'.join(sorted(JYUTPING_NUCLEI, key=lambda o: (-len(o), o)))})({'|'.join(sorted(JYUTPING_CODAS[1:], key=lambda f: (-len(f), f)))}|)$"
 
 
-def split_jyutping(value: str) -> tuple[str, str, str]:
-    """Onset, final and tone; ValueError if the value has no such parts. Which parts go together is a parameter of validation."""
+def split_jyutping(value: str, attested: Container[str] | None = None) -> tuple[str, str, str]:
+    """Onset, final and tone; ValueError if the value has no such parts, or if its body is not among the attested ones."""
     found = re.match(JYUTPING_PATTERN, value)
-    if not found:
+    if not found or attested is not None and value[:-1] not in attested:
         raise ValueError(f"Invalid Jyutping syllable: {value!r}")
     return found.groups()
 

@@ -67,6 +67,7 @@ class Options:
     homographs: Mapping[str, tuple[str, str, str]] = field(default_factory=lambda: lexicon.HOMOGRAPHS)
     simplified_to_traditional: Mapping[str, str] = field(default_factory=lambda: {"国": "國", "学": "學", "长": "長", "们": "們", "银": "銀", "乐": "樂", "妈": "媽"})
     neutral: Sequence[str] = field(default_factory=lambda: lexicon.NEUTRAL_SEED)
+    attested_jyutping: frozenset[str] | None = None
     backend: Callable[[str], list] | None = None
     fallback: Callable[[str], list] | None = None
 
@@ -214,7 +215,7 @@ class Converter:
                 continue
             for syllable in reading.split():
                 try:
-                    *phones, tone = P.split_pinyin(syllable, True) if self.o.mode == "mandarin" else P.split_jyutping(syllable)
+                    *phones, tone = P.split_pinyin(syllable, True) if self.o.mode == "mandarin" else P.split_jyutping(syllable, self.o.attested_jyutping)
                 except ValueError as e:
                     raise BackendError(str(e)) from None
                 token["units"].append(self._unit(char, [span], [p for p in phones if p], "pinyin" if self.o.mode == "mandarin" else "jyutping", syllable, tone, False))

@@ -31,8 +31,9 @@ def test_inventory():
         with pytest.raises(ValueError):
             P.split_pinyin(bad)
     assert P.split_jyutping("gwong2") == ("gw", "ong", "2") and P.split_jyutping("ng5") == ("", "ng", "5") and P.split_jyutping("ngo5") == ("ng", "o", "5")
-    with pytest.raises(ValueError):
-        P.split_jyutping("zzz1")
+    for bad in ({"value": "zzz1"}, {"value": "bung1", "attested": {"bun"}}):
+        with pytest.raises(ValueError):
+            P.split_jyutping(**bad)
     for (a, b), strict in P.canonical_pinyin().items():
         assert P.canonical_pinyin()[strict] == strict
 
