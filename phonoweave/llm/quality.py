@@ -157,12 +157,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPL
     def run(batches):
         for batch in batches:
             rows = [counted(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.int32())), batch.column("quality")], names=["doc_id", "buckets", "counts", "quality"])
+            packed = [pa.array([r[k].astype("<i4").tobytes() for r in rows], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *packed, batch.column("quality")], names=["doc_id", "buckets", "counts", "quality"])
 
     # Repeated rows of a chosen id: one of them is enough, so that the sample's bound holds.
     one = texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
-    rows = one.mapInArrow(run, "doc_id long, buckets array<int>, counts array<int>, quality int").collect()
-    return [(np.array(r.buckets, np.int32), np.array(r.counts, np.int32), r.quality) for r in sorted(rows, key=lambda r: r.doc_id)]
+    # As bytes: lists of Python numbers would take ten times the driver's memory.
+    rows = one.mapInArrow(run, "doc_id long, buckets binary, counts binary, quality int").collect()
+    return [(np.frombuffer(r.buckets, "<i4"), np.frombuffer(r.counts, "<i4"), r.quality) for r in sorted(rows, key=lambda r: r.doc_id)]
 
 
 def quality_scores(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
