@@ -4,8 +4,10 @@ Markup is stripped into lines, a line for each block element. Lines of boilerpla
 asides, forms, scripts, and elements whose class, id or role says menu, advert, notice, comment and the like) keep their
 place but lose their text, and so do lines that are mostly links. The lengths of the remaining text, summed over windows of
 lines, form a distribution along the page: a surge point is where the sum rises above zero, a dive point where a whole window
-holds nothing. The text between the surge and dive points of the region that holds most is the article; where the page has
-an article or main element, the regions are taken inside it and all of them belong to it.
+holds nothing. A stripped stretch is one line, however many blocks it has. The region that holds most is the article's core;
+regions in the same container, or of a tenth of its text at least, belong to the article too, and so do lines of links beside
+the text but for lists of links (a window or more of them outside paragraphs). Where the page has an article or main element,
+the regions are taken inside it and all of them belong to it.
 
 Null and empty pages have empty texts; so do pages whose every line is boilerplate. Broken markup (unclosed tags, a page cut
 off anywhere) is read to its end. Repeated rows are rows of their own; other columns are not read. Nothing is cut or capped.
@@ -24,11 +26,15 @@ from phonoweave.llm.common import small_batches
 
 #: Lines in a window.
 WINDOW = 4
+#: A region of one in so many characters of the largest one is text of the article wherever it stands.
+SHARE = 10
 #: Fixed values of HTML: elements that start a new line, and elements without content.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math object select option button label canvas audio video".split())
 CUT = frozenset("nav header footer aside form menu head dialog".split()) | RAW
+CONTAINERS = frozenset("article center div main section td".split())
+PARAGRAPHS = frozenset("p blockquote pre h1 h2 h3 h4 h5 h6".split())
 CLOSED_BY_BLOCK = frozenset(["p"])
 CUES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner promo promoted sponsor sponsored sidebar nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead footer cookie cookies consent notice notices alert popup modal newsletter subscribe signup login search share sharing social related recommended comment comments respond disqus replies pagination pager widget toolbar skip".split()
@@ -49,26 +55,56 @@ def _is_cue(attributes: str) -> bool:
     return False
 
 
-def _lines(page: str) -> list[tuple[str, int, bool]]:
-    """Text (empty where it was stripped), characters in links, whether inside an article, for each line."""
-    lines: list[tuple[str, int, bool]] = []
-    open_: list[tuple[str, bool]] = []  # element, whether it started a stripped stretch
+class _Page:
+    """Lines of a page, and its block elements in the order of their start; element 0 is the page itself."""
+
+    def __init__(self):
+        self.lines: list[tuple[str, int, bool, int]] = []  # text (empty where stripped), characters in links, whether inside an article, element
+        self.tags, self.parents, self.spans = [""], [0], [(0, 0)]  # spans: an element's first line, and the one after its last
+        self.near = [0]  # the innermost container, 0 for the body
+
+    def open(self, name: str, parent: int) -> int:
+        e = len(self.tags)
+        self.tags.append(name)
+        self.parents.append(parent)
+        self.spans.append((len(self.lines), 0))
+        self.near.append(e if name in CONTAINERS else self.near[parent])
+        return e
+
+    def close(self, e: int) -> None:
+        self.spans[e] = self.spans[e][0], len(self.lines)
+
+    def container(self, begin: int, end: int) -> int:
+        """The innermost container of lines begin to end - 1, 0 for the body."""
+        e = self.near[self.lines[begin][3]]
+        while e and self.spans[e][1] < end:
+            e = self.near[self.parents[e]]
+        return e
+
+
+def _lines(page: str) -> _Page:
+    out = _Page()
+    open_: list[tuple[str, bool, int]] = []  # element, whether it started a stripped stretch, its number (of the block around it for others)
     cut = article = linked = 0
+    marked = False  # whether the stripped stretch has its line
     text: list[str] = []
     links = 0
 
     def flush() -> None:
-        nonlocal links
+        nonlocal links, marked
         line = BLANKS.sub(" ", html.unescape("".join(text))).strip()
-        if line or cut:
-            lines.append(("" if cut else line, links, article > 0))
+        if line or cut and not marked:
+            out.lines.append((line, links, article > 0, open_[-1][2] if open_ else 0))
+            marked = marked or not line
         text.clear()
         links = 0
 
     def close(k: int) -> None:
         nonlocal cut, article, linked
         while len(open_) > k:
-            name, stripped = open_.pop()
+            name, stripped, number = open_.pop()
+            if name in BLOCKS:
+                out.close(number)
             cut -= stripped
             article -= name in ("article", "main")
             linked -= name == "a"
@@ -119,22 +155,27 @@ def _lines(page: str) -> list[tuple[str, int, bool]]:
             at = end.end()
             continue
         stripped = name in CUT or (name not in ("html", "body", "article", "main") and _is_cue(attributes))
-        open_.append((name, stripped))
+        number = open_[-1][2] if open_ else 0
+        if name in BLOCKS:
+            number = out.open(name, number)
+        open_.append((name, stripped, number))
+        marked = marked and cut > 0
         cut += stripped
         article += name in ("article", "main")
         linked += name == "a"
     flush()
-    return lines
+    close(0)
+    return out
 
 
 def main_text(page: str | None) -> str:
     """Blocks of the article in page order, joined by a blank line."""
-    lines = _lines(page or "")
-    within = any(inside and text for text, _, inside in lines)
-    weights = []
-    for text, links, inside in lines:
-        keep = text and (inside or not within) and (within or 2 * links <= len(text))
-        weights.append(len(text) if keep else 0)
+    parsed = _lines(page or "")
+    lines = parsed.lines
+    if any(inside and text for text, _, inside, _ in lines):
+        return "\n\n".join(text for text, _, inside, _ in lines if inside and text)
+    linked = [2 * links > len(text) for text, links, _, _ in lines]
+    weights = [0 if linked[k] else len(lines[k][0]) for k in range(len(lines))]
     regions: list[tuple[int, int, int]] = []  # characters, surge, dive
     k = 0
     while k < len(weights):
@@ -142,13 +183,35 @@ def main_text(page: str | None) -> str:
             k += 1
             continue
         surge = last = k
-        while k < len(weights) and sum(weights[k : k + WINDOW]) > 0:
+        while k < len(weights) and any(weights[k : k + WINDOW]):
             last = k if weights[k] else last
             k += 1
         regions.append((sum(weights[surge : last + 1]), surge, last + 1))
-    if not within and regions:
-        regions = [max(regions, key=lambda r: (r[0], -r[1]))]
-    return "\n\n".join(lines[k][0] for _, surge, dive in regions for k in range(surge, dive) if weights[k])
+    if not regions:
+        return ""
+    core = max(regions, key=lambda r: (r[0], -r[1]))
+    large = [r for r in regions if SHARE * r[0] >= core[0]]
+    begin, end = large[0][1], large[-1][2]
+    kept = [False] * len(lines)
+    for first, last in {(begin, end), *(r[1:] for r in large)}:
+        e = parsed.container(first, last)
+        if e:
+            first, last = parsed.spans[e]
+        elif (first, last) == (begin, end) and len(large) > 1:
+            continue  # regions of different parts of the body: what lies between them is not all of the article
+        kept[first:last] = [True] * (last - first)
+    loose = not parsed.near[lines[core[1]][3]]  # the text stands in the body itself
+    run = 0  # where the run of lines of links begins
+    for k in range(len(lines)):
+        run = run if linked[k] and k and linked[k - 1] else k
+        element = lines[k][3]
+        if linked[k]:
+            paragraph = parsed.tags[element] in PARAGRAPHS
+            short = not any(all(linked[j : j + WINDOW]) for j in range(max(run, k - WINDOW + 1), k + 1) if j + WINDOW <= len(lines))
+            kept[k] = (paragraph or short) and (kept[k] or begin <= k < end) or paragraph and loose and not parsed.near[element]
+        elif loose and not parsed.near[element]:
+            kept[k] = True
+    return "\n\n".join(lines[k][0] for k in range(len(lines)) if kept[k] and lines[k][0])
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

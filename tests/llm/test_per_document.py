@@ -164,6 +164,18 @@ def test_html():
     assert html_text.main_text("<article><p>cut off in a ta") == "cut off in a ta"
 
 
+def test_html_keeps_an_article_that_adverts_and_links_interrupt():
+    a, b, c = (prose(k, n) for k, n in ((1, 100), (2, 90), (3, 5)))
+    advert = '<div class="ad"><p>a</p><p>b</p><div><p>c</p></div></div><nav><ul><li>d<li>e</ul></nav><aside><p>f</p><p>g</p></aside>'
+    for page in (f"<div><p>{a}</p>{advert}<p>{b}</p>{advert * 3}<p>{c}</p></div>", f"<p>{a}{advert}<p>{b}{advert * 3}<p>{c}", f"<div><div>{a}{advert * 5}</div><div>{b}</div>{advert * 5}<div>{c}</div></div>"):
+        assert html_text.main_text(f"<body><nav>Home</nav>{page}<footer>&copy;</footer></body>") == f"{a}\n\n{b}\n\n{c}"
+    related = '<ul><li><a href="/x">Related page</a></ul>'
+    source = '<p><a href="/x">A long title of the source</a> here</p>'
+    page = f"<body><div><p>{a}</p>{source * 6}<p>{b}</p>{source}</div>{related * 5}<div>Some words of the site</div></body>"
+    assert html_text.main_text(page) == "\n\n".join([a, *["A long title of the source here"] * 6, b, "A long title of the source here"])
+    assert html_text.main_text(f"<div><p>{a}{related * 5}<p>{b}</div>{related * 5}<div>Some words</div>") == f"{a}\n\n{b}"
+
+
 def test_html_query(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (3, "v", ""), (None, "w", "<p>é")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'t' AS text", "1 AS n_chars")
