@@ -1,8 +1,10 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines, a line for each block element. Lines of boilerplate elements (navigation, headers, footers,
-asides, forms, scripts, and elements whose class, id or role says menu, advert, notice, comment and the like) keep their
-place but lose their text, and so do lines that are mostly links. The lengths of the remaining text, summed over windows of
+asides, forms, scripts, and blocks whose class, id or role says menu, advert, notice, comment and the like) keep their
+place but lose their text, and so do lines that are mostly links. Such a class or id is a whole name (or one made only of such
+words and of QUALIFIERS); it strips neither the only article or main element nor, unless it can't be said of a wrapper
+(ALWAYS), a block that holds most of the page's text. The lengths of the remaining text, summed over windows of
 lines, form a distribution along the page: a surge point is where the sum rises above zero, a dive point where a whole window
 holds nothing. A stripped stretch is one line, however many blocks it has. The region that holds most is the article's core;
 regions in the same container, or of a tenth of its text at least, belong to the article too, and so do lines of links beside
@@ -39,44 +41,100 @@ CLOSED_BY_BLOCK = frozenset(["p"])
 CUES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner promo promoted sponsor sponsored sidebar nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead footer cookie cookies consent notice notices alert popup modal newsletter subscribe signup login search share sharing social related recommended comment comments respond disqus replies pagination pager widget toolbar skip".split()
 )
+#: Words that leave a compound name a cue, and cues that strip a block however much it holds.
+QUALIFIERS = frozenset("site global list box block bar area wrapper container section links inner top bottom left right".split())
+ALWAYS = frozenset(
+    "ad ads adv advert adverts advertisement advertising banner promo promoted sponsor sponsored breadcrumb breadcrumbs cookie cookies consent newsletter comment comments respond disqus replies pagination pager".split()
+)
+ARTICLES = frozenset(["article", "main"])
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 BLANKS = re.compile(r"\s+")
 
 
-def _is_cue(attributes: str) -> bool:
+def _cue(attributes: str, block: bool) -> int:
+    """0 without a cue, 1 with one, 2 if it may be said of a wrapper too."""
+    level = 0
     for name, value in ATTRIBUTE.findall(attributes):
         value, name = value.strip("\"'").lower(), name.lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
-            return True
-        if name in ("class", "id") and any(part in CUES for part in re.split(r"[\s_\-]+", value)):
-            return True
-    return False
+            return 1
+        if block and name in ("class", "id"):
+            for whole in value.split():
+                parts = set(re.split(r"[_\-]+", whole))
+                if parts & CUES and parts <= CUES | QUALIFIERS:
+                    if parts & ALWAYS:
+                        return 1
+                    level = 2
+    return level
 
 
 class _Page:
     """Lines of a page, and its block elements in the order of their start; element 0 is the page itself."""
 
     def __init__(self):
-        self.lines: list[tuple[str, int, bool, int]] = []  # text (empty where stripped), characters in links, whether inside an article, element
+        self.lines: list[tuple[str, int, int]] = []  # text (empty where stripped), characters in links, element
         self.tags, self.parents, self.spans = [""], [0], [(0, 0)]  # spans: an element's first line, and the one after its last
         self.near = [0]  # the innermost container, 0 for the body
+        self.cues, self.inside = [0], [False]  # inside: an article or main element, or in one
 
-    def open(self, name: str, parent: int) -> int:
+    def open(self, name: str, parent: int, cue: int) -> int:
         e = len(self.tags)
         self.tags.append(name)
         self.parents.append(parent)
         self.spans.append((len(self.lines), 0))
         self.near.append(e if name in CONTAINERS else self.near[parent])
+        self.cues.append(cue)
+        self.inside.append(self.inside[parent] or name in ARTICLES)
         return e
 
     def close(self, e: int) -> None:
         self.spans[e] = self.spans[e][0], len(self.lines)
 
+    def strip(self) -> None:
+        """Make each stripped element with a cue one empty line."""
+        if not any(self.cues):
+            return
+        n = len(self.tags)
+        chars, articles = [0] * n, [0] * n
+        for text, links, e in self.lines:
+            chars[e] += max(0, len(text) - links)
+        for e in range(n - 1, 0, -1):
+            chars[self.parents[e]] += chars[e]
+        cued = [c > 0 and not (c == 2 and 2 * chars[e] > chars[0]) for e, c in enumerate(self.cues)]
+        # Cues inside an article strip at once; of those around articles, the outer ones that leave no article don't count.
+        within, depth = [False] * n, [0] * n
+        for e in range(1, n):
+            up = self.parents[e]
+            within[e] = within[up] or cued[e] and self.inside[up]
+            depth[e] = depth[up] + (cued[e] and not self.inside[up])
+        least = None
+        for text, _, e in self.lines:
+            if text and self.inside[e] and not within[e]:
+                articles[e] += len(text)
+                least = depth[e] if least is None else min(least, depth[e])
+        for e in range(n - 1, 0, -1):
+            articles[self.parents[e]] += articles[e]
+        top = [0] * n  # the outermost stripped element
+        for e in range(1, n):
+            up = self.parents[e]
+            spared = not self.inside[up] and articles[e] > 0 and depth[e] <= least
+            top[e] = top[up] or (e if cued[e] and not spared else 0)
+        lines, at, last = [], [], 0
+        for text, links, e in self.lines:
+            at.append(len(lines))
+            if not top[e]:
+                lines.append((text, links, e))
+            elif top[e] != last:
+                lines.append(("", 0, e))
+            last = top[e]
+        at.append(len(lines))
+        self.lines, self.spans = lines, [(at[a], at[b]) for a, b in self.spans]
+
     def container(self, begin: int, end: int) -> int:
         """The innermost container of lines begin to end - 1, 0 for the body."""
-        e = self.near[self.lines[begin][3]]
+        e = self.near[self.lines[begin][2]]
         while e and self.spans[e][1] < end:
             e = self.near[self.parents[e]]
         return e
@@ -85,7 +143,7 @@ class _Page:
 def _lines(page: str) -> _Page:
     out = _Page()
     open_: list[tuple[str, bool, int]] = []  # element, whether it started a stripped stretch, its number (of the block around it for others)
-    cut = article = linked = 0
+    cut = linked = 0
     marked = False  # whether the stripped stretch has its line
     text: list[str] = []
     links = 0
@@ -94,19 +152,18 @@ def _lines(page: str) -> _Page:
         nonlocal links, marked
         line = BLANKS.sub(" ", html.unescape("".join(text))).strip()
         if line or cut and not marked:
-            out.lines.append((line, links, article > 0, open_[-1][2] if open_ else 0))
+            out.lines.append((line, links, open_[-1][2] if open_ else 0))
             marked = marked or not line
         text.clear()
         links = 0
 
     def close(k: int) -> None:
-        nonlocal cut, article, linked
+        nonlocal cut, linked
         while len(open_) > k:
             name, stripped, number = open_.pop()
             if name in BLOCKS:
                 out.close(number)
             cut -= stripped
-            article -= name in ("article", "main")
             linked -= name == "a"
 
     at = 0
@@ -154,17 +211,18 @@ def _lines(page: str) -> _Page:
         if name in ("script", "style", "textarea", "title") and (end := re.compile(rf"</{name}\s*>", re.I).search(page, at)):
             at = end.end()
             continue
-        stripped = name in CUT or (name not in ("html", "body", "article", "main") and _is_cue(attributes))
+        cue = _cue(attributes, name in BLOCKS) if name not in CUT and name not in ("html", "body", "article", "main") else 0
+        stripped = name in CUT or cue > 0 and name not in BLOCKS
         number = open_[-1][2] if open_ else 0
         if name in BLOCKS:
-            number = out.open(name, number)
+            number = out.open(name, number, cue)
         open_.append((name, stripped, number))
         marked = marked and cut > 0
         cut += stripped
-        article += name in ("article", "main")
         linked += name == "a"
     flush()
     close(0)
+    out.strip()
     return out
 
 
@@ -172,9 +230,9 @@ def main_text(page: str | None) -> str:
     """Blocks of the article in page order, joined by a blank line."""
     parsed = _lines(page or "")
     lines = parsed.lines
-    if any(inside and text for text, _, inside, _ in lines):
-        return "\n\n".join(text for text, _, inside, _ in lines if inside and text)
-    linked = [2 * links > len(text) for text, links, _, _ in lines]
+    if any(text and parsed.inside[e] for text, _, e in lines):
+        return "\n\n".join(text for text, _, e in lines if text and parsed.inside[e])
+    linked = [2 * links > len(text) for text, links, _ in lines]
     weights = [0 if linked[k] else len(lines[k][0]) for k in range(len(lines))]
     regions: list[tuple[int, int, int]] = []  # characters, surge, dive
     k = 0
@@ -200,11 +258,11 @@ def main_text(page: str | None) -> str:
         elif (first, last) == (begin, end) and len(large) > 1:
             continue  # regions of different parts of the body: what lies between them is not all of the article
         kept[first:last] = [True] * (last - first)
-    loose = not parsed.near[lines[core[1]][3]]  # the text stands in the body itself
+    loose = not parsed.near[lines[core[1]][2]]  # the text stands in the body itself
     run = 0  # where the run of lines of links begins
     for k in range(len(lines)):
         run = run if linked[k] and k and linked[k - 1] else k
-        element = lines[k][3]
+        element = lines[k][2]
         if linked[k]:
             paragraph = parsed.tags[element] in PARAGRAPHS
             short = not any(all(linked[j : j + WINDOW]) for j in range(max(run, k - WINDOW + 1), k + 1) if j + WINDOW <= len(lines))

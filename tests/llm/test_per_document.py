@@ -176,6 +176,18 @@ def test_html_keeps_an_article_that_adverts_and_links_interrupt():
     assert html_text.main_text(f"<div><p>{a}{related * 5}<p>{b}</div>{related * 5}<div>Some words</div>") == f"{a}\n\n{b}"
 
 
+def test_html_cues_strip_no_wrapper():
+    a, b = prose(1, 100), prose(2, 30)
+    teaser = f'<div class="related"><article><p>{b}</p></article></div>'
+    for names in ('class="content has-sidebar"', 'id="page" class="no-sidebar"', 'class="search-result-page"', 'class="search"', "class=sidebar role=search"):
+        assert html_text.main_text(f"<body><div {names}><article><p>{a}</p></article>{teaser}</div></body>") == a
+        assert html_text.main_text(f"<body><div {names.replace(' role=search', '')}><p>{a}</p><div class=ad>{b}</div></div><footer>&copy;</footer>") == a
+    assert html_text.main_text(f'<p>So <span class="comment">it</span> <code class="search">goes</code> on</p><div class="site-header">x</div>') == "So it goes on"
+    assert html_text.main_text(f'<div><p>{b}</p><div id="comments"><p>{a}</p><p>{a}</p></div></div>') == b
+    for name in ("ad-container", "cookie_notice", "comment-list", "sidebar left"):
+        assert html_text.main_text(f'<article><p>{a}</p><div class="{name}"><p>{b}</p></div></article>') == a
+
+
 def test_html_query(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (3, "v", ""), (None, "w", "<p>é")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'t' AS text", "1 AS n_chars")
