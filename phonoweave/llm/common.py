@@ -84,14 +84,20 @@ def shingle_hashes(hashes, size: int) -> F.Column:
     return let(hashes, of)
 
 
+def row_key(docs: DataFrame) -> F.Column:
+    """A row's own key, never null: 128 bits of doc_id and text, so that only rows that agree in both share one."""
+    parts = [docs["doc_id"].isNull(), docs["doc_id"].cast("long"), docs["text"]]
+    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(1), *parts).alias("b"))
+
+
 def with_marks(docs: DataFrame, marks: DataFrame, most: int = 50_000) -> DataFrame:
-    """Texts of the documents that have marks: doc_id, text, marks (all of the id's, as an array).
+    """Texts of the documents that have marks: row, doc_id, text, marks (all of the row's, as an array).
 
-    marks: doc_id and other columns, distinct, materialized. Few marked documents are broadcast after a count; more are
-    shuffled.
+    marks: row (as row_key() has it) and other columns, distinct, materialized. Few marked documents are broadcast after a
+    count; more are shuffled.
     """
-    names = [c for c in marks.columns if c != "doc_id"]
-    grouped = marks.groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("marks"))
+    names = [c for c in marks.columns if c != "row"]
+    grouped = marks.groupBy("row").agg(F.collect_list(F.struct(*names)).alias("marks"))
     few = marks.limit(most + 1).count() <= most
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.join(F.broadcast(grouped) if few else grouped, "doc_id")
+    texts = docs.select(row_key(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return texts.join(F.broadcast(grouped) if few else grouped, "row")

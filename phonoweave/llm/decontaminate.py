@@ -11,8 +11,8 @@ average (deviation 2.9), so a radius of 22 misses about one window in 100,000.
 
 Null, blank and empty texts match nothing, on either side. Documents or items of fewer than five words are one shingle. A
 window at a document's edge is moved inside; a document shorter than an item is one window. Rows repeated with one doc_id
-and item_id give one row, that of the highest similarity and then the smallest place; null ids are ids of their own. Other
-columns are not read.
+and item_id give one row, that of the highest similarity and then the smallest place; null is a doc_id like others, and
+contaminated_rows() tells its rows apart. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phonoweave.llm.common import materialize, shingle_hashes, with_marks, word_hashes
+from phonoweave.llm.common import materialize, row_key, shingle_hashes, with_marks, word_hashes
 
 SHINGLE, SIMILARITY, RADIUS, BITS = 5, 0.8, 22, 64
 #: A benchmark up to so many shingles is broadcast; a larger one is joined by a shuffle.
@@ -63,8 +63,8 @@ def weighted_jaccard(left: Column, right: Column) -> Column:
     return least / (F.size(left) + F.size(right) - least)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """doc_id, item_id, similarity, start (word place of the best window): a row for each document and item that it holds."""
+def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """row (its row_key()), doc_id, item_id, similarity, start (word place) of every window that holds an item."""
     items = (
         benchmark.select("item_id", word_hashes(F.col("text")).alias("w"))
         .where(F.size("w") > 0)
@@ -76,23 +76,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     small = places.limit(MOST_SHINGLES + 1).count() <= MOST_SHINGLES
     hint = F.broadcast if small else (lambda df: df)
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shingle_hashes(word_hashes(F.col("text")), SHINGLE).alias("s"))
+    texts = docs.select(row_key(docs).alias("row"), shingle_hashes(word_hashes(F.col("text")), SHINGLE).alias("s"))
     # Outer: an inner explode would first compute the array once more, for a filter.
-    hits = texts.select("doc_id", F.posexplode_outer("s").alias("p", "h")).join(hint(places), "h")
-    anchors = materialize(hits.select("doc_id", "n", (F.col("p") - F.col("offset")).alias("at")).distinct(), "leak-anchors")
+    hits = texts.select("row", F.posexplode_outer("s").alias("p", "h")).join(hint(places), "h")
+    anchors = materialize(hits.select("row", "n", (F.col("p") - F.col("offset")).alias("at")).distinct(), "leak-anchors")
     start = F.greatest(F.lit(0), F.least(F.col("at"), F.size("w") - F.col("n")))
     windows = (
         with_marks(docs, anchors)
-        .select("doc_id", word_hashes(F.col("text")).alias("w"), "marks")
-        .select("doc_id", "w", F.explode("marks").alias("m"))
-        .select("doc_id", "w", "m.n", "m.at")
-        .select("doc_id", "n", start.alias("start"), "w")
-        .select("doc_id", "n", "start", F.slice("w", F.col("start") + 1, F.col("n")).alias("w"))
+        .select("row", "doc_id", word_hashes(F.col("text")).alias("w"), "marks")
+        .select("row", "doc_id", "w", F.explode("marks").alias("m"))
+        .select("row", "doc_id", "w", "m.n", "m.at")
+        .select("row", "doc_id", "n", start.alias("start"), "w")
+        .select("row", "doc_id", "n", "start", F.slice("w", F.col("start") + 1, F.col("n")).alias("w"))
         .distinct()
         .withColumn("window", shingle_hashes(F.col("w"), SHINGLE))
     )
     # Windows that many documents share get their fingerprint, candidates and similarity once.
-    windows = materialize(windows.select("doc_id", "n", "start", "window", F.xxhash64("window").alias("key")), "leak-windows")
+    windows = materialize(windows.select("row", "doc_id", "n", "start", "window", F.xxhash64("window").alias("key")), "leak-windows")
     distinct = windows.groupBy("n", "key").agg(F.first("window").alias("window")).withColumn("fp", simhash(F.col("window")))
     keyed = items.select("item_id", "n", "item", F.col("fp").alias("item_fp"), F.explode(blocks(F.col("fp"), radius)).alias("b"))
     keyed = keyed.select("item_id", "n", "item", "item_fp", "b.k", "b.v")
@@ -108,10 +108,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
         .where(F.col("similarity") >= similarity)
         .select("n", "key", "item_id", F.round("similarity", 6).alias("similarity"))
     )
+    return windows.join(found, ["n", "key"]).select("row", "doc_id", "item_id", "similarity", "start")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """doc_id, item_id, similarity, start (word place of the best window): a row for each document and item that it holds."""
     return (
-        windows.select("doc_id", "n", "start", "key")
-        .join(found, ["n", "key"])
+        matches(docs, benchmark, similarity, radius)
         .groupBy("doc_id", "item_id")
         .agg(F.max(F.struct("similarity", (-F.col("start")).alias("start"))).alias("best"))
         .select("doc_id", "item_id", "best.similarity", (-F.col("best.start")).alias("start"))
     )
+
+
+def contaminated_rows(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """row: the row_key() of each row that holds an item, once."""
+    return matches(docs, benchmark, similarity, radius).select("row").distinct()

@@ -9,7 +9,7 @@ signature: a window is made where a template's shingle occurs. Retrieved templat
 by exact shingle containment.
 
 Null, blank and empty texts match nothing; a text shorter than a window is one window. Rows repeated with one doc_id and
-license give one row, that of the highest containment and then the smallest place; a null doc_id is an id of its own. Other
+license give one row, that of the highest containment and then the smallest place; null is a doc_id like others. Other
 columns are not read. Templates need five words at least.
 """
 
@@ -22,7 +22,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonoweave.llm.common import materialize, shingle_hashes, with_marks
+from phonoweave.llm.common import materialize, row_key, shingle_hashes, with_marks
 
 SHINGLE, CONTAINMENT, MISS, LEAST_WINDOW = 5, 0.8, 1e-6, 16
 
@@ -99,12 +99,12 @@ def license_scan(docs: DataFrame, templates: Iterable[tuple[str, str]] = TEMPLAT
     spark = docs.sparkSession
     wanted, per_class = template_table(spark, templates)
     count = F.element_at(F.create_map(*[F.lit(x) for pair in per_class.items() for x in pair]), F.col("size"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shingle_hashes(license_hashes(F.col("text")), SHINGLE).alias("s"))
+    texts = docs.select(row_key(docs).alias("row"), shingle_hashes(license_hashes(F.col("text")), SHINGLE).alias("s"))
     # Outer: an inner explode would first compute the array once more, for a filter.
     places = wanted.select("size", F.explode("wanted").alias("h")).distinct()
-    hits = texts.select("doc_id", F.posexplode_outer("s").alias("p", "h")).join(F.broadcast(places), "h")
+    hits = texts.select("row", F.posexplode_outer("s").alias("p", "h")).join(F.broadcast(places), "h")
     half = F.col("size") / 2
-    anchors = materialize(hits.select("doc_id", "size", (F.floor(F.col("p") / half) * half).cast("int").alias("at")).distinct(), "license-anchors")
+    anchors = materialize(hits.select("row", "size", (F.floor(F.col("p") / half) * half).cast("int").alias("at")).distinct(), "license-anchors")
     start = F.greatest(F.lit(0), F.least(F.col("at"), F.size("w") - F.col("size")))
     windows = (
         with_marks(docs, anchors)

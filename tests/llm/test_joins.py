@@ -157,6 +157,25 @@ def test_decontamination(spark, make, awkward):
     assert decontaminate.contaminated(make([]), benchmark).count() == decontaminate.contaminated(make(rows), benchmark.limit(0)).count() == 0
 
 
+def test_null_ids_are_searched(spark, make, awkward, tmp_path):
+    import corpus_pipeline
+
+    items = [(k, prose(900 + k, 14 + 3 * k)) for k in range(3)]
+    leaks = [(None, prose(1, 30) + " " + items[0][1]), (None, items[1][1] + " " + prose(2, 30)), (7000, items[2][1]), (7001, prose(3, 20) + " " + items[0][1])]
+    clean = [(None, prose(4, 50)), (7001, prose(5, 50)), (7002, prose(6, 50))]
+    rows = [*awkward, *leaks, *clean]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.similarity, r.start) for r in decontaminate.contaminated(make(rows), benchmark).collect()}
+    assert got == {k: (round(v[0], 6), v[1]) for k, v in best_windows(rows, items).items()} and (None, 0) in got and (None, 1) in got
+    benchmark.write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = corpus_pipeline.decontaminate_stage(spark, make(rows), str(tmp_path))
+    assert kept.columns == make(rows).columns
+    assert sorted(kept.select("doc_id", "text").collect(), key=str) == sorted(make([*awkward, *clean]).select("doc_id", "text").collect(), key=str)
+    notice = dict(licenses.TEMPLATES)["MPL-2.0"]
+    found = {(r.doc_id, r.license_id): r.start for r in licenses.license_scan(make([*clean, (None, prose(1, 40) + " " + notice), (8, notice)])).collect()}
+    assert set(found) == {(None, "MPL-2.0"), (8, "MPL-2.0")}
+
+
 def test_licenses(make, awkward):
     def shingles(text):
         import regex
