@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -57,6 +57,26 @@ def failures(scored: DataFrame, most: int = 100) -> DataFrame:
     return scored.where(~F.col("exact")).orderBy(F.col("error").isNull(), "id").limit(most)
 
 
+def number_rows(rows: DataFrame, key: str, index: str, stretches: int = 1000) -> tuple[DataFrame, int]:
+    """(rows with their position from 0 in the order of a numeric key, their count).
+
+    Rows are numbered within stretches of the key, after the counts of the stretches before: no task holds all rows. Rows
+    that share a key are numbered in any order, null keys first.
+    """
+    low, high = rows.agg(F.min(key), F.max(key)).first()
+    low, wide = low or 0, max(1, -(-((high or 0) - (low or 0) + 1) // stretches))
+    stretch = F.coalesce(F.floor((F.col(key) - low) / wide), F.lit(-1)).cast("long")
+    counts = sorted(rows.groupBy(stretch.alias("s")).count().collect())
+    before, n = [], 0
+    for s, count in counts:
+        before.append((s, n))
+        n += count
+    offsets = rows.sparkSession.createDataFrame(before, "_stretch long, _before long")
+    placed = rows.withColumn("_stretch", stretch).join(F.broadcast(offsets), "_stretch")
+    place = F.row_number().over(Window.partitionBy("_stretch").orderBy(key)) - 1 + F.col("_before")
+    return placed.withColumn(index, place.cast("long")).drop("_stretch", "_before"), n
+
+
 def sample(spark: SparkSession, rows: DataFrame, index: str, n: int, most: int | None, seed: int) -> DataFrame:
     """A fixed sample by position of `index` (0 to n - 1): the same rows as Python's generator picks, in source order."""
     if most is None or most >= n:

@@ -145,9 +145,9 @@ def target_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eval_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = cases(spark, sf_dir)
-    numbered = c.select((F.col("id") - 1).alias("i"), "id", "mode")
-    return evaluation.sample(spark, numbered, "i", 1000, 100, 42)
+    """100 cases of all, by their position in the order of id."""
+    numbered, n = evaluation.number_rows(cases(spark, sf_dir).select("id", "mode"), "id", "i")
+    return evaluation.sample(spark, numbered, "i", n, 100, 42).select("i", "id", "mode")
 
 
 _KEYS = "l_orderkey, l_linenumber"

@@ -196,6 +196,21 @@ def test_edit_distance_and_summary(spark):
     assert [x.i for x in picked.collect()] == sorted(random.Random(42).sample(range(50), 7))
 
 
+def test_sample_draws_from_all_rows(spark, tmp_path):
+    from phonoweave.plans import phonetic_queries
+
+    keys = [7 * k * k - 3000 for k in range(2500)]
+    rows = [(k, k % 11) for k in keys]
+    random.Random(3).shuffle(rows)
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long").repartition(5).write.parquet(str(tmp_path / "orders.parquet"))
+    got = [(x.i, x.id) for x in phonetic_queries.eval_sample(spark, str(tmp_path)).collect()]
+    assert got == [(i, keys[i]) for i in sorted(random.Random(42).sample(range(2500), 100))]
+    few, n = evaluation.number_rows(spark.createDataFrame([(5,), (None,), (2,)], "id long"), "id", "i")
+    assert n == 3 and sorted((x.i, x.id) for x in few.collect()) == [(0, None), (1, 2), (2, 5)]
+    none, n = evaluation.number_rows(spark.range(0), "id", "i")
+    assert n == 0 and none.count() == 0
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "d.json").write_text(json.dumps({"schema_version": 1, "cases": [
         {"id": "a", "mode": "mandarin", "text": "你好", "expected_native": ["ni2"]}, {"id": "b", "mode": "mandarin", "text": "你好", "targets": [{"span": [1, 2], "text": "好", "expected_native": ["hao3"]}]},
