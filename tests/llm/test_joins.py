@@ -81,6 +81,30 @@ def test_jaccard_join_awkward(make, awkward):
     assert jaccard_join.jaccard_components(make([])).count() == 0
 
 
+def test_jaccard_join_links_through_rows_without_an_id(spark, make):
+    import corpus_pipeline
+
+    base = prose(77, 60).split()
+    left, right = " ".join(["new", *base[1:-3]]), " ".join([*base[4:-1], "new"])
+    middle = " ".join(base[2:-2])
+    sets = [set(shingle_list(t, 5)) for t in (left, middle, right)]
+    near = [100 * len(a & b) >= 88 * len(a | b) for a, b in ((sets[0], sets[1]), (sets[1], sets[2]), (sets[0], sets[2]))]
+    assert near == [True, True, False]
+    other, alone = prose(78, 60), prose(79, 60)
+    rows = [(1, left), (None, middle), (None, middle), (2, right), (None, other), (None, other + " more"), (None, other), (3, alone), (3, prose(80, 60)), (3, alone), (5, prose(80, 60)), (None, alone + " x"), (6, None), (None, None), (None, " ")]
+    got = jaccard_join.jaccard_components(make(rows), 88, 5).collect()
+    assert sorted(x.component_id for x in got if x.doc_id in (1, 2)) == [1, 1] and [x.component_id for x in got if x.doc_id == 5] == [3]
+    corpus_percent, corpus_pipeline.PERCENT = corpus_pipeline.PERCENT, 88
+    try:
+        kept = corpus_pipeline.near_duplicate_stage(spark, make(rows), "").select("doc_id", "text").collect()
+    finally:
+        corpus_pipeline.PERCENT = corpus_percent
+    texts = sorted([tuple(x) for x in kept], key=str)
+    of_other = [t for t in texts if t[1] and t[1].startswith(other)]
+    assert len(of_other) == 1 and of_other[0][0] is None
+    assert [t for t in texts if t not in of_other] == sorted([(1, left), (3, alone), (3, prose(80, 60)), (6, None), (None, None), (None, " ")], key=str)
+
+
 def test_enumeration_reaches_all_links_of_small_sets():
     for percent in (80, 85):
         most = jaccard_join.most_enumerated(percent)
