@@ -9,7 +9,8 @@ lines, form a distribution along the page: a surge point is where the sum rises
 holds nothing. A stripped stretch is one line, however many blocks it has. The region that holds most is the article's core;
 regions in the same container, or of a tenth of its text at least, belong to the article too, and so do lines of links beside
 the text but for lists of links (a window or more of them outside paragraphs). Where the page has an article or main element,
-the regions are taken inside it and all of them belong to it.
+the regions are taken inside it and all of them belong to it, whatever the distribution; an article with a cue is stripped
+like other blocks if the page has another one.
 
 Null and empty pages have empty texts; so do pages whose every line is boilerplate. Broken markup (unclosed tags, a page cut
 off anywhere) is read to its end. Repeated rows are rows of their own; other columns are not read. Nothing is cut or capped.
@@ -211,7 +212,7 @@ def _lines(page: str) -> _Page:
         if name in ("script", "style", "textarea", "title") and (end := re.compile(rf"</{name}\s*>", re.I).search(page, at)):
             at = end.end()
             continue
-        cue = _cue(attributes, name in BLOCKS) if name not in CUT and name not in ("html", "body", "article", "main") else 0
+        cue = _cue(attributes, name in BLOCKS) if name not in CUT and name not in ("html", "body", "main") else 0
         stripped = name in CUT or cue > 0 and name not in BLOCKS
         number = open_[-1][2] if open_ else 0
         if name in BLOCKS:

@@ -188,6 +188,13 @@ def test_html_cues_strip_no_wrapper():
         assert html_text.main_text(f'<article><p>{a}</p><div class="{name}"><p>{b}</p></div></article>') == a
 
 
+def test_html_articles_with_cues():
+    a, b = prose(1, 40), prose(2, 60)
+    for comment in (f'<article class="comment"><p>{b}</p></article>', f'<article class="related"><p>{b[:99]}</p></article>'):
+        assert html_text.main_text(f"<article><p>{a}</p>{comment}</article>{comment}") == a
+    assert html_text.main_text(f'<article class="comment"><p>{b}</p></article>') == b
+
+
 def test_html_query(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (3, "v", ""), (None, "w", "<p>é")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'t' AS text", "1 AS n_chars")
