@@ -28,7 +28,7 @@ def without(lexicon: DataFrame, forced: DataFrame) -> DataFrame:
 def phrases(spark: SparkSession, path: str) -> DataFrame:
     """phrase, readings, problem from lines `phrase reading reading ...`; a problem where the counts differ."""
     parts = lines(spark, path).select(F.split("value", r"\s+").alias("p"))
-    rows = parts.select(F.get("p", 0).alias("phrase"), F.slice("p", 2, 64).alias("readings"))
+    rows = parts.select(F.get("p", 0).alias("phrase"), F.slice("p", 2, F.size("p")).alias("readings"))
     return rows.withColumn("problem", F.when(F.size("readings") != F.length("phrase"), F.lit("readings and characters differ in number")))
 
 

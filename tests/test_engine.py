@@ -211,6 +211,13 @@ def test_sample_draws_from_all_rows(spark, tmp_path):
     assert n == 0 and none.count() == 0
 
 
+def test_long_phrases_keep_all_readings(spark, tmp_path):
+    readings = [f"r{k}" for k in range(90)]
+    (tmp_path / "p.txt").write_text("字" * 90 + " " + " ".join(readings) + "\n好 hao3\n好好 hao3\n", "utf-8")
+    got = {len(x.phrase): (x.readings, x.problem) for x in lexicons.phrases(spark, str(tmp_path / "p.txt")).collect()}
+    assert got[90] == (readings, None) and got[1] == (["hao3"], None) and got[2][1] is not None
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "d.json").write_text(json.dumps({"schema_version": 1, "cases": [
         {"id": "a", "mode": "mandarin", "text": "你好", "expected_native": ["ni2"]}, {"id": "b", "mode": "mandarin", "text": "你好", "targets": [{"span": [1, 2], "text": "好", "expected_native": ["hao3"]}]},
