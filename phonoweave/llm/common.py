@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -22,9 +23,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; one of our own only where none is set."""
+    """The folder all executors share, as the session names it. A local session without one gets a folder of this machine."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="phonoweave-")
         spark.sparkContext.setCheckpointDir(configured)
     return configured.rstrip("/")
@@ -47,6 +50,35 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+class Scratch:
+    """Tables of one computation, by name. drop() deletes them after their last use, the end of the block deletes the rest."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop(*self.paths)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Write a table and read it; one of the same name goes after that."""
+        path, before = fresh_path(self.spark, name), self.paths.get(name)
+        df.write.parquet(path)
+        if before:
+            remove(self.spark, before)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Delete tables, and let Spark delete the shuffle files of queries that nothing refers to any more."""
+        for name in names:
+            remove(self.spark, self.paths.pop(name))
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+
 def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
     """Broadcast only after counting; a larger side is left to a shuffled join, which skew handling can split."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

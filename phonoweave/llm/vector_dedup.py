@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phonoweave.llm.common import materialize
+from phonoweave.llm.common import Scratch, materialize
 from phonoweave.llm.components import components
 
 THRESHOLD, TILE, SAMPLE = 0.98, 1024, 4000
@@ -104,7 +104,7 @@ def _pack(table: pa.Table) -> pa.Table:
     return pa.table({"tile": table.column("tile").slice(0, 1), "ids": [ids.astype("<i8").tobytes()], "weights": [weights.astype("<i8").tobytes()], "vectors": [vectors.astype("<f8").tobytes()]})
 
 
-def vector_links(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> tuple[DataFrame, DataFrame, DataFrame]:
+def vector_links(vectors: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, tile: int = TILE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, classes, found): vec_id, key of all rows; key, id, weight of the classes; a, b, n of links and link counts."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").cast("array<double>").alias("v"))
@@ -114,7 +114,7 @@ def vector_links(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = T
     rows = rows.withColumn("v", F.when(usable & sound, F.transform("v", lambda x: x + F.lit(0.0))))
     rows = rows.withColumn("key", F.when(F.col("v").isNotNull(), F.struct("label", F.size("v").alias("d"), F.xxhash64("v").alias("h1"), F.hash("v").alias("h2"))))
     classes = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("v").alias("v"))
-    classes = materialize(classes, "vector-classes")
+    classes = scratch.keep(classes, "vector-classes")
 
     axes: dict[int, np.ndarray] = {}
     for (d,) in classes.select("key.d").distinct().collect():
@@ -137,13 +137,13 @@ def vector_links(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = T
 
     label_type = dict(rows.dtypes)["label"]
     flat = classes.select("key.label", "key.d", "id", "weight", "v")
-    placed = materialize(flat.mapInArrow(place, f"label {label_type}, d int, id long, weight long, v array<double>, x int, y int"), "vector-cells")
+    placed = scratch.keep(flat.mapInArrow(place, f"label {label_type}, d int, id long, weight long, v array<double>, x int, y int"), "vector-cells")
     cell = ["label", "d", "x", "y"]
     counts = placed.groupBy(cell).agg(F.ceil(F.count("*") / F.lit(tile)).alias("parts"))
     deal = F.pmod(F.xxhash64("id"), F.col("parts"))
     tiles = placed.join(counts, cell).withColumn("part", deal).withColumn("tile", F.xxhash64(*cell, "part"))
     packed = tiles.select("tile", "id", "weight", "v").groupBy("tile").applyInArrow(_pack, "tile long, ids binary, weights binary, vectors binary")
-    packed = materialize(packed, "vector-tiles")
+    packed = scratch.keep(packed, "vector-tiles")
 
     parts = counts.select(*cell, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).withColumn("tile", F.xxhash64(*cell, "part"))
     ahead = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
@@ -176,19 +176,21 @@ def vector_links(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = T
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
     try:
-        found = materialize(work.mapInArrow(run, "a long, b long, n long"), "vector-links")
+        found = scratch.keep(work.mapInArrow(run, "a long, b long, n long"), "vector-links")
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    scratch.drop("vector-cells", "vector-tiles")
     return rows.select("vec_id", "key"), classes.select("key", "id", "weight"), found
 
 
 def vector_components(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
-    rows, classes, found = vector_links(vectors, threshold)
-    of_class = components(found.where("b is not null").select("a", "b")).select(F.col("node").alias("id"), "component")
-    counts = found.where("n is not null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
-    full = classes.join(of_class, "id", "left").join(counts, "id", "left")
-    full = full.select("key", F.coalesce("component", "id").alias("component"), (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n"))
+    with Scratch(vectors.sparkSession) as scratch:
+        rows, classes, found = vector_links(vectors, scratch, threshold)
+        of_class = components(found.where("b is not null").select("a", "b"), scratch).select(F.col("node").alias("id"), "component")
+        counts = found.where("n is not null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
+        full = classes.join(of_class, "id", "left").join(counts, "id", "left")
+        full = materialize(full.select("key", F.coalesce("component", "id").alias("component"), (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n")), "vector-components")
     joined = rows.join(full, "key", "left")
     component = F.coalesce("component", "vec_id")
     return joined.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

@@ -8,6 +8,7 @@ import numpy as np
 from conftest_llm import prose
 
 from phonoweave.llm import chat, decontaminate, jaccard_join, licenses, vector_dedup
+from phonoweave.llm.common import Scratch
 from phonoweave.llm.components import components
 
 
@@ -67,7 +68,9 @@ def test_jaccard_join_is_exact(make, monkeypatch):
     links = check_jaccard(make, rows)
     assert len(links) > 300
     monkeypatch.setattr(jaccard_join, "LIGHT", 3)
-    monkeypatch.setattr(jaccard_join, "CHUNK", 8)
+    check_jaccard(make, rows)
+    monkeypatch.setattr(jaccard_join, "ELEMENTS", 150)
+    monkeypatch.setattr(jaccard_join, "MEMBERS", 5)
     check_jaccard(make, rows)
     check_jaccard(make, rows, 5, 80)
 
@@ -118,10 +121,10 @@ def test_components(spark):
     r = random.Random(5)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 460)] + [(600, k) for k in range(601, 700)]
     edges = [e for e in edges if e[0] != e[1]]
-    got = {x.node: x.component for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {x.node: x.component for x in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()}
     want = roots({i for e in edges for i in e}, edges)
     assert got == want
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark)).count() == 0
 
 
 def test_vector_dedup(spark, monkeypatch):
