@@ -5,6 +5,7 @@ Errors are data: a result carries `error` ("Type: message") instead of phones, s
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 from collections.abc import Callable, Mapping, Sequence
@@ -14,7 +15,7 @@ from phonoweave.functions import lexicon, scripts
 from phonoweave.functions import phonetics as P
 from phonoweave.functions.text import compatibility, fold
 from phonoweave.operators import numbers, spelling
-from phonoweave.operators.sandhi import Sandhi, Word
+from phonoweave.operators.sandhi import Sandhi
 
 
 class PhoneticsError(Exception):
@@ -242,21 +243,13 @@ class Converter:
     # Post-processing and checks.
 
     def apply_sandhi(self, tokens: list[dict]) -> None:
-        run: list[Word] = []
-
-        def flush() -> None:
-            for word in self.sandhi.run(run) if run else ():
-                for unit, tone in zip(word.refs, word.tones):
-                    if not unit["is_unknown"] and tone != unit["tone"]:
-                        unit["tone"], unit["native"] = tone, unit["native"][:-1] + tone
-            run.clear()
-
-        for token in tokens:
-            if token["language"] == "zh" and token["units"]:
-                run.append(Word(token["text"], [u["tone"] or "" for u in token["units"]], token["pos"] or "", token["units"]))
-            else:
-                flush()
-        flush()
+        spoken = lambda t: t["language"] == "zh" and bool(t["units"])
+        runs = [list(run) for han, run in itertools.groupby(tokens, spoken) if han]
+        new = self.sandhi.tones([[(t["text"], [u["tone"] or "" for u in t["units"]], t["pos"] or "") for t in run] for run in runs])
+        for run, tones in zip(runs, new):
+            for unit, tone in zip((u for t in run for u in t["units"]), tones):
+                if not unit["is_unknown"] and tone != unit["tone"]:
+                    unit["tone"], unit["native"] = tone, unit["native"][:-1] + tone
 
     def validate(self, tokens: list[dict]) -> None:
         """Every word has units that cover it; native forms parse to the units' phones."""

@@ -100,12 +100,12 @@ def test_written_forms(text, want):
     ([("女", "3", "n"), ("儿", "2", "n")], "32"), ([("花", "1", "n"), ("儿", "2", "n")], "15"), ([("很", "3", "d"), ("好", "3", "a")], "23"), ([("看看", "44", "v")], "45"),
 ])
 def test_sandhi(words, want):
-    assert "".join(t for w in sandhi.Sandhi().run([sandhi.Word(t, list(n), p) for t, n, p in words]) for t in w.tones) == want
+    assert "".join(sandhi.Sandhi().tones([[(t, list(n), p) for t, n, p in words], []])[0]) == want
 
 
 def test_sandhi_checks_its_splitter():
     with pytest.raises(ValueError):
-        sandhi.Sandhi(splitter=lambda w: ["x"]).run([sandhi.Word("你好吗", ["3", "3", "5"])])
+        sandhi.Sandhi(splitter=lambda w: ["x"]).tones([[("你好吗", ["3", "3", "5"], "")]])
 
 
 def test_conversion():
