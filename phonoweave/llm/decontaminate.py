@@ -7,7 +7,9 @@ place in the item. Each window gets a
 64-bit SimHash. Fingerprints are cut into radius + 1 blocks, so two of them within the radius agree in a block for sure;
 equal blocks of items of the same size are the candidates. Candidates within the radius are verified by the exact weighted
 Jaccard similarity of their shingles, which has to reach 0.8. At that similarity the fingerprints are 10 bits apart on
-average (deviation 2.9), so a radius of 22 misses about one window in 100,000.
+average (deviation 2.9), so a radius of 22 misses about one window in 100,000. Such a radius leaves blocks of 2 or 3 bits, and
+no width of fingerprint does much better: a share of 0.15 of the bits differs, so blocks have fewer than 1 / 0.15 bits. What
+selects is the size of the item, by which both sides are joined, and the radius, which one in 160 unrelated pairs passes.
 
 Null, blank and empty texts match nothing, on either side. Documents or items of fewer than five words are one shingle. A
 window at a document's edge is moved inside; a document shorter than an item is one window. Rows repeated with one doc_id
@@ -20,11 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phonoweave.llm.common import materialize, row_key, shingle_hashes, with_marks, word_hashes
+from phonoweave.llm.common import Scratch, broadcast_if_small, materialize, row_key, shingle_hashes, with_marks, word_hashes
 
 SHINGLE, SIMILARITY, RADIUS, BITS = 5, 0.8, 22, 64
-#: A benchmark up to so many shingles is broadcast; a larger one is joined by a shuffle.
-MOST_SHINGLES = 1_000_000
+#: Places of shingles, or rows of the index, that are broadcast after a count; more are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
 
 
 def simhash(shingles: Column) -> Column:
@@ -63,23 +65,20 @@ def weighted_jaccard(left: Column, right: Column) -> Column:
     return least / (F.size(left) + F.size(right) - least)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """row (its row_key()), doc_id, item_id, similarity, start (word place) of every window that holds an item."""
-    items = (
+def _matches(docs: DataFrame, benchmark: DataFrame, similarity: float, radius: int, scratch: Scratch) -> DataFrame:
+    items = scratch.keep(
         benchmark.select("item_id", word_hashes(F.col("text")).alias("w"))
         .where(F.size("w") > 0)
         .select("item_id", F.size("w").alias("n"), shingle_hashes(F.col("w"), SHINGLE).alias("item"))
         .distinct()
-        .withColumn("fp", simhash(F.col("item")))
+        .withColumns({"fp": simhash(F.col("item")), "item_key": F.xxhash64("item_id", "item")}),
+        "leak-items",
     )
-    places = items.select("n", F.posexplode("item").alias("offset", "h")).distinct()
-    small = places.limit(MOST_SHINGLES + 1).count() <= MOST_SHINGLES
-    hint = F.broadcast if small else (lambda df: df)
-
+    places = broadcast_if_small(items.select("n", F.posexplode("item").alias("offset", "h")).distinct(), MOST_BROADCAST)
     texts = docs.select(row_key(docs).alias("row"), shingle_hashes(word_hashes(F.col("text")), SHINGLE).alias("s"))
     # Outer: an inner explode would first compute the array once more, for a filter.
-    hits = texts.select("row", F.posexplode_outer("s").alias("p", "h")).join(hint(places), "h")
-    anchors = materialize(hits.select("row", "n", (F.col("p") - F.col("offset")).alias("at")).distinct(), "leak-anchors")
+    hits = texts.select("row", F.posexplode_outer("s").alias("p", "h")).join(places, "h")
+    anchors = scratch.keep(hits.select("row", "n", (F.col("p") - F.col("offset")).alias("at")).distinct(), "leak-anchors")
     start = F.greatest(F.lit(0), F.least(F.col("at"), F.size("w") - F.col("n")))
     windows = (
         with_marks(docs, anchors)
@@ -92,23 +91,35 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
         .withColumn("window", shingle_hashes(F.col("w"), SHINGLE))
     )
     # Windows that many documents share get their fingerprint, candidates and similarity once.
-    windows = materialize(windows.select("row", "doc_id", "n", "start", "window", F.xxhash64("window").alias("key")), "leak-windows")
-    distinct = windows.groupBy("n", "key").agg(F.first("window").alias("window")).withColumn("fp", simhash(F.col("window")))
-    keyed = items.select("item_id", "n", "item", F.col("fp").alias("item_fp"), F.explode(blocks(F.col("fp"), radius)).alias("b"))
-    keyed = keyed.select("item_id", "n", "item", "item_fp", "b.k", "b.v")
+    windows = scratch.keep(windows.select("row", "doc_id", "n", "start", "window", F.xxhash64("window").alias("key")), "leak-windows")
+    distinct = windows.groupBy("n", "key").agg(F.first("window").alias("window"))
+    distinct = scratch.keep(distinct.withColumn("fp", simhash(F.col("window"))), "leak-distinct")
+    # The index holds numbers only; shingles are joined to the pairs that pass the radius.
+    keyed = items.select("n", "item_key", F.col("fp").alias("item_fp"), F.explode(blocks(F.col("fp"), radius)).alias("b")).select("n", "item_key", "item_fp", "b.k", "b.v")
     # The first block in which the two agree brings the pair, the others don't bring it again.
     agree = F.array_position(F.zip_with(blocks(F.col("fp"), radius), blocks(F.col("item_fp"), radius), lambda a, b: a["v"] == b["v"]), True)
-    found = (
-        distinct.withColumn("b", F.explode(blocks(F.col("fp"), radius)))
-        .select("n", "key", "window", "fp", "b.k", "b.v")
-        .join(hint(keyed), ["n", "k", "v"])
+    near = (
+        distinct.select("n", "key", "fp", F.explode(blocks(F.col("fp"), radius)).alias("b"))
+        .select("n", "key", "fp", "b.k", "b.v")
+        .join(broadcast_if_small(keyed, MOST_BROADCAST), ["n", "k", "v"])
         .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
         .where(agree == F.col("k") + 1)
+        .select("n", "key", "item_key")
+    )
+    found = (
+        near.join(items.select("n", "item_key", "item_id", "item"), ["n", "item_key"])
+        .join(distinct.select("n", "key", "window"), ["n", "key"])
         .withColumn("similarity", weighted_jaccard(F.col("window"), F.col("item")))
         .where(F.col("similarity") >= similarity)
         .select("n", "key", "item_id", F.round("similarity", 6).alias("similarity"))
     )
-    return windows.join(found, ["n", "key"]).select("row", "doc_id", "item_id", "similarity", "start")
+    return materialize(windows.select("row", "doc_id", "n", "start", "key").join(found, ["n", "key"]).select("row", "doc_id", "item_id", "similarity", "start"), "leak-matches")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """row (its row_key()), doc_id, item_id, similarity, start (word place) of every window that holds an item."""
+    with Scratch(docs.sparkSession) as scratch:
+        return _matches(docs, benchmark, similarity, radius, scratch)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
