@@ -22,7 +22,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonoweave.llm.common import materialize, row_key, shingle_hashes, with_marks
+from phonoweave.llm.common import Scratch, materialize, row_key, shingle_hashes, with_marks
 
 SHINGLE, CONTAINMENT, MISS, LEAST_WINDOW = 5, 0.8, 1e-6, 16
 
@@ -96,6 +96,11 @@ def signature(shingles: Column, n: Column) -> Column:
 
 def license_scan(docs: DataFrame, templates: Iterable[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """doc_id, license_id, containment, start (word place of the first such window): a row for each document and license found."""
+    with Scratch(docs.sparkSession) as scratch:
+        return materialize(_scan(docs, templates, containment, scratch), "licenses")
+
+
+def _scan(docs: DataFrame, templates: Iterable[tuple[str, str]], containment: float, scratch: Scratch) -> DataFrame:
     spark = docs.sparkSession
     wanted, per_class = template_table(spark, templates)
     count = F.element_at(F.create_map(*[F.lit(x) for pair in per_class.items() for x in pair]), F.col("size"))
@@ -104,7 +109,7 @@ def license_scan(docs: DataFrame, templates: Iterable[tuple[str, str]] = TEMPLAT
     places = wanted.select("size", F.explode("wanted").alias("h")).distinct()
     hits = texts.select("row", F.posexplode_outer("s").alias("p", "h")).join(F.broadcast(places), "h")
     half = F.col("size") / 2
-    anchors = materialize(hits.select("row", "size", (F.floor(F.col("p") / half) * half).cast("int").alias("at")).distinct(), "license-anchors")
+    anchors = scratch.keep(hits.select("row", "size", (F.floor(F.col("p") / half) * half).cast("int").alias("at")).distinct(), "license-anchors")
     start = F.greatest(F.lit(0), F.least(F.col("at"), F.size("w") - F.col("size")))
     windows = (
         with_marks(docs, anchors)
