@@ -203,6 +203,60 @@ def test_null_ids_are_searched(spark, make, awkward, tmp_path):
     assert set(found) == {(None, "MPL-2.0"), (8, "MPL-2.0")}
 
 
+def test_pipeline_against_brute_force(spark, make, awkward, tmp_path):
+    """All stages over rows with null and repeated ids, blank texts, copies, leaks and extra columns; the classifier's scores
+    are taken as they are, what the stages do with them and all others by brute force."""
+    import hashlib
+
+    import corpus_pipeline
+    import tiktoken
+    import public_tokenizers
+    from tiktoken.load import load_tiktoken_bpe
+
+    from phonoweave.llm import quality
+
+    r = random.Random(3)
+    good = [(k, prose(k, 40)) for k in range(60)]
+    bad = [(1000 + k, " ".join(r.choice(["buy", "now", "cheap", "!!!", "click"]) for _ in range(40))) for k in range(60)]
+    items = [(k, prose(900 + k, 20)) for k in range(3)]
+    copies = [(2000 + k, t) for k, t in enumerate(near_copies(9, prose(700, 70), 12, 4))] + [(5, good[5][1]), (None, good[6][1]), (None, good[6][1])]
+    leaks = [(3000 + k, prose(40 + k, 20) + " " + t) for k, t in items] + [(None, prose(30, 20) + " " + items[0][1]), (3000, prose(31, 30))]
+    rows = [*good, *bad, *copies, *leaks, *awkward]
+    make(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(50)] + [(1000 + k, 0, 0) for k in range(50)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    pairs = lambda df: sorted(((x.doc_id, x.text) for x in df.select("doc_id", "text").collect()), key=str)
+
+    docs, names = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    accepted = corpus_pipeline.quality_stage(spark, docs, str(tmp_path))
+    scored = quality.fit_and_score(docs, labels, threshold=0.3).collect()
+    chosen = pairs(accepted)
+    assert len(chosen) == sum(x.predicted for x in scored) and not any(t in dict(bad).values() for _, t in chosen) and set(good) <= set(chosen)
+
+    once = corpus_pipeline.near_duplicate_stage(spark, accepted, str(tmp_path))
+    sets = [set(shingle_list(t, 5)) for _, t in chosen]
+    component = roots(range(len(chosen)), [(a, b) for a, b in itertools.combinations(range(len(chosen)), 2) if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
+    groups = {}
+    for k, (d, t) in enumerate(chosen):
+        groups.setdefault((component[k],) if sets[k] else (component[k], k), []).append((d is None, d or 0, t))
+    first = sorted(min(g)[:2] for g in groups.values())
+    kept = pairs(once)
+    assert sorted((d is None, d or 0) for d, _ in kept) == first and set(kept) <= set(chosen)
+
+    clean = corpus_pipeline.decontaminate_stage(spark, once, str(tmp_path))
+    leaked = {t for k, (_, t) in enumerate(kept) if best_windows([(k, t)], items)}
+    assert pairs(clean) == [x for x in kept if x[1] not in leaked] and len(leaked) >= 3
+    for frame in (accepted, once, clean):
+        assert frame.columns == docs.columns
+
+    encoding = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_tiktoken_bpe(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    want = [(d, hashlib.sha256(",".join(map(str, encoding.encode_ordinary(t or ""))).encode()).hexdigest()) for d, t in pairs(clean)]
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted(((x.doc_id, x.ids_sha256) for x in got.collect()), key=str) == sorted(want, key=str)
+    docs.limit(0).write.parquet(str(tmp_path / "empty" / "documents.parquet"))
+
+
 def test_licenses(make, awkward):
     def shingles(text):
         import regex
