@@ -1,19 +1,22 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, a line for each block element. Lines of boilerplate elements (navigation, headers, footers,
-asides, forms, scripts, and blocks whose class, id or role says menu, advert, notice, comment and the like) keep their
-place but lose their text, and so do lines that are mostly links. Such a class or id is a whole name (or one made only of such
+Markup is stripped into lines, a line for each block element and an empty one for a block without text. Lines of boilerplate
+elements (navigation, page headers, footers, asides, forms, scripts, and blocks whose class, id or role says menu, advert,
+notice, comment and the like) keep their place but lose their text. Such a class or id is a whole name (or one made only of such
 words and of QUALIFIERS); it strips neither the only article or main element nor, unless it can't be said of a wrapper
-(ALWAYS), a block that holds most of the page's text. The lengths of the remaining text, summed over windows of
-lines, form a distribution along the page: a surge point is where the sum rises above zero, a dive point where a whole window
-holds nothing. A stripped stretch is one line, however many blocks it has. The region that holds most is the article's core;
-regions in the same container, or of a tenth of its text at least, belong to the article too, and so do lines of links beside
-the text but for lists of links (a window or more of them outside paragraphs). Where the page has an article or main element,
-the regions are taken inside it and all of them belong to it, whatever the distribution; an article with a cue is stripped
-like other blocks if the page has another one.
-
-Null and empty pages have empty texts; so do pages whose every line is boilerplate. Broken markup (unclosed tags, a page cut
-off anywhere) is read to its end. Repeated rows are rows of their own; other columns are not read. Nothing is cut or capped.
+(ALWAYS), a block that holds most of the page's text. A stripped stretch is one line, however many blocks it has.
+
+A line weighs as many characters as it has, none if most of them are links, and ARTICLE times as many inside an article or main
+element. The weights, summed over windows of WINDOW lines, form a distribution along the page. Text surges where the sum rises
+above zero and dives where a whole window holds nothing; a stretch counts only if its highest sum reaches 1 / SURGE of the
+page's highest. These stretches are the article's core, the innermost container that holds HOME of their weight is the article's
+element, and all lines in it are its text, but for lists of links (a window or more of them outside paragraphs, unless it is
+an article or main element). Text outside is kept where it surges by itself, as are headings right before, and paragraphs in
+the body if no container holds the core. So the distribution decides on
+every page, and tags only weigh.
+
+Null and empty pages have empty texts; so do pages whose every line is boilerplate. Broken markup (unclosed tags, quotes or
+sections, a page cut off anywhere) is read to its end. Repeated rows are rows of their own; other columns are not read. Nothing is cut or capped.
 """
 
 from __future__ import annotations
@@ -29,15 +32,18 @@ from phonoweave.llm.common import small_batches
 
 #: Lines in a window.
 WINDOW = 4
-#: A region of one in so many characters of the largest one is text of the article wherever it stands.
-SHARE = 10
+#: A stretch surges if its highest sum is at least one in so many of the page's highest.
+SURGE = 4
+#: Weight of a character inside an article or main element, and the share of the core's weight that its element holds.
+ARTICLE, HOME = 64, 0.9
 #: Fixed values of HTML: elements that start a new line, and elements without content.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math object select option button label canvas audio video".split())
 CUT = frozenset("nav header footer aside form menu head dialog".split()) | RAW
 CONTAINERS = frozenset("article center div main section td".split())
-PARAGRAPHS = frozenset("p blockquote pre h1 h2 h3 h4 h5 h6".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PARAGRAPHS = frozenset("p blockquote pre".split()) | HEADINGS
 CLOSED_BY_BLOCK = frozenset(["p"])
 CUES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner promo promoted sponsor sponsored sidebar nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead footer cookie cookies consent notice notices alert popup modal newsletter subscribe signup login search share sharing social related recommended comment comments respond disqus replies pagination pager widget toolbar skip".split()
@@ -49,8 +55,9 @@ ALWAYS = frozenset(
 )
 ARTICLES = frozenset(["article", "main"])
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "textarea", "title")}
 BLANKS = re.compile(r"\s+")
 
 
@@ -59,7 +66,7 @@ def _cue(attributes: str, block: bool) -> int:
     level = 0
     for name, value in ATTRIBUTE.findall(attributes):
         value, name = value.strip("\"'").lower(), name.lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
+        if name == "hidden" and value != "until-found" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
             return 1
         if block and name in ("class", "id"):
             for whole in value.split():
@@ -133,13 +140,6 @@ class _Page:
         at.append(len(lines))
         self.lines, self.spans = lines, [(at[a], at[b]) for a, b in self.spans]
 
-    def container(self, begin: int, end: int) -> int:
-        """The innermost container of lines begin to end - 1, 0 for the body."""
-        e = self.near[self.lines[begin][2]]
-        while e and self.spans[e][1] < end:
-            e = self.near[self.parents[e]]
-        return e
-
 
 def _lines(page: str) -> _Page:
     out = _Page()
@@ -149,12 +149,12 @@ def _lines(page: str) -> _Page:
     text: list[str] = []
     links = 0
 
-    def flush() -> None:
+    def flush(empty: bool = False) -> None:
         nonlocal links, marked
         line = BLANKS.sub(" ", html.unescape("".join(text))).strip()
-        if line or cut and not marked:
+        if line or cut and not marked or empty and not cut:
             out.lines.append((line, links, open_[-1][2] if open_ else 0))
-            marked = marked or not line
+            marked = marked or cut > 0 and not line
         text.clear()
         links = 0
 
@@ -182,12 +182,13 @@ def _lines(page: str) -> _Page:
         at = found.end()
         if found.group(2) is None:
             if found.group().startswith("<![CDATA[") and not cut:
-                text.append(found.group()[9:-3])
+                text.append(found.group()[9:].removesuffix("]]>"))
             continue
         name, closing, attributes = found.group(2).lower(), found.group(1), found.group(3) or ""
         if closing:
             if name in BLOCKS:
-                flush()
+                # A block that ends without a line of its own is an empty one.
+                flush(bool(open_) and open_[-1][0] == name and out.spans[open_[-1][2]][0] == len(out.lines))
             for k in range(len(open_) - 1, -1, -1):
                 if open_[k][0] == name:
                     close(k)
@@ -209,12 +210,12 @@ def _lines(page: str) -> _Page:
                         break
         if name in VOID or attributes.rstrip().endswith("/"):
             continue
-        if name in ("script", "style", "textarea", "title") and (end := re.compile(rf"</{name}\s*>", re.I).search(page, at)):
+        if name in RAW_END and (end := RAW_END[name].search(page, at)):
             at = end.end()
             continue
         cue = _cue(attributes, name in BLOCKS) if name not in CUT and name not in ("html", "body", "main") else 0
-        stripped = name in CUT or cue > 0 and name not in BLOCKS
         number = open_[-1][2] if open_ else 0
+        stripped = name in CUT and not (name == "header" and out.inside[number]) or cue > 0 and name not in BLOCKS
         if name in BLOCKS:
             number = out.open(name, number, cue)
         open_.append((name, stripped, number))
@@ -227,50 +228,80 @@ def _lines(page: str) -> _Page:
     return out
 
 
-def main_text(page: str | None) -> str:
-    """Blocks of the article in page order, joined by a blank line."""
-    parsed = _lines(page or "")
-    lines = parsed.lines
-    if any(text and parsed.inside[e] for text, _, e in lines):
-        return "\n\n".join(text for text, _, e in lines if text and parsed.inside[e])
-    linked = [2 * links > len(text) for text, links, _ in lines]
-    weights = [0 if linked[k] else len(lines[k][0]) for k in range(len(lines))]
-    regions: list[tuple[int, int, int]] = []  # characters, surge, dive
-    k = 0
+def stretches(weights: list[int]) -> list[tuple[int, int, int]]:
+    """(highest sum, surge, dive) of each stretch: from a line that weighs up to the last one before a window that holds nothing."""
+    sums = [sum(weights[k : k + WINDOW]) for k in range(len(weights))]
+    found, k = [], 0
     while k < len(weights):
         if not weights[k]:
             k += 1
             continue
         surge = last = k
-        while k < len(weights) and any(weights[k : k + WINDOW]):
+        while k < len(weights) and sums[k]:
             last = k if weights[k] else last
             k += 1
-        regions.append((sum(weights[surge : last + 1]), surge, last + 1))
-    if not regions:
+        found.append((max(sums[surge : last + 1]), surge, last + 1))
+    return found
+
+
+def _home(page: _Page, weights: list[int], core: list[tuple[int, int, int]]) -> int:
+    """The innermost container with HOME of the core's weight, or the article or main element around it; 0 for the body."""
+    held: dict[int, int] = {}
+    total = 0
+    for k in (k for _, surge, dive in core for k in range(surge, dive) if weights[k]):
+        e = page.near[page.lines[k][2]]
+        total += weights[k]
+        while e:
+            held[e] = held.get(e, 0) + weights[k]
+            e = page.near[page.parents[e]]
+    least = HOME * total
+    home = max((e for e, w in held.items() if w >= least), default=0)  # of nested elements the innermost has the highest number
+    if page.inside[home]:
+        while page.tags[home] not in ARTICLES:
+            home = page.parents[home]
+    return home
+
+
+def main_text(page: str | None) -> str:
+    """Blocks of the article in page order, joined by a blank line."""
+    parsed = _lines(page or "")
+    lines = parsed.lines
+    linked = [2 * links > len(text) for text, links, _ in lines]
+    weights = [0 if linked[k] else len(text) * (ARTICLE if parsed.inside[e] else 1) for k, (text, _, e) in enumerate(lines)]
+    found = stretches(weights)
+    if not found:
         return ""
-    core = max(regions, key=lambda r: (r[0], -r[1]))
-    large = [r for r in regions if SHARE * r[0] >= core[0]]
-    begin, end = large[0][1], large[-1][2]
-    kept = [False] * len(lines)
-    for first, last in {(begin, end), *(r[1:] for r in large)}:
-        e = parsed.container(first, last)
-        if e:
-            first, last = parsed.spans[e]
-        elif (first, last) == (begin, end) and len(large) > 1:
-            continue  # regions of different parts of the body: what lies between them is not all of the article
-        kept[first:last] = [True] * (last - first)
-    loose = not parsed.near[lines[core[1]][2]]  # the text stands in the body itself
-    run = 0  # where the run of lines of links begins
-    for k in range(len(lines)):
-        run = run if linked[k] and k and linked[k - 1] else k
-        element = lines[k][2]
+    level = max(high for high, _, _ in found) / SURGE
+    core = [s for s in found if s[0] >= level]
+    home = _home(parsed, weights, core)
+    first, last = parsed.spans[home] if home else (0, 0)
+    kept = [first <= k < last for k in range(len(lines))]
+    outside = [0 if kept[k] else w for k, w in enumerate(weights)]
+    for high, surge, dive in stretches(outside):
+        if high >= level:
+            for k in range(surge, dive):
+                kept[k] = kept[k] or outside[k] > 0 or linked[k]
+    if home:
+        k = first - 1
+        while k >= 0 and (parsed.tags[lines[k][2]] in HEADINGS or not lines[k][0]) and first - k <= WINDOW:
+            kept[k] = True
+            k -= 1
+    if not parsed.inside[home] and parsed.tags[home] not in ARTICLES:
+        _links(parsed, linked, kept, not home, core[0][1], core[-1][2])
+    return "\n\n".join(text for k, (text, _, _) in enumerate(lines) if kept[k] and text)
+
+
+def _links(page: _Page, linked: list[bool], kept: list[bool], loose: bool, begin: int, end: int) -> None:
+    """Drop lists of links; loose: the core stands in the body itself, and so do paragraphs beside it."""
+    lines, run = page.lines, 0
+    for k, (_, _, element) in enumerate(lines):
+        run = run if linked[k] and k and linked[k - 1] else k  # where the run of lines of links begins
+        paragraph, in_body = page.tags[element] in PARAGRAPHS or not element or page.tags[element] in ("body", "html"), not page.near[element]
         if linked[k]:
-            paragraph = parsed.tags[element] in PARAGRAPHS
             short = not any(all(linked[j : j + WINDOW]) for j in range(max(run, k - WINDOW + 1), k + 1) if j + WINDOW <= len(lines))
-            kept[k] = (paragraph or short) and (kept[k] or begin <= k < end) or paragraph and loose and not parsed.near[element]
-        elif loose and not parsed.near[element]:
+            kept[k] = (paragraph or short) and (kept[k] or begin <= k < end) or page.tags[element] in PARAGRAPHS and loose and in_body
+        elif loose and in_body and paragraph:
             kept[k] = True
-    return "\n\n".join(lines[k][0] for k in range(len(lines)) if kept[k] and lines[k][0])
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

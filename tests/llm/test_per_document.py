@@ -195,6 +195,48 @@ def test_html_articles_with_cues():
     assert html_text.main_text(f'<article class="comment"><p>{b}</p></article>') == b
 
 
+def test_html_without_hints_follows_the_distribution(monkeypatch):
+    a, b, c = prose(1, 60), prose(2, 55), prose(3, 12)
+    assert html_text.main_text(f"<div>Home News Shop</div><div><p>{a}</p><p>{b}</p></div><div>Copyright by us</div>") == f"{a}\n\n{b}"
+    talk = f"<div><p>{c}</p></div>"
+    assert html_text.main_text(f"<div><p>{a}</p><p>{b}</p></div>{'<div></div>' * 6}{talk}") == f"{a}\n\n{b}"
+    assert html_text.main_text(f"<div><p>{a}</p><p>{b}</p></div>{'<div></div>' * 6}<div><p>{b}</p></div>") == f"{a}\n\n{b}\n\n{b}"
+    assert html_text.main_text(f"<h1>Big title</h1><div><p>{a}</p><p>{b}</p></div>") == f"Big title\n\n{a}\n\n{b}"
+    # Without the distribution's threshold, the menu and the talk come back.
+    monkeypatch.setattr(html_text, "SURGE", 10**9)
+    assert c in html_text.main_text(f"<div><p>{a}</p><p>{b}</p></div>{'<div></div>' * 6}{talk}")
+    monkeypatch.undo()
+    # An article element weighs; a far longer text beside it still wins.
+    assert html_text.main_text(f"<article><p>{a}</p></article><div><p>{c}</p></div>") == a
+    long = " ".join(prose(k, 60) for k in range(200))
+    assert html_text.main_text(f"<div><p>{long}</p></div><article><p>Hi.</p></article>").startswith(long)
+
+
+def test_html_stretches_against_brute_force():
+    r = random.Random(8)
+    for _ in range(300):
+        w = [r.choice([0, 0, 0, 5, 40]) for _ in range(r.randrange(30))]
+        alive = [any(w[k : k + html_text.WINDOW]) for k in range(len(w))]
+        want, heavy = [], [k for k in range(len(w)) if w[k]]
+        for k in heavy:
+            if want and all(alive[want[-1][-1] : k]):
+                want[-1].append(k)
+            else:
+                want.append([k])
+        assert [(a, b) for _, a, b in html_text.stretches(w)] == [(g[0], g[-1] + 1) for g in want]
+        assert [h for h, _, _ in html_text.stretches(w)] == [max(sum(w[k : k + html_text.WINDOW]) for k in range(g[0], g[-1] + 1)) for g in want]
+
+
+def test_html_attributes_quotes_and_sections():
+    a = prose(1, 30)
+    for attributes in ('style="overflow:hidden"', 'title="the hidden gem"', 'data-id="comment-1"', "data-role=navigation"):
+        assert html_text.main_text(f"<div><p {attributes}>{a}</p><p>{a}</p></div>") == f"{a}\n\n{a}"
+    assert html_text.main_text(f"<div><p hidden>{a} no</p><p>{a}</p></div>") == a
+    assert html_text.main_text(f"<article><header><h1>Headline</h1></header><p>{a}</p></article>") == f"Headline\n\n{a}"
+    assert html_text.main_text('<div><p title="abc>Hello') == "Hello" and html_text.main_text('<p title="a>b">Hello</p>') == "Hello"
+    assert html_text.main_text("<p>one <![CDATA[two three") == "one two three" and html_text.main_text("<p>one <![CDATA[two]]> three") == "one two three"
+
+
 def test_html_query(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (3, "v", ""), (None, "w", "<p>é")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'t' AS text", "1 AS n_chars")
