@@ -41,24 +41,30 @@ class WordEncoder:
     """Encodes whole texts with a word-level tokenizers file that drops white space.
 
     Such a tokenizer never looks across white space, so each distinct chunk is encoded once by the library and its ids are
-    kept, in a cache of bounded size. Strings of special tokens in a text are ordinary text.
+    kept, in a cache of bounded size. As in the library, the string of an added token in a text is that token, and what lies
+    between two of them is a text of its own.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values()):
+            raise ValueError("added tokens with conditions are not supported")
+        self.added = {t.content: np.array([i], "<u4").tobytes() for i, t in added.items()}
+        self.is_added = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=lambda t: (-len(t), t))) + ")") if self.added else re.compile(r"(?!)")
         self.most, self.chunks, self.pieces = most, {}, {}
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """The ids of chunks."""
         if len(self.pieces) > 2 * self.most:
             self.pieces = dict(itertools.islice(self.pieces.items(), self.most))
-        split = {}
+        split, fresh = {}, {}
         for c in new:
             if c.isascii() or max(c) <= "\u024f":  # composed Latin: lower-casing is all that normalizing does
                 low = c.lower()
@@ -69,7 +75,7 @@ class WordEncoder:
                 else:
                     split[c] = self.pattern.findall(low)
             else:  # other scripts: no second opinion on the library's character classes
-                self.chunks[c] = self._whole(c)
+                fresh[c] = self._whole(c)
         missing = sorted({p for ps in split.values() for p in ps if p not in self.pieces})
         for at in range(0, len(missing), 2000):
             part = missing[at : at + 2000]
@@ -82,21 +88,30 @@ class WordEncoder:
             for k, p in enumerate(part):
                 self.pieces[p] = ids[ends[k] : ends[k + 1]].tobytes()
         for c, ps in split.items():
-            self.chunks[c] = b"".join([self.pieces[p] for p in ps])
+            fresh[c] = b"".join([self.pieces[p] for p in ps])
+        return fresh
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         for at in range(0, len(texts), GROUP):
-            group = [None if SEPARATORS.search(t) else t.split() for t in texts[at : at + GROUP]]  # None: white space to Python, not to the tokenizer
-            chunks = self.chunks
-            new = {p for parts in group if parts for p in parts if p not in chunks}
-            if len(chunks) + len(new) > self.most:  # the first seen are the most frequent
-                self.chunks = chunks = dict(itertools.islice(chunks.items(), self.most // 2))
-                new = {p for parts in group if parts for p in parts if p not in chunks}
+            group = texts[at : at + GROUP]
+            plain = [None if SEPARATORS.search(t) or self.is_added.search(t) else t.split() for t in group]  # None: white space to Python, not to the tokenizer
+            found = [None if parts is None else list(map(self.chunks.get, parts)) for parts in plain]
+            open_ = [k for k, ids in enumerate(found) if ids and None in ids]
+            new = {p for k in open_ for p, ids in zip(plain[k], found[k]) if ids is None}
+            if len(self.chunks) + len(new) > self.most:  # the first seen are the most frequent
+                self.chunks = dict(itertools.islice(self.chunks.items(), self.most // 2))
             if new:
-                self._learn(sorted(new))
-            for text, parts in zip(texts[at : at + GROUP], group):
-                yield self._whole(text) if parts is None else b"".join([chunks[p] for p in parts])
+                fresh = self._learn(sorted(new))
+                self.chunks.update(fresh)
+                for k in open_:
+                    found[k] = [fresh[p] if ids is None else ids for p, ids in zip(plain[k], found[k])]
+            for text, ids in zip(group, found):
+                yield self._pieces(text) if ids is None else b"".join(ids)
+
+    def _pieces(self, text: str) -> bytes:
+        """A text with added tokens, or with white space of two minds."""
+        return b"".join([self.added.get(part) or self._whole(part) for part in self.is_added.split(text)])
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

@@ -1,157 +1,132 @@
-"""Lossless tokens of a text column, as an array in each row: no shuffle, and usable on streams."""
+"""Lossless tokens, projections and encodings of a text column, by one Arrow pass: no shuffle, and usable on streams.
+
+Null texts have no tokens.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
+from phonoweave.functions import scan as S
 from phonoweave.functions import scripts
-from phonoweave.functions.columns import let, prefix_sums
+
+TOKEN = "id int, text string, start int, end int, language string, kind string, boundary string"
+PROJECTED = "text string, kind string, boundary string, source_ids array<int>"
+CHARACTER = "char string, token int, place int"
+_PROJECTED_KINDS = pa.array(["context", "target", "placeholder"])
 
 
 def token_texts(text: Column) -> Column:
-    """Array of token texts; joined they are the text."""
+    """Array of token texts by a regular expression, inside the JVM; joined they are the text."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(scripts.TOKEN), F.lit(0))
 
 
-def language(token: Column) -> Column:
-    """By the first character; ASCII needs no pattern."""
-    first = F.substring(token, 1, 1)
-    code = F.ascii(first)
-    plain = (
-        F.when(((code >= 97) & (code <= 122)) | ((code >= 65) & (code <= 90)), "en")
-        .when((code == 32) | ((code >= 9) & (code <= 13)) | ((code >= 28) & (code <= 31)), "space")
-        .when((code >= 48) & (code <= 57), "num")
-        .otherwise("sym")
-    )
-    other = (
-        F.when(first.rlike(f"^[{scripts.LATIN}]"), "en").when(first.rlike(f"^[{scripts.HAN}]"), "zh").when(first.rlike(f"^[{scripts.SPACE}]"), "space")
-        .when(first.rlike(r"^\p{Nd}"), "num").otherwise("sym")
-    )
-    return F.when(code < 128, plain).otherwise(other)
-
-
-#: ASCII characters of the Unicode categories P.
-_ASCII_MARKS = "!\"#%&'()*,-./:;?@[\\]_{}"
-
-
-def kind(token: Column, lang: Column) -> Column:
-    first = F.substring(token, 1, 1)
-    mark = F.when(F.ascii(first) < 128, F.lit(_ASCII_MARKS).contains(first)).otherwise(first.rlike(r"^\p{P}"))
-    return (
-        F.when(lang == "en", "latin").when(lang == "space", "space").when(lang == "zh", "han").when(lang == "num", "number")
-        .when(mark, "punctuation").otherwise("symbol")
-    )
-
-
-def boundary(lang: Column, previous_lang: Column, previous_text: Column, space_between: Column) -> Column:
-    """What stands before a token: previous is the last token that is no space, null at the start."""
-    last = F.right(previous_text, F.lit(1))
-    return (
-        F.when(previous_text.isNull() | (lang == "space"), "none")
-        .when(F.lit(scripts.SENTENCE_MARKS).contains(last), "sentence")
-        .when(F.lit(scripts.PAUSE_MARKS).contains(last), "pause")
-        .when(((lang == "zh") & (previous_lang == "en")) | ((lang == "en") & (previous_lang == "zh")), "code_switch")
-        .when(space_between, "soft")
-        .otherwise("none")
-    )
+def _arrays(text: Column, schema: str, columns) -> Column:
+    """An array of structs for each text; columns(scan) gives the structs' columns and where each text's begin."""
+    kind = to_arrow_type(StructType.fromDDL(schema))
+
+    def run(texts: pa.Array) -> pa.Array:
+        parts = []
+        for part in S.slices(texts):
+            values, begin = columns(S.scan(part))
+            rows = pa.StructArray.from_arrays(values, fields=list(kind))
+            parts.append(pa.ListArray.from_arrays(pa.array(begin, pa.int32()), rows))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(kind))
+
+    return F.arrow_udf(run, f"array<struct<{schema}>>")(text)
+
+
+def _int(values: np.ndarray) -> pa.Array:
+    return pa.array(values.astype(np.int32))
+
+
+def _token_columns(s: S.Scan) -> dict:
+    """Makers of a token's columns, by name, so that only those asked for are made."""
+    base = s.text_at[s.of]
+    return {
+        "id": lambda: _int(s.ids()), "text": s.texts, "start": lambda: _int(s.start - base), "end": lambda: _int(s.end - base),
+        "language": lambda: S.LANGUAGES.take(pa.array(s.kind)), "kind": lambda: S.KINDS.take(pa.array(s.kind)),
+        "boundary": lambda: S.BOUNDARIES.take(pa.array(s.boundaries())),
+    }
 
 
 def tokens(text: Column) -> Column:
     """Array of (id, text, start, end, language, kind, boundary); spans are half-open, in code points."""
+    return _arrays(text, TOKEN, lambda s: ([make() for make in _token_columns(s).values()], s.first))
 
-    def build(texts: Column) -> Column:
-        sized = F.transform(texts, lambda t: F.length(t))
-
-        def spans(starts: Column) -> Column:
-            def classed(langs: Column) -> Column:
-                def one(t: Column, i: Column) -> Column:
-                    lang = F.get(langs, i)
-                    after_space = F.coalesce(F.get(langs, i - 1) == "space", F.lit(False))
-                    before = F.when(after_space, i - 2).otherwise(i - 1)
-                    return F.struct(
-                        i.alias("id"), t.alias("text"), F.get(starts, i).alias("start"), (F.get(starts, i) + F.length(t)).alias("end"),
-                        lang.alias("language"), kind(t, lang).alias("kind"),
-                        boundary(lang, F.get(langs, before), F.get(texts, before), after_space).alias("boundary"),
-                    )
 
-                return F.transform(texts, one)
+def explode_tokens(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), columns: tuple[str, ...] = ("id", "text", "language", "kind", "boundary")) -> DataFrame:
+    """A row for each token, with the columns asked for (those of TOKEN) beside those kept; made as Arrow columns, not exploded."""
+    types = {c.name: c.dataType.simpleString() for c in StructType.fromDDL(TOKEN)}
+    kinds = dict(df.select(*keep).dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"`{c}` {types[c]}" for c in columns)])
 
-            return let(F.transform(texts, language), classed)
+    def run(batches):
+        for batch in batches:
+            at = 0
+            for part in S.slices(batch.column(len(keep))):
+                s = S.scan(part)
+                make = _token_columns(s)
+                of = pa.array(s.of + at)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(of) for k in range(len(keep))), *(make[c]() for c in columns)], names=[*keep, *columns])
+                at += len(part)
 
-        return let(prefix_sums(sized), spans)
+    return df.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
 
-    return let(token_texts(text), build)
 
+def _codes(target: str) -> tuple[int, int, str]:
+    own, foreign = (S.HAN, S.LATIN) if target == "zh" else (S.LATIN, S.HAN)
+    return own, foreign, scripts.PLACEHOLDERS["en" if target == "zh" else "zh"]
 
-def explode_tokens(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), spans: bool = False) -> DataFrame:
-    """A row for each token: id, text, language, kind, boundary, and start and end if asked for.
 
-    Each token is exploded beside the two before it, so that classes and boundaries are compiled expressions on rows; there
-    is no shuffle, since a text's tokens are never brought together again.
-    """
-    texts = df.select(*keep, token_texts(F.col(text)).alias("texts"))
-    none = F.lit(None).cast("string")
-    columns = [F.col("texts").alias("text"), F.concat(F.array(none), "texts").alias("p1"), F.concat(F.array(none, none), "texts").alias("p2")]
-    if spans:
-        columns.append(prefix_sums(F.transform("texts", lambda t: F.length(t))).alias("start"))
-    rows = texts.select(*keep, F.posexplode_outer(F.arrays_zip(*columns)).alias("id", "t")).where("t.text is not null").select(*keep, "id", "t.*")
-    rows = rows.withColumns({"language": language(F.col("text")), "l1": language(F.col("p1"))})
-    gap = F.coalesce(F.col("l1") == "space", F.lit(False))
-    before = F.when(gap, F.col("p2")).otherwise(F.col("p1"))
-    lang_before = F.when(gap, language(F.col("p2"))).otherwise(F.col("l1"))
-    rows = rows.withColumns({"kind": kind(F.col("text"), F.col("language")), "boundary": boundary(F.col("language"), lang_before, before, gap)})
-    if spans:
-        rows = rows.withColumn("end", F.col("start") + F.length("text"))
-    return rows.drop("p1", "p2", "l1")
-
-
-def projection(array: Column, target: str) -> Column:
+def projection(text: Column, target: str) -> Column:
     """Array of (text, kind, boundary, source_ids): tokens of the target language, one placeholder for each foreign island, the rest as context.
 
     An island takes a space only between two tokens of its language.
     """
-    foreign = "en" if target == "zh" else "zh"
-
-    def with_langs(langs: Column) -> Column:
-        inside = lambda i: F.coalesce((F.get(langs, i) == foreign) | ((F.get(langs, i) == "space") & (F.get(langs, i - 1) == foreign) & (F.get(langs, i + 1) == foreign)), F.lit(False))
-        kept = F.filter(F.transform(langs, lambda _, i: i), lambda i: ~inside(i) | ~inside(i - 1))
-
-        def built(starts: Column) -> Column:
-            def one(i: Column, k: Column) -> Column:
-                token = F.get(array, i)
-                island = F.get(langs, i) == foreign
-                end = F.coalesce(F.get(starts, k + 1), F.size(langs)) - 1
-                return F.struct(
-                    F.when(island, scripts.PLACEHOLDERS[foreign]).otherwise(token["text"]).alias("text"),
-                    F.when(island, "placeholder").when(F.get(langs, i) == target, "target").otherwise("context").alias("kind"),
-                    token["boundary"].alias("boundary"),
-                    F.when(island, F.sequence(i, end)).otherwise(F.array(i)).alias("source_ids"),
-                )
-
-            return F.transform(starts, one)
+    own, foreign, mark = _codes(target)
 
-        return let(kept, built)
+    def columns(s: S.Scan):
+        inside, opens = s.islands(foreign)
+        kept = np.flatnonzero(~inside | opens)
+        island = pa.array(inside[kept])
+        words = pc.if_else(island, pa.scalar(mark), s.texts().take(pa.array(kept)))
+        kind = _PROJECTED_KINDS.take(pa.array(np.where(inside[kept], 2, s.kind[kept] == own).astype(np.int8)))
+        sources = pa.ListArray.from_arrays(pa.array(np.append(kept, len(s.start)), pa.int32()), _int(s.ids()))
+        return [words, kind, S.BOUNDARIES.take(pa.array(s.boundaries()[kept])), sources], np.searchsorted(kept, s.first)
 
-    return let(F.transform(array, lambda t: t["language"]), with_langs)
+    return _arrays(text, PROJECTED, columns)
 
 
 def projection_text(projected: Column) -> Column:
-    return F.array_join(F.transform(projected, lambda t: t["text"]), "")
+    return F.array_join(projected["text"], "")
 
 
-def character_projection(projected: Column, placeholder: str, keep_context: bool) -> Column:
+def character_projection(text: Column, target: str, placeholder: str, keep_context: bool) -> Column:
     """Array of (char, token, place): characters of target tokens with their source, for models that read one character a step.
 
     Without context, neighbouring other tokens collapse to one placeholder; with it, context is kept by character and each
     island is one placeholder. Other characters have no source.
     """
-    none = F.lit(None).cast("int")
-    characters = lambda t, token: F.transform(F.filter(F.split(t["text"], ""), lambda c: c != ""), lambda c, i: F.struct(c.alias("char"), token.alias("token"), (i if token is not none else none).alias("place")))
-    mark = F.array(F.struct(F.lit(placeholder).alias("char"), none.alias("token"), none.alias("place")))
-    if keep_context:
-        pieces = F.transform(projected, lambda t: F.when(t["kind"] == "target", characters(t, F.get(t["source_ids"], 0))).when(t["kind"] == "placeholder", mark).otherwise(characters(t, none)))
-        return F.flatten(pieces)
-    targets = F.transform(projected, lambda t: t["kind"] == "target")
-    pieces = let(targets, lambda is_target: F.transform(projected, lambda t, i: F.when(t["kind"] == "target", characters(t, F.get(t["source_ids"], 0))).when((i > 0) & ~F.coalesce(F.get(is_target, i - 1), F.lit(True)), F.slice(mark, 1, 0)).otherwise(mark)))
-    return F.flatten(pieces)
+    own, foreign, _ = _codes(target)
+
+    def columns(s: S.Scan):
+        is_target = s.kind == own
+        inside, opens = s.islands(foreign)
+        marks = opens if keep_context else ~is_target & (s.before(is_target.astype(np.int64), 1, 1) == 1)
+        token = np.repeat(np.arange(len(s.start)), s.end - s.start)
+        place = np.arange(len(s.codes)) - s.start[token]
+        whole = is_target | (~inside if keep_context else False)
+        kept = np.flatnonzero(whole[token] | (marks[token] & (place == 0)))
+        at = token[kept]
+        chars = pc.if_else(pa.array(marks[at]), pa.scalar(placeholder), s.characters().take(pa.array(kept)))
+        none = ~is_target[at]
+        return [chars, pa.array(s.ids()[at].astype(np.int32), mask=none), pa.array(place[kept].astype(np.int32), mask=none)], np.searchsorted(kept, s.text_at)
+
+    return _arrays(text, CHARACTER, columns)

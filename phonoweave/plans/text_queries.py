@@ -28,17 +28,17 @@ MIXED_SQL = f"SELECT doc_id, translate(text, '{LETTERS}', '{HAN}') AS text FROM
 
 
 def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = T.explode_tokens(mixed(spark, sf_dir), spans=True)
+    t = T.explode_tokens(mixed(spark, sf_dir), columns=("id", "text", "start", "end", "language", "kind", "boundary"))
     return t.select("doc_id", "id", F.col("text").alias("tok"), F.col("start").alias("start_at"), F.col("end").alias("end_at"), "language", "kind", F.col("boundary").alias("boundary_before"))
 
 
 def token_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = T.explode_tokens(documents(spark, sf_dir))
-    return t.groupBy("language", "kind").agg(F.count("*").alias("tokens"), F.sum(F.length("text")).alias("chars"))
+    t = T.explode_tokens(documents(spark, sf_dir), keep=(), columns=("start", "end", "language", "kind"))
+    return t.groupBy("language", "kind").agg(F.count("*").alias("tokens"), F.sum(F.col("end") - F.col("start")).alias("chars"))
 
 
 def boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.explode_tokens(mixed(spark, sf_dir)).groupBy("doc_id", "boundary").agg(F.count("*").alias("n"))
+    return T.explode_tokens(mixed(spark, sf_dir), columns=("boundary",)).groupBy("doc_id", "boundary").agg(F.count("*").alias("n"))
 
 
 def lossless(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,8 +48,7 @@ def lossless(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _projection(target: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        d = mixed(spark, sf_dir).select("doc_id", T.tokens(F.col("text")).alias("tokens"))
-        p = d.select("doc_id", T.projection(F.col("tokens"), target).alias("p"))
+        p = mixed(spark, sf_dir).select("doc_id", T.projection(F.col("text"), target).alias("p"))
         count = lambda kind: F.size(F.filter("p", lambda t: t["kind"] == kind))
         return p.select(
             "doc_id", F.md5(T.projection_text(F.col("p"))).alias("projected"), count("target").alias("targets"), count("placeholder").alias("islands"),
@@ -72,10 +71,8 @@ def _projection_sql(target: str) -> str:
 
 def _characters(keep: bool):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        d = mixed(spark, sf_dir).select("doc_id", T.tokens(F.col("text")).alias("tokens"))
-        p = d.select("doc_id", T.projection(F.col("tokens"), "zh").alias("p"))
-        c = p.select("doc_id", T.character_projection(F.col("p"), "，", keep).alias("c"))
-        return c.select("doc_id", F.md5(F.array_join(F.transform("c", lambda x: x["char"]), "")).alias("chars"), F.size("c").alias("n"), F.size(F.filter("c", lambda x: x["place"].isNotNull())).alias("sourced"))
+        c = mixed(spark, sf_dir).select("doc_id", T.character_projection(F.col("text"), "zh", "，", keep).alias("c"))
+        return c.select("doc_id", F.md5(F.array_join("c.char", "")).alias("chars"), F.size("c").alias("n"), F.size(F.array_compact("c.place")).alias("sourced"))
 
     return run
 
@@ -117,18 +114,18 @@ def han_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def english_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words each decision of the English backend takes, and their phones."""
-    words = english.words(T.explode_tokens(documents(spark, sf_dir)))
+    words = english.words(T.explode_tokens(documents(spark, sf_dir), columns=("text", "language")))
     done = english.pronounce(words, lexicon.english(spark))
     return done.groupBy("doc_id", "route").agg(F.count("*").alias("n"), F.sum(F.size(F.split("native", " "))).alias("phones"))
 
 
 def oov_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = english.words(T.explode_tokens(documents(spark, sf_dir)))
+    words = english.words(T.explode_tokens(documents(spark, sf_dir), columns=("text", "language")))
     return english.pronounce(words, lexicon.english(spark)).where("route = 'segment'").groupBy(F.lower("word").alias("word")).agg(F.count("*").alias("n"))
 
 
 def english_ipa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = english.words(T.explode_tokens(documents(spark, sf_dir)))
+    words = english.words(T.explode_tokens(documents(spark, sf_dir), columns=("text", "language")))
     done = english.pronounce(words, lexicon.english(spark)).where("native is not null")
     return done.select("native").distinct().select("native", english.ipa(F.col("native")).alias("ipa"), english.base_phones(F.col("native")).alias("base"))
 

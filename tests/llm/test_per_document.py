@@ -54,7 +54,6 @@ def test_bpe_query(spark, make, awkward, reference):
 def test_token_files(spark, make, awkward):
     rows = token_files.token_files(make(awkward), WORD).collect()
     library = Tokenizer.from_file(WORD)
-    library.encode_special_tokens = True
     ordered = sorted(awkward, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
     want, start = [], 0
     for doc_id, text in ordered:
@@ -65,10 +64,15 @@ def test_token_files(spark, make, awkward):
     assert token_files.token_files(make([]), WORD).count() == 0
 
 
+def test_strings_of_added_tokens(make):
+    got = token_files.token_files(make([(1, "hello <|endoftext|> world")]), WORD).collect()
+    ids = [*Tokenizer.from_file(WORD).encode("hello <|endoftext|> world", add_special_tokens=False).ids, 2]
+    assert 49407 in ids and [(r.n_tokens, r.ids_crc32) for r in got] == [(4, zlib.crc32(np.array(ids, "<u4").tobytes()))]
+
+
 def test_word_encoder_equals_the_library():
     library = Tokenizer.from_file(WORD)
-    library.encode_special_tokens = True
-    texts = [*fuzz(2), "<|endoftext|> a", "İstanbul ΑΣ ΣΑΣ.", prose(5, 200)]
+    texts = [*fuzz(2), "<|endoftext|> a", "hello <|endoftext|> world<|startoftext|><|endoftext|>x <|ENDOFTEXT|>", "a\x1cb <|endoftext|>c\x1d", "İstanbul ΑΣ ΣΑΣ.", prose(5, 200)]
     for text, ids in zip(texts, token_files.WordEncoder(WORD, most=50).encode(texts)):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 

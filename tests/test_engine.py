@@ -4,9 +4,11 @@ import json
 import random
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from phonoweave.functions import scan
 from phonoweave.functions import phonetics as P
 from phonoweave.functions import scripts
 from phonoweave.functions.text import compatibility, fold, realign
@@ -54,7 +56,7 @@ def test_arrays_of_tokens_equal_rows(spark):
     arrays = frame.select("doc_id", F.explode(T.tokens(F.col("text"))).alias("t")).select("doc_id", "t.*")
     names = ["doc_id", "id", "text", "start", "end", "language", "kind", "boundary"]
     got = sorted(map(tuple, arrays.select(names).collect()))
-    assert got == sorted(map(tuple, T.explode_tokens(frame, spans=True).select(names).collect()))
+    assert got == sorted(map(tuple, T.explode_tokens(frame, columns=tuple(names[1:])).select(names).collect()))
     joined, want = {}, Converter(Options())
     for row in got:
         joined[row[0]] = joined.get(row[0], "") + row[2]
@@ -64,12 +66,24 @@ def test_arrays_of_tokens_equal_rows(spark):
         assert plain == [(x[2], x[5], x[6], x[7]) for x in got if x[0] == d and x[5] != "zh"]
 
 
+def test_scan_finds_the_tokens_of_the_pattern(spark, monkeypatch):
+    r = random.Random(7)
+    alphabet = "aZé 你〇，。1٣.:/-'’\u0301\u0903\n\x1c\u3000!𠀀$ªⅣß\u0000_€"
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randrange(40))) for _ in range(400)] + ["", None, "\u0301a\u0301\u0301-b\u0301’c1.2.3-4-x", "a", "1"]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
+    got = {x.k: (list(x.a), list(x.b)) for x in frame.select("k", T.tokens(F.col("text"))["text"].alias("a"), T.token_texts(F.col("text")).alias("b")).collect()}
+    assert all(a == b for a, b in got.values()) and len(got) == len(texts)
+    monkeypatch.setattr(scan, "SLICE", 30)
+    parts = [x.as_py() or "" for part in scan.slices(pa.array(texts), 30) for x in part]
+    assert parts == [t or "" for t in texts]
+
+
 def test_projection(spark):
-    frame = spark.createDataFrame([("我 love my 家，OK",)], "text string").select(T.tokens(F.col("text")).alias("t"))
-    zh = frame.select(T.projection(F.col("t"), "zh").alias("p"))
+    frame = spark.createDataFrame([("我 love my 家，OK",)], "text string")
+    zh = frame.select("text", T.projection(F.col("text"), "zh").alias("p"))
     assert zh.select(T.projection_text(F.col("p"))).first()[0] == "我 <EN> 家，<EN>"
-    assert [list(x.source_ids) for x in zh.first().p if x.kind == "placeholder"] == [[2, 3, 4], [8]]
-    chars = zh.select(T.character_projection(F.col("p"), "#", False).alias("a"), T.character_projection(F.col("p"), "#", True).alias("b")).first()
+    assert [list(x.source_ids) for x in zh.first()["p"] if x.kind == "placeholder"] == [[2, 3, 4], [8]]
+    chars = zh.select(T.character_projection(F.col("text"), "zh", "#", False).alias("a"), T.character_projection(F.col("text"), "zh", "#", True).alias("b")).first()
     assert "".join(x.char for x in chars.a) == "我#家#" and "".join(x.char for x in chars.b) == "我 # 家，#"
     assert [(x.token, x.place) for x in chars.a if x.token is not None] == [(0, 0), (6, 0)]
 
