@@ -109,12 +109,21 @@ class Scan:
         return inside, inside & (self.before(inside.astype(np.int64), 1, 0) == 0)
 
 
-def scan(texts: pa.Array) -> Scan:
-    """Null texts are empty ones."""
+def codes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all texts, where each text begins (and the end), and whether the last character that is no mark is Latin."""
     values = [t or "" for t in texts.to_pylist()]
-    text = "".join(values)
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    codes = np.frombuffer("".join(values).encode("utf-32-le", "surrogatepass"), "<u4")
     text_at = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int64)
+    raw = classes()[codes]
+    opens = np.zeros(len(codes) + 1, bool)
+    opens[text_at] = True
+    bearer = np.maximum.accumulate(np.where((raw != MARK) | opens[:-1], np.arange(len(codes)), 0)) if len(codes) else np.zeros(0, np.int64)
+    return codes, text_at, raw[bearer] == LATIN
+
+
+def scan(texts: pa.Array) -> Scan:
+    """Null texts are empty ones."""
+    codes, text_at, latin = codes_of(texts)
     byte = np.concatenate([[0], np.cumsum(1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000))])
     n = len(codes)
     raw = classes()[codes]
@@ -122,11 +131,8 @@ def scan(texts: pa.Array) -> Scan:
     opens[text_at] = True
     closes[text_at[text_at > 0] - 1] = True
     opens, closes = opens[:n], closes[:n]
-    kind = raw.copy()
-    place = np.arange(n)
     # A mark belongs to Latin if the last character that is no mark does.
-    bearer = np.maximum.accumulate(np.where((raw != MARK) | opens, place, 0)) if n else place
-    kind[(raw == MARK) & (raw[bearer] == LATIN)] = LATIN
+    kind = np.where((raw == MARK) & latin, np.uint8(LATIN), raw)
     before, after = np.full(n, NONE, np.uint8), np.full(n, NONE, np.uint8)
     before[1:], after[:-1] = kind[:-1], raw[1:]
     before[opens], after[closes] = NONE, NONE
@@ -137,4 +143,4 @@ def scan(texts: pa.Array) -> Scan:
     change[1:] = kind[1:] != kind[:-1]
     start = np.flatnonzero(change | opens | single)
     of = np.searchsorted(text_at, start, "right") - 1
-    return Scan(text.encode("utf-8", "surrogatepass"), codes, byte, text_at, start, np.append(start[1:], n)[: len(start)], kind[start], of, np.searchsorted(start, text_at))
+    return Scan("".join([t or "" for t in texts.to_pylist()]).encode("utf-8", "surrogatepass"), codes, byte, text_at, start, np.append(start[1:], n)[: len(start)], kind[start], of, np.searchsorted(start, text_at))

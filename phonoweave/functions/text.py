@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import difflib
+import re
 import unicodedata
 from functools import cache
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phonoweave.functions import scripts
+from phonoweave.functions import scan, scripts
 
 SPAN = "array<struct<start:int,end:int>>"
 NORMALIZED = f"text string, sources {SPAN}"
@@ -31,52 +34,116 @@ def fold(value: str) -> str:
 
 
 @cache
-def latin_tables(top: int = 0x24F) -> tuple[str, str, str]:
-    """Latin letters up to a code point that fold to one ASCII letter, those letters, and the ones that do not fold."""
+def latin_tables() -> tuple[str, str, str]:
+    """Latin letters that fold to one ASCII letter, those letters, and the ones that do not fold to ASCII letters at all."""
     source, target, other = [], [], []
-    for point in range(0xAA, top + 1):
-        char = chr(point)
-        if not scripts.is_latin(char):
-            continue
-        base = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
-        if len(base) == 1 and base.isascii() and base.isalpha():
-            source.append(char)
-            target.append(base)
-        elif not (base.isascii() and base.isalpha()):
+    for char, base in _folded().items():
+        if base.isascii() and base.isalpha():
+            if len(base) == 1:
+                source.append(char)
+                target.append(base)
+        else:
             other.append(char)
     return "".join(source), "".join(target), "".join(other)
 
 
+@cache
+def _folded() -> dict[str, str]:
+    """Each Latin letter beyond ASCII and what is left of it without marks."""
+    letters = (chr(p) for a, b in scripts.LATIN_RANGES for p in range(max(a, 0x80), b + 1))
+    return {c: "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)) for c in letters}
+
+
+@cache
+def ligatures() -> dict[str, str]:
+    """Latin letters that fold to several ASCII letters."""
+    return {c: b for c, b in _folded().items() if len(b) > 1 and b.isascii() and b.isalpha()}
+
+
 def fold_latin(word: Column) -> Column:
-    """The fold for precomposed Latin letters, inside the JVM."""
+    """The fold for precomposed Latin letters, inside the JVM; letters without an ASCII spelling stay."""
     source, target, _ = latin_tables()
-    return F.translate(word, source, target)
+    single = F.translate(word, source, target)
+    spelled = single
+    for char, base in ligatures().items():
+        spelled = F.replace(spelled, F.lit(char), F.lit(base))
+    return F.when(single.rlike(f"[{''.join(ligatures())}]"), spelled).otherwise(single)
 
 
 def unify_apostrophes(word: Column) -> Column:
     return F.translate(word, "’‘", "''")
 
 
-def first_unfoldable(text: Column) -> Column:
-    """The first Latin letter that has no ASCII spelling, '' if there is none."""
-    return F.regexp_extract(text, f"[{latin_tables()[2]}]", 0)
+def first_unfoldable(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keep, char, place: the first character of a text without an ASCII spelling; no row for texts without one.
+
+    That is a Latin letter that does not fold, or a combining mark after Latin.
+    """
+    kinds = dict(df.select(*keep).dtypes)
+
+    def run(batches):
+        table = scan.classes() == scan.LATIN
+        bad_table = np.zeros(len(table), bool)
+        bad_table[[ord(c) for c in latin_tables()[2]]] = True
+        for batch in batches:
+            at = 0
+            for part in scan.slices(batch.column(len(keep))):
+                codes, text_at, latin = scan.codes_of(part)
+                place = np.flatnonzero(bad_table[codes] | ((scan.classes()[codes] == scan.MARK) & latin))
+                of = np.searchsorted(text_at, place, "right") - 1
+                of, first = np.unique(of, return_index=True)
+                place = place[first]
+                chars = pa.array([chr(c) for c in codes[place]], pa.string())
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(of + at)) for k in range(len(keep))), chars, pa.array((place - text_at[of]).astype(np.int32))], names=[*keep, "char", "place"])
+                at += len(part)
+
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "char string, place int"])
+    return df.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
 def compatibility(value: str) -> tuple[str, list[tuple[int, int]]]:
     """NFKC on letters and numbers only, then NFC of the whole, with the source span of each character."""
+    own = list(zip(range(len(value)), range(1, len(value) + 1)))
+    if value.isascii() or unicodedata.is_normalized("NFKC", value):
+        return value, own
     chars, spans = [], []
-    for i, char in enumerate(value):
-        expanded = unicodedata.normalize("NFKC", char) if unicodedata.category(char)[0] in "LN" else char
+    for char, span in zip(value, own):
+        expanded = unicodedata.normalize("NFKC", char) if not char.isascii() and unicodedata.category(char)[0] in "LN" else char
         chars.append(expanded)
-        spans += [(i, i + 1)] * len(expanded)
+        spans += [span] * len(expanded)
     text = "".join(chars)
-    composed = unicodedata.normalize("NFC", text)
-    return (text, spans) if composed == text else (composed, realign(text, composed, spans))
+    if unicodedata.is_normalized("NFC", text):
+        return text, spans
+    # Nothing composes across an ASCII character, so each one starts a stretch that is normalized and aligned by itself.
+    out, sources = [], []
+    for found in _STRETCH.finditer(text):
+        old, near = found.group(), spans[found.start() : found.end()]
+        new = unicodedata.normalize("NFC", old)
+        out.append(new)
+        sources += near if new == old else realign(old, new, near)
+    return "".join(out), sources
+
+
+_STRETCH = re.compile(r"[\x00-\x7f][^\x00-\x7f]*|[^\x00-\x7f]+")
+#: Characters that realign() compares at a time: the search for blocks is quadratic.
+_MOST_ALIGNED = 400
 
 
 def realign(old: str, new: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Source spans of the characters of `new`, by the longest matching blocks: equal characters keep theirs, a change shares one."""
+    """Source spans of the characters of `new`, by the longest matching blocks: equal characters keep theirs, a change shares one.
+
+    Long strings are cut where both have the same normalized stretch, or else share one span for their middle.
+    """
     out: list[tuple[int, int]] = []
+    if max(len(old), len(new)) > _MOST_ALIGNED:
+        head = next((k for k, (a, b) in enumerate(zip(old, new)) if a != b), min(len(old), len(new)))
+        tail = next((k for k, (a, b) in enumerate(zip(reversed(old[head:]), reversed(new[head:]))) if a != b), min(len(old), len(new)) - head)
+        cut = next((k for k in range(_MOST_ALIGNED // 2, 20, -1) if unicodedata.normalize("NFC", old[head : head + k]) == new[head : head + len(unicodedata.normalize("NFC", old[head : head + k]))]), 0)
+        if cut and head + cut < len(old) - tail:
+            done = head + len(unicodedata.normalize("NFC", old[head : head + cut]))
+            return spans[:head] + realign(old[head : head + cut], new[head:done], spans[head : head + cut]) + realign(old[head + cut :], new[done:], spans[head + cut :])
+        near = spans[head : len(old) - tail] or spans[max(0, head - 1) : head + 1]
+        return spans[:head] + [(near[0][0], near[-1][1])] * (len(new) - head - tail) + spans[len(old) - tail :]
     for tag, a, b, c, d in difflib.SequenceMatcher(None, old, new, autojunk=False).get_opcodes():
         if tag == "equal":
             out += spans[a:b]

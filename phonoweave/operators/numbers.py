@@ -52,9 +52,41 @@ def digits(value: str, telephone: bool = False) -> str:
     return "".join("幺" if telephone and d == "1" else _DIGITS[int(d)] for d in value)
 
 
-_NUMBER = r"\d+(?:\.\d+)?"
+#: Longer whole numbers are spoken digit by digit.
+MOST_DIGITS = 15
+_MONTHS = "January February March April May June July August September October November December".split()
+_ORDINALS = {"one": "first", "two": "second", "three": "third", "five": "fifth", "eight": "eighth", "nine": "ninth", "twelve": "twelfth"}
+
+
+def ordinal(n: int) -> str:
+    *head, last = english(n).split(" ")
+    return " ".join([*head, _ORDINALS.get(last) or (last[:-1] + "ieth" if last.endswith("y") else last + "th")])
+
+
+def year(n: int) -> str:
+    """A year of four digits in English."""
+    high, low = divmod(n, 100)
+    if high % 10 == 0 and low < 10 or high == 0:
+        return english(n)
+    return english(high) + (" hundred" if low == 0 else f" oh {_ONES[low]}" if low < 10 else f" {english(low)}")
+
+
+def clock(parts: list[int], lang: str) -> str:
+    """A time of day: hours, minutes and maybe seconds."""
+    if lang == "zh":
+        out = chinese(parts[0]) + "点"
+        for value, name in zip(parts[1:], "分秒"):
+            out += ("零" if 0 < value < 10 else "") + chinese(value) + name
+        return out if any(parts[1:]) else chinese(parts[0]) + "点整"
+    if not any(parts[1:]):
+        return english(parts[0]) + " o'clock"
+    return " ".join([english(parts[0]), *(f"oh {_ONES[v]}" if v < 10 else english(v) for v in parts[1:])])
+
+
+_NUMBER = r"(?:\d{1,3}(?:,\d{3})+(?![,\d])|\d+)(?:\.\d+)?"
 _WRITTEN = re.compile(
     rf"(?P<date>(?P<y>\d{{4}})(?:年(?P<mo>\d{{1,2}})月(?:(?P<d>\d{{1,2}})日)?|[-/](?P<mo2>\d{{1,2}})[-/](?P<d2>\d{{1,2}}))|\d{{4}}年)"
+    rf"|(?<![\d:])(?P<time>(?:[01]?\d|2[0-4]):[0-5]\d(?::[0-5]\d)?)(?![\d:])"
     rf"|(?P<tel>(?<!\d)1\d{{10}}(?!\d))|(?P<neg>(?<![\w\d])-)?(?P<num>{_NUMBER})(?P<pct>%)?(?P<unit>(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![a-zA-Z]))?",
     re.A,
 )
@@ -70,15 +102,19 @@ def language_of(text: str) -> str:
 def _spell(found: re.Match, lang: str) -> str:
     zh = lang == "zh"
     if found["date"]:
-        if not zh:
-            return found[0]
         month, day = found["mo"] or found["mo2"], found["d"] or found["d2"]
+        if not zh and month and 1 <= int(month) <= 12 and 1 <= int(day or 1) <= 31:
+            return " ".join([_MONTHS[int(month) - 1], *([ordinal(int(day))] if day else []), year(int(found["y"]))])
         return digits(found[0][:4]) + "年" + (chinese(int(month)) + "月" if month else "") + (chinese(int(day)) + "日" if day else "")
     if found["tel"]:
         return digits(found["tel"], True) if zh else " ".join(_ONES[int(d)] for d in found["tel"])
-    whole, _, part = found["num"].partition(".")
-    say = chinese if zh else english
-    out = say(int(whole))
+    if found["time"]:
+        return clock([int(x) for x in found["time"].split(":")], lang)
+    whole, _, part = found["num"].replace(",", "").partition(".")
+    if len(whole) > MOST_DIGITS:
+        out = digits(whole) if zh else " ".join(_ONES[int(d)] for d in whole)
+    else:
+        out = chinese(int(whole)) if zh else english(int(whole))
     if part:
         out += "点" + digits(part) if zh else " point " + " ".join(_ONES[int(d)] for d in part)
     if found["pct"]:

@@ -1,6 +1,6 @@
-"""The whole conversion of one utterance: normalize, tokenize, segment, look up, apply sandhi, validate, transcribe, render.
+"""The whole conversion of one utterance: normalize, tokenize, segment, ask backends, check, apply sandhi, transcribe, render.
 
-Errors are data: a result carries `error` ("Type: message") instead of phones, so one bad row fails no job.
+Errors are data: a result carries `error` ("Type: message") instead of phones, whatever was raised, so one bad row fails no job.
 """
 
 from __future__ import annotations
@@ -9,42 +9,64 @@ import itertools
 import re
 import unicodedata
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from phonoweave.functions import lexicon, scripts
 from phonoweave.functions import phonetics as P
 from phonoweave.functions.text import compatibility, fold
-from phonoweave.operators import numbers, spelling
+from phonoweave.operators import backends, numbers, validation
+from phonoweave.operators.backends import EnglishBackend, Request, Token, Unit, WithFallback
+from phonoweave.operators.errors import AlignmentError, BackendError, ConfigurationError, NormalizationError, PhoneticsError, TranscriptionError
 from phonoweave.operators.sandhi import Sandhi
 
+__all__ = ["AlignmentError", "BackendError", "ConfigurationError", "Converter", "NormalizationError", "Options", "PhoneticsError", "Result", "TranscriptionError"]
 
-class PhoneticsError(Exception):
-    """Base of all errors that become data."""
 
+def _class(ranges) -> str:
+    return "".join(re.escape(chr(a)) if a == b else f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in ranges)
 
-class ConfigurationError(PhoneticsError):
-    pass
 
+_H, _L, _M = (_class(r) for r in (scripts.HAN_RANGES, scripts.LATIN_RANGES, scripts.MARK_RANGES))
+_TOKEN = re.compile(rf"(?P<space>\s+)|(?P<zh>[{_H}]+)|(?P<num>\d+(?:[.:/-]\d+)*)|(?P<en>[{_L}][{_L}{_M}]*(?:['’-][{_L}][{_L}{_M}]*)*)|(?P<sym>\S)")
+_BEYOND_ASCII = re.compile(rf"(?![\x00-\x7f])[{_L}]|(?<=[{_L}])[{_M}]")
+_KINDS = {"space": "space", "zh": "han", "num": "number", "en": "latin"}
+_BOUNDARY_MARKS = {c: "sentence" for c in scripts.SENTENCE_MARKS} | {c: "pause" for c in scripts.PAUSE_MARKS}
+_VERBS = frozenset("看想去来是说吃走")
 
-class NormalizationError(PhoneticsError):
-    pass
 
+def identity(text: str) -> tuple[str, list[tuple[int, int]]]:
+    """The normalizer that changes nothing."""
+    return text, [(k, k + 1) for k in range(len(text))]
 
-class BackendError(PhoneticsError):
-    pass
 
+def longest_match(known: Mapping[str, str | None] | Sequence[str]) -> Callable[[str], list[tuple[str, str]]]:
+    """A segmenter: longest known words first, then single characters. Tags are those of the words, else coarse ones."""
+    tags = dict(known) if isinstance(known, Mapping) else dict.fromkeys(known)
+    most = max(map(len, tags), default=1)
 
-class AlignmentError(BackendError):
-    pass
+    def segment(text: str) -> list[tuple[str, str]]:
+        out, at = [], 0
+        while at < len(text):
+            size = next((k for k in range(min(most, len(text) - at), 1, -1) if text[at : at + k] in tags), 1)
+            word = text[at : at + size]
+            coarse = "v" if word in _VERBS else "m" if word in lexicon.DIGITS else "n" if size > 1 else "x"
+            out.append((word, tags.get(word) or coarse))
+            at += size
+        return out
 
+    return segment
 
-def _class(ranges) -> str:
-    return "".join(re.escape(chr(a)) if a == b else f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in ranges)
 
+#: Universal tags of the coarse tags of words, for segmenters of the other tag set.
+UNIVERSAL = {"v": "VERB", "m": "NUM", "n": "NOUN", "a": "ADJ", "r": "PRON", "d": "ADV", "x": "X"}
 
-_H, _L, _M = (_class(r) for r in (scripts.HAN_RANGES, scripts.LATIN_RANGES, scripts.MARK_RANGES))
-_TOKEN = re.compile(rf"(?P<space>\s+)|(?P<zh>[{_H}]+)|(?P<num>\d+(?:[.:/-]\d+)*)|(?P<en>[{_L}][{_L}{_M}]*(?:['’-][{_L}][{_L}{_M}]*)*)|(?P<sym>\S)")
-_KINDS = {"space": "space", "zh": "han", "num": "number", "en": "latin"}
+
+def tagged_segmenter(known, tagset: str = "hkcancor") -> Callable[[str], list[tuple[str, str]]]:
+    """longest_match() with tags of a tag set: hkcancor (letters, as they are) or universal."""
+    if tagset not in ("hkcancor", "universal"):
+        raise ValueError(f"no tag set {tagset!r}")
+    segment = longest_match(known)
+    return segment if tagset == "hkcancor" else lambda text: [(w, UNIVERSAL.get(t[:1], "X")) for w, t in segment(text)]
 
 
 @dataclass
@@ -52,8 +74,10 @@ class Options:
     """mode: mandarin or cantonese; output: native or ipa; unknown: strict or preserve.
 
     Dictionaries are parameters: han (char to readings), phrases, english (word to readings), homographs, neutral words,
-    traditional (character to character). backend is first asked, fallback where it fails; each maps a run of characters to a
-    list of readings (None: unknown).
+    traditional (character to character). backend and fallback are names of backends.REGISTRY, functions of a word, or
+    backends; a fallback is always strict. model is what a sequence backend asks. english_backend, segmenter, normalizers
+    (functions from text to text and spans, before the check of Latin letters) and processors (functions from tokens and
+    units to units, run after sandhi) replace or extend what comes with the library.
     """
 
     mode: str = "mandarin"
@@ -64,13 +88,19 @@ class Options:
     spell_numbers: bool = True
     han: Mapping[str, Sequence[str]] | None = None
     phrases: Mapping[str, str] = field(default_factory=lambda: lexicon.PHRASE_SEED)
+    cantonese_phrases: Mapping[str, str] = field(default_factory=dict)
     english: Mapping[str, Sequence[str]] = field(default_factory=lambda: lexicon.ENGLISH_SEED)
     homographs: Mapping[str, tuple[str, str, str]] = field(default_factory=lambda: lexicon.HOMOGRAPHS)
     simplified_to_traditional: Mapping[str, str] = field(default_factory=lambda: {"国": "國", "学": "學", "长": "長", "们": "們", "银": "銀", "乐": "樂", "妈": "媽"})
     neutral: Sequence[str] = field(default_factory=lambda: lexicon.NEUTRAL_SEED)
     attested_jyutping: frozenset[str] | None = None
-    backend: Callable[[str], list] | None = None
-    fallback: Callable[[str], list] | None = None
+    backend: object = None
+    fallback: object = None
+    model: Callable | None = None
+    english_backend: object = None
+    segmenter: Callable[[str], list[tuple[str, str]]] | None = None
+    normalizers: Sequence[Callable[[str], tuple[str, list[tuple[int, int]]]]] = ()
+    processors: Sequence[Callable] = ()
 
     def __post_init__(self):
         for name, allowed in (("mode", ("mandarin", "cantonese")), ("output", ("native", "ipa")), ("unknown", ("strict", "preserve"))):
@@ -81,265 +111,256 @@ class Options:
             self.han = {c: v[k].split(",") for c, v in lexicon.HAN_SEED.items() if len(c) == 1}
         if self.traditional is None:
             self.traditional = self.mode == "cantonese"
+        if any(len(a) != 1 or len(b) != 1 for a, b in self.simplified_to_traditional.items()):
+            raise ConfigurationError("simplified_to_traditional maps characters to characters")
         if self.traditional and self.mode == "cantonese":
             self.han = dict(self.han) | {t: self.han[s] for s, t in self.simplified_to_traditional.items() if s in self.han}
+        if self.english_backend is not None and getattr(getattr(self.english_backend, "traits", None), "language", None) != "en":
+            raise ConfigurationError("english_backend is no backend for English")
+
+
+@dataclass
+class Result:
+    original: str | None
+    output: str
+    normalized: str | None = None
+    tokens: list[Token] = field(default_factory=list)
+    units: dict[int, list[Unit]] = field(default_factory=dict)
+    backends: dict[int, str] = field(default_factory=dict)
+    rendered: dict[int, list[list[str]]] = field(default_factory=dict)
+    warnings: list[str] = field(default_factory=list)
+    error: str | None = None
+
+    @property
+    def phones(self) -> list[str]:
+        return [p for t in self.tokens for r in self.rendered.get(t.id, ()) for p in r]
+
+    @property
+    def base_phones(self) -> list[str]:
+        return [p for t in self.tokens for u in self.units.get(t.id, ()) for p in u.phones]
+
+    def lines(self) -> list[str]:
+        """A line `token<TAB>phones` for each token with phones, as they are spoken."""
+        spoken = ((t.text, [p for r in self.rendered.get(t.id, ()) for p in r]) for t in self.tokens)
+        return [f"{text}\t{' '.join(phones)}" for text, phones in spoken if phones]
+
+    def reconstructed(self) -> str:
+        """The source, from the tokens' spans: each character once."""
+        spans = sorted({s for t in self.tokens for s in t.spans})
+        return "".join(self.original[a:b] for a, b in spans) if self.original is not None else ""
 
 
 class Converter:
     def __init__(self, options: Options):
         self.o = options
-        forced = {w.lower() for w in lexicon.FORCE_SPELLINGS}
-        self.words = {w: r for w, r in options.english.items() if w not in forced}
         self.sandhi = Sandhi(neutral=options.neutral)
-        self.known = set(options.phrases) | self.sandhi.known
-        self.longest = max(map(len, self.known), default=1)
-        self.seen: dict[tuple[str, str | None], tuple] = {}
+        self.segmenter = options.segmenter or longest_match([*options.phrases, *self.sandhi.known])
+        self.han = backends.build(options, options.backend, options.unknown)
+        if options.fallback is not None:
+            then = backends.build(options, options.fallback, "strict")
+            if callable(options.fallback) and not hasattr(options.fallback, "predict"):
+                then.name = "fallback"
+            # What the first leaves unknown is the fallback's to answer.
+            first = backends.build(options, options.backend, "strict")
+            self.han = WithFallback(first, then)
+        self.english = options.english_backend or EnglishBackend(options.english, options.homographs)
+        self.spoken: dict[tuple, list[str]] = {}
 
     # Normalization.
 
     def normalize(self, text: str) -> tuple[str, list[tuple[int, int]]]:
         value, spans = compatibility(text)
+        for extra in self.o.normalizers:
+            new, sources = extra(value)
+            if not isinstance(new, str) or len(new) != len(sources):
+                raise NormalizationError("a normalizer gives a text and a span for each of its characters")
+            value, spans = new, [(spans[a][0], spans[b - 1][1]) if b > a else (0, 0) for a, b in sources]
         if self.o.spell_numbers:
             value, spans = numbers.spell_out(value, spans)
         if self.o.traditional:
-            value = "".join(self.o.simplified_to_traditional.get(c, c) for c in value)
-        latin = False
-        for char, span in zip(value, spans):
-            if char.isascii():
-                latin = char.isalpha()
-            elif scripts.is_latin(char):
-                try:
-                    fold(char)
-                except ValueError:
-                    raise NormalizationError(f"no ASCII spelling for {char!r} from {text[span[0]:span[1]]!r} at {span[0]}-{span[1]}") from None
-                latin = True
-            elif scripts.is_mark(char) and latin:
-                raise NormalizationError(f"no ASCII spelling for {char!r} from {text[span[0]:span[1]]!r} at {span[0]}-{span[1]}")
-            else:
-                latin = False
+            value = value.translate({ord(a): b for a, b in self.o.simplified_to_traditional.items()})
+        if not value.isascii():
+            self.check_latin(text, value, spans)
         return value, spans
 
+    @staticmethod
+    def check_latin(text: str, value: str, spans: list[tuple[int, int]]) -> None:
+        """Latin letters fold to ASCII ones, and no mark is left after them."""
+        fine: set[str] = set()
+        for found in _BEYOND_ASCII.finditer(value):
+            char = found.group()
+            if char in fine:
+                continue
+            try:
+                if scripts.is_mark(char):
+                    raise ValueError
+                fold(char)
+                fine.add(char)
+            except ValueError:
+                a, b = spans[found.start()]
+                raise NormalizationError(f"no ASCII spelling for {char!r} from {text[a:b]!r} at {a}-{b}") from None
+
     # Tokens.
 
     def segment(self, text: str) -> list[tuple[str, str]]:
-        """Longest known words first, then single characters; tags are coarse."""
-        known, most = self.known, self.longest
-        out, at = [], 0
-        while at < len(text):
-            size = next((k for k in range(min(most, len(text) - at), 1, -1) if text[at : at + k] in known), 1)
-            word = text[at : at + size]
-            out.append((word, "v" if word in ("看", "想", "去", "来", "是") else "m" if word in lexicon.DIGITS else "n" if size > 1 else "x"))
-            at += size
-        return out
-
-    def tokens(self, text: str, spans: list[tuple[int, int]]) -> list[dict]:
-        out: list[dict] = []
-        before, gap = None, False
+        parts = self.segmenter(text)
+        if "".join(w for w, _ in parts) != text or not all(w for w, _ in parts):
+            raise AlignmentError(f"the segmenter did not keep {text!r}")
+        return parts
+
+    def tokens(self, text: str, spans: list[tuple[int, int]]) -> list[Token]:
+        out: list[Token] = []
+        before: Token | None = None
+        gap = False
         for found in _TOKEN.finditer(text):
-            lang, value = found.lastgroup, found.group()
-            kind = _KINDS.get(lang) or ("punctuation" if unicodedata.category(value[0])[0] == "P" else "symbol")
+            lang, value, at = found.lastgroup, found.group(), found.start()
+            kind = _KINDS.get(lang) or ("punctuation" if unicodedata.category(value)[0] == "P" else "symbol")
             if before is None or lang == "space":
                 boundary = "none"
-            elif before["text"][-1] in scripts.SENTENCE_MARKS:
-                boundary = "sentence"
-            elif before["text"][-1] in scripts.PAUSE_MARKS:
-                boundary = "pause"
-            elif {before["language"], lang} == {"zh", "en"}:
+            elif before.text[-1] in _BOUNDARY_MARKS:
+                boundary = _BOUNDARY_MARKS[before.text[-1]]
+            elif lang != before.language and lang in ("zh", "en") and before.language in ("zh", "en"):
                 boundary = "code_switch"
             else:
                 boundary = "soft" if gap else "none"
-            parts = self.segment(value) if lang == "zh" else [(value, None)]
-            at = found.start()
-            for k, (part, pos) in enumerate(parts):
-                token = {"id": len(out), "text": part, "start": at, "end": at + len(part), "language": lang, "kind": kind, "boundary": boundary if k == 0 else "none", "pos": pos, "units": [], "backend": None}
-                token["source_spans"] = [{"start": a, "end": b} for a, b in spans[at : at + len(part)]]
-                out.append(token)
+            for k, (part, pos) in enumerate(self.segment(value) if lang == "zh" else ((value, None),)):
+                out.append(Token(len(out), part, at, at + len(part), lang, kind, boundary if k == 0 else "none", pos, spans[at : at + len(part)]))
                 at += len(part)
-            if lang == "space":
-                gap = True
-            else:
-                before, gap = out[-1], False
+            gap = lang == "space"
+            before = before if gap else out[-1]
         return out
 
     # Readings.
 
-    def english(self, word: str, pos: str | None = None) -> list[str]:
-        low = word.lower()
-        if low in lexicon.CLITICS:
-            return lexicon.CLITICS[low].split()
-        if word.isalpha() and word.isupper() and len(word) <= 3:
-            return self._spell(low)
-        if low in self.words:
-            rule = self.o.homographs.get(low)
-            if rule and pos is not None:
-                return (rule[0] if pos.startswith(rule[2]) else rule[1]).split()
-            return self.words[low][0].split()
-        if word.isalpha() and (word.islower() and len(word) <= 3 or word.isupper() and len(word) <= 4):
-            return self._spell(low)
-        parts = spelling.segment(low, self.words)
-        if len(parts) == 1:
-            phones = spelling.letter_to_sound(re.sub("[^a-z]", "", low))
-            if not phones:
-                raise BackendError(f"no phones for {word!r}")
-            return phones
-        return [p for part in parts for p in (self.english(part, "") if part in self.o.homographs else self.english(part))]
-
-    def _spell(self, low: str) -> list[str]:
-        return [p for c in low for p in lexicon.LETTER_NAMES[c].split()]
-
-    def dictionary(self, text: str) -> list[str | None]:
-        """Readings of a Han token: listed phrases as wholes, else the first reading of each character."""
-        if self.o.mode == "mandarin" and text in self.o.phrases:
-            return self.o.phrases[text].split()
-        return [self.o.han[c][0] if c in self.o.han else None for c in text]
-
-    def readings(self, text: str) -> tuple[list[str | None], str]:
-        names = [("backend", self.o.backend or self.dictionary), *([("fallback", self.o.fallback)] if self.o.fallback else [])]
-        errors = []
-        for name, ask in names:
-            try:
-                got = list(ask(text))
-                if len(got) != len(text):
-                    raise AlignmentError(f"{len(got)} readings for {len(text)} characters of {text!r}")
-                if None in got and (self.o.unknown == "strict" or name != names[-1][0]):
-                    raise BackendError(f"no reading for {text[got.index(None)]!r}")
-                return got, name
-            except PhoneticsError as e:
-                errors.append(str(e))
-        raise BackendError("; ".join(errors))
-
-    def han_units(self, token: dict) -> None:
-        got, token["backend"] = self.readings(token["text"])
-        for char, span, reading in zip(token["text"], token["source_spans"], got):
-            if reading is None:
-                token["units"].append(self._unit(char, [span], [], "pinyin" if self.o.mode == "mandarin" else "jyutping", "", None, True))
+    def predict(self, tokens: list[Token]) -> tuple[dict[int, list[Unit]], dict[int, str]]:
+        units, names = {}, {}
+        for backend, language in ((self.han, "zh"), (self.english, "en")):
+            request = Request(tokens, language, self.o.mode if language == "zh" else None)
+            if not request.targets:
                 continue
-            for syllable in reading.split():
-                try:
-                    *phones, tone = P.split_pinyin(syllable, True) if self.o.mode == "mandarin" else P.split_jyutping(syllable, self.o.attested_jyutping)
-                except ValueError as e:
-                    raise BackendError(str(e)) from None
-                token["units"].append(self._unit(char, [span], [p for p in phones if p], "pinyin" if self.o.mode == "mandarin" else "jyutping", syllable, tone, False))
+            answer = backends.ask(backend, request)
+            validation.check_prediction(backend, request, answer)
+            units |= answer
+            names |= dict.fromkeys(answer, backend.name)
+        return units, names
+
+    def apply_sandhi(self, tokens: list[Token], units: dict[int, list[Unit]]) -> dict[int, list[Unit]]:
+        """Units with the tones of connected speech; unknown ones stay as they are."""
+        out = dict(units)
+        runs = [list(run) for han, run in itertools.groupby(tokens, lambda t: t.language == "zh" and t.id in units) if han]
+        new = self.sandhi.tones([[(t.text, [u.tone or "" for u in units[t.id]], t.pos or "") for t in run] for run in runs])
+        for run, tones in zip(runs, new):
+            rest = iter(tones)
+            for token in run:
+                out[token.id] = [u if u.is_unknown or tone == u.tone else with_tone(u, tone) for u, tone in zip(units[token.id], rest)]
+        return out
 
-    @staticmethod
-    def _unit(text, spans, phones, alphabet, native, tone, unknown, stress=()) -> dict:
-        return {"text": text, "source_spans": spans, "phones": phones, "alphabet": alphabet, "native": native, "tone": tone, "contour": "", "stress": [{"index": i, "stress": s} for i, s in stress], "is_unknown": unknown}
+    def process(self, tokens: list[Token], units: dict[int, list[Unit]]) -> dict[int, list[Unit]]:
+        steps = [self.apply_sandhi] if self.o.mode == "mandarin" and self.o.tone_sandhi and any(t.language == "zh" for t in tokens) else []
+        for step in [*steps, *self.o.processors]:
+            before = validation.identity(units)
+            units = step(tokens, units)
+            validation.check_identity(getattr(step, "__name__", "processor"), before, units)
+            for token in tokens:
+                for unit in units.get(token.id, ()) if token.language == "zh" else ():
+                    validation.check_unit(unit)
+        return units
 
-    def english_unit(self, token: dict, pos: str | None) -> None:
-        got = self.seen.get((token["text"], pos))
-        if got is None:
-            try:
-                word = fold(token["text"].translate({ord("’"): "'", ord("‘"): "'"}))
-            except ValueError as e:
-                raise BackendError(str(e)) from None
-            rendered = self.english(word, pos)
-            phones = [p.rstrip("012") for p in rendered]
-            got = (phones, " ".join(rendered), [(k, int(p[-1])) for k, p in enumerate(rendered) if p[-1].isdigit()])
-            if len(self.seen) < 200_000:
-                self.seen[token["text"], pos] = got
-        token["units"] = [self._unit(token["text"], token["source_spans"], list(got[0]), "arpabet", got[1], None, False, got[2])]
-        token["backend"] = "english"
-
-    # Post-processing and checks.
-
-    def apply_sandhi(self, tokens: list[dict]) -> None:
-        spoken = lambda t: t["language"] == "zh" and bool(t["units"])
-        runs = [list(run) for han, run in itertools.groupby(tokens, spoken) if han]
-        new = self.sandhi.tones([[(t["text"], [u["tone"] or "" for u in t["units"]], t["pos"] or "") for t in run] for run in runs])
-        for run, tones in zip(runs, new):
-            for unit, tone in zip((u for t in run for u in t["units"]), tones):
-                if not unit["is_unknown"] and tone != unit["tone"]:
-                    unit["tone"], unit["native"] = tone, unit["native"][:-1] + tone
-
-    def validate(self, tokens: list[dict]) -> None:
-        """Every word has units that cover it; native forms parse to the units' phones."""
-        for token in tokens:
-            if token["language"] not in ("zh", "en"):
-                continue
-            if not token["units"]:
-                raise AlignmentError(f"no pronunciation for {token['text']!r}")
-            if token["language"] == "zh" and "".join(u["text"] for k, u in enumerate(token["units"]) if not k or u["source_spans"] != token["units"][k - 1]["source_spans"]) != token["text"]:
-                raise AlignmentError(f"units do not cover {token['text']!r}")
-            for unit in token["units"]:
-                if unit["is_unknown"]:
-                    bad = bool(unit["phones"] or unit["native"] or unit["tone"])
-                elif unit["alphabet"] == "arpabet":
-                    marks = {s["index"]: s["stress"] for s in unit["stress"]}
-                    bad = unit["tone"] is not None or unit["native"] != " ".join(p + str(marks.get(i, "")) for i, p in enumerate(unit["phones"]))
-                else:
-                    split = P.split_pinyin(unit["native"], True) if unit["alphabet"] == "pinyin" else P.split_jyutping(unit["native"])
-                    bad = [p for p in split[:2] if p] != unit["phones"] or split[2] != unit["tone"]
-                if bad:
-                    raise AlignmentError(f"unit of {unit['text']!r} does not agree with itself")
-
-    def to_ipa(self, unit: dict) -> None:
-        if unit["is_unknown"]:
-            unit["alphabet"] = "ipa"
-            return
-        if unit["alphabet"] == "arpabet":
-            marks = {s["index"]: s["stress"] for s in unit["stress"]}
-            out, stress = [], []
-            for i, base in enumerate(unit["phones"]):
+    # Transcription and rendering.
+
+    @staticmethod
+    def to_ipa(unit: Unit) -> Unit:
+        if unit.alphabet == "ipa":
+            return unit
+        source = {"alphabet": "ipa", "source_alphabet": unit.alphabet, "source_phones": list(unit.phones)}
+        if unit.is_unknown:
+            return replace(unit, **source)
+        if unit.alphabet == "arpabet":
+            marks, out, stress = dict(unit.stress), [], []
+            for i, base in enumerate(unit.phones):
                 if i in marks:
-                    stress.append({"index": len(out), "stress": marks[i]})
+                    stress.append((len(out), marks[i]))
                 whole = P.EN_UNSTRESSED.get(base) if marks.get(i) == 0 else None
-                out += (whole or P.EN_VOWELS.get(base) or P.EN_CONSONANTS[base]).split()
-            unit["phones"], unit["stress"] = out, stress
-        elif unit["alphabet"] == "pinyin":
-            initial, final, tone = P.split_pinyin(unit["native"], True)
+                segments = whole or P.EN_VOWELS.get(base) or P.EN_CONSONANTS.get(base)
+                if segments is None:
+                    raise TranscriptionError(f"no IPA for {base!r}")
+                out += segments.split()
+            return replace(unit, phones=out, stress=stress, **source)
+        if unit.tone is None:
+            raise TranscriptionError(f"{unit.text!r} has no tone")
+        if unit.alphabet == "pinyin":
+            initial, final, tone = P.split_pinyin(unit.native, True)
             whole = P.CMN_WHOLE.get(initial + final)
             apical = P.CMN_APICAL.get(initial) if final == "i" else None
-            unit["phones"] = (whole or f"{P.CMN_INITIALS[initial]} {apical or P.CMN_FINALS[final]}").split()
-            unit["contour"] = P.CMN_TONES[tone]
-        else:
-            onset, final, tone = P.split_jyutping(unit["native"])
-            nucleus, coda = re.match(P.JYUTPING_FINAL_PATTERN, final).groups()
-            key = f"{nucleus}+{coda}"
-            unit["phones"] = f"{P.YUE_ONSETS[onset]} {P.YUE_NUCLEUS_OVERRIDES.get(key, P.YUE_NUCLEI[nucleus])} {P.YUE_CODA_OVERRIDES.get(key, P.YUE_CODAS[coda])}".split()
-            unit["contour"] = P.YUE_TONES[tone]
-        unit["alphabet"] = "ipa"
+            return replace(unit, phones=(whole or f"{P.CMN_INITIALS[initial]} {apical or P.CMN_FINALS[final]}").split(), contour=P.CMN_TONES[tone], **source)
+        onset, final, tone = P.split_jyutping(unit.native)
+        nucleus, coda = re.match(P.JYUTPING_FINAL_PATTERN, final).groups()
+        key = f"{nucleus}+{coda}"
+        phones = f"{P.YUE_ONSETS[onset]} {P.YUE_NUCLEUS_OVERRIDES.get(key, P.YUE_NUCLEI[nucleus])} {P.YUE_CODA_OVERRIDES.get(key, P.YUE_CODAS[coda])}".split()
+        return replace(unit, phones=phones, contour=P.YUE_TONES[tone], **source)
 
     @staticmethod
-    def render(unit: dict) -> list[str]:
-        marks = {s["index"]: s["stress"] for s in unit["stress"]}
-        if unit["alphabet"] == "ipa":
-            out = [{1: "ˈ", 2: "ˌ"}.get(marks.get(i), "") + p for i, p in enumerate(unit["phones"])]
-            tail = "".join(P.TONE_LETTERS[d] for d in unit["contour"])
+    def render(unit: Unit) -> list[str]:
+        marks = dict(unit.stress)
+        if unit.alphabet == "ipa":
+            out = [{1: "ˈ", 2: "ˌ"}.get(marks.get(i), "") + p for i, p in enumerate(unit.phones)]
+            tail = "".join(P.TONE_LETTERS[d] for d in unit.contour)
         else:
-            out = [p + str(marks.get(i, "")) for i, p in enumerate(unit["phones"])]
-            tail = unit["tone"] or ""
+            out = [p + str(marks.get(i, "")) for i, p in enumerate(unit.phones)]
+            tail = unit.tone or ""
         return [*out[:-1], out[-1] + tail] if out else out
 
-    def convert(self, text: str | None) -> dict:
+    def say(self, unit: Unit) -> list[str]:
+        """render(), once for each reading."""
+        key = unit.alphabet, unit.native, unit.tone, unit.source_alphabet
+        got = self.spoken.get(key) if unit.native else None
+        if got is None:
+            got = self.render(unit)
+            if unit.native and len(self.spoken) < 200_000:
+                self.spoken[key] = got
+        return got
+
+    def result(self, text: str | None) -> Result:
         """The result of one utterance; null is an error, as any value that is no text."""
-        result = {"original": text, "normalized": None, "output": self.o.output, "tokens": [], "phones": [], "base_phones": [], "warnings": [], "error": None}
+        out = Result(text, self.o.output)
         try:
             if not isinstance(text, str):
                 raise TypeError("text must be a string")
-            result["normalized"], spans = self.normalize(text)
-            tokens = self.tokens(result["normalized"], spans)
-            words = [t for t in tokens if t["language"] == "en"]
-            needs = any(t["text"].lower() in self.o.homographs for t in words)
-            tags = iter(spelling.tag([t["text"] for t in words])) if needs else None
-            for token in tokens:
-                if token["language"] == "zh":
-                    self.han_units(token)
-                elif token["language"] == "en":
-                    self.english_unit(token, next(tags) if tags else None)
-            self.validate(tokens)
-            if self.o.mode == "mandarin" and self.o.tone_sandhi:
-                self.apply_sandhi(tokens)
-                self.validate(tokens)
+            out.normalized, spans = self.normalize(text)
+            tokens = self.tokens(out.normalized, spans)
+            units, names = self.predict(tokens)
+            units = self.process(tokens, units)
+            warnings = []
             for token in tokens:
-                for unit in token["units"]:
-                    if unit["is_unknown"]:
-                        a = unit["source_spans"][0]
-                        result["warnings"].append(f"{token['backend']}: no reading for {unit['text']!r} from {text[a['start']:a['end']]!r} at {a['start']}-{a['end']}")
-                    if self.o.output == "ipa":
-                        self.to_ipa(unit)
-                    result["base_phones"] += unit["phones"]
-                    result["phones"] += self.render(unit)
-            result["tokens"] = tokens
-        except (PhoneticsError, TypeError) as e:
-            result |= {"tokens": [], "phones": [], "base_phones": [], "error": f"{type(e).__name__}: {e}"}
-        return result
+                for unit in units.get(token.id, ()):
+                    if unit.is_unknown:
+                        a, b = unit.spans[0][0], unit.spans[-1][1]
+                        warnings.append(f"{names[token.id]}: no reading for {unit.text!r} from {text[a:b]!r} at {a}-{b}")
+            if self.o.output == "ipa":
+                units = {i: [self.to_ipa(u) for u in us] for i, us in units.items()}
+            out.rendered = {i: [self.say(u) for u in us] for i, us in units.items()}
+            out.tokens, out.units, out.backends, out.warnings = tokens, units, names, warnings
+        except Exception as e:  # any row's failure is that row's data
+            out.error = f"{type(e).__name__}: {e}"
+        return out
+
+    def convert(self, text: str | None) -> dict:
+        """result() as the plain values of a row."""
+        r = self.result(text)
+        span = lambda s: [{"start": a, "end": b} for a, b in s]
+        unit = lambda u, said: {
+            "text": u.text, "source_spans": span(u.spans), "phones": u.phones, "rendered": said, "alphabet": u.alphabet, "native": u.native, "tone": u.tone, "contour": u.contour,
+            "stress": [{"index": i, "stress": s} for i, s in u.stress], "is_unknown": u.is_unknown, "source_alphabet": u.source_alphabet, "source_phones": list(u.source_phones),
+        }
+        tokens = [
+            {
+                "id": t.id, "text": t.text, "start": t.start, "end": t.end, "language": t.language, "kind": t.kind, "boundary": t.boundary, "pos": t.pos,
+                "units": [unit(u, s) for u, s in zip(r.units.get(t.id, ()), r.rendered.get(t.id, ()))], "backend": r.backends.get(t.id), "source_spans": span(t.spans),
+            }
+            for t in r.tokens
+        ]
+        return {"original": text, "normalized": r.normalized, "output": r.output, "tokens": tokens, "phones": r.phones, "base_phones": r.base_phones, "warnings": r.warnings, "error": r.error}
+
+
+def with_tone(unit: Unit, tone: str) -> Unit:
+    return replace(unit, tone=tone, native=unit.native[:-1] + tone)

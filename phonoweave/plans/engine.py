@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
+from phonoweave.functions.scan import slices
 from phonoweave.operators import similarity
 from phonoweave.operators.utterance import Converter, Options
 
 _SPANS = "array<struct<start:int,end:int>>"
-_UNIT = f"struct<text:string,source_spans:{_SPANS},phones:array<string>,alphabet:string,native:string,tone:string,contour:string,stress:array<struct<index:int,stress:int>>,is_unknown:boolean>"
+_UNIT = f"struct<text:string,source_spans:{_SPANS},phones:array<string>,rendered:array<string>,alphabet:string,native:string,tone:string,contour:string,stress:array<struct<index:int,stress:int>>,is_unknown:boolean,source_alphabet:string,source_phones:array<string>>"
 _TOKEN = f"struct<id:int,text:string,start:int,end:int,language:string,kind:string,boundary:string,pos:string,units:array<{_UNIT}>,backend:string,source_spans:{_SPANS}>"
 RESULT = f"original string, normalized string, output string, tokens array<{_TOKEN}>, phones array<string>, base_phones array<string>, warnings array<string>, error string"
+#: Bytes of text whose results are in Python's memory at a time.
+SLICE = 1 << 18
 
 _CONVERTERS: dict[str, Converter] = {}
 
@@ -34,15 +37,35 @@ class Engine:
     def __init__(self, **options):
         self.options = Options(**options)
 
-    def convert(self, text: Column) -> Column:
-        """The result of each utterance, as a struct; one Arrow UDF, stateless."""
-        options, kind = self.options, to_arrow_type(StructType.fromDDL(RESULT))
+    def _column(self, text: Column, make, ddl: str, kind: pa.DataType) -> Column:
+        """An Arrow UDF of make(converter, text), a few texts' values at a time."""
+        options = self.options
 
         def run(texts: pa.Array) -> pa.Array:
             converter = _converter(options)
-            return pa.array([converter.convert(t) for t in texts.to_pylist()], kind)
+            parts = [pa.array([make(converter, t) for t in part.to_pylist()], kind) for part in slices(texts, SLICE)]
+            return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+        return F.arrow_udf(run, ddl)(text)
+
+    def convert(self, text: Column) -> Column:
+        """The result of each utterance, as a struct; one Arrow UDF, stateless."""
+        return self._column(text, Converter.convert, RESULT, to_arrow_type(StructType.fromDDL(RESULT)))
+
+    def lines(self, text: Column) -> Column:
+        """Only the text sink's lines of each utterance, as an array; none where there is an error."""
+        return self._column(text, lambda c, t: c.result(t).lines(), "array<string>", pa.list_(pa.string()))
+
+    def summary(self, text: Column) -> Column:
+        """Only normalized, n_tokens, phones (blanks between), warnings and error of each utterance."""
+        ddl = "normalized string, n_tokens int, phones string, n_phones int, warnings array<string>, error string"
+
+        def make(converter: Converter, text: str | None) -> dict:
+            r = converter.result(text)
+            phones = r.phones
+            return {"normalized": r.normalized, "n_tokens": len(r.tokens), "phones": " ".join(phones), "n_phones": len(phones), "warnings": r.warnings, "error": r.error}
 
-        return F.arrow_udf(run, RESULT)(text)
+        return self._column(text, make, ddl, to_arrow_type(StructType.fromDDL(ddl)))
 
     def transform(self, df: DataFrame, text: str = "text", result: str = "result", strict: bool = False) -> DataFrame:
         """Adds the result; strict: a row with an error fails the job when its phones are read."""
@@ -64,17 +87,29 @@ class Engine:
 
         def run(texts: pa.Array) -> pa.Array:
             converter = _converter(options)
-            return pa.array([" ".join(converter.convert(t)["phones"]) for t in texts.to_pylist()], pa.string())
+            return pa.array([" ".join(converter.result(t).phones) for t in texts.to_pylist()], pa.string())
 
         spark.udf.register(name, F.arrow_udf(run, "string"))
 
 
 def to_lines(df: DataFrame, result: str = "result") -> DataFrame:
-    """Text sink: a line `token<TAB>phones` for each token with phones, in `value`."""
-    t = df.select(F.explode(f"{result}.tokens").alias("t")).where(F.size("t.units") > 0)
-    return t.select(F.concat_ws("\t", "t.text", F.array_join(F.flatten(F.transform("t.units", lambda u: u["phones"])), " ")).alias("value"))
+    """Text sink: a line `token<TAB>phones` for each token with phones, in `value`; phones as rendered."""
+    # Outer: an inner explode would compute the result once more, for a filter.
+    t = df.select(F.explode_outer(f"{result}.tokens").alias("t")).select("t.text", F.flatten("t.units.rendered").alias("phones"))
+    return t.where(F.size("phones") > 0).select(F.concat_ws("\t", "text", F.array_join("phones", " ")).alias("value"))
 
 
 def to_json(df: DataFrame, result: str = "result") -> DataFrame:
-    """JSON sink: a document for each row, in `value`."""
-    return df.select(F.to_json(result).alias("value"))
+    """JSON sink: a document for each row, in `value`; a row with an error has only its text and the error."""
+    r = F.col(result)
+
+    def unit(u: Column) -> Column:
+        digits = F.filter(F.split(u["contour"], ""), lambda d: d != "")
+        return F.struct(
+            u["text"].alias("text"), u["phones"].alias("base_phones"), u["tone"].alias("tone"), u["alphabet"].alias("alphabet"), u["source_alphabet"].alias("source_alphabet"), u["source_phones"].alias("source_phones"),
+            F.transform(digits, lambda d: d.cast("int")).alias("tone_contour"), F.transform(u["stress"], lambda s: F.array(s["index"], s["stress"])).alias("stress_marks"), u["is_unknown"].alias("is_unknown"),
+        )
+
+    tokens = F.transform(r["tokens"], lambda t: F.struct(t["text"].alias("text"), t["language"].alias("language"), t["pos"].alias("pos"), F.transform(t["units"], unit).alias("units")))
+    done = F.to_json(F.struct(r["original"].alias("text"), r["normalized"].alias("normalized_text"), r["output"].alias("output"), r["phones"].alias("phones"), r["base_phones"].alias("base_phones"), r["warnings"].alias("warnings"), tokens.alias("tokens")), {"ignoreNullFields": "false"})
+    return df.select(F.when(r["error"].isNull(), done).otherwise(F.to_json(F.struct(r["original"].alias("text"), r["error"].alias("error")))).alias("value"))

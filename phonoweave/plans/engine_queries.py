@@ -13,19 +13,19 @@ from phonoweave.plans.text_queries import documents, mixed
 
 def convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phones of every mixed text; texts without an ASCII spelling carry an error."""
-    done = engine.Engine(unknown="preserve").transform(mixed(spark, sf_dir))
-    return done.select("doc_id", F.size("result.tokens").alias("n_tokens"), F.size("result.phones").alias("n_phones"), F.md5(F.array_join("result.phones", " ")).alias("phones"), F.col("result.error").alias("error"))
+    done = mixed(spark, sf_dir).select("doc_id", engine.Engine(unknown="preserve").summary(F.col("text")).alias("r"))
+    return done.select("doc_id", "r.n_tokens", "r.n_phones", F.md5("r.phones").alias("phones"), "r.error")
 
 
 def result_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = engine.Engine(unknown="preserve", spell_numbers=False).transform(documents(spark, sf_dir))
-    return done.where(F.col("result.error").isNotNull()).select("doc_id", F.split_part("result.error", F.lit(":"), F.lit(1)).alias("kind"))
+    done = documents(spark, sf_dir).select("doc_id", engine.Engine(unknown="preserve", spell_numbers=False).summary(F.col("text"))["error"].alias("error"))
+    return done.select("doc_id", F.split_part("error", F.lit(":"), F.lit(1)).alias("kind")).where("kind is not null")
 
 
 def result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text sink, line by line, with how often each line occurs."""
-    done = engine.Engine(unknown="preserve", spell_numbers=False).transform(documents(spark, sf_dir))
-    return engine.to_lines(done).groupBy("value").agg(F.count("*").alias("n"))
+    lines = engine.Engine(unknown="preserve", spell_numbers=False).lines(F.col("text"))
+    return documents(spark, sf_dir).select(F.explode_outer(lines).alias("value")).where("value is not null").groupBy("value").agg(F.count("*").alias("n"))
 
 
 def compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:

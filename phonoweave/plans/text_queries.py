@@ -92,8 +92,7 @@ def _characters_sql(keep: bool) -> str:
 
 
 def latin_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = texts.first_unfoldable(F.col("text"))
-    return documents(spark, sf_dir).select("doc_id", found.alias("char"), (F.instr("text", found) - 1).alias("place")).where("char <> ''")
+    return texts.first_unfoldable(documents(spark, sf_dir))
 
 
 def fold_diacritics(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,8 @@ from phonoweave.functions import scripts
 from phonoweave.functions.text import compatibility, fold, realign
 from phonoweave.operators import evaluation, numbers, sandhi, similarity, spelling
 from phonoweave.operators import tokens as T
-from phonoweave.operators.utterance import BackendError, ConfigurationError, Converter, Options
+from phonoweave.operators.backends import EnglishBackend, Traits, Unit
+from phonoweave.operators.utterance import BackendError, ConfigurationError, Converter, Options, tagged_segmenter
 from phonoweave.plans.engine import Engine, to_json, to_lines
 from phonoweave.sources import corpora, lexicons
 from phonoweave.streaming import convert as streaming
@@ -62,7 +63,7 @@ def test_arrays_of_tokens_equal_rows(spark):
         joined[row[0]] = joined.get(row[0], "") + row[2]
     assert all(joined.get(d, "") == (t or "") for d, t in texts)
     for d, text in texts[:60]:
-        plain = [(t["text"], t["language"], t["kind"], t["boundary"]) for t in want.tokens(text, [(0, 0)] * len(text)) if t["language"] != "zh"]
+        plain = [(t.text, t.language, t.kind, t.boundary) for t in want.tokens(text, [(0, 0)] * len(text)) if t.language != "zh"]
         assert plain == [(x[2], x[5], x[6], x[7]) for x in got if x[0] == d and x[5] != "zh"]
 
 
@@ -102,6 +103,7 @@ def test_folding_and_alignment():
 @pytest.mark.parametrize("text,want", [
     ("123", "一百二十三"), ("-12", "negative twelve"), ("50%", "fifty percent"), ("有50%", "有百分之五十"), ("3µm", "三微米"), ("ABC 123", "ABC one hundred and twenty three"),
     ("2024年1月2日", "二零二四年一月二日"), ("他有3.14", "他有三点一四"), ("请打13812345678", "请打幺三八幺二三四五六七八"), ("我有10010元", "我有一万零一十元"), ("a 1005", "a one thousand and five"),
+    ("is 1,000", "is one thousand"), ("有12,345.5元", "有一万二千三百四十五点五元"), ("at 12:30", "at twelve thirty"), ("at 9:05", "at nine oh five"), ("在12:30", "在十二点三十分"), ("on 2024-01-22", "on January twenty second twenty twenty four"), ("in 2005/3/8", "in March eighth two thousand and five"), ("a 1,2", "a one,two"),
 ])
 def test_written_forms(text, want):
     got, spans = numbers.spell_out(text, [(i, i + 1) for i in range(len(text))])
@@ -146,15 +148,87 @@ def test_errors_are_data():
             Options(**bad)
 
 
+def test_any_failure_is_data():
+    long = Converter(Options(unknown="preserve")).convert("a " + "7" * 5000)
+    assert long["error"] is None and len(long["phones"]) > 10_000
+
+    def breaks(text):
+        return 1 / 0
+
+    assert Converter(Options(backend=breaks)).convert("好")["error"] == "BackendError: custom: ZeroDivisionError: division by zero"
+    bad = EnglishBackend(words={"word": ["QQ1 X"]})
+    assert "TranscriptionError" in Converter(Options(english_backend=bad, output="ipa")).convert("word")["error"]
+    text = "x" * 30_000 + "e\u0301" + "y" * 30_000
+    value, spans = compatibility(text)
+    assert len(value) == len(spans) == 60_001 and spans[30_000] == (30_000, 30_002) and spans[-1] == (60_001, 60_002)
+
+
+def test_backends():
+    options = {"unknown": "preserve"}
+    assert "needs a model" in Converter(Options(backend="polyphone")).convert("好")["error"]
+    seen = []
+
+    def model(sentences):
+        seen.extend(sentences)
+        return [[(c, {"好": "hao4"}.get(c)) for c in s] for s in sentences]
+
+    got = Converter(Options(backend="polyphone", model=model, **options)).convert("你好 OK, x 你")
+    assert seen == ["你好，你"] and got["phones"][:4] == ["n", "i3", "h", "ao4"]
+    for answer, said in (([], "one sentence"), ([[]], "0 places"), ([[("x", "a1")]], "came back"), ([[("好", " ")]], "no reading")):
+        assert said in Converter(Options(backend="polyphone", model=lambda s, a=answer: a)).convert("好")["error"]
+    seen.clear()
+    cantonese = {"好": "hou2 hou2", "，": None}
+    many = Converter(Options(mode="cantonese", model=lambda s: (seen.extend(s), [[(c, cantonese.get(c)) for c in s[0]]])[1])).convert("好 is，好")
+    assert seen == ["好 \ue000，好"] and many["error"] and "twice" in many["error"]
+    cantonese["好"] = "hou2 hou3"
+    assert Converter(Options(mode="cantonese", model=lambda s: [[(c, cantonese.get(c)) for c in s[0]]])).convert("好，")["phones"] == ["h", "ou2", "h", "ou3"]
+    with pytest.raises(ConfigurationError, match="has no backend"):
+        Converter(Options(backend="nothing"))
+    with pytest.raises(ConfigurationError, match="stand in"):
+        Converter(Options(backend="dictionary", fallback="dictionary"))
+    whole = Converter(Options(backend="polyphone", fallback="dictionary", **options)).convert("你")
+    assert whole["error"].startswith("ConfigurationError")
+    none = Converter(Options(backend="polyphone", model=lambda s: 1 / 0, fallback="dictionary")).convert("你好")
+    assert none["error"] is None and none["tokens"][0]["backend"] == "polyphone->dictionary"
+
+
+def test_validation():
+    class Wrong:
+        name, traits = "wrong", Traits("zh", "pinyin", "mandarin")
+
+        def __init__(self, make):
+            self.make = make
+
+        def predict(self, request):
+            return self.make(request.targets)
+
+    unit = lambda t, **change: Unit(**({"text": t.text, "spans": t.spans, "phones": ["h", "ao"], "alphabet": "pinyin", "native": "hao3", "tone": "3"} | change))
+    cases = [
+        (lambda ts: [], "mapping"), (lambda ts: {}, "missing tokens"), (lambda ts: {ts[0].id: [unit(ts[0])], 99: []}, "extra tokens"), (lambda ts: {ts[0].id: []}, "units are wanted"),
+        (lambda ts: {ts[0].id: [unit(ts[0], alphabet="jyutping")]}, "where 'pinyin'"), (lambda ts: {ts[0].id: [unit(ts[0], text="")]}, "a span"), (lambda ts: {ts[0].id: [unit(ts[0], spans=[(5, 6)])]}, "does not lie"),
+        (lambda ts: {ts[0].id: [unit(ts[0]), unit(ts[0])]}, "does not lie"), (lambda ts: {ts[0].id: [unit(ts[0], phones=[])]}, "no phones"), (lambda ts: {ts[0].id: [unit(ts[0], tone="4")]}, "this tone"),
+        (lambda ts: {ts[0].id: [unit(ts[0], contour="17")]}, "contour"), (lambda ts: {ts[0].id: [unit(ts[0], stress=[(3, 1)])]}, "stress"), (lambda ts: {ts[0].id: [unit(ts[0], is_unknown=True)]}, "phonetic data"),
+    ]
+    for make, said in cases:
+        assert said in Converter(Options(backend=Wrong(make))).convert("好")["error"], said
+    assert Converter(Options(backend=Wrong(lambda ts: {ts[0].id: [unit(ts[0])]}))).convert("好")["phones"] == ["h", "ao3"]
+    swap = lambda tokens, units: {i: [Unit("坏", u.spans, u.phones, u.alphabet, u.native, u.tone) for u in us] for i, us in units.items()}
+    assert "changed which units" in Converter(Options(processors=[swap])).convert("好")["error"]
+    with pytest.raises(ValueError):
+        tagged_segmenter(["你好"], "other")
+    assert tagged_segmenter({"你好": "l"}, "universal")("你好看") == [("你好", "X"), ("看", "VERB")]
+    assert "did not keep" in Converter(Options(segmenter=lambda t: [("x", "n")])).convert("好")["error"]
+
+
 def test_fallback():
     def fails(text):
         raise BackendError("down")
 
     assert phones("好", backend=fails, fallback=lambda t: ["hao4"] * len(t)) == "h ao4"
     both = Converter(Options(backend=fails, fallback=fails)).convert("好")
-    assert both["error"] == "BackendError: down; down"
+    assert both["error"] == "BackendError: custom: down; fallback: down"
     wrong = Converter(Options(backend=lambda t: ["hao4", "x"])).convert("好")
-    assert wrong["error"].startswith("BackendError: 2 readings")
+    assert wrong["error"].startswith("AlignmentError: custom: 2 readings")
     assert Converter(Options(backend=lambda t: ["hao9"])).convert("好")["error"].startswith("BackendError: Invalid")
 
 
@@ -163,8 +237,8 @@ def test_engine_frames(spark):
     done = Engine().transform(frame)
     by = {r.doc_id: r.result for r in done.collect()}
     assert by[1].phones[:2] == ["n", "i2"] and by[2].error and by[3].error
-    assert sorted(r.value for r in to_lines(done).collect()) == ["world\tW ER L D", "你\tn i", "好\th ao"]
-    assert {json.loads(r.value).get("normalized") for r in to_json(done).collect()} == {"你好 world", None}
+    assert sorted(r.value for r in to_lines(done).collect()) == ["world\tW ER1 L D", "你\tn i2", "好\th ao3"]
+    assert {json.loads(r.value).get("normalized_text") for r in to_json(done).collect()} == {"你好 world", None}
     with pytest.raises(Exception, match="NormalizationError"):
         Engine().transform(frame.where("doc_id = 2"), strict=True).select("result.phones").collect()
     Engine().register(spark, "phones_of")
