@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _BLOCK = 16
@@ -41,3 +41,14 @@ def prefix_sums(values: Column) -> Column:
         return let(sums, with_sums)
 
     return let(values, of)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores where a table has fewer partitions than there are cores, as one of a single row group has.
+
+    For costly work on each row; tables of many partitions, and streams, stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)

@@ -52,6 +52,27 @@ def summarize(scored: DataFrame, by: str | None = None) -> DataFrame:
     return sums.withColumns({"accuracy": ratio(F.col("correct"), F.col("cases")), "unit_error_rate": ratio(F.col("unit_edits"), F.col("units"))})
 
 
+def case_summary(scores: DataFrame, by: str | None = None) -> DataFrame:
+    """Counts and rates of plans.evaluate's scores, in all or by a column: cases, normalized texts, targets and units."""
+    grouped = scores.groupBy(by) if by else scores.groupBy()
+    number = lambda c: F.count(F.when(c, 1))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    sums = grouped.agg(
+        F.count("*").alias("cases"), number(F.col("error").isNull()).alias("completed"), F.count("normalized_exact").alias("normalized_cases"), number(F.col("normalized_exact")).alias("_normalized"), number(F.col("exact")).alias("_exact"),
+        total("targets").alias("targets"), total("targets_correct").alias("targets_correct"), total("edits").alias("unit_edits"), total("expected_units").alias("expected_units"),
+    )
+    rates = {
+        "normalized_exact_rate": ratio(F.col("_normalized"), F.col("normalized_cases")), "pronunciation_exact_rate": ratio(F.col("_exact"), F.col("cases")),
+        "target_exact_rate": ratio(F.col("targets_correct"), F.col("targets")), "unit_error_rate": ratio(F.col("unit_edits"), F.col("expected_units")),
+    }
+    return sums.withColumns(rates).drop("_normalized", "_exact")
+
+
+def failed() -> Column:
+    """Cases with an error, another normalized text than expected (null expects none) or another pronunciation."""
+    return F.col("error").isNotNull() | F.coalesce(~F.col("normalized_exact"), F.lit(False)) | ~F.col("exact")
+
+
 def failures(scored: DataFrame, most: int = 100) -> DataFrame:
     """The first failed cases, errors before wrong ones, in the order of id."""
     return scored.where(~F.col("exact")).orderBy(F.col("error").isNull(), "id").limit(most)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from phonoweave.functions import lexicon
 from phonoweave.functions import text as texts
 from phonoweave.plans import engine, sql
-from phonoweave.plans.text_queries import documents, mixed
+from phonoweave.plans.text_queries import dealt, mixed
 
 
 def convert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,18 +18,18 @@ def convert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def result_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = documents(spark, sf_dir).select("doc_id", engine.Engine(unknown="preserve", spell_numbers=False).summary(F.col("text"))["error"].alias("error"))
+    done = dealt(spark, sf_dir).select("doc_id", engine.Engine(unknown="preserve", spell_numbers=False).summary(F.col("text"))["error"].alias("error"))
     return done.select("doc_id", F.split_part("error", F.lit(":"), F.lit(1)).alias("kind")).where("kind is not null")
 
 
 def result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text sink, line by line, with how often each line occurs."""
     lines = engine.Engine(unknown="preserve", spell_numbers=False).lines(F.col("text"))
-    return documents(spark, sf_dir).select(F.explode_outer(lines).alias("value")).where("value is not null").groupBy("value").agg(F.count("*").alias("n"))
+    return dealt(spark, sf_dir).select(F.explode_outer(lines).alias("value")).where("value is not null").groupBy("value").agg(F.count("*").alias("n"))
 
 
 def compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = documents(spark, sf_dir).select("doc_id", texts.normalize_compatibility(F.col("text")).alias("r"))
+    n = dealt(spark, sf_dir).select("doc_id", texts.normalize_compatibility(F.col("text")).alias("r"))
     return n.select("doc_id", F.md5("r.text").alias("normalized"), (F.size("r.sources") == F.length("r.text")).alias("aligned"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from phonoweave.functions import lexicon, scripts
 from phonoweave.functions import text as texts
+from phonoweave.functions.columns import spread
 from phonoweave.operators import english
 from phonoweave.operators import tokens as T
 from phonoweave.plans import sql
@@ -19,8 +20,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
 
+def dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents for work that costs more than a shuffle of a small table."""
+    return spread(documents(spark, sf_dir))
+
+
 def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("doc_id", F.translate("text", LETTERS, HAN).alias("text"))
+    return dealt(spark, sf_dir).select("doc_id", F.translate("text", LETTERS, HAN).alias("text"))
 
 
 PLAIN_SQL = "SELECT doc_id, text FROM documents"
@@ -33,7 +39,7 @@ def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = T.explode_tokens(documents(spark, sf_dir), keep=(), columns=("start", "end", "language", "kind"))
+    t = T.explode_tokens(dealt(spark, sf_dir), keep=(), columns=("start", "end", "language", "kind"))
     return t.groupBy("language", "kind").agg(F.count("*").alias("tokens"), F.sum(F.col("end") - F.col("start")).alias("chars"))
 
 
@@ -92,7 +98,7 @@ def _characters_sql(keep: bool) -> str:
 
 
 def latin_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return texts.first_unfoldable(documents(spark, sf_dir))
+    return texts.first_unfoldable(dealt(spark, sf_dir))
 
 
 def fold_diacritics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,18 +119,18 @@ def han_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def english_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words each decision of the English backend takes, and their phones."""
-    words = english.words(T.explode_tokens(documents(spark, sf_dir), columns=("text", "language")))
+    words = english.words(T.explode_tokens(dealt(spark, sf_dir), columns=("text", "language")))
     done = english.pronounce(words, lexicon.english(spark))
     return done.groupBy("doc_id", "route").agg(F.count("*").alias("n"), F.sum(F.size(F.split("native", " "))).alias("phones"))
 
 
 def oov_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = english.words(T.explode_tokens(documents(spark, sf_dir), columns=("text", "language")))
+    words = english.words(T.explode_tokens(dealt(spark, sf_dir), columns=("text", "language")))
     return english.pronounce(words, lexicon.english(spark)).where("route = 'segment'").groupBy(F.lower("word").alias("word")).agg(F.count("*").alias("n"))
 
 
 def english_ipa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = english.words(T.explode_tokens(documents(spark, sf_dir), columns=("text", "language")))
+    words = english.words(T.explode_tokens(dealt(spark, sf_dir), columns=("text", "language")))
     done = english.pronounce(words, lexicon.english(spark)).where("native is not null")
     return done.select("native").distinct().select("native", english.ipa(F.col("native")).alias("ipa"), english.base_phones(F.col("native")).alias("base"))
 

@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import io
+import os
+import shutil
 import tarfile
+import urllib.request
+import uuid
 import zipfile
+from collections.abc import Mapping
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -75,7 +80,10 @@ def cantonese(files: DataFrame) -> DataFrame:
 
 
 def archive_members(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
-    """name, content (UTF-8 text), sha256 of the members of tar and zip archives, in the order of names; archives nest once."""
+    """name, content (UTF-8 text), sha256 of the members of tar and zip archives, in the order of names; archives nest once.
+
+    A member that is no UTF-8 fails the job when its content is read.
+    """
 
     def unpack(name: str, data: bytes):
         if zipfile.is_zipfile(io.BytesIO(data)):
@@ -94,6 +102,90 @@ def archive_members(spark: SparkSession, path: str, suffix: str = "") -> DataFra
                 for name, body in unpack(top, data):
                     for inner, content in list(unpack(name, body)) or [(name, body)]:
                         if inner.endswith(suffix):
-                            yield pa.RecordBatch.from_pydict({"name": [inner], "content": [content.decode("utf-8-sig", "replace")], "sha256": [hashlib.sha256(content).hexdigest()]})
+                            yield pa.RecordBatch.from_pydict({"name": [inner], "content": [content.decode("utf-8-sig")], "sha256": [hashlib.sha256(content).hexdigest()]})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(read, "name string, content string, sha256 string")
+
+
+def checked_members(members: DataFrame, wanted: Mapping[str, str | None]) -> DataFrame:
+    """The members whose names end so, in a column `member`; ValueError if one is missing or has another SHA-256 than given."""
+    ends = F.coalesce(*[F.when(F.col("name").endswith(w), F.lit(w)) for w in wanted])
+    found = members.withColumn("member", ends).where("member is not null")
+    digests = dict(found.select("member", "sha256").collect())
+    for name, digest in wanted.items():
+        if name not in digests:
+            raise ValueError(f"no corpus file {name}")
+        if digest is not None and digests[name] != digest:
+            raise ValueError(f"{name} has another SHA-256: {digests[name]}, not {digest}")
+    return found
+
+
+def load_polyphones(spark: SparkSession, archive: str, digests: Mapping[str, str] | None = None) -> DataFrame:
+    """Cases of the polyphone corpus in its archive: the lines of test.sent and test.lb."""
+    members = checked_members(archive_members(spark, archive), {n: (digests or {}).get(n) for n in ("test.sent", "test.lb")})
+
+    def numbered(name: str) -> DataFrame:
+        text = F.regexp_replace(F.regexp_replace("content", "\r\n", "\n"), "\n+$", "")
+        return members.where(F.col("member") == name).select(F.posexplode(F.split(text, "\n")).alias("i", "value"))
+
+    return polyphones(numbered("test.sent"), numbered("test.lb"))
+
+
+def load_cantonese(spark: SparkSession, archive: str) -> DataFrame:
+    """Cases of the Cantonese corpus: the files below utf8/ in the archive, one inside another."""
+    files = archive_members(spark, archive).where("name like 'utf8/%' or name like '%/utf8/%'")
+    name = F.regexp_extract("name", "([^/]+?)(?:\\.[^./]*)?$", 1)
+    return cantonese(files.select(name.alias("name"), "content")).withColumn("i", F.xxhash64("id"))
+
+
+#: Loaders by name.
+CORPORA = {"cpp": load_polyphones, "hkcancor": load_cantonese}
+
+
+def load_corpus(spark: SparkSession, name: str, archive: str, sha256: str | None = None) -> DataFrame:
+    """Cases of a corpus by name, from an archive that may be checked first; ValueError for another name."""
+    if name not in CORPORA:
+        raise ValueError(f"no corpus {name!r}")
+    if sha256 is not None:
+        verify_file(archive, sha256)
+    cases = CORPORA[name](spark, archive)
+    missing = {"expected_normalized": "string", "expected_native": "array<string>", "tone_sandhi": "boolean", "problem": "string"}
+    return cases.withColumns({c: F.lit(None).cast(t) for c, t in missing.items() if c not in cases.columns})
+
+
+def require_sound(cases: DataFrame) -> None:
+    """ValueError with the first thing wrong with any case."""
+    first = cases.where("problem is not null").orderBy("i").select("id", "problem").first()
+    if first is not None:
+        raise ValueError(f"{first.id}: {first.problem}")
+
+
+def verify_bytes(data: bytes, sha256: str, label: str) -> None:
+    if (digest := hashlib.sha256(data).hexdigest()) != sha256:
+        raise ValueError(f"{label} has another SHA-256: {digest}, not {sha256}")
+
+
+def verify_file(path: str, sha256: str) -> None:
+    """ValueError if a file, read piece by piece, has another SHA-256."""
+    with open(path, "rb") as f:
+        if (digest := hashlib.file_digest(f, "sha256").hexdigest()) != sha256:
+            raise ValueError(f"{path} has another SHA-256: {digest}, not {sha256}")
+
+
+def fetch(url: str, folder: str, name: str, sha256: str) -> str:
+    """The path of an archive in a folder: one that is there is checked, else it is copied from the address, checked, and then
+    given its name, so that a broken copy never has it."""
+    path = os.path.join(folder, name)
+    if not os.path.exists(path):
+        os.makedirs(folder, exist_ok=True)
+        part = os.path.join(folder, f".{name}.{uuid.uuid4().hex}")
+        try:
+            with urllib.request.urlopen(url, timeout=60) as source, open(part, "wb") as out:
+                shutil.copyfileobj(source, out, 1 << 20)
+            verify_file(part, sha256)
+            os.replace(part, path)
+        finally:
+            if os.path.exists(part):
+                os.remove(part)
+    verify_file(path, sha256)
+    return path

@@ -22,7 +22,7 @@ def pronouncing(spark: SparkSession, path: str) -> DataFrame:
 
 def without(lexicon: DataFrame, forced: DataFrame) -> DataFrame:
     """The lexicon without the words (column value) that are always spelled."""
-    return lexicon.join(F.broadcast(forced.select(F.lower("value").alias("word")).distinct()), "word", "left_anti")
+    return lexicon.join(forced.select(F.lower("value").alias("word")).distinct(), "word", "left_anti")
 
 
 def phrases(spark: SparkSession, path: str) -> DataFrame:
@@ -44,3 +44,25 @@ def with_overrides(base: DataFrame, override: DataFrame, key: str) -> DataFrame:
     both = override.withColumn("_rank", F.lit(0)).unionByName(base.withColumn("_rank", F.lit(1)))
     first = both.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("_rank")))
     return first.where("_n = 1").drop("_rank", "_n")
+
+
+def readings_of_characters(spark: SparkSession, path: str) -> DataFrame:
+    """char, readings from lines `char reading,reading ...`: those with a tone, each once, in their order."""
+    parts = lines(spark, path).select(F.split("value", r"[\s,]+").alias("p"))
+    return parts.select(F.get("p", 0).alias("char"), F.array_distinct(F.filter(F.slice("p", 2, F.size("p")), lambda r: r.rlike("[1-6]$"))).alias("readings"))
+
+
+def require_sound(rows: DataFrame) -> DataFrame:
+    """The rows of phrases() or homographs(); ValueError with the first problem, if there is one."""
+    bad = rows.where("problem is not null").first()
+    if bad is not None:
+        raise ValueError(f"{bad[0]}: {bad.problem}")
+    return rows.drop("problem")
+
+
+def as_mapping(rows: DataFrame, most: int = 2_000_000) -> dict:
+    """A lexicon of two columns as the mapping that Options take; ValueError beyond so many rows, which workers would hold."""
+    got = rows.limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"a lexicon of more than {most} rows is to be joined, not held")
+    return {r[0]: list(r[1]) if isinstance(r[1], list) else r[1] for r in got}

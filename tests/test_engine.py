@@ -16,6 +16,7 @@ from phonoweave.operators import evaluation, numbers, sandhi, similarity, spelli
 from phonoweave.operators import tokens as T
 from phonoweave.operators.backends import EnglishBackend, Traits, Unit
 from phonoweave.operators.utterance import BackendError, ConfigurationError, Converter, Options, tagged_segmenter
+from phonoweave.plans import evaluate
 from phonoweave.plans.engine import Engine, to_json, to_lines
 from phonoweave.sources import corpora, lexicons
 from phonoweave.streaming import convert as streaming
@@ -334,6 +335,79 @@ def test_sources(spark, tmp_path):
     assert sorted(map(tuple, lexicons.with_overrides(base, over, "k").collect())) == [("a", 1), ("b", 9)]
 
 
+def test_evaluation_driver(spark, tmp_path, capsys):
+    cases = [
+        {"id": "a", "mode": "mandarin", "text": "你好", "expected_native": ["ni2", "hao3"], "expected_normalized": "你好"}, {"id": "b", "mode": "mandarin", "text": "你好", "tone_sandhi": False, "targets": [{"span": [0, 1], "text": "你", "expected_native": ["ni3"]}, {"span": [1, 2], "text": "好", "expected_native": ["hao4"]}]},
+        {"id": "c", "mode": "cantonese", "text": "你好", "expected_native": ["nei5", "hou2"], "expected_normalized": "您好"}, {"id": "d", "mode": "mandarin", "text": "龘好", "expected_native": ["da2", "hao3"]},
+    ]
+    path = tmp_path / "cases.json"
+    path.write_text(json.dumps({"schema_version": 1, "name": "x", "cases": cases}))
+    scores = {r.id: r for r in evaluate.evaluate(corpora.load_dataset(spark, str(path))).collect()}
+    assert [(i, scores[i].exact, scores[i].normalized_exact, scores[i].targets, scores[i].targets_correct, scores[i].edits, scores[i].expected_units) for i in "abcd"] == [
+        ("a", True, True, 1, 1, 0, 2), ("b", False, None, 2, 1, 1, 2), ("c", True, False, 1, 1, 0, 2), ("d", False, None, 1, 0, 2, 2)]
+    assert scores["d"].error.startswith("BackendError") and list(scores["b"].target_results[1].actual_native) == ["hao3"]
+    assert evaluate.main([str(path), "--json", "--fail-under", "0.9"], spark) == 1
+    out = json.loads(capsys.readouterr().out)
+    s = out["summary"]
+    assert (s["cases"], s["completed"], s["normalized_cases"], s["normalized_exact_rate"], s["pronunciation_exact_rate"], s["target_exact_rate"], s["unit_error_rate"]) == (4, 3, 2, 0.5, 0.5, 0.6, 0.375)
+    assert out["failure_count"] == 3 and [f["id"] for f in out["failures"]] == ["d", "b", "c"] and list(out["by_mode"]) == ["mandarin", "cantonese"]
+    assert evaluate.main([str(path), "--max-cases", "2", "--seed", "1", "--fail-under", "0"], spark) == 0 and "of 2 cases" in capsys.readouterr().out
+    for bad in ([], [str(path), "--corpus", "cpp"], ["--corpus", "cpp"], [str(path), "--max-cases", "0"], [str(path), "--fail-under", "2"]):
+        with pytest.raises(SystemExit):
+            evaluate.main(bad, spark)
+
+
+def test_corpora_from_archives(spark, tmp_path):
+    import hashlib
+    import io
+    import tarfile
+
+    def tar(path, files):
+        with tarfile.open(path, "w:gz") as t:
+            for name, data in files.items():
+                info = tarfile.TarInfo(name)
+                info.size = len(data)
+                t.addfile(info, io.BytesIO(data))
+
+    sentences, labels = "我▁长▁大\n他▁行▁\n".encode(), b"zhang3\nxing2\n"
+    tar(tmp_path / "p.tar.gz", {"x/data/test.sent": sentences, "x/data/test.lb": labels})
+    cases = corpora.load_corpus(spark, "cpp", str(tmp_path / "p.tar.gz"))
+    corpora.require_sound(cases)
+    assert [(r.id, r.text, r.tone_sandhi, list(r.targets[0].span), list(r.targets[0].expected_native)) for r in cases.orderBy("i").collect()] == [("cpp-test-00001", "我长大", False, [1, 2], ["zhang3"]), ("cpp-test-00002", "他行", False, [1, 2], ["xing2"])]
+    with pytest.raises(ValueError, match="another SHA-256"):
+        corpora.load_polyphones(spark, str(tmp_path / "p.tar.gz"), {"test.lb": "0" * 64})
+    tar(tmp_path / "q.tar.gz", {"test.sent": sentences})
+    with pytest.raises(ValueError, match="no corpus file test.lb"):
+        corpora.load_polyphones(spark, str(tmp_path / "q.tar.gz"))
+    inner = io.BytesIO()
+    with zipfile.ZipFile(inner, "w") as z:
+        z.writestr("utf8/FC-1.txt", "\ufeff<sent_tag>\n你好/v/nei5hou2/\n</sent_tag>\n")
+        z.writestr("big5/FC-1.txt", "x")
+    tar(tmp_path / "h.tar.gz", {"data/all.zip": inner.getvalue()})
+    got = corpora.load_corpus(spark, "hkcancor", str(tmp_path / "h.tar.gz")).collect()
+    assert [(r.id, r.text) for r in got] == [("hkcancor-FC-1-0001", "你好")]
+    with pytest.raises(ValueError, match="no corpus"):
+        corpora.load_corpus(spark, "other", "x")
+    data = (tmp_path / "p.tar.gz").read_bytes()
+    digest = hashlib.sha256(data).hexdigest()
+    corpora.verify_bytes(data, digest, "p")
+    there = corpora.fetch(f"file://{tmp_path}/p.tar.gz", str(tmp_path / "cache"), "p.tgz", digest)
+    assert corpora.fetch("file:///nowhere", str(tmp_path / "cache"), "p.tgz", digest) == there
+    with pytest.raises(ValueError, match="another SHA-256"):
+        corpora.fetch(f"file://{tmp_path}/p.tar.gz", str(tmp_path / "cache"), "other.tgz", "0" * 64)
+    assert sorted(x.name for x in (tmp_path / "cache").iterdir()) == ["p.tgz"]
+    (tmp_path / "bad.zip").write_bytes(b"")
+    with zipfile.ZipFile(tmp_path / "bad.zip", "w") as z:
+        z.writestr("a.txt", b"\xff\xfe\xfd")
+    with pytest.raises(Exception, match="decode"):
+        corpora.archive_members(spark, str(tmp_path / "bad.zip")).collect()
+    (tmp_path / "h.txt").write_text("refuse|A|B|V\nbad|x\n")
+    with pytest.raises(ValueError, match="four fields"):
+        lexicons.require_sound(lexicons.homographs(spark, str(tmp_path / "h.txt")))
+    (tmp_path / "c.txt").write_text("好 hao3,hao4,hao3,hao\n")
+    assert lexicons.as_mapping(lexicons.readings_of_characters(spark, str(tmp_path / "c.txt"))) == {"好": ["hao3", "hao4"]}
+
+
 def test_streams(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text("你好 world\n")
