@@ -65,4 +65,25 @@ links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.l
 reach AS (SELECT vec_id AS id, vec_id AS c FROM embeddings UNION SELECT l.y, r.c FROM reach r JOIN links l ON r.id = l.x)
 SELECT vec_id, (SELECT count(*) FROM links WHERE x = vec_id) AS n_links, c AS component_id, vec_id = c AS kept FROM embeddings JOIN (SELECT id, min(c) AS c FROM reach GROUP BY id) ON id = vec_id"""
 
-ORACLE_SQL = {"op1_chat_format": CHAT, "op2_licenses": LICENSES, "op8_jaccard_join": JACCARD, "op10_vector_dedup": VECTORS}
+#: Items and documents of five words at least; every window that starts where a shingle of an item of that size says so.
+LEAKS = f"""
+WITH split AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents),
+places AS (SELECT doc_id, len(w) AS words, unnest(generate_series(0, len(w) - 5)) AS p, unnest(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' '))) AS sh FROM split WHERE len(w) >= 5),
+isplit AS (SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM benchmark),
+items AS (SELECT item_id, len(w) AS n, unnest(generate_series(0, len(w) - 5)) AS k, unnest(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' '))) AS sh FROM isplit WHERE len(w) >= 5),
+wanted AS (SELECT item_id, n, sh, count(*) AS c FROM items GROUP BY ALL),
+windows AS (SELECT DISTINCT doc_id, n, words, greatest(0, least(p - k, words - n)) AS start FROM places JOIN (SELECT DISTINCT n, k, sh FROM items) i USING (sh)),
+inside AS (SELECT w.doc_id, w.n, start, sh, count(*) AS c FROM windows w JOIN places p ON p.doc_id = w.doc_id AND p BETWEEN start AND start + n - 5 GROUP BY ALL),
+met AS (SELECT doc_id, i.n, start, item_id, sum(least(i.c, t.c)) AS both_have FROM inside i JOIN wanted t ON t.n = i.n AND t.sh = i.sh GROUP BY ALL),
+scored AS (SELECT doc_id, item_id, start, both_have / (least(n, words - start) - 4 + n - 4 - both_have) AS similarity FROM met JOIN windows USING (doc_id, n, start)),
+best AS (SELECT doc_id, item_id, max(similarity) AS m FROM scored WHERE similarity >= 0.8 GROUP BY ALL)
+SELECT b.doc_id, b.item_id, round(m, 6) AS similarity, CAST(min(start) AS INTEGER) AS start FROM best b JOIN scored s ON s.doc_id = b.doc_id AND s.item_id = b.item_id AND s.similarity = m GROUP BY ALL"""
+
+#: The article element of pages that have one, whose blocks are headings and paragraphs: what the distribution has to find there.
+ARTICLES = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article[^>]*>(.*)</article>', 1) AS x FROM pages),
+b AS (SELECT page_id, url, list_transform(string_split_regex(x, '(?i)</?(?:p|h[1-6]|div)\b[^>]*>'), lambda t: regexp_replace(regexp_replace(t, '(?i)<br[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g')) AS t FROM a),
+d AS (SELECT page_id, url, list_transform(t, lambda v: trim(regexp_replace(replace(replace(replace(replace(replace(replace(v, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))) AS t FROM b)
+SELECT page_id, url, coalesce(array_to_string(list_filter(t, lambda v: v <> ''), chr(10) || chr(10)), '') AS text, CAST(length(coalesce(array_to_string(list_filter(t, lambda v: v <> ''), chr(10) || chr(10)), '')) AS BIGINT) AS n_chars FROM d"""
+
+ORACLE_SQL = {"op1_chat_format": CHAT, "op4_decontaminate": LEAKS, "op9_html_text": ARTICLES, "op2_licenses": LICENSES, "op8_jaccard_join": JACCARD, "op10_vector_dedup": VECTORS}
