@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phonoweave.functions import phonetics as P
+from phonoweave.functions.columns import spread
 from phonoweave.operators import evaluation, sandhi
 from phonoweave.plans import sql
 
@@ -104,7 +105,7 @@ def _sandhi(rule):
 
 def sandhi_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rules over runs of two words."""
-    w = sandhi_words(spark, sf_dir).select("l_orderkey", "l_linenumber", F.array_join("chars", "").alias("word"), "tones")
+    w = spread(sandhi_words(spark, sf_dir)).select("l_orderkey", "l_linenumber", F.array_join("chars", "").alias("word"), "tones")
     runs = w.withColumn("run", F.array(F.struct(F.col("word").alias("text"), F.lit("v").alias("pos"), "tones"), F.struct(F.lit("好").alias("text"), F.lit("a").alias("pos"), F.array(F.lit("3")).alias("tones"))))
     return runs.select("l_orderkey", "l_linenumber", "word", F.array_join(sandhi.run_sandhi(F.col("run")), "").alias("after"))
 
@@ -196,6 +197,14 @@ def _yi(char: str, tone: str, previous: str, following: str, next_tone: str) ->
     return f"CASE WHEN {char} <> '一' THEN {tone} WHEN {previous} IN ({digits}, '第', '初') OR {following} IN ({digits}) OR {following} IN ('', '月', '班', '连', '楼') THEN '1' WHEN {next_tone} = '4' THEN '2' ELSE '4' END"
 
 
+#: No listed word is made of CHARS, so words are whole; 好 joins a word of two that ends in a third tone.
+_CASCADE = f"""WITH {_WORDS},
+  m AS (SELECT *, n = 2 AND y = '3' AS joined FROM w),
+  j AS (SELECT {_KEYS}, a || b || c AS word, a, b, CASE WHEN joined THEN '好' ELSE c END AS c, CASE WHEN joined THEN 3 ELSE n END AS n, x, y, CASE WHEN joined THEN '3' ELSE z END AS z, joined FROM m),
+  bu AS (SELECT * REPLACE (CASE WHEN a = '不' AND y = '4' AND NOT (n = 3 AND b = '不') THEN '2' ELSE x END AS x, CASE WHEN n = 3 AND b = '不' THEN '5' WHEN b = '不' AND z = '4' THEN '2' ELSE y END AS y) FROM j),
+  yi AS (SELECT *, n = 3 AND b = '一' AND a = c AS same, {_yi("a", "x", "''", "b", "y")} AS x1, {_yi("b", "y", "a", "c", "z")} AS y1, {_yi("c", "z", "b", "''", "''")} AS z1 FROM bu),
+  e AS (SELECT {_KEYS}, word, n, joined, CASE WHEN same THEN x ELSE x1 END AS x, CASE WHEN same THEN '5' WHEN n = 2 AND a = b THEN '5' ELSE y1 END AS y, CASE WHEN n = 2 THEN '' WHEN same THEN z ELSE z1 END AS z FROM yi)
+  SELECT {_KEYS}, word, CASE WHEN x = '3' AND y = '3' THEN '2' ELSE x END || CASE WHEN n = 3 AND y = '3' AND z = '3' THEN '2' ELSE y END || z || CASE WHEN joined THEN '' ELSE '3' END AS after FROM e"""
 _CASES = """cases AS (SELECT o_orderkey AS id, CASE WHEN o_custkey % 3 = 0 THEN 'cantonese' ELSE 'mandarin' END AS mode, CAST(o_orderkey AS VARCHAR) AS expected,
     CAST(CASE WHEN o_custkey % 5 = 0 THEN o_orderkey ELSE o_custkey END AS VARCHAR) AS actual, CASE WHEN o_orderkey % 50 = 0 THEN 'BackendError: no reading' END AS error FROM orders),
   scored AS (SELECT *, CASE WHEN error IS NOT NULL THEN length(expected) ELSE levenshtein(expected, actual) END AS edits FROM cases),
@@ -223,6 +232,7 @@ ORACLE_SQL = {
       SELECT {_KEYS}, base || coalesce(CAST(stress AS VARCHAR), '') AS phone, base, stress, CASE WHEN stress = 0 AND base = 'AH' THEN 'ə' WHEN stress = 0 AND base = 'ER' THEN 'ɚ' ELSE s END AS ipa FROM p JOIN (SELECT * FROM {sql.values([*P.EN_VOWELS.items(), *P.EN_CONSONANTS.items()], "k, s")}) ON k = base""",
     "with_tone": f"WITH {_SYLLABLES} SELECT {_KEYS}, body || CAST(6 - CAST(tone AS INTEGER) AS VARCHAR) AS native FROM syl",
     "render_native": f"WITH {_SYLLABLES} SELECT {_KEYS}, trim(i || ' ' || f || tone) AS phones FROM strict",
+    "sandhi_cascade": _CASCADE,
     "bu_sandhi": _word_sql("CASE WHEN n = 3 AND b = '不' THEN x || '5' || z ELSE (CASE WHEN a = '不' AND y = '4' THEN '2' ELSE x END) || (CASE WHEN b = '不' AND z = '4' THEN '2' ELSE y END) || z END"),
     "yi_sandhi": _word_sql(f"CASE WHEN n = 3 AND b = '一' AND a = c THEN x || '5' || z ELSE ({_yi('a', 'x', chr(39) * 2, 'b', 'y')}) || ({_yi('b', 'y', 'a', 'c', 'z')}) || (CASE WHEN n = 3 THEN {_yi('c', 'z', 'b', chr(39) * 2, chr(39) * 2)} ELSE '' END) END"),
     "third_tone_two": _word_sql("CASE WHEN n = 2 AND x = '3' AND y = '3' THEN '23' ELSE x || y || z END"),
