@@ -11,7 +11,7 @@ Calls and results are hash-joined by conversation and identifier. The first of e
 `duplicate`, calls without a result `unanswered`, results without a call `orphan`; no row is dropped. `order_turn` and
 `order_depth` are a topological order of a conversation: sorted by (order_turn, order_depth, turn, place), a result follows
 its call and a call follows the results it depends on, without a group ever meeting in one task. Dependencies are peeled a
-level at a time; calls on a cycle keep their turn and get `depends` = cycle, unknown identifiers `depends` = missing.
+level at a time; calls on a cycle, or waiting for one, keep their turn and get `depends` = cycle, unknown identifiers `depends` = missing.
 
 Arguments must be a JSON object with the tool's required parameters, none unknown, of the declared types; `problems` lists
 what is wrong, sorted. Canonical JSON has sorted keys and no blanks.
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phonoweave.llm.common import broadcast_if_small, materialize
+from phonoweave.llm.common import Scratch, broadcast_if_small, fresh_path, materialize
 
 CALLS = "tool_calls array<struct<id:string,name:string,arguments:string,depends_on:array<string>>>, tool_call_id string, content string"
 #: The tool that plain user turns call.
@@ -65,40 +65,40 @@ def _first(rows: DataFrame, name: str) -> DataFrame:
     return rows.groupBy("conv_id", "id").agg(F.min(F.struct("turn", "place")).alias(name))
 
 
-def levels(calls: DataFrame, results: DataFrame) -> DataFrame | None:
+def levels(calls: DataFrame, results: DataFrame, scratch: Scratch) -> DataFrame | None:
     """conv_id, id, ready (turn from which the call can run), depth, depends; None if no call depends on another.
 
-    calls: conv_id, id, turn, depends_on; results: conv_id, id, turn; one row for each identifier.
+    calls: conv_id, id, turn, depends_on; results: conv_id, id, turn; one row for each identifier. A level writes only the
+    calls that it reaches: those whose dependencies are all known by now, and what is known of those that still wait.
     """
-    edges = calls.where(F.size("depends_on") > 0).select("conv_id", "id", F.explode(F.array_distinct("depends_on")).alias("on")).where(F.col("on").isNotNull())
+    key = ["conv_id", "id"]
+    edges = calls.where(F.size("depends_on") > 0).select(*key, F.explode(F.array_distinct("depends_on")).alias("on")).where(F.col("on").isNotNull())
     if edges.isEmpty():
         return None
-    edges = materialize(edges.join(calls.select("conv_id", F.col("id").alias("on"), F.lit(True).alias("known")), ["conv_id", "on"], "left"), "chat-edges")
-    ends = results.select("conv_id", "id", F.col("turn").alias("end"))
-    missing = edges.where(F.col("known").isNull()).select("conv_id", "id").distinct().withColumn("missing", F.lit(True))
-    waits = edges.where(F.col("known")).groupBy("conv_id", "id").agg(F.count("*").alias("waits"))
-    state = calls.select("conv_id", "id", "turn").join(waits, ["conv_id", "id"], "left").join(missing, ["conv_id", "id"], "left").join(ends, ["conv_id", "id"], "left")
-    state = state.withColumn("waits", F.coalesce("waits", F.lit(0))).withColumn("ready", F.when(F.col("waits") == 0, F.col("turn"))).withColumn("depth", F.when(F.col("waits") == 0, F.lit(0)))
-    state = materialize(state, "chat-levels")
-    done = state.where("waits = 0").select("conv_id", F.col("id").alias("on"), F.greatest("ready", "end").alias("end_ready"), "depth")
-    known = edges.where(F.col("known"))
+    edges = scratch.keep(edges.join(calls.select("conv_id", F.col("id").alias("on"), F.lit(True).alias("known")), ["conv_id", "on"], "left"), "chat-edges")
+    known = edges.where("known").select(*key, "on")
+    waits = known.groupBy(key).agg(F.count("*").alias("waits")).join(calls.select(*key, "turn"), key)
+    waits = scratch.keep(waits, "chat-waits")
+    ends = results.select("conv_id", F.col("id").alias("on"), F.col("turn").alias("end"))
+    first = calls.join(waits, key, "left_anti").join(known.select("conv_id", F.col("on").alias("id")).distinct(), key, "left_semi")
+    done = scratch.keep(first.select(*key, F.col("turn").alias("ready"), F.lit(0).alias("depth")), "chat-level")
+    placed, pending = None, None
     while not done.isEmpty():
-        met = known.join(done, ["conv_id", "on"]).groupBy("conv_id", "id").agg(F.count("*").alias("met"), F.max("end_ready").alias("after"), F.max("depth").alias("below"))
-        state = materialize(
-            state.join(met, ["conv_id", "id"], "left").select(
-                "conv_id", "id", "turn", "missing", "end",
-                (F.col("waits") - F.coalesce("met", F.lit(0))).alias("waits"),
-                F.greatest(F.col("ready"), F.col("after"), F.when(F.col("met").isNotNull(), F.col("turn"))).alias("ready"),
-                F.greatest(F.col("depth"), F.col("below") + 2).alias("depth"),
-                F.col("met").isNotNull().alias("moved"),
-            ),
-            "chat-levels",
-        )
-        done = state.where("moved and waits = 0").select("conv_id", F.col("id").alias("on"), F.greatest("ready", "end").alias("end_ready"), "depth")
-        state = state.drop("moved")
-    cyclic = F.col("waits") > 0
-    depends = F.when(cyclic, "cycle").when(F.col("missing"), "missing").otherwise("met")
-    return state.select("conv_id", "id", F.when(cyclic, F.col("turn")).otherwise(F.col("ready")).alias("ready"), F.when(cyclic, 0).otherwise(F.col("depth")).alias("depth"), depends.alias("depends"))
+        after = done.withColumnRenamed("id", "on").join(ends, ["conv_id", "on"], "left").select("conv_id", "on", F.greatest("ready", "end").alias("after"), F.col("depth").alias("below"))
+        met = known.join(after, ["conv_id", "on"]).select(*key, F.lit(1).cast("long").alias("met"), "after", "below")
+        met = (met if pending is None else met.union(pending)).groupBy(key).agg(F.sum("met").alias("met"), F.max("after").alias("after"), F.max("below").alias("below"))
+        reached = scratch.keep(met.join(waits, key), "chat-reached")
+        pending = reached.where("met < waits").select(*key, "met", "after", "below")
+        done = scratch.keep(reached.where("met = waits").select(*key, F.greatest("turn", "after").alias("ready"), (F.col("below") + 2).cast("int").alias("depth")), "chat-level")
+        path = scratch.paths["chat-placed"] = scratch.paths.get("chat-placed") or fresh_path(scratch.spark, "chat-placed")
+        done.write.mode("append").parquet(path)
+        placed = scratch.spark.read.schema(done.schema).parquet(path)
+    missing = edges.where("known is null").select(*key, F.lit(True).alias("missing")).distinct()
+    state = calls.select(*key, "turn").join(waits.select(*key, F.lit(True).alias("waited")), key, "left").join(missing, key, "left")
+    state = state.join(placed, key, "left") if placed is not None else state.withColumns({"ready": F.lit(None).cast("long"), "depth": F.lit(None).cast("int")})
+    stuck = F.col("waited").isNotNull() & F.col("ready").isNull()
+    depends = F.when(stuck, "cycle").when(F.col("missing"), "missing").otherwise("met")
+    return state.select(*key, F.coalesce("ready", "turn").alias("ready"), F.coalesce("depth", F.lit(0)).alias("depth"), depends.alias("depends"))
 
 
 def problems(arguments: Column, parameters: Column) -> Column:
@@ -126,6 +126,11 @@ def link_calls(messages: DataFrame, tools: DataFrame) -> DataFrame:
 
     Types are string, integer, number, boolean, object, array.
     """
+    with Scratch(messages.sparkSession) as scratch:
+        return _linked(messages, tools, scratch)
+
+
+def _linked(messages: DataFrame, tools: DataFrame, scratch: Scratch) -> DataFrame:
     found = elements(messages)
     with_id = found.where("kind <> 'message' and id is not null")
     calls, results = with_id.where("kind = 'call'"), with_id.where("kind = 'result'")
@@ -133,7 +138,10 @@ def link_calls(messages: DataFrame, tools: DataFrame) -> DataFrame:
     ahead = levels(
         calls.groupBy("conv_id", "id").agg(F.min(F.struct("turn", "place", "depends_on")).alias("c")).select("conv_id", "id", "c.turn", "c.depends_on"),
         first_result.select("conv_id", "id", "first_result.turn"),
+        scratch,
     )
+    # The rows are read after this function returns, so what they need of the levels stays.
+    ahead = None if ahead is None else materialize(ahead, "chat-levels")
     linked = with_id.join(first_call.hint("shuffle_hash"), ["conv_id", "id"], "left").join(first_result.hint("shuffle_hash"), ["conv_id", "id"], "left")
     if ahead is None:
         linked = linked.withColumns({"ready": F.col("first_call.turn"), "depth": F.lit(0), "depends": F.lit("met")})

@@ -1,6 +1,7 @@
 """Operators that take one document at a time, against the libraries, brute force and round trips."""
 
 import hashlib
+import os
 import random
 import zlib
 
@@ -249,5 +250,14 @@ def test_html_query(spark):
     assert all(r.n_chars == len(r.text) for r in got)
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_quality_of_held_out_rows(spark):
+    documents, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.fit_and_score(documents, labels).join(labels.select("doc_id", "quality"), "doc_id").where("held_out").collect()
+    right = sum(r.predicted == r.quality for r in rows) / len(rows)
+    pairs = [(a.score, b.score) for a in rows if a.quality == 1 for b in rows if b.quality == 0]
+    assert len(rows) > 50 and right >= 0.97 and sum(a > b for a, b in pairs) / len(pairs) >= 0.98
+
+
 def test_fresh_paths_differ(spark):
     assert fresh_path(spark, "a") != fresh_path(spark, "a")
