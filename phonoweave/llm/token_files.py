@@ -11,7 +11,6 @@ null doc_id sorts first; an empty table writes no file. Other columns are not re
 
 from __future__ import annotations
 
-import itertools
 import re
 import struct
 import uuid
@@ -30,22 +29,37 @@ from pyspark.sql import functions as F
 from phonoweave.llm.common import fresh_path, small_batches
 
 FRAME_BYTES = 1 << 18
-#: Texts whose new words are encoded together.
-GROUP = 100
+#: Characters of texts that are encoded together.
+GROUP_BYTES = 1 << 21
+#: White space to Python, not to the tokenizer.
 SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Classes of bytes: odd ones keep the stretch around them whole, and so does a lead byte without a Latin-1 letter.
+_BLANK, _LETTER, _DIGIT, _MARK, _ODD = range(5)
+_KIND = np.full(256, _ODD, np.uint8)
+_KIND[0x21:0x7F] = _MARK
+_KIND[[9, 10, 11, 12, 13, 32]] = _BLANK
+_KIND[0x30:0x3A] = _DIGIT
+_KIND[0x41:0x5B] = _KIND[0x61:0x7B] = _KIND[0xC3] = _LETTER
+_KIND[0x27] = _ODD
+_LOW = np.arange(256, dtype=np.uint8)
+_LOW[0x41:0x5B] += 0x20
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_SYMBOLS = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9)) ^ (np.arange(1, 257, dtype=np.uint64) << np.uint64(29))
 #: Fixed values of the public seekable layout.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_MAGIC, CHECKSUM_FLAG = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 
 
 class WordEncoder:
-    """Encodes whole texts with a word-level tokenizers file that drops white space.
+    """Encodes whole texts with a word-level tokenizers file that lower-cases and drops white space.
 
-    Such a tokenizer never looks across white space, so each distinct chunk is encoded once by the library and its ids are
-    kept, in a cache of bounded size. As in the library, the string of an added token in a text is that token, and what lies
-    between two of them is a text of its own.
+    Such a tokenizer never looks across white space, and what it looks at between two blanks are runs of letters, single digits
+    and runs of other marks. Texts are cut into those by their bytes, many texts at once; each distinct one is encoded once by
+    the library, and its ids are kept in arrays by a 64-bit hash and a check of its first bytes and length. Stretches between
+    blanks with apostrophes, controls or letters beyond Latin-1 are kept whole. As in the library, the string of an added token
+    in a text is that token, and what lies between two of them is a text of its own.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 2_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -54,64 +68,137 @@ class WordEncoder:
             raise ValueError("added tokens with conditions are not supported")
         self.added = {t.content: np.array([i], "<u4").tobytes() for i, t in added.items()}
         self.is_added = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=lambda t: (-len(t), t))) + ")") if self.added else re.compile(r"(?!)")
-        self.most, self.chunks, self.pieces = most, {}, {}
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-
-    def _whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """The ids of chunks."""
-        if len(self.pieces) > 2 * self.most:
-            self.pieces = dict(itertools.islice(self.pieces.items(), self.most))
-        split, fresh = {}, {}
-        for c in new:
-            if c.isascii() or max(c) <= "\u024f":  # composed Latin: lower-casing is all that normalizing does
-                low = c.lower()
-                if c.isalpha():
-                    split[c] = (low,)
-                elif c[:-1].isalpha() and c[-1] in ",.!?;:":
-                    split[c] = (low[:-1], low[-1])
-                else:
-                    split[c] = self.pattern.findall(low)
-            else:  # other scripts: no second opinion on the library's character classes
-                fresh[c] = self._whole(c)
-        missing = sorted({p for ps in split.values() for p in ps if p not in self.pieces})
-        for at in range(0, len(missing), 2000):
-            part = missing[at : at + 2000]
+        self.most = most
+        self.forget()
+
+    def forget(self) -> None:
+        self.hashes, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _together(self, pieces: list[str]) -> list[np.ndarray]:
+        """The ids of pieces that are one word each to the library."""
+        out: list[np.ndarray] = []
+        for at in range(0, len(pieces), 2000):
+            part = pieces[at : at + 2000]
             got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids, word = np.asarray(got.ids, "<u4"), np.asarray(got.word_ids)
+            ids, word = np.asarray(got.ids, np.uint32), np.asarray(got.word_ids)
             if len(ids) == 0 or word[-1] != len(part) - 1:  # a piece that normalizes on again: one by one
-                self.pieces.update((p, self._whole(p)) for p in part)
-                continue
-            ends = np.searchsorted(word, np.arange(len(part) + 1))
-            for k, p in enumerate(part):
-                self.pieces[p] = ids[ends[k] : ends[k + 1]].tobytes()
-        for c, ps in split.items():
-            fresh[c] = b"".join([self.pieces[p] for p in ps])
-        return fresh
+                out += [self._whole(p) for p in part]
+            else:
+                cuts = np.searchsorted(word, np.arange(len(part) + 1)).tolist()
+                out += [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+        return out
+
+    def _learn(self, units: list[str]) -> list[np.ndarray]:
+        """The ids of pieces, and of stretches that were kept whole."""
+        simple, split, out = [], {}, {}
+        for unit in units:
+            if unit.isalpha() or len(unit) == 1:
+                simple.append(unit)
+            elif SEPARATORS.search(unit) or max(unit) > "\u024f":
+                out[unit] = self._whole(unit)  # no second opinion on the library's classes
+            else:
+                split[unit] = self.pattern.findall(unit.lower())
+        simple += sorted({p for parts in split.values() for p in parts} - {*simple})
+        out |= dict(zip(simple, self._together(simple)))
+        for unit, parts in split.items():
+            out[unit] = np.concatenate([out[p] for p in parts]) if parts else np.zeros(0, np.uint32)
+        return [out[unit] for unit in units]
+
+    def _units(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes, begin, end) of all units, lower-cased."""
+        data = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", np.uint8)
+        kind = _KIND[data]
+        after_lead = np.concatenate([[False], data[:-1] == 0xC3])
+        second = after_lead & (data >= 0x80) & (data < 0xC0) & (data != 0x97) & (data != 0xB7)
+        kind[second] = _LETTER
+        kind[:-1][(data[:-1] == 0xC3) & ~second[1:]] = _ODD
+        low = _LOW[data]
+        low[second & (data <= 0x9E)] += 0x20
+        blank = kind == _BLANK
+        edges = np.flatnonzero(blank[1:] != blank[:-1])
+        starts, ends = edges[::2] + 1, edges[1::2] + 1
+        odd = np.unique(np.searchsorted(starts, np.flatnonzero(kind == _ODD), "right") - 1)
+        if len(odd):
+            change = np.zeros(len(data) + 1, np.int8)
+            change[starts[odd]] = 1
+            change[ends[odd]] -= 1
+            whole = np.cumsum(change[:-1], dtype=np.int8) > 0
+            kind[whole] = _ODD
+            low[whole] = data[whole]
+        opens = np.ones(len(data), bool)
+        opens[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+        begin = np.flatnonzero(opens)
+        keep = kind[begin] != _BLANK
+        end = np.append(begin[1:], len(data))
+        return low, begin[keep], end[keep]
+
+    def _find(self, low: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in self.ids the ids of each unit begin, and how many they are."""
+        size = end - begin
+        first = np.concatenate([[0], np.cumsum(size)])
+        places = np.arange(first[-1]) - np.repeat(first[:-1] - begin, size)
+        powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(int(size.max()), _MULTIPLIER, np.uint64)]))
+        hashes = np.add.reduceat(_SYMBOLS[low[places]] * powers[places - np.repeat(begin, size)], first[:-1])
+        hashes = (hashes ^ (hashes >> np.uint64(31))) * _MULTIPLIER
+        distinct, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        padded = np.concatenate([low, np.zeros(8, np.uint8)])
+        b, n = begin[where], size[where]
+        head = np.stack([np.where(n > k, padded[b + k], 0).astype(np.uint64) << np.uint64(8 * k) for k in range(6)]).sum(axis=0, dtype=np.uint64)
+        checks = head | (np.minimum(n, 65_535).astype(np.uint64) << np.uint64(48))
+        at = np.minimum(np.searchsorted(self.hashes, distinct), max(0, len(self.hashes) - 1))
+        known = (self.hashes[at] == distinct) & (self.checks[at] == checks) if len(self.hashes) else np.zeros(len(distinct), bool)
+        out_begin, out_size = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        out_begin[known], out_size[known] = self.begin[at[known]], self.size[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            raw = low.tobytes()
+            got = self._learn([raw[x:y].decode("utf-8", "surrogatepass") for x, y in zip(b[new].tolist(), (b + n)[new].tolist())])
+            sizes = np.array([len(g) for g in got])
+            out_size[new], out_begin[new] = sizes, len(self.ids) + np.cumsum(sizes) - sizes
+            self.ids = np.concatenate([self.ids, *got])
+            hashes, checks = np.concatenate([self.hashes, distinct[new]]), np.concatenate([self.checks, checks[new]])
+            begins, sizes = np.concatenate([self.begin, out_begin[new]]), np.concatenate([self.size, out_size[new]])
+            order = np.argsort(hashes, kind="stable")
+            self.hashes, self.checks, self.begin, self.size = hashes[order], checks[order], begins[order], sizes[order]
+        return out_begin[inverse], out_size[inverse]
+
+    def _group(self, texts: list[str]) -> Iterator[bytes]:
+        if len(self.hashes) > self.most:
+            self.forget()
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        low, begin, end = self._units(raw)
+        if not len(begin):
+            yield from (b"" for _ in texts)
+            return
+        at, size = self._find(low, begin, end)
+        before = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.arange(before[-1]) + np.repeat(at - before[:-1], size)].astype("<u4", copy=False)
+        of = np.searchsorted(begin, np.cumsum([0] + [len(t) + 1 for t in raw]) + 1)
+        cuts = before[of]
+        for a, b in zip(cuts, cuts[1:]):
+            yield ids[a:b].tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
-        for at in range(0, len(texts), GROUP):
-            group = texts[at : at + GROUP]
-            plain = [None if SEPARATORS.search(t) or self.is_added.search(t) else t.split() for t in group]  # None: white space to Python, not to the tokenizer
-            found = [None if parts is None else list(map(self.chunks.get, parts)) for parts in plain]
-            open_ = [k for k, ids in enumerate(found) if ids and None in ids]
-            new = {p for k in open_ for p, ids in zip(plain[k], found[k]) if ids is None}
-            if len(self.chunks) + len(new) > self.most:  # the first seen are the most frequent
-                self.chunks = dict(itertools.islice(self.chunks.items(), self.most // 2))
-            if new:
-                fresh = self._learn(sorted(new))
-                self.chunks.update(fresh)
-                for k in open_:
-                    found[k] = [fresh[p] if ids is None else ids for p, ids in zip(plain[k], found[k])]
-            for text, ids in zip(group, found):
-                yield self._pieces(text) if ids is None else b"".join(ids)
-
-    def _pieces(self, text: str) -> bytes:
-        """A text with added tokens, or with white space of two minds."""
-        return b"".join([self.added.get(part) or self._whole(part) for part in self.is_added.split(text)])
+        group, held = [], 0
+        for text in [*texts, None]:
+            if text is None or held >= GROUP_BYTES or self.is_added.search(text):
+                if group:
+                    yield from self._group(group)
+                group, held = [], 0
+            if text is None:
+                continue
+            if self.is_added.search(text):
+                yield b"".join([self.added.get(part) or next(self._group([part])) for part in self.is_added.split(text)])
+            else:
+                group.append(text)
+                held += len(text)
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

@@ -73,7 +73,7 @@ def test_strings_of_added_tokens(make):
 
 def test_word_encoder_equals_the_library():
     library = Tokenizer.from_file(WORD)
-    texts = [*fuzz(2), "<|endoftext|> a", "hello <|endoftext|> world<|startoftext|><|endoftext|>x <|ENDOFTEXT|>", "a\x1cb <|endoftext|>c\x1d", "İstanbul ΑΣ ΣΑΣ.", prose(5, 200)]
+    texts = [*fuzz(2), "<|endoftext|> a", "hello <|endoftext|> world<|startoftext|><|endoftext|>x <|ENDOFTEXT|>", "a\x1cb <|endoftext|>c\x1d", "Éa ÀÞß×÷ÿ é\u0301 \xa0b\x85c ½²x Ãı", "don't 'tis --'s x'll'd a1b22!?", "\udcff".encode("utf-8", "replace").decode(), "İstanbul ΑΣ ΣΑΣ.", prose(5, 200)]
     for text, ids in zip(texts, token_files.WordEncoder(WORD, most=50).encode(texts)):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
