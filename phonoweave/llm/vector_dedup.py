@@ -5,9 +5,10 @@ hold null or non-finite components, link with nothing, and neither do vectors of
 
 Equal vectors of a label are one class with a weight. Unit vectors are rotated to the principal axes of a bounded sample
 (SAMPLE classes by a hash of their id): a rotation changes no cosine, so the sample only decides how early comparisons stop.
-Two unit vectors with a cosine of t are sqrt(2 - 2 t) apart, so in a grid of that width over the first two axes only
-neighbouring cells can hold links. Cells are dealt into tiles of about TILE classes by a hash, so a crowded cell is many tiles, and pairs
-of tiles are compared: leading axes are accumulated block by block, the rest of the product is bounded by the product of the
+Two unit vectors with a cosine of t are sqrt(2 - 2 t) apart, so in a grid of that width over the leading axes only
+neighbouring cells can hold links. Cells are of the first two axes; a cell of more than TILE classes is split by the next two,
+and of two split cells only the parts that are neighbours there too meet. What is still crowded is dealt into tiles of about
+TILE classes by a hash, and pairs of tiles are compared: leading axes are accumulated block by block, the rest of the product is bounded by the product of the
 suffix norms, and a pair is given up as soon as sum plus bound is under the threshold. Pairs that stay are decided by the
 cosine of the vectors themselves. Link counts are summed in each tile and links leave it as a spanning forest, so no crowded
 group is ever expanded into rows of pairs.
@@ -131,25 +132,31 @@ def vector_links(vectors: DataFrame, scratch: Scratch, threshold: float = THRESH
             for v in batch.column("v").to_pylist():
                 m = np.array(v)
                 m = m / np.abs(m).max()
-                lead = (m / np.linalg.norm(m)) @ sent.value[len(v)][:, :2]
-                cells.append([int(np.floor(x / width)) for x in lead] + [0] * (2 - len(lead)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c[0] for c in cells], pa.int32()), pa.array([c[1] for c in cells], pa.int32())], names=["label", "d", "id", "weight", "v", "x", "y"])
+                lead = (m / np.linalg.norm(m)) @ sent.value[len(v)][:, :4]
+                cells.append([int(np.floor(x / width)) for x in lead] + [0] * (4 - len(lead)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([c[k] for c in cells], pa.int32()) for k in range(4))], names=["label", "d", "id", "weight", "v", "x", "y", "z", "w"])
 
     label_type = dict(rows.dtypes)["label"]
     flat = classes.select("key.label", "key.d", "id", "weight", "v")
-    placed = scratch.keep(flat.mapInArrow(place, f"label {label_type}, d int, id long, weight long, v array<double>, x int, y int"), "vector-cells")
+    placed = scratch.keep(flat.mapInArrow(place, f"label {label_type}, d int, id long, weight long, v array<double>, x int, y int, z int, w int"), "vector-cells")
     cell = ["label", "d", "x", "y"]
-    counts = placed.groupBy(cell).agg(F.ceil(F.count("*") / F.lit(tile)).alias("parts"))
-    deal = F.pmod(F.xxhash64("id"), F.col("parts"))
-    tiles = placed.join(counts, cell).withColumn("part", deal).withColumn("tile", F.xxhash64(*cell, "part"))
+    inner = [*cell, "z", "w"]
+    # Parts of a cell: all of it under z = w = null, or those of a crowded one.
+    crowded = placed.groupBy(cell).agg((F.count("*") > tile).alias("crowded"))
+    placed = placed.join(crowded, cell).withColumns({"z": F.when(F.col("crowded"), F.col("z")), "w": F.when(F.col("crowded"), F.col("w"))})
+    placed = placed.withColumn("grp", F.xxhash64(*inner))
+    counts = placed.groupBy("grp", *inner).agg(F.ceil(F.count("*") / F.lit(tile)).alias("parts"))
+    tiles = placed.select("id", "weight", "v", "grp").join(counts, "grp").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).withColumn("tile", F.xxhash64(*inner, "part"))
     packed = tiles.select("tile", "id", "weight", "v").groupBy("tile").applyInArrow(_pack, "tile long, ids binary, weights binary, vectors binary")
     packed = scratch.keep(packed, "vector-tiles")
 
-    parts = counts.select(*cell, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).withColumn("tile", F.xxhash64(*cell, "part"))
+    parts = scratch.keep(counts.select(*inner, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).withColumn("tile", F.xxhash64(*inner, "part")), "vector-parts")
     ahead = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
-    near = parts.select(F.col("tile").alias("left"), F.col("part").alias("left_part"), *cell, F.explode(ahead).alias("s"))
-    near = near.select("left", "left_part", "label", "d", (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y"), ((F.col("s.dx") == 0) & (F.col("s.dy") == 0)).alias("own"))
-    pairs = near.join(parts.select(*cell, F.col("tile").alias("right"), "part"), cell).where("not own or left_part <= part").select("left", "right", "d")
+    near = parts.select(F.col("tile").alias("left"), "label", "d", "x", "y", F.col("z").alias("z1"), F.col("w").alias("w1"), F.explode(ahead).alias("s"))
+    near = near.select("left", "label", "d", (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y"), "z1", "w1", ((F.col("s.dx") == 0) & (F.col("s.dy") == 0)).alias("own"))
+    pairs = near.join(parts.select(*cell, F.col("tile").alias("right"), "z", "w"), cell).where("not own or left <= right")
+    beside = lambda a, b: F.coalesce(F.abs(F.col(a) - F.col(b)) <= 1, F.lit(True))
+    pairs = pairs.where(beside("z", "z1") & beside("w", "w1")).select("left", "right", "d")
 
     def run(batches):
         for batch in batches:
@@ -179,7 +186,7 @@ def vector_links(vectors: DataFrame, scratch: Scratch, threshold: float = THRESH
         found = scratch.keep(work.mapInArrow(run, "a long, b long, n long"), "vector-links")
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
-    scratch.drop("vector-cells", "vector-tiles")
+    scratch.drop("vector-cells", "vector-tiles", "vector-parts")
     return rows.select("vec_id", "key"), classes.select("key", "id", "weight"), found
 
 
