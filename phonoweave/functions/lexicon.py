@@ -47,6 +47,15 @@ HAN_SEED = {
 #: Phrases whose readings differ from those of their characters.
 PHRASE_SEED = {"差旅": "chai1 lv3", "乐亭": "lao4 ting2", "和泥抹墙": "huo2 ni2 mo3 qiang2", "银行": "yin2 hang2", "长大": "zhang3 da4", "重来": "chong2 lai2", "快乐": "kuai4 le4", "妈妈": "ma1 ma5"}
 
+#: Simplified characters with one traditional form, and those forms: a seed, the full table is a parameter.
+TRADITIONAL = dict(
+    zip(
+        "国学长们银乐妈爱办报备边变标别宾财参产场车称诚处传创从达带单当导电东动对队发风复够关观广归规还汉号红话怀坏欢环会机级极计记际间见将讲节结进经旧举觉开课来离礼历丽连联两辆疗邻龙楼录买卖满门难脑农欧盘评齐气钱强亲轻请庆热认三伤设声师时实识书树帅双说虽岁孙体条听头图团万围为伟卫稳问无习细显现县线乡响写兴选训亚严样阳养药爷业医艺亿义议忆译应营拥优邮鱼语员园远愿约云运杂责张阵证织职纸钟种众专转庄壮准资总组点个",
+        "國學長們銀樂媽愛辦報備邊變標別賓財參產場車稱誠處傳創從達帶單當導電東動對隊發風復夠關觀廣歸規還漢號紅話懷壞歡環會機級極計記際間見將講節結進經舊舉覺開課來離禮歷麗連聯兩輛療鄰龍樓錄買賣滿門難腦農歐盤評齊氣錢強親輕請慶熱認三傷設聲師時實識書樹帥雙說雖歲孫體條聽頭圖團萬圍為偉衛穩問無習細顯現縣線鄉響寫興選訓亞嚴樣陽養藥爺業醫藝億義議憶譯應營擁優郵魚語員園遠願約雲運雜責張陣證織職紙鐘種眾專轉莊壯準資總組點個",
+        strict=True,
+    )
+)
+
 # Word lists of tone sandhi.
 SANDHI_WHITELIST = ["女儿", "妻儿", "胎儿", "婴儿", "幼儿", "少儿", "小儿", "孤儿", "新生儿", "婴幼儿"]
 INTERJECTIONS = ["吧", "呢", "啊", "呐", "噻", "嘛", "吖", "嗨", "哦", "哒", "滴", "哩", "哟", "喽", "啰", "耶", "喔", "诶"]

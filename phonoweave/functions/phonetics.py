@@ -209,3 +209,6 @@ def letters(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
 
 
+def is_unpronounced(syllable: Column, char: Column) -> Column:
+    """A dictionary's way to say that it has no reading: the character itself, maybe with a tone."""
+    return F.regexp_replace(syllable, "[1-5]+$", "") == char

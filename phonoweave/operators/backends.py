@@ -260,6 +260,8 @@ class SequenceBackend(HanBackend):
             if source is not None:
                 if reading is None and self.dictionary is not None:
                     reading = self.dictionary.look_up(char)[0]
+                if isinstance(reading, str) and reading.rstrip("12345") == char:
+                    reading = None  # the character itself is no reading
                 if reading is not None and (not isinstance(reading, str) or not reading.strip()):
                     raise BackendError(f"{self.name}: {reading!r} is no reading of {char!r}")
                 out[source[0]].append(reading)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +10,8 @@ from phonoweave.functions import lexicon
 from phonoweave.functions import phonetics as P
 from phonoweave.functions.columns import look_up
 from phonoweave.functions.text import fold_latin, unify_apostrophes
+from phonoweave.operators.backends import EnglishBackend
+from phonoweave.operators.errors import PhoneticsError
 
 #: Rows of a lexicon that may be broadcast.
 MOST_BROADCAST = 500_000
@@ -51,6 +54,26 @@ def pronounce(tokens: DataFrame, readings: DataFrame, homographs: dict = lexicon
     return routed.withColumn("native", native).drop("entry", "readings")
 
 
+def complete(routed: DataFrame, backend: EnglishBackend | None = None) -> DataFrame:
+    """pronounce()'s rows with phones for words outside the lexicon too: by their known parts, or by sound.
+
+    Each distinct word is read once and joined back; one that can't be read keeps no phones.
+    """
+    chosen = backend or EnglishBackend()
+
+    def run(words: pa.Array) -> pa.Array:
+        def read(word: str) -> str | None:
+            try:
+                return " ".join(chosen.pronounce(word))
+            except PhoneticsError:
+                return None
+
+        return pa.array([read(w) for w in words.to_pylist()], pa.string())
+
+    words = routed.where("route = 'segment'").select("word").distinct().select("word", F.arrow_udf(run, "string")("word").alias("_sound"))
+    return routed.join(words, "word", "left").withColumn("native", F.coalesce("native", "_sound")).drop("_sound")
+
+
 def base_phones(native: Column) -> Column:
     return F.regexp_replace(native, "[0-2]", "")
 

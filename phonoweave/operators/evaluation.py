@@ -38,6 +38,12 @@ def score_cases(cases: DataFrame) -> DataFrame:
     return scored.withColumn("exact", F.col("error").isNull() & (F.col("edits") == 0))
 
 
+def coverage(expected: DataFrame, given: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that only one side has, once each, with `problem` missing or extra; null keys are keys like others."""
+    e, g = (df.select(*keys).distinct() for df in (expected, given))
+    return e.exceptAll(g).withColumn("problem", F.lit("missing")).union(g.exceptAll(e).withColumn("problem", F.lit("extra")))
+
+
 def ratio(part: Column, whole: Column) -> Column:
     return F.coalesce(F.round(F.try_divide(part, whole), 6), F.lit(0.0))
 

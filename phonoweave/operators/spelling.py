@@ -39,6 +39,33 @@ def letter_to_sound(word: str) -> list[str]:
     return phones
 
 
+def segment_by_cost(word: str, unigrams: Mapping[str, int], bigrams: Mapping[tuple[str, str], int] | None = None, longest: int = 24) -> list[str]:
+    """The most probable sequence of words by counts: a pair's where it was seen, else the word's own; a word never seen costs
+    more with each letter. The last word is the state, so pairs count across all cuts."""
+    bigrams, total = bigrams or {}, max(1, sum(unigrams.values()))
+
+    def cost(previous: str, part: str) -> float:
+        if (previous, part) in bigrams and unigrams.get(previous):
+            return -math.log(min(1.0, bigrams[previous, part] / unigrams[previous]))
+        seen = unigrams.get(part)
+        return -math.log(seen / total) if seen else math.log(total) + (len(part) - 1) * math.log(10)
+
+    # best[end][start]: cost of a sequence whose last word is word[start:end], and where the word before it starts.
+    best: list[dict[int, tuple[float, int]]] = [{} for _ in range(len(word) + 1)]
+    for end in range(1, len(word) + 1):
+        for start in range(max(0, end - longest), end):
+            part = word[start:end]
+            ways = [(cost("", part), -1)] if start == 0 else [(c + cost(word[before:start], part), before) for before, (c, _) in best[start].items()]
+            if ways:
+                best[end][start] = min(ways)
+    out, end = [], len(word)
+    start = min(best[end], key=lambda k: best[end][k]) if word else -1
+    while start >= 0 and end > 0:
+        out.append(word[start:end])
+        end, start = start, best[end][start][1]
+    return out[::-1] or [word]
+
+
 def segment(word: str, known: Mapping[str, object]) -> list[str]:
     """The word as a sequence of known words of two letters or more, the fewest; the word itself if there is none."""
     best: list[tuple[float, int]] = [(0.0, 0)] + [(math.inf, 0)] * len(word)

@@ -91,7 +91,7 @@ class Options:
     cantonese_phrases: Mapping[str, str] = field(default_factory=dict)
     english: Mapping[str, Sequence[str]] = field(default_factory=lambda: lexicon.ENGLISH_SEED)
     homographs: Mapping[str, tuple[str, str, str]] = field(default_factory=lambda: lexicon.HOMOGRAPHS)
-    simplified_to_traditional: Mapping[str, str] = field(default_factory=lambda: {"国": "國", "学": "學", "长": "長", "们": "們", "银": "銀", "乐": "樂", "妈": "媽"})
+    simplified_to_traditional: Mapping[str, str] = field(default_factory=lambda: lexicon.TRADITIONAL)
     neutral: Sequence[str] = field(default_factory=lambda: lexicon.NEUTRAL_SEED)
     attested_jyutping: frozenset[str] | None = None
     backend: object = None

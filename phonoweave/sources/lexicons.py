@@ -11,6 +11,13 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("value")).where("value <> ''")
 
 
+def json_mapping(spark: SparkSession, path: str) -> DataFrame:
+    """key, values from a JSON file of one object whose values are strings or lists of strings."""
+    parsed = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>").alias("m"))
+    rows = parsed.select(F.explode("m").alias("key", "value"))
+    return rows.select("key", F.when(F.col("value").startswith("["), F.from_json("value", "array<string>")).otherwise(F.array("value")).alias("values"))
+
+
 def pronouncing(spark: SparkSession, path: str) -> DataFrame:
     """word, readings from lines `WORD  PH ON ES` or `WORD(2)  ...`, readings in the order of their number; `;;;` starts comments."""
     rows = lines(spark, path).where(~F.col("value").startswith(";;;"))

@@ -1,6 +1,8 @@
 """Operators of the engine on small fixtures."""
 
+import itertools
 import json
+import math
 import random
 import zipfile
 
@@ -8,11 +10,11 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from phonoweave.functions import scan
+from phonoweave.functions import lexicon, scan, text
 from phonoweave.functions import phonetics as P
 from phonoweave.functions import scripts
 from phonoweave.functions.text import compatibility, fold, realign
-from phonoweave.operators import evaluation, numbers, sandhi, similarity, spelling
+from phonoweave.operators import english, evaluation, numbers, sandhi, similarity, spelling
 from phonoweave.operators import tokens as T
 from phonoweave.operators.backends import EnglishBackend, Traits, Unit
 from phonoweave.operators.utterance import BackendError, ConfigurationError, Converter, Options, tagged_segmenter
@@ -261,6 +263,39 @@ def test_spelling():
     assert spelling.letter_to_sound("shine")[0] == "SH" and spelling.tag(["to", "record", "a", "record"]) == ["TO", "VB", "DT", "NN"]
 
 
+def test_segmentation_by_counts():
+    unigrams = {"the": 500, "rapist": 2, "therapist": 20, "is": 300, "his": 100, "th": 1, "now": 50, "here": 60, "nowhere": 5}
+    assert spelling.segment_by_cost("thisis", {"this": 90, "is": 90}) == ["this", "is"]
+    assert spelling.segment_by_cost("therapist", unigrams) == ["therapist"]
+    assert spelling.segment_by_cost("nowhere", {"now": 50, "here": 60, "nowhere": 1}, {("now", "here"): 49}) == ["now", "here"]
+    assert spelling.segment_by_cost("", unigrams) == [""] and spelling.segment_by_cost("q", unigrams) == ["q"]
+    r = random.Random(1)
+    counts = {"".join(r.choice("ab") for _ in range(r.randrange(1, 4))): r.randrange(1, 40) for _ in range(8)}
+    total = sum(counts.values())
+    for _ in range(60):
+        word = "".join(r.choice("ab") for _ in range(r.randrange(1, 8)))
+        cost = lambda parts: sum(-math.log(counts[p] / total) if p in counts else math.log(total) + (len(p) - 1) * math.log(10) for p in parts)
+        cuts = [[word[a:b] for a, b in zip((0, *c), (*c, len(word)))] for n in range(len(word)) for c in itertools.combinations(range(1, len(word)), n)]
+        assert math.isclose(cost(spelling.segment_by_cost(word, counts)), min(map(cost, cuts)))
+
+
+def test_english_frames_and_small_sources(spark, tmp_path):
+    words = spark.createDataFrame([("hello", "en"), ("helloworld", "en"), ("shine", "en"), ("Straße", "en"), ("你", "zh")], "text string, language string")
+    routed = english.pronounce(english.words(words), lexicon.english(spark))
+    got = {r.text: r.native for r in english.complete(routed).collect()}
+    assert got["helloworld"] == "HH AH0 L OW1 W ER1 L D" and got["shine"].startswith("SH") and got["Straße"] is None and "你" not in got
+    a, b = (spark.createDataFrame([(k,) for k in ks], "id int") for ks in ((1, 2, 2, None), (2, 3)))
+    assert sorted(map(tuple, evaluation.coverage(a, b, ["id"]).collect()), key=str) == [(1, "missing"), (3, "extra"), (None, "missing")]
+    (tmp_path / "m.json").write_text('{"a": "x", "b": ["y", "z"]}')
+    assert {r.key: list(r["values"]) for r in lexicons.json_mapping(spark, str(tmp_path / "m.json")).collect()} == {"a": ["x"], "b": ["y", "z"]}
+    s = spark.createDataFrame([("好", "好"), ("好5", "好"), ("hao3", "好")], "s string, c string")
+    assert [r[0] for r in s.select(P.is_unpronounced(F.col("s"), F.col("c"))).collect()] == [True, True, False]
+    assert Converter(Options(mode="cantonese", unknown="preserve")).normalize("香港3点见")[0] == "香港三點見"
+    marks = spark.createDataFrame([(1, "tiếng Ⅳ ﬁne"), (2, "smør"), (3, "a\u035c"), (4, None)], "doc_id int, text string")
+    assert [r[0] for r in marks.select(text.fold_latin(F.col("text"))).collect()] == ["tieng IV fine", "smør", "a\u035c", None]
+    assert sorted(map(tuple, text.first_unfoldable(marks).collect())) == [(2, "ø", 2), (3, "\u035c", 1)]
+
+
 def test_edit_distance_and_summary(spark):
     r = random.Random(4)
     rows = [(k, "mandarin" if k % 2 else "cantonese", [r.choice("abc") for _ in range(r.randrange(1, 7))], [r.choice("abc") for _ in range(r.randrange(7))], "x" if k % 9 == 0 else None) for k in range(120)]
