@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from phonoweave.functions.columns import spread
 from phonoweave.llm import byte_bpe, chat, decontaminate, html_text, jaccard_join, licenses, quality, token_files, vector_dedup, wordpiece
 from phonoweave.llm.common import table
 from phonoweave.llm.oracle import ORACLE_SQL
@@ -22,35 +23,35 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.license_scan(table(spark, sf_dir, "documents"))
+    return licenses.license_scan(spread(table(spark, sf_dir, "documents")))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wordpiece.wordpiece_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return wordpiece.wordpiece_counts(spread(table(spark, sf_dir, "documents")), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.contaminated(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_files.token_files(spread(table(spark, sf_dir, "documents")), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.fit_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+    return quality.fit_and_score(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return byte_bpe.round_trip(spread(table(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_join.jaccard_components(spread(table(spark, sf_dir, "documents")))
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.extract_text(table(spark, sf_dir, "pages"))
+    return html_text.extract_text(spread(table(spark, sf_dir, "pages")))
 
 
 def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
