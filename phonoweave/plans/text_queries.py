@@ -102,7 +102,7 @@ def latin_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fold_diacritics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("doc_id", F.md5(texts.fold_latin(F.col("text"))).alias("folded"))
+    return dealt(spark, sf_dir).select("doc_id", F.md5(texts.fold_latin(F.col("text"))).alias("folded"))
 
 
 def apostrophes(spark: SparkSession, sf_dir: str) -> DataFrame:
