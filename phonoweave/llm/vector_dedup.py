@@ -6,7 +6,7 @@ hold null or non-finite components, link with nothing, and neither do vectors of
 Equal vectors of a label are one class with a weight. Unit vectors are rotated to the principal axes of a bounded sample
 (SAMPLE classes by a hash of their id): a rotation changes no cosine, so the sample only decides how early comparisons stop.
 Two unit vectors with a cosine of t are sqrt(2 - 2 t) apart, so in a grid of that width over the leading axes only
-neighbouring cells can hold links. Cells are of the first two axes; a cell of more than TILE classes is split by the next two,
+neighbouring cells can hold links. Cells are of the first two axes; a cell of more than CROWDED tiles is split by the next two,
 and of two split cells only the parts that are neighbours there too meet. What is still crowded is dealt into tiles of about
 TILE classes by a hash, and pairs of tiles are compared: leading axes are accumulated block by block, the rest of the product is bounded by the product of the
 suffix norms, and a pair is given up as soon as sum plus bound is under the threshold. Pairs that stay are decided by the
@@ -23,11 +23,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
-from phonoweave.llm.common import Scratch, materialize
+from phonoweave.llm.common import Scratch, broadcast_if_small, materialize
 from phonoweave.llm.components import components
 
 THRESHOLD, TILE, SAMPLE = 0.98, 1024, 4000
+#: A cell of so many tiles is split by more axes; tiles that one tile meets in a task.
+CROWDED, PARTNERS = 16, 24
+#: Cells that are broadcast after a count: crowded ones and those of several tiles.
+MOST_BROADCAST = 200_000
 #: Axes that are accumulated before each bound.
 STEPS = (8, 16, 32)
 #: Rows of the left tile that are compared at a time.
@@ -98,16 +103,21 @@ def compare(left: np.ndarray, right: np.ndarray, axes: np.ndarray, threshold: fl
     return np.concatenate(found_i), np.concatenate(found_j)
 
 
-def _pack(table: pa.Table) -> pa.Table:
-    """One row with the ids, weights and vectors of a tile."""
-    ids, weights = table.column("id").to_numpy(), table.column("weight").to_numpy()
-    vectors = np.concatenate([np.asarray(v.values, dtype=np.float64) for v in table.column("v")])
-    return pa.table({"tile": table.column("tile").slice(0, 1), "ids": [ids.astype("<i8").tobytes()], "weights": [weights.astype("<i8").tobytes()], "vectors": [vectors.astype("<f8").tobytes()]})
+def _pack(kind: str):
+    """One row with the ids, weights and vectors of a tile; kind: of the vectors' numbers, which it holds exactly."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, weights = table.column("id").to_numpy(), table.column("weight").to_numpy()
+        vectors = np.concatenate([np.asarray(v.values, dtype=np.float64) for v in table.column("v")])
+        return pa.table({"tile": table.column("tile").slice(0, 1), "ids": [ids.astype("<i8").tobytes()], "weights": [weights.astype("<i8").tobytes()], "vectors": [vectors.astype(kind).tobytes()]})
+
+    return run
 
 
 def vector_links(vectors: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, tile: int = TILE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, classes, found): vec_id, key of all rows; key, id, weight of the classes; a, b, n of links and link counts."""
     spark = vectors.sparkSession
+    kind = "<f4" if isinstance(vectors.schema["embedding"].dataType.elementType, FloatType) else "<f8"
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").cast("array<double>").alias("v"))
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)
     sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
@@ -142,12 +152,15 @@ def vector_links(vectors: DataFrame, scratch: Scratch, threshold: float = THRESH
     cell = ["label", "d", "x", "y"]
     inner = [*cell, "z", "w"]
     # Parts of a cell: all of it under z = w = null, or those of a crowded one.
-    crowded = placed.groupBy(cell).agg((F.count("*") > tile).alias("crowded"))
-    placed = placed.join(crowded, cell).withColumns({"z": F.when(F.col("crowded"), F.col("z")), "w": F.when(F.col("crowded"), F.col("w"))})
+    crowded = placed.groupBy(cell).count().where(F.col("count") > CROWDED * tile).select(*cell, F.lit(True).alias("crowded"))
+    placed = placed.join(broadcast_if_small(crowded, MOST_BROADCAST), cell, "left").withColumns({"z": F.when(F.col("crowded"), F.col("z")), "w": F.when(F.col("crowded"), F.col("w"))})
     placed = placed.withColumn("grp", F.xxhash64(*inner))
     counts = placed.groupBy("grp", *inner).agg(F.ceil(F.count("*") / F.lit(tile)).alias("parts"))
-    tiles = placed.select("id", "weight", "v", "grp").join(counts, "grp").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).withColumn("tile", F.xxhash64(*inner, "part"))
-    packed = tiles.select("tile", "id", "weight", "v").groupBy("tile").applyInArrow(_pack, "tile long, ids binary, weights binary, vectors binary")
+    counts = scratch.keep(counts, "vector-counts")
+    several = broadcast_if_small(counts.where("parts > 1").select("grp", "parts"), MOST_BROADCAST)
+    part = F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1).cast("long")))
+    tiles = placed.select("id", "weight", "v", "grp", *inner).join(several, "grp", "left").withColumn("part", part).withColumn("tile", F.xxhash64(*inner, "part"))
+    packed = tiles.select("tile", "id", "weight", "v").groupBy("tile").applyInArrow(_pack(kind), "tile long, ids binary, weights binary, vectors binary")
     packed = scratch.keep(packed, "vector-tiles")
 
     parts = scratch.keep(counts.select(*inner, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).withColumn("tile", F.xxhash64(*inner, "part")), "vector-parts")
@@ -158,35 +171,38 @@ def vector_links(vectors: DataFrame, scratch: Scratch, threshold: float = THRESH
     beside = lambda a, b: F.coalesce(F.abs(F.col(a) - F.col(b)) <= 1, F.lit(True))
     pairs = pairs.where(beside("z", "z1") & beside("w", "w1")).select("left", "right", "d")
 
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                d, same = row["d"], row["left"] == row["right"]
-                side = [(np.frombuffer(row[f"{s}ids"], "<i8"), np.frombuffer(row[f"{s}weights"], "<i8"), np.frombuffer(row[f"{s}vectors"], "<f8").reshape(-1, d)) for s in "lr"]
-                i, j = compare(side[0][2], side[1][2], sent.value[d], threshold)
-                if same:
-                    i, j = i[i < j], j[i < j]
-                if not len(i):
-                    continue
-                sums: dict[int, int] = {}
-                for (ids, _, _), (_, weights, _), x, y in ((side[0], side[1], i, j), (side[1], side[0], j, i)):
-                    got = np.bincount(x, weights[y], len(ids)).astype(np.int64)
-                    for k in np.flatnonzero(got):
-                        sums[int(ids[k])] = sums.get(int(ids[k]), 0) + int(got[k])
-                edges = _forest(zip(side[0][0][i].tolist(), side[1][0][j].tolist()))
-                a, b, n = [*sums, *(e[0] for e in edges)], [None] * len(sums) + [e[1] for e in edges], [*sums.values()] + [None] * len(edges)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], names=["a", "b", "n"])
-
-    named = lambda side, s: packed.select(F.col("tile").alias(side), F.col("ids").alias(f"{s}ids"), F.col("weights").alias(f"{s}weights"), F.col("vectors").alias(f"{s}vectors"))
-    work = pairs.join(named("left", "l"), "left").join(named("right", "r"), "right").select("left", "right", "d", "lids", "lweights", "lvectors", "rids", "rweights", "rvectors")
-    # A row holds two tiles: few rows to a batch.
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
-    try:
-        found = scratch.keep(work.mapInArrow(run, "a long, b long, n long"), "vector-links")
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
-    scratch.drop("vector-cells", "vector-tiles", "vector-parts")
+    # A tile meets its partners in one task, or in as many as it takes for PARTNERS to each; itself it does not get again.
+    pairs = scratch.keep(pairs, "vector-pairs")
+    slots = pairs.groupBy("left").agg(F.ceil(F.count("*") / F.lit(PARTNERS)).alias("slots"))
+    pairs = pairs.join(slots, "left").withColumn("slot", F.pmod(F.xxhash64("right"), "slots"))
+    own = packed.join(slots.withColumnRenamed("left", "tile"), "tile").select("*", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"))
+    columns = ["left", "slot", "d", "their_ids", "their_weights", "their_vectors"]
+    others = pairs.where("left <> right").join(packed.toDF("right", *columns[3:]), "right").select(columns)
+    others = others.union(pairs.where("left = right").withColumns({c: F.lit(None).cast("binary") for c in columns[3:]}).select(columns))
+    others = others.toDF("to_tile", "to_slot", *columns[2:])
+
+    def run(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        found: list[tuple] = []
+        opened = lambda row, d, of="": (np.frombuffer(row[f"{of}ids"], "<i8"), np.frombuffer(row[f"{of}weights"], "<i8"), np.frombuffer(row[f"{of}vectors"], kind).astype(np.float64).reshape(-1, d))
+        mine = left.to_pylist()[0]
+        for row in right.to_pylist() if right.num_rows else ():
+            d, same = row["d"], row["their_ids"] is None
+            side = [opened(mine, d), opened(mine, d) if same else opened(row, d, "their_")]
+            i, j = compare(side[0][2], side[1][2], sent.value[d], threshold)
+            if same:
+                i, j = i[i < j], j[i < j]
+            if not len(i):
+                continue
+            for (ids, _, _), (_, weights, _), x, y in ((side[0], side[1], i, j), (side[1], side[0], j, i)):
+                got = np.bincount(x, weights[y], len(ids)).astype(np.int64)
+                found += [(int(ids[k]), None, int(got[k])) for k in np.flatnonzero(got)]
+            found += [(a, b, None) for a, b in _forest(zip(side[0][0][i].tolist(), side[1][0][j].tolist()))]
+        a, b, n = zip(*found) if found else ((), (), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64())})
+
+    met = own.groupBy("tile", "slot").cogroup(others.groupBy("to_tile", "to_slot")).applyInArrow(run, "a long, b long, n long")
+    found = scratch.keep(met, "vector-links")
+    scratch.drop("vector-cells", "vector-tiles", "vector-parts", "vector-pairs", "vector-counts")
     return rows.select("vec_id", "key"), classes.select("key", "id", "weight"), found
 
 

@@ -136,7 +136,9 @@ def test_vector_dedup(spark, monkeypatch):
         rows.append((k, [float(x) for x in v.astype(np.float32)], k % 2))
     rows += [(1000 + k, rows[k][1], rows[k][2]) for k in range(30)]
     rows += [(2000, None, 1), (2001, [0.0] * 16, 1), (2002, [float("nan")] + [1.0] * 15, 1), (2003, rows[0][1], None), (2004, rows[0][1][:8], 0), (2005, [None] + [1.0] * 15, 1), (2006, [], 1), (2007, [float(x) * 3 for x in np.float32(rows[0][1])], 0)]
-    monkeypatch.setattr(vector_dedup, "TILE", 16)
+    monkeypatch.setattr(vector_dedup.vector_links, "__defaults__", (vector_dedup.THRESHOLD, 8))
+    monkeypatch.setattr(vector_dedup, "CROWDED", 1)
+    monkeypatch.setattr(vector_dedup, "PARTNERS", 3)
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").selectExpr("*", "1 AS n_links", "2 AS id", "3 AS key")
     got = {x.vec_id: x for x in vector_dedup.vector_components(frame).collect()}
     usable = {i: (l, np.array(np.float32(v), float)) for i, v, l in rows if v and l is not None and None not in v and np.isfinite(v).all() and np.any(v)}
