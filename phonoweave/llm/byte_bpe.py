@@ -137,7 +137,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class ByteBpe:
     """Pair merging by ranks, lowest first and leftmost among equals, with a bounded cache of pieces."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 600_000):
+    def __init__(self, ranks: dict[bytes, int], most: int = 300_000):
         self.ranks, self.most = ranks, most
         self.tokens = {v: k for k, v in ranks.items()}
         self.split = PreTokenizer()
