@@ -86,4 +86,34 @@ b AS (SELECT page_id, url, list_transform(string_split_regex(x, '(?i)</?(?:p|h[1
 d AS (SELECT page_id, url, list_transform(t, lambda v: trim(regexp_replace(replace(replace(replace(replace(replace(replace(v, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))) AS t FROM b)
 SELECT page_id, url, coalesce(array_to_string(list_filter(t, lambda v: v <> ''), chr(10) || chr(10)), '') AS text, CAST(length(coalesce(array_to_string(list_filter(t, lambda v: v <> ''), chr(10) || chr(10)), '')) AS BIGINT) AS n_chars FROM d"""
 
-ORACLE_SQL = {"op1_chat_format": CHAT, "op4_decontaminate": LEAKS, "op9_html_text": ARTICLES, "op2_licenses": LICENSES, "op8_jaccard_join": JACCARD, "op10_vector_dedup": VECTORS}
+def _clusters(k: int = 16, width: int = 64, rounds: int = 3) -> str:
+    """Every vector against every centroid, in each round."""
+    steps = [
+        f"kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q FROM embeddings WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('1:' || vec_id), q) - 1)::INTEGER AS j, q AS c FROM kept WHERE vec_id IS NOT NULL QUALIFY j < {k})",
+    ]
+    for step in range(rounds + 1):
+        steps.append(f"d{step} AS (SELECT r, j, list_sum(list_transform(list_zip(q, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM kept CROSS JOIN c{step})")
+        steps.append(f"a{step} AS MATERIALIZED (SELECT r, arg_min(j, d * {k} + j)::INTEGER AS j, min(d) AS d FROM d{step} GROUP BY r)")
+        if step < rounds:
+            steps.append(f"p{step} AS (SELECT j, i, sum(x) AS s, count(*) AS n FROM (SELECT a.j, unnest(q) AS x, unnest(range({width})) AS i FROM kept JOIN a{step} a USING (r)) GROUP BY j, i)")
+            steps.append(f"m{step} AS (SELECT j, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS c FROM p{step} GROUP BY j)")
+            steps.append(f"c{step + 1} AS MATERIALIZED (SELECT c{step}.j, coalesce(m.c, c{step}.c) AS c FROM c{step} LEFT JOIN m{step} m USING (j))")
+    return f"""WITH {", ".join(steps)}
+SELECT k.vec_id, a.j AS cluster, a.d AS distance, (sum(a.d) OVER (PARTITION BY a.j))::BIGINT AS cluster_inertia, (sum(a.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.c, ',')) AS centroid_sha256
+FROM kept k JOIN a{rounds} a USING (r) JOIN c{rounds} c ON c.j = a.j"""
+
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+SEARCH = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+s AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+p AS (SELECT r, any_value(doc_id) AS doc_id, term, count(*) AS tf, any_value(n) AS n FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY r, term),
+i AS (SELECT item, item_id, term, count(*) AS times FROM (SELECT row_number() OVER () AS item, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark) GROUP BY item, item_id, term),
+f AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p CROSS JOIN s GROUP BY term, n_docs),
+v AS (SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))) AS value FROM p JOIN f USING (term) CROSS JOIN s),
+z AS (SELECT item, item_id, r, doc_id, sum(times * value)::BIGINT AS score FROM v JOIN i USING (term) GROUP BY item, item_id, r, doc_id)
+SELECT item_id, (row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id, r))::INTEGER AS rank, doc_id, score FROM z WHERE score > 0 QUALIFY rank <= 20"""
+
+
+ORACLE_SQL = {"op1_chat_format": CHAT, "op4_decontaminate": LEAKS, "op9_html_text": ARTICLES, "op2_licenses": LICENSES, "op8_jaccard_join": JACCARD, "op10_vector_dedup": VECTORS, "op12_centroids": _clusters(), "op13_ranked_search": SEARCH}

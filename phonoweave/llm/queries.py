@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from phonoweave.functions.columns import spread
-from phonoweave.llm import byte_bpe, chat, decontaminate, html_text, jaccard_join, licenses, quality, token_files, vector_dedup, wordpiece
+from phonoweave.llm import byte_bpe, centroids, chat, decontaminate, html_text, jaccard_join, licenses, packing, quality, ranked_search, token_files, vector_dedup, wordpiece
 from phonoweave.llm.common import table
 from phonoweave.llm.oracle import ORACLE_SQL
 
@@ -58,6 +58,18 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.vector_components(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spread(table(spark, sf_dir, "documents")), public_tokenizers.path("word_bpe_49k.json"), end_id=0, capacity=2048)
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(spread(table(spark, sf_dir, "embeddings")), k=16, width=64, rounds=3)
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), most=20)
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat_format": op1_chat_format,
     "op2_licenses": op2_licenses,
@@ -69,4 +81,7 @@ QUERIES: dict[str, Query] = {
     "op7_byte_bpe": op7_byte_bpe,
     "op9_html_text": op9_html_text,
     "op10_vector_dedup": op10_vector_dedup,
+    "op11_packing": op11_packing,
+    "op12_centroids": op12_centroids,
+    "op13_ranked_search": op13_ranked_search,
 }
