@@ -4,10 +4,16 @@ One pass over the documents counts terms and writes postings of those that occur
 partitioned by term and falling score, a long list into several partitions. An item's score of a document is the sum, over the
 item's terms, of the document's entries in their lists, so for each item:
 
-1. the heads of its lists, `most` entries each, give partial sums; the most-th largest is a bound that the result reaches;
-2. every list yields all entries of at least that bound divided by the number of lists: a document in none of them stays
-   strictly below the bound. Sums of what was yielded raise the bound, and documents whose sum cannot reach it go;
-3. exact scores of the rest are looked up in the lists.
+1. the heads of its lists give partial sums; the documents with the largest are looked up, and their most-th largest score is a
+   bound that the result reaches;
+2. every list yields all entries above one level, the same for all lists of the item: a list adds at most the level, and at most its
+   head, to a document that it does not yield, and the level is the highest at which these sum up to less than a share of the
+   bound (LOOSE; a lower level costs longer fetches, and saves look-ups). So a document that no list yields cannot
+   reach the bound. What is yielded is summed up by document, in blocks; a document whose sum and what may be hidden
+   of it stay under the bound goes;
+3. the rest's entries at or under the level are looked up, which makes scores exact.
+
+Items are searched in slices of bounded size, so that their tables can be sent to every task.
 
 Terms are maximal runs of ASCII letters, digits and characters beyond ASCII, A-Z lower-cased. Null and empty texts have no terms
 and count in no statistic. Rows repeated with one doc_id are documents of their own, and rows repeated with one item_id items
@@ -19,7 +25,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
@@ -28,6 +36,12 @@ from pyspark.sql import functions as F
 from phonoweave.llm.common import Scratch, broadcast_if_small, materialize, small_batches
 
 MOST = 20
+#: Entries of a list's head, and documents that are looked up for an item's bound, as multiples of the result's.
+HEADS, PROBES = 5, 5
+#: The share of the bound that entries which no list yields may sum up to.
+LOOSE = 0.25
+#: Terms of a slice of items; entries that are summed up together; items that are at a time.
+SLICE, BLOCK, ITEMS = 100_000, 400_000, 512
 #: Terms of all items, and their bytes, up to which documents are filtered by a set in each task; more are joined.
 MOST_TERMS, MOST_BYTES = 200_000, 8_000_000
 #: Rows of tables of items, terms or candidates that are broadcast after a count.
@@ -94,6 +108,116 @@ def _score(n_docs: int, n_terms: int) -> tuple[Column, Column, Column]:
     return weight.cast("long"), length, F.col("w") * F.expr("(1000000000L * tf) div (1000L * tf + 12L * m)")
 
 
+def level(tops: list[int], most: int) -> int:
+    """The largest level at which the sum of min(level, top) over the lists is at most `most`."""
+    left, lists = most, len(tops)
+    for top in sorted(tops):
+        if top > left // lists:
+            return left // lists
+        left, lists = left - top, lists - 1
+    return max(tops)
+
+
+class _Slice:
+    """Items of one slice as arrays: for each term the items that have it."""
+
+    def __init__(self, own: list, bounds: dict[int, int]):
+        self.items = sorted({r.item for r in own})
+        place = {item: k for k, item in enumerate(self.items)}
+        tops: list[list[int]] = [[] for _ in self.items]
+        for r in own:
+            tops[place[r.item]].append(r.times * r.top)
+        self.bound = np.array([bounds.get(item, 1) for item in self.items], np.int64)
+        self.level = np.array([level(t, int(LOOSE * (b - 1))) for t, b in zip(tops, self.bound.tolist())], np.int64)
+        self.terms = sorted({r.term for r in own})
+        number = {term: k for k, term in enumerate(self.terms)}
+        self.term = np.array([number[r.term] for r in own], np.int64)
+        self.item = np.array([place[r.item] for r in own], np.int64)
+        self.times = np.array([r.times for r in own], np.int64)
+        self.hidden = np.minimum(self.level[self.item], self.times * np.array([r.top for r in own], np.int64))
+        self.rest = np.bincount(self.item, self.hidden, len(self.items)).astype(np.int64)
+        # The least entry that some item gets of a term's list, and the most that some item does not get.
+        self.edge = edge = self.level[self.item] // self.times
+        self.least, self.under = np.full(len(self.terms), np.iinfo(np.int64).max), np.zeros(len(self.terms), np.int64)
+        np.minimum.at(self.least, self.term, edge + 1)
+        np.maximum.at(self.under, self.term, edge)
+
+    def sums(self, terms: np.ndarray, values: np.ndarray, rows: np.ndarray, n_rows: int):
+        """(row, item, sum) of all that may reach the items' bounds, from entries of the lists."""
+        for first in range(0, len(self.items), ITEMS):
+            mine = np.flatnonzero((self.item >= first) & (self.item < first + ITEMS))
+            mine = mine[np.argsort(self.term[mine], kind="stable")]
+            begin = np.searchsorted(self.term[mine], np.arange(len(self.terms) + 1))
+            n_items = min(ITEMS, len(self.items) - first)
+            total, known = np.zeros(n_rows * n_items, np.int64), np.zeros(n_rows * n_items, np.int64)
+            fan = (begin[1:] - begin[:-1])[terms]
+            ends = np.cumsum(fan)
+            for at in range(0, int(ends[-1]) if len(ends) else 0, 1 << 20):  # so many pairs of entry and item at a time
+                pair = np.arange(at, min(at + (1 << 20), int(ends[-1])))
+                entry = np.searchsorted(ends, pair, "right")
+                has = mine[begin[terms[entry]] + pair - (ends[entry] - fan[entry])]
+                gain = values[entry] * self.times[has]
+                keep = gain > self.level[self.item[has]]
+                has, cell = has[keep], rows[entry[keep]] * n_items + self.item[has[keep]] - first
+                np.add.at(total, cell, gain[keep])
+                np.add.at(known, cell, self.hidden[has])
+            part = slice(first, first + n_items)
+            could = (total + np.tile(self.rest[part], n_rows) - known >= np.tile(self.bound[part], n_rows)) & (known > 0) | (total >= np.tile(self.bound[part], n_rows))
+            found = np.flatnonzero(could & (total > 0))
+            yield found // n_items, first + found % n_items, total[found]
+
+
+def _ranked(lists: DataFrame, n_entries: int, own: DataFrame, scratch: Scratch, most: int) -> DataFrame:
+    """The result for a slice of items; own: item, item_id, term, times."""
+    spark = lists.sparkSession
+    small = F.broadcast(own)
+
+    # Phase 1: heads, and the scores of what leads in them.
+    asked = F.broadcast(own.select("term").distinct())
+    place = F.row_number().over(Window.partitionBy("term").orderBy(F.col("value").desc(), "id", "row"))
+    heads = scratch.keep(lists.join(asked, "term", "left_semi").withColumn("_place", place).where(F.col("_place") <= HEADS * most), "search-heads")
+    partial = heads.join(small, "term").groupBy("item", "id", "row").agg(F.sum(F.col("times") * F.col("value")).alias("sum"))
+    place = F.row_number().over(Window.partitionBy("item").orderBy(F.col("sum").desc(), "id", "row"))
+    probes = scratch.keep(partial.withColumn("_place", place).where(F.col("_place") <= PROBES * most).select("item", "row"), "search-probes")
+    theirs = lists.join(broadcast_if_small(probes.select("row").distinct(), MOST_BROADCAST), "row", "left_semi").select("row", "term", "value")
+    scores = probes.join(theirs, "row").join(small.select("item", "term", "times"), ["item", "term"]).groupBy("item", "row").agg(F.sum(F.col("times") * F.col("value")).alias("sum"))
+    bounds = {r["item"]: r["bound"] for r in _nth(scores, "item", "sum", most).collect()}
+    tops = heads.where("_place = 1").select("term", F.col("value").alias("top"))
+    # SLICE rows, or those of one item.
+    of = _Slice(own.join(tops, "term").collect(), bounds)
+    if not of.items:
+        return spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")
+    sent = spark.sparkContext.broadcast(of)
+    terms = F.broadcast(spark.createDataFrame(list(zip(of.terms, range(len(of.terms)), of.least.tolist(), of.under.tolist())), "term string, t int, least long, under long"))
+
+    # Phase 2: all entries above the level, summed up by document.
+    block = F.pmod(F.xxhash64("row"), F.lit(-(-n_entries // BLOCK)).cast("long"))
+    deep = lists.join(terms, "term").where("value >= least").select(block.alias("block"), "t", "value", "id", "row")
+
+    def run(table: pa.Table) -> pa.Table:
+        mine, out = sent.value, []
+        rows, first, at = np.unique(table.column("row").to_numpy(), return_index=True, return_inverse=True)
+        ids = table.column("id").take(pa.array(first)).combine_chunks()
+        for row, item, total in mine.sums(table.column("t").to_numpy(), table.column("value").to_numpy(), at, len(rows)):
+            out.append(pa.table({"item": pa.array(np.array(mine.items, np.int64)[item]), "id": ids.take(pa.array(row)), "row": pa.array(rows[row]), "sum": pa.array(total)}))
+        return pa.concat_tables(out)
+
+    open_ = deep.groupBy("block").applyInArrow(run, "item long, id long, row long, sum long")
+    open_ = scratch.keep(open_, "search-open")
+
+    # Phase 3: what the lists have of the rest at or under the level.
+    edges = list(zip(of.term.tolist(), np.array(of.items)[of.item].tolist(), of.times.tolist(), of.edge.tolist()))
+    edges = F.broadcast(spark.createDataFrame(edges, "t int, item long, times long, edge long"))
+    low = lists.join(terms, "term").where("value <= under").select("t", "value", "row").join(edges, "t").where("value <= edge")
+    low = low.join(open_.select("item", "row"), ["item", "row"]).select("item", "row", (F.col("times") * F.col("value")).alias("more"))
+    ids = F.broadcast(own.select("item", "item_id").distinct())
+    exact = open_.select("item", "id", "row", F.col("sum").alias("more")).union(low.select("item", F.lit(None).cast("long"), "row", "more"))
+    exact = exact.groupBy("item", "row").agg(F.max("id").alias("id"), F.sum("more").alias("score"))
+    place = F.row_number().over(Window.partitionBy("item").orderBy(F.col("score").desc(), "id", "row"))
+    ranked = exact.withColumn("rank", place).where(F.col("rank") <= most).join(ids, "item")
+    return materialize(ranked.select("item_id", "rank", F.col("id").alias("doc_id"), "score"), "search-result")
+
+
 def search(docs: DataFrame, items: DataFrame, most: int = MOST) -> DataFrame:
     """item_id, rank, doc_id, score: the best documents (doc_id, text) of each item (item_id, text)."""
     spark = docs.sparkSession
@@ -119,39 +243,7 @@ def search(docs: DataFrame, items: DataFrame, most: int = MOST) -> DataFrame:
         lists = lists.select("term", "value", "id", "row").repartitionByRange(*order).sortWithinPartitions(*order)
         lists = scratch.keep(lists, "search-lists")
         scratch.drop("search-postings")
-
-        # The lists of each item: those of its terms that some document has.
-        own = asked.join(broadcast_if_small(weights.select("term"), MOST_BROADCAST), "term")
-        of_item = Window.partitionBy("item")
-        own = scratch.keep(own.withColumn("lists", F.count("*").over(of_item)), "search-own")
-        small = broadcast_if_small(own, MOST_BROADCAST)
-
-        # Phase 1: heads.
-        place = F.row_number().over(Window.partitionBy("term").orderBy(F.col("value").desc(), "id", "row"))
-        heads = lists.withColumn("_place", place).where(F.col("_place") <= most).select("term", "value", "row")
-        partial = heads.join(small, "term").groupBy("item", "row").agg(F.sum(F.col("times") * F.col("value")).alias("sum"))
-        bounds = _nth(partial, "item", "sum", most)
-        least = F.greatest(F.lit(1).cast("long"), F.expr("(coalesce(bound, 1) + times * lists - 1) div (times * lists)"))
-        own = scratch.keep(own.join(broadcast_if_small(bounds, MOST_BROADCAST), "item", "left").withColumn("least", least).drop("bound"), "search-least")
-        small = broadcast_if_small(own, MOST_BROADCAST)
-
-        # Phase 2: all entries of at least an equal share of the bound.
-        floors = own.groupBy("term").agg(F.min("least").alias("floor"))
-        deep = lists.join(broadcast_if_small(floors, MOST_BROADCAST), "term").where("value >= floor").select("term", "value", "id", "row")
-        seen = deep.join(small, "term").where("value >= least").groupBy("item", "id", "row")
-        seen = seen.agg(F.sum(F.col("times") * F.col("value")).alias("sum"), F.sum(F.col("times") * (F.col("least") - 1)).alias("held"))
-        seen = scratch.keep(seen, "search-seen")
-        bounds = _nth(seen.select("item", "sum"), "item", "sum", most)
-        # What an item's lists may still add to a document that they have not yielded.
-        rest = own.groupBy("item").agg(F.sum(F.col("times") * (F.col("least") - 1)).alias("rest")).join(bounds, "item", "left")
-        open_ = seen.join(broadcast_if_small(rest, MOST_BROADCAST), "item").where("sum + rest - held >= coalesce(bound, 1)").select("item", "id", "row")
-        open_ = scratch.keep(open_, "search-open")
-
-        # Phase 3: exact scores.
-        rows = open_.select("row").distinct()
-        theirs = lists.join(broadcast_if_small(rows, MOST_BROADCAST), "row", "left_semi").select("row", "term", "value")
-        exact = open_.join(theirs, "row").join(small.select("item", "item_id", "term", "times"), ["item", "term"])
-        exact = exact.groupBy("item", "item_id", "id", "row").agg(F.sum(F.col("times") * F.col("value")).alias("score"))
-        place = F.row_number().over(Window.partitionBy("item").orderBy(F.col("score").desc(), "id", "row"))
-        ranked = exact.withColumn("rank", place).where(F.col("rank") <= most)
-        return materialize(ranked.select("item_id", "rank", F.col("id").alias("doc_id"), "score"), "search-result")
+        n_entries, n_own = max(1, lists.count()), asked.count()
+        slices = max(1, -(-n_own // SLICE))
+        parts = [_ranked(lists, n_entries, asked.where(F.pmod(F.xxhash64("item"), F.lit(slices)) == k), scratch, most) for k in range(slices)]
+        return reduce(DataFrame.union, parts)

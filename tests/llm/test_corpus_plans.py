@@ -142,6 +142,11 @@ def test_bounds_never_change_a_result():
         assert (cluster == nearest).all() and (upper >= np.sqrt(found.min(axis=1))).all() and (lower <= np.sqrt(found)).all()
 
 
+@pytest.mark.parametrize("tops,most,want", [([10, 20, 30], 0, 0), ([10, 20, 30], 29, 9), ([10, 20, 30], 31, 10), ([10, 20, 30], 45, 17), ([10, 20, 30], 60, 30), ([5], 3, 3)])
+def test_level(tops, most, want):
+    assert ranked_search.level(tops, most) == want and sum(min(want, t) for t in tops) <= most
+
+
 def brute_search(docs, items, most):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     counts = [Counter(words(t)) for _, t in docs]
@@ -168,5 +173,9 @@ def test_ranked_search(spark, make, awkward, monkeypatch):
     assert order(map(tuple, ranked_search.search(make(docs), items_frame).collect())) == want
     monkeypatch.setattr(ranked_search, "MOST_TERMS", 3)  # the join in place of the set, and nothing broadcast
     monkeypatch.setattr(ranked_search, "MOST_BROADCAST", 0)
+    monkeypatch.setattr(ranked_search, "SLICE", 20)  # several slices, and blocks of few entries and items
+    monkeypatch.setattr(ranked_search, "BLOCK", 500)
+    monkeypatch.setattr(ranked_search, "ITEMS", 2)
+    monkeypatch.setattr(ranked_search, "LOOSE", 1.0)
     assert order(map(tuple, ranked_search.search(make(docs).repartition(3), items_frame).collect())) == want
     assert ranked_search.search(make([]), items_frame).count() == 0 and ranked_search.search(make(docs), items_frame.limit(0)).count() == 0
