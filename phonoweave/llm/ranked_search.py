@@ -208,7 +208,8 @@ def _ranked(lists: DataFrame, n_entries: int, own: DataFrame, scratch: Scratch,
     # Phase 3: what the lists have of the rest at or under the level.
     edges = list(zip(of.term.tolist(), np.array(of.items)[of.item].tolist(), of.times.tolist(), of.edge.tolist()))
     edges = F.broadcast(spark.createDataFrame(edges, "t int, item long, times long, edge long"))
-    low = lists.join(terms, "term").where("value <= under").select("t", "value", "row").join(edges, "t").where("value <= edge")
+    met = lists.join(broadcast_if_small(open_.select("row").distinct(), MOST_BROADCAST), "row", "left_semi")
+    low = met.join(terms, "term").where("value <= under").select("t", "value", "row").join(edges, "t").where("value <= edge")
     low = low.join(open_.select("item", "row"), ["item", "row"]).select("item", "row", (F.col("times") * F.col("value")).alias("more"))
     ids = F.broadcast(own.select("item", "item_id").distinct())
     exact = open_.select("item", "id", "row", F.col("sum").alias("more")).union(low.select("item", F.lit(None).cast("long"), "row", "more"))
