@@ -21,6 +21,8 @@ NORMALIZED = f"text string, sources {SPAN}"
 
 def fold(value: str) -> str:
     """A Latin spelling without diacritics; ValueError if letters stay outside A-Z."""
+    if _PLAIN.fullmatch(value):
+        return value
     out = []
     for char in unicodedata.normalize("NFC", value):
         base = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
@@ -33,6 +35,9 @@ def fold(value: str) -> str:
     return "".join(out)
 
 
+_PLAIN = re.compile(r"[A-Za-z'-]*")
+
+
 @cache
 def latin_tables() -> tuple[str, str, str]:
     """Latin letters that fold to one ASCII letter, those letters, and the ones that do not fold to ASCII letters at all."""
@@ -124,6 +129,15 @@ def compatibility(value: str) -> tuple[str, list[tuple[int, int]]]:
     return "".join(out), sources
 
 
+def normalized_compatibility(value: str) -> str:
+    """The text of compatibility() alone."""
+    if value.isascii() or unicodedata.is_normalized("NFKC", value):
+        return value
+    wide = _WIDE.sub(lambda m: unicodedata.normalize("NFKC", m[0]) if unicodedata.category(m[0])[0] in "LN" else m[0], value)
+    return unicodedata.normalize("NFC", wide)
+
+
+_WIDE = re.compile(r"[^\x00-\x7f]")
 _STRETCH = re.compile(r"[\x00-\x7f][^\x00-\x7f]*|[^\x00-\x7f]+")
 #: Characters that realign() compares at a time: the search for blocks is quadratic.
 _MOST_ALIGNED = 400

@@ -273,6 +273,9 @@ def phrase_model(dictionary: DictionaryBackend) -> Callable[[list[str]], list[li
     return lambda sentences: [list(zip(s, dictionary.look_up(s))) for s in sentences]
 
 
+_APOSTROPHES = {ord("’"): "'", ord("‘"): "'"}
+
+
 class EnglishBackend:
     """Words by a decision list: clitics, short capitals by letter, the lexicon, short words by letter, known parts, and
     letter-to-sound. Each part is a parameter; tags are asked for only where a word has a homograph rule."""
@@ -306,24 +309,29 @@ class EnglishBackend:
     def predict(self, request: Request) -> dict[int, list[Unit]]:
         targets = request.targets
         tags = self.tags(request) if self.needs_context([t.text for t in targets]) else {}
-        out = {}
-        for token in targets:
-            key = token.text, tags.get(token.id)
-            got = self.seen.get(key)
-            if got is None:
-                got = self._read(*key)
-                if len(self.seen) < 200_000:
-                    self.seen[key] = got
-            phones, native, stress = got
-            out[token.id] = [Unit(token.text, token.spans, phones, "arpabet", native, None, stress)]
-        return out
-
-    def _read(self, text: str, tag: str | None) -> tuple:
+        return {i: u for t in targets for i, u in self.tagged(t, tags.get(t.id)).items()}
+
+    def tagged(self, token: Token, tag: str | None) -> dict[int, list[Unit]]:
+        """The units of one word with its tag."""
+        key = token.text, tag
+        got = self.seen.get(key)
+        if got is None:
+            got = self._read(*key)
+            if len(self.seen) < 200_000:
+                self.seen[key] = got
+        phones, native, stress = got
+        return {token.id: [Unit(token.text, token.spans, phones, "arpabet", native, None, stress)]}
+
+    def sound(self, text: str, tag: str | None) -> list[str]:
+        """ARPABET phones with stress of a word as it is written."""
         try:
-            word = fold(text.translate({ord("’"): "'", ord("‘"): "'"}))
+            word = fold(text.translate(_APOSTROPHES))
         except ValueError as e:
             raise BackendError(str(e)) from None
-        rendered = self.pronounce(word, tag)
+        return self.pronounce(word, tag)
+
+    def _read(self, text: str, tag: str | None) -> tuple:
+        rendered = self.sound(text, tag)
         phones = [p.rstrip("012") for p in rendered]
         return phones, " ".join(rendered), [(k, int(p[-1])) for k, p in enumerate(rendered) if p[-1].isdigit()]
 

@@ -10,7 +10,10 @@ from phonoweave.functions.text import realign
 _DIGITS = "零一二三四五六七八九"
 _ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
 _TENS = "_ _ twenty thirty forty fifty sixty seventy eighty ninety".split()
-_SCALES = ((10**12, "trillion"), (10**9, "billion"), (10**6, "million"), (1000, "thousand"))
+_NAMES = "thousand million billion trillion quadrillion quintillion sextillion septillion octillion nonillion decillion".split()
+_SCALES = [(1000 ** (k + 1), name) for k, name in enumerate(_NAMES)][::-1]
+#: Zeros of the largest name.
+_LARGEST = 3 * len(_NAMES)
 #: Units: Chinese, English.
 UNITS = {"km": ("千米", "kilometers"), "cm": ("厘米", "centimeters"), "mm": ("毫米", "millimeters"), "µm": ("微米", "micrometers"), "μm": ("微米", "micrometers"), "kg": ("千克", "kilograms"), "m": ("米", "meters"), "g": ("克", "grams")}
 
@@ -52,8 +55,22 @@ def digits(value: str, telephone: bool = False) -> str:
     return "".join("幺" if telephone and d == "1" else _DIGITS[int(d)] for d in value)
 
 
-#: Longer whole numbers are spoken digit by digit.
-MOST_DIGITS = 15
+def whole(value: str, lang: str) -> str:
+    """A whole number of any length, group by group: 亿 of 亿 in Chinese, the largest name of the other names in English."""
+    size, one, name = (8, chinese, "亿") if lang == "zh" else (_LARGEST, english, f" {_SCALES[0][1]}")
+    value = value.lstrip("0") or "0"
+    cut = len(value) % size or size
+    out = one(int(value[:cut]))
+    for at in range(cut, len(value), size):
+        low = int(value[at : at + size])
+        out += name
+        if low and lang == "zh":
+            out += ("零" if low < 10**7 else "") + ("一" if 10 <= low < 20 else "") + chinese(low)
+        elif low:
+            out += (" and " if low < 100 else " ") + english(low)
+    return out
+
+
 _MONTHS = "January February March April May June July August September October November December".split()
 _ORDINALS = {"one": "first", "two": "second", "three": "third", "five": "fifth", "eight": "eighth", "nine": "ninth", "twelve": "twelfth"}
 
@@ -92,9 +109,12 @@ _WRITTEN = re.compile(
 )
 
 
+_HAN = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in scripts.HAN_RANGES) + "]")
+
+
 def language_of(text: str) -> str:
     """Chinese with any Han character and for bare numbers, English otherwise."""
-    if any(scripts.is_han(c) for c in text):
+    if _HAN.search(text):
         return "zh"
     return "zh" if re.fullmatch(rf"\s*{_NUMBER}(?:{'|'.join(UNITS)})?\s*", text) and "%" not in text else "en"
 
@@ -110,11 +130,8 @@ def _spell(found: re.Match, lang: str) -> str:
         return digits(found["tel"], True) if zh else " ".join(_ONES[int(d)] for d in found["tel"])
     if found["time"]:
         return clock([int(x) for x in found["time"].split(":")], lang)
-    whole, _, part = found["num"].replace(",", "").partition(".")
-    if len(whole) > MOST_DIGITS:
-        out = digits(whole) if zh else " ".join(_ONES[int(d)] for d in whole)
-    else:
-        out = chinese(int(whole)) if zh else english(int(whole))
+    number, _, part = found["num"].replace(",", "").partition(".")
+    out = whole(number, lang)
     if part:
         out += "点" + digits(part) if zh else " point " + " ".join(_ONES[int(d)] for d in part)
     if found["pct"]:
@@ -136,3 +153,14 @@ def spell_out(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[
         sources += spans[at:a] + realign(text[a:b], new, spans[a:b])
         at = b
     return "".join(out) + text[at:], sources + spans[at:]
+
+
+def spelled(text: str) -> str:
+    """The text of spell_out() alone."""
+    if not _DIGIT.search(text):
+        return text
+    lang = language_of(text)
+    return _WRITTEN.sub(lambda found: _spell(found, lang), text)
+
+
+_DIGIT = re.compile("[0-9]")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Mapping, Sequence
 
 from phonoweave.functions import lexicon
@@ -16,33 +17,24 @@ RULES = {
     "c": "K", "d": "D", "e": "EH1", "f": "F", "g": "G", "h": "HH", "i": "IH1", "j": "JH", "k": "K", "l": "L", "m": "M", "n": "N", "o": "AA1", "p": "P", "q": "K", "r": "R",
     "s": "S", "t": "T", "u": "AH1", "v": "V", "w": "W", "x": "K S", "y": "IY0", "z": "Z",
 }
-_LONGEST = max(map(len, RULES))
+_SPELLING = re.compile("|".join(sorted(RULES, key=len, reverse=True)))
+_SOUNDS = {spelling: sounds.split() for spelling, sounds in RULES.items()}
 
 
 def letter_to_sound(word: str) -> list[str]:
     """Phones of a lower-case word; only the first vowel keeps primary stress, a final e after a consonant is silent."""
     if len(word) > 2 and word.endswith("e") and word[-2] not in "aeiou":
         word = word[:-1]
-    phones: list[str] = []
-    at, stressed = 0, False
-    while at < len(word):
-        size = next((k for k in range(min(_LONGEST, len(word) - at), 0, -1) if word[at : at + k] in RULES), 0)
-        if not size:
-            at += 1
-            continue
-        for phone in RULES[word[at : at + size]].split():
-            if phone[-1] == "1":
-                phone = phone if not stressed else phone[:-1] + "0"
-                stressed = True
-            phones.append(phone)
-        at += size
-    return phones
-
-
-def segment_by_cost(word: str, unigrams: Mapping[str, int], bigrams: Mapping[tuple[str, str], int] | None = None, longest: int = 24) -> list[str]:
+    phones = [p for spelling in _SPELLING.findall(word) for p in _SOUNDS[spelling]]
+    first = next((k for k, p in enumerate(phones) if p[-1] == "1"), len(phones)) + 1
+    return phones[:first] + [p[:-1] + "0" if p[-1] == "1" else p for p in phones[first:]]
+
+
+def segment_by_cost(word: str, unigrams: Mapping[str, int], bigrams: Mapping[tuple[str, str], int] | None = None) -> list[str]:
     """The most probable sequence of words by counts: a pair's where it was seen, else the word's own; a word never seen costs
     more with each letter. The last word is the state, so pairs count across all cuts."""
     bigrams, total = bigrams or {}, max(1, sum(unigrams.values()))
+    # A word never seen has no bound of its length, so every stretch is one.
 
     def cost(previous: str, part: str) -> float:
         if (previous, part) in bigrams and unigrams.get(previous):
@@ -53,7 +45,7 @@ def segment_by_cost(word: str, unigrams: Mapping[str, int], bigrams: Mapping[tup
     # best[end][start]: cost of a sequence whose last word is word[start:end], and where the word before it starts.
     best: list[dict[int, tuple[float, int]]] = [{} for _ in range(len(word) + 1)]
     for end in range(1, len(word) + 1):
-        for start in range(max(0, end - longest), end):
+        for start in range(end):
             part = word[start:end]
             ways = [(cost("", part), -1)] if start == 0 else [(c + cost(word[before:start], part), before) for before, (c, _) in best[start].items()]
             if ways:
@@ -66,20 +58,33 @@ def segment_by_cost(word: str, unigrams: Mapping[str, int], bigrams: Mapping[tup
     return out[::-1] or [word]
 
 
+_LONGEST: dict[int, tuple[Mapping, int, int]] = {}
+
+
+def longest_of(known: Mapping[str, object]) -> int:
+    """Letters of the longest word, kept for the mapping as long as it has as many words."""
+    got = _LONGEST.get(id(known))
+    if got is None or got[0] is not known or got[1] != len(known):
+        if len(_LONGEST) > 16:
+            _LONGEST.clear()
+        got = _LONGEST[id(known)] = known, len(known), max(map(len, known), default=0)
+    return got[2]
+
+
 def segment(word: str, known: Mapping[str, object]) -> list[str]:
     """The word as a sequence of known words of two letters or more, the fewest; the word itself if there is none."""
-    best: list[tuple[float, int]] = [(0.0, 0)] + [(math.inf, 0)] * len(word)
-    for end in range(1, len(word) + 1):
-        for start in range(max(0, end - 24), end - 1):
-            if word[start:end] in known and best[start][0] + 1 < best[end][0]:
-                best[end] = (best[start][0] + 1, start)
-    if best[-1][0] == math.inf:
+    longest, n = longest_of(known), len(word)
+    best, before = [0] + [n + 1] * n, [0] * (n + 1)
+    for end in range(2, n + 1):
+        for start in range(max(0, end - longest), end - 1):
+            if best[start] + 1 < best[end] and word[start:end] in known:
+                best[end], before[end] = best[start] + 1, start
+    if best[n] > n:
         return [word]
-    out, end = [], len(word)
+    out, end = [], n
     while end:
-        start = best[end][1]
-        out.append(word[start:end])
-        end = start
+        out.append(word[before[end] : end])
+        end = before[end]
     return out[::-1]
 
 

@@ -7,11 +7,12 @@ from __future__ import annotations
 
 import itertools
 import re
-import unicodedata
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
-from phonoweave.functions import lexicon, scripts
+import pyarrow as pa
+
+from phonoweave.functions import lexicon, scan, scripts
 from phonoweave.functions import phonetics as P
 from phonoweave.functions.text import compatibility, fold
 from phonoweave.operators import backends, numbers, validation
@@ -26,11 +27,8 @@ def _class(ranges) -> str:
     return "".join(re.escape(chr(a)) if a == b else f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in ranges)
 
 
-_H, _L, _M = (_class(r) for r in (scripts.HAN_RANGES, scripts.LATIN_RANGES, scripts.MARK_RANGES))
-_TOKEN = re.compile(rf"(?P<space>\s+)|(?P<zh>[{_H}]+)|(?P<num>\d+(?:[.:/-]\d+)*)|(?P<en>[{_L}][{_L}{_M}]*(?:['’-][{_L}][{_L}{_M}]*)*)|(?P<sym>\S)")
+_L, _M = (_class(r) for r in (scripts.LATIN_RANGES, scripts.MARK_RANGES))
 _BEYOND_ASCII = re.compile(rf"(?![\x00-\x7f])[{_L}]|(?<=[{_L}])[{_M}]")
-_KINDS = {"space": "space", "zh": "han", "num": "number", "en": "latin"}
-_BOUNDARY_MARKS = {c: "sentence" for c in scripts.SENTENCE_MARKS} | {c: "pause" for c in scripts.PAUSE_MARKS}
 _VERBS = frozenset("看想去来是说吃走")
 
 
@@ -209,36 +207,32 @@ class Converter:
         return parts
 
     def tokens(self, text: str, spans: list[tuple[int, int]]) -> list[Token]:
+        """The tokens of scan(), Han runs cut into words; the first word inherits what stands before the run."""
+        s = scan.scan(pa.array([text]))
+        columns = s.texts(), scan.LANGUAGES.take(pa.array(s.kind)), scan.KINDS.take(pa.array(s.kind)), scan.BOUNDARIES.take(pa.array(s.boundaries()))
         out: list[Token] = []
-        before: Token | None = None
-        gap = False
-        for found in _TOKEN.finditer(text):
-            lang, value, at = found.lastgroup, found.group(), found.start()
-            kind = _KINDS.get(lang) or ("punctuation" if unicodedata.category(value)[0] == "P" else "symbol")
-            if before is None or lang == "space":
-                boundary = "none"
-            elif before.text[-1] in _BOUNDARY_MARKS:
-                boundary = _BOUNDARY_MARKS[before.text[-1]]
-            elif lang != before.language and lang in ("zh", "en") and before.language in ("zh", "en"):
-                boundary = "code_switch"
-            else:
-                boundary = "soft" if gap else "none"
+        for value, lang, kind, boundary, at in zip(*(c.to_pylist() for c in columns), s.start.tolist()):
             for k, (part, pos) in enumerate(self.segment(value) if lang == "zh" else ((value, None),)):
                 out.append(Token(len(out), part, at, at + len(part), lang, kind, boundary if k == 0 else "none", pos, spans[at : at + len(part)]))
                 at += len(part)
-            gap = lang == "space"
-            before = before if gap else out[-1]
         return out
 
+    def english_tags(self, text: str) -> dict[int, str]:
+        """Tags of the English words of a normalized text, by the number of their token in scan()."""
+        s = scan.scan(pa.array([text]))
+        rows = zip(s.texts().to_pylist(), scan.LANGUAGES.take(pa.array(s.kind)).to_pylist())
+        return self.english.tags(Request([Token(k, t, 0, 0, lang, "", "none", None, ()) for k, (t, lang) in enumerate(rows)], "en"))
+
     # Readings.
 
-    def predict(self, tokens: list[Token]) -> tuple[dict[int, list[Unit]], dict[int, str]]:
+    def predict(self, tokens: list[Token], tag: str | None = None) -> tuple[dict[int, list[Unit]], dict[int, str]]:
+        """(units, names of backends) by token; tag: of a single English word that is read by itself."""
         units, names = {}, {}
         for backend, language in ((self.han, "zh"), (self.english, "en")):
             request = Request(tokens, language, self.o.mode if language == "zh" else None)
             if not request.targets:
                 continue
-            answer = backends.ask(backend, request)
+            answer = backends.ask(backend, request) if tag is None else backend.tagged(request.targets[0], tag)
             validation.check_prediction(backend, request, answer)
             units |= answer
             names |= dict.fromkeys(answer, backend.name)

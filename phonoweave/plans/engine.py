@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +13,7 @@ from pyspark.sql.types import StructType
 
 from phonoweave.functions.scan import slices
 from phonoweave.operators import similarity
+from phonoweave.operators.conversion import Reader, by_word
 from phonoweave.operators.utterance import Converter, Options
 
 _SPANS = "array<struct<start:int,end:int>>"
@@ -20,52 +24,98 @@ RESULT = f"original string, normalized string, output string, tokens array<{_TOK
 SLICE = 1 << 18
 
 _CONVERTERS: dict[str, Converter] = {}
+_READERS: dict[str, Reader] = {}
 
 
-def _converter(options: Options) -> Converter:
-    """One for each set of options in a Python worker, so that words are looked up once."""
-    key = repr(options)
+def _converter(key: str, options: Options) -> Converter:
+    """One for each engine in a Python worker, so that words are looked up once."""
     if key not in _CONVERTERS:
         _CONVERTERS.clear()
+        _READERS.clear()
         _CONVERTERS[key] = Converter(options)
     return _CONVERTERS[key]
 
 
+def _reader(key: str, options: Options) -> Reader:
+    converter = _converter(key, options)
+    if key not in _READERS:
+        _READERS[key] = Reader(converter)
+    return _READERS[key]
+
+
 class Engine:
     """Engine(mode="mandarin", output="native", ...).transform(df, "text"); options are those of Options."""
 
     def __init__(self, **options):
-        self.options = Options(**options)
+        self.options, self.key = Options(**options), uuid.uuid4().hex
+        #: Whether lines() and summary() go by distinct words.
+        self.by_word = by_word(self.options)
 
     def _column(self, text: Column, make, ddl: str, kind: pa.DataType) -> Column:
         """An Arrow UDF of make(converter, text), a few texts' values at a time."""
-        options = self.options
+        options, engine = self.options, self.key
 
         def run(texts: pa.Array) -> pa.Array:
-            converter = _converter(options)
+            converter = _converter(engine, options)
             parts = [pa.array([make(converter, t) for t in part.to_pylist()], kind) for part in slices(texts, SLICE)]
             return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
         return F.arrow_udf(run, ddl)(text)
 
+    def _by_word(self, text: Column, make, ddl: str, kind: pa.DataType) -> Column:
+        """An Arrow UDF of make(batch): values of many texts from the readings of their distinct words."""
+        options, engine = self.options, self.key
+
+        def run(texts: pa.Array) -> pa.Array:
+            reader = _reader(engine, options)
+            parts = [make(reader.batch(part)) for part in slices(texts)]
+            return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+        return F.arrow_udf(run, ddl)(text)
+
     def convert(self, text: Column) -> Column:
         """The result of each utterance, as a struct; one Arrow UDF, stateless."""
         return self._column(text, Converter.convert, RESULT, to_arrow_type(StructType.fromDDL(RESULT)))
 
     def lines(self, text: Column) -> Column:
         """Only the text sink's lines of each utterance, as an array; none where there is an error."""
-        return self._column(text, lambda c, t: c.result(t).lines(), "array<string>", pa.list_(pa.string()))
+        kind = pa.list_(pa.string())
+        if self.by_word:
+            return self._by_word(text, lambda b: b.lines(), "array<string>", kind)
+        return self._column(text, lambda c, t: c.result(t).lines(), "array<string>", kind)
 
     def summary(self, text: Column) -> Column:
         """Only normalized, n_tokens, phones (blanks between), warnings and error of each utterance."""
         ddl = "normalized string, n_tokens int, phones string, n_phones int, warnings array<string>, error string"
+        kind = to_arrow_type(StructType.fromDDL(ddl))
+        if self.by_word:
+            return self._by_word(text, lambda b: pa.StructArray.from_arrays([b.normalized(), b.n_tokens(), b.phones(), b.n_phones(), b.warnings(), b.errors()], fields=list(kind)), ddl, kind)
 
         def make(converter: Converter, text: str | None) -> dict:
             r = converter.result(text)
             phones = r.phones
             return {"normalized": r.normalized, "n_tokens": len(r.tokens), "phones": " ".join(phones), "n_phones": len(phones), "warnings": r.warnings, "error": r.error}
 
-        return self._column(text, make, ddl, to_arrow_type(StructType.fromDDL(ddl)))
+        return self._column(text, make, ddl, kind)
+
+    def failures(self, df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+        """keep, error: a row for each utterance that can't be converted."""
+        options, engine, words = self.options, self.key, self.by_word
+        kinds = dict(df.select(*keep).dtypes)
+
+        def run(batches):
+            for batch in batches:
+                at = 0
+                for part in slices(batch.column(len(keep))):
+                    if words:
+                        errors = _reader(engine, options).batch(part).errors()
+                    else:
+                        errors = pa.array([_converter(engine, options).result(t).error for t in part.to_pylist()], pa.string())
+                    bad = np.flatnonzero(np.asarray(errors.is_valid()))
+                    yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(bad + at)) for k in range(len(keep))), errors.take(pa.array(bad))], names=[*keep, "error"])
+                    at += len(part)
+
+        return df.select(*keep, F.col(text).alias("_text")).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "error string"]))
 
     def transform(self, df: DataFrame, text: str = "text", result: str = "result", strict: bool = False) -> DataFrame:
         """Adds the result; strict: a row with an error fails the job when its phones are read."""
@@ -83,10 +133,10 @@ class Engine:
 
     def register(self, spark, name: str = "phones") -> None:
         """A SQL function from a text to its phones, blanks between."""
-        options = self.options
+        options, engine = self.options, self.key
 
         def run(texts: pa.Array) -> pa.Array:
-            converter = _converter(options)
+            converter = _converter(engine, options)
             return pa.array([" ".join(converter.result(t).phones) for t in texts.to_pylist()], pa.string())
 
         spark.udf.register(name, F.arrow_udf(run, "string"))

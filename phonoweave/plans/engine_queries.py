@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from phonoweave.functions import lexicon
 from phonoweave.functions import text as texts
+from phonoweave.operators import spelling
 from phonoweave.plans import engine, sql
-from phonoweave.plans.text_queries import dealt, mixed
+from phonoweave.plans.text_queries import _english_sql, dealt, mixed
 
 
 def convert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,8 +19,8 @@ def convert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def result_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = dealt(spark, sf_dir).select("doc_id", engine.Engine(unknown="preserve", spell_numbers=False).summary(F.col("text"))["error"].alias("error"))
-    return done.select("doc_id", F.split_part("error", F.lit(":"), F.lit(1)).alias("kind")).where("kind is not null")
+    bad = engine.Engine(unknown="preserve", spell_numbers=False).failures(dealt(spark, sf_dir))
+    return bad.select("doc_id", F.split_part("error", F.lit(":"), F.lit(1)).alias("kind"))
 
 
 def result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +49,33 @@ def heteronyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"convert": convert, "result_errors": result_errors, "result_lines": result_lines, "compatibility_norm": compatibility, "name_similarity": name_similarity, "heteronyms": heteronyms}
 
 _OTHER = texts.latin_tables()[2]
+
+
+def _lines_sql() -> str:
+    """Words outside the lexicon by the fewest known parts, or else by spellings, longest first."""
+    rules = sql.values(spelling.RULES.items(), "spelling, sounds")
+    pattern = "|".join(sorted(spelling.RULES, key=len, reverse=True))
+    others = sql.values([(w, r[1]) for w, r in lexicon.HOMOGRAPHS.items()], "h, other")
+    return _english_sql(
+        f""", oov AS (SELECT DISTINCT lower(word) AS word FROM done WHERE route = 'segment'),
+      seg AS (SELECT word, 0 AS place, []::INTEGER[] AS cuts FROM oov UNION ALL
+        SELECT s.word, CAST(s.place + length(l.w) AS INTEGER), list_append(s.cuts, s.place) FROM seg s JOIN lex l ON length(l.w) >= 2 AND substr(s.word, s.place + 1, length(l.w)) = l.w),
+      best AS (SELECT word, arg_min(list_append(cuts, place), (len(cuts), list_reverse(cuts))) AS cuts FROM seg WHERE place = length(word) AND len(cuts) > 1 GROUP BY word),
+      pieces AS (SELECT word, unnest(range(1, len(cuts))) AS k, unnest(list_transform(range(1, len(cuts)), lambda i: substr(word, cuts[i] + 1, cuts[i + 1] - cuts[i]))) AS part FROM best),
+      known AS (SELECT word, string_agg(coalesce(other, reading), ' ' ORDER BY k) AS sounds FROM pieces JOIN lex ON part = w LEFT JOIN (SELECT * FROM {others}) ON h = part GROUP BY word),
+      bare AS (SELECT word, regexp_replace(word, '[^a-z]', '', 'g') AS b FROM oov WHERE word NOT IN (SELECT word FROM known)),
+      shorter AS (SELECT word, CASE WHEN regexp_matches(b, '.[^aeiou]e$') THEN left(b, length(b) - 1) ELSE b END AS b FROM bare),
+      spelled_out AS (SELECT word, unnest(regexp_extract_all(b, '{pattern}')) AS g, generate_subscripts(regexp_extract_all(b, '{pattern}'), 1) AS k FROM shorter),
+      sounded AS (SELECT word, string_split(string_agg(sounds, ' ' ORDER BY k), ' ') AS p FROM spelled_out JOIN (SELECT * FROM {rules}) ON g = spelling GROUP BY word),
+      stressed AS (SELECT word, p, list_position(list_transform(p, lambda x: right(x, 1) = '1'), true) AS f FROM sounded),
+      read_ AS (SELECT word, sounds FROM known UNION ALL SELECT word, array_to_string(list_transform(p, lambda x, i: CASE WHEN i > f AND right(x, 1) = '1' THEN left(x, length(x) - 1) || '0' ELSE x END), ' ') FROM stressed)
+      SELECT tok || chr(9) || coalesce(native, sounds) AS value, count(*) AS n FROM done d JOIN toks t ON t.doc_id = d.doc_id AND t.id = d.id LEFT JOIN read_ r ON r.word = lower(d.word)
+      WHERE d.doc_id NOT IN (SELECT doc_id FROM documents WHERE regexp_matches(text, '[{_OTHER}]')) AND coalesce(native, sounds) IS NOT NULL GROUP BY value"""
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 ORACLE_SQL = {
+    "result_lines": _lines_sql(),
     "result_errors": f"SELECT doc_id, 'NormalizationError' AS kind FROM documents WHERE regexp_matches(text, '[{_OTHER}]')",
     "compatibility_norm": "SELECT doc_id, md5(nfc_normalize(text)) AS normalized, true AS aligned FROM documents",
     "heteronyms": f"SELECT char, readings FROM {sql.values([(c, m) for c, (m, _) in lexicon.HAN_SEED.items()], 'char, readings')} WHERE contains(readings, ',')",
