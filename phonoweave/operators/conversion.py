@@ -115,15 +115,18 @@ class Reader:
     # Texts.
 
     def normalized(self, text: str) -> str:
-        """The converter's normalization without spans and without the check of Latin letters."""
+        """The converter's normalization without spans, without traditional forms and without the check of Latin letters."""
         value = normalized_compatibility(text)
         if self.o.spell_numbers:
             value = numbers.spelled(value)
-        return value.translate(self._traditional) if self.o.traditional else value
+        return value
 
-    @property
-    def _traditional(self) -> dict[int, str]:
-        return {ord(a): b for a, b in self.o.simplified_to_traditional.items()}
+    def prepare(self, runs: list[str]) -> None:
+        """Cut new Han runs into words, all of them at once where the segmenter can."""
+        c = self.converter
+        many = getattr(c.segmenter, "many", None)
+        new = [r for r in runs if (r, "zh", None) not in self.seen] if many else []
+        c.cut = dict(zip(new, many(new))) if new else {}
 
     def batch(self, texts: pa.Array) -> Batch:
         return Batch(self, texts)
@@ -143,6 +146,10 @@ class Batch:
                     self.texts[k] = reader.normalized(t)
                 except PhoneticsError as e:
                     self.texts[k], self.error[k] = None, f"{type(e).__name__}: {e}"
+        if reader.o.traditional:
+            there = [k for k, t in enumerate(self.texts) if t is not None]
+            for k, t in zip(there, reader.converter.traditional.convert([self.texts[k] for k in there])):
+                self.texts[k] = t
         self.scan = s = S.scan(pa.array(self.texts, pa.string()))
         self._check_latin()
         kept = np.flatnonzero((s.kind == S.HAN) | (s.kind == S.LATIN))
@@ -152,6 +159,7 @@ class Batch:
         self.entry = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         han = np.zeros(len(values), bool)
         han[self.entry] = s.kind[kept] == S.HAN
+        reader.prepare([v for v, h in zip(values, han.tolist()) if h])
         self.readings = [reader.read(v, "zh" if h else "en") for v, h in zip(values, han.tolist())]
         self._tag(values)
         self._first_errors()

@@ -14,6 +14,7 @@ import pyarrow as pa
 
 from phonoweave.functions import lexicon, scan, scripts
 from phonoweave.functions import phonetics as P
+from phonoweave.functions.phrases import PhraseMap
 from phonoweave.functions.text import compatibility, fold
 from phonoweave.operators import backends, numbers, validation
 from phonoweave.operators.backends import EnglishBackend, Request, Token, Unit, WithFallback
@@ -72,7 +73,7 @@ class Options:
     """mode: mandarin or cantonese; output: native or ipa; unknown: strict or preserve.
 
     Dictionaries are parameters: han (char to readings), phrases, english (word to readings), homographs, neutral words,
-    traditional (character to character). backend and fallback are names of backends.REGISTRY, functions of a word, or
+    traditional (characters, and phrases, to ones of the same length; the longest first). backend and fallback are names of backends.REGISTRY, functions of a word, or
     backends; a fallback is always strict. model is what a sequence backend asks. english_backend, segmenter, normalizers
     (functions from text to text and spans, before the check of Latin letters) and processors (functions from tokens and
     units to units, run after sandhi) replace or extend what comes with the library.
@@ -109,10 +110,10 @@ class Options:
             self.han = {c: v[k].split(",") for c, v in lexicon.HAN_SEED.items() if len(c) == 1}
         if self.traditional is None:
             self.traditional = self.mode == "cantonese"
-        if any(len(a) != 1 or len(b) != 1 for a, b in self.simplified_to_traditional.items()):
-            raise ConfigurationError("simplified_to_traditional maps characters to characters")
+        if any(len(a) != len(b) or not a for a, b in self.simplified_to_traditional.items()):
+            raise ConfigurationError("simplified_to_traditional maps characters to characters, and phrases to phrases of the same length")
         if self.traditional and self.mode == "cantonese":
-            self.han = dict(self.han) | {t: self.han[s] for s, t in self.simplified_to_traditional.items() if s in self.han}
+            self.han = dict(self.han) | {t: self.han[s] for s, t in self.simplified_to_traditional.items() if s in self.han and len(s) == 1}
         if self.english_backend is not None and getattr(getattr(self.english_backend, "traits", None), "language", None) != "en":
             raise ConfigurationError("english_backend is no backend for English")
 
@@ -153,6 +154,8 @@ class Converter:
         self.o = options
         self.sandhi = Sandhi(neutral=options.neutral)
         self.segmenter = options.segmenter or longest_match([*options.phrases, *self.sandhi.known])
+        self.traditional = PhraseMap(options.simplified_to_traditional) if options.traditional else None
+        self.cut: dict[str, list[tuple[str, str]]] = {}
         self.han = backends.build(options, options.backend, options.unknown)
         if options.fallback is not None:
             then = backends.build(options, options.fallback, "strict")
@@ -176,7 +179,7 @@ class Converter:
         if self.o.spell_numbers:
             value, spans = numbers.spell_out(value, spans)
         if self.o.traditional:
-            value = value.translate({ord(a): b for a, b in self.o.simplified_to_traditional.items()})
+            value = self.traditional.convert([value])[0]
         if not value.isascii():
             self.check_latin(text, value, spans)
         return value, spans
@@ -201,7 +204,7 @@ class Converter:
     # Tokens.
 
     def segment(self, text: str) -> list[tuple[str, str]]:
-        parts = self.segmenter(text)
+        parts = self.cut[text] if text in self.cut else self.segmenter(text)
         if "".join(w for w, _ in parts) != text or not all(w for w, _ in parts):
             raise AlignmentError(f"the segmenter did not keep {text!r}")
         return parts

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from phonoweave.operators import numbers, spelling
 from phonoweave.operators.backends import EnglishBackend
 from phonoweave.operators.conversion import Reader, by_word
+from phonoweave.operators.lattice import Lattice
 from phonoweave.operators.utterance import Converter, Options
 from phonoweave.plans import engine_queries
 from phonoweave.plans.engine import Engine
@@ -17,7 +18,8 @@ BITS = "好 中 不 一 我们去 你好 很 银行 长大 the to refuse record
 CHOICES = [
     {"unknown": "preserve"}, {}, {"unknown": "preserve", "output": "ipa"}, {"mode": "cantonese", "unknown": "preserve"}, {"mode": "cantonese", "output": "ipa", "unknown": "preserve"},
     {"unknown": "preserve", "spell_numbers": False, "tone_sandhi": False, "backend": "dictionary"}, {"traditional": True, "unknown": "preserve"},
-    {"english_backend": EnglishBackend(sounds=lambda w: ["QQ"]), "unknown": "preserve"}, {"segmenter": list, "unknown": "preserve"},
+    {"english_backend": EnglishBackend(sounds=lambda w: ["QQ"]), "unknown": "preserve"}, {"segmenter": list, "unknown": "preserve"}, {"segmenter": Lattice({"我们": 5, "好中": 3, "不不": 1, "一": 4}, {"一": {"m": 1}}), "unknown": "preserve"},
+    {"mode": "cantonese", "unknown": "preserve", "simplified_to_traditional": {"长大": "長大", "银": "銀", "我们": "我們", "一不": "壹不"}},
 ]
 
 
