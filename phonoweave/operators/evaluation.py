@@ -3,24 +3,46 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phonoweave.functions.columns import written
 
 
-def edit_distance(left: Column, right: Column) -> Column:
-    """Levenshtein distance of two arrays: rows of the table, folded over the left array."""
+def distance(left: Sequence[str | None], right: Sequence[str | None]) -> int:
+    """Levenshtein distance of two sequences of units, a row of the table at a time as the bits of two whole numbers.
+
+    A bit of `up` (`down`) says that the table rises (falls) by one from a row to the next in the column; a null equals nothing.
+    """
+    if not left or not right:
+        return len(left) + len(right)
+    places: dict[str, int] = {}
+    for k, unit in enumerate(left):
+        if unit is not None:
+            places[unit] = places.get(unit, 0) | 1 << k
+    full, top, n = (1 << len(left)) - 1, 1 << (len(left) - 1), len(left)
+    up, down = full, 0
+    for unit in right:
+        same = places.get(unit, 0) if unit is not None else 0
+        stays = same | down
+        carried = (((same & up) + up) ^ up) | same
+        rises, falls = down | (full & ~(carried | up)), up & carried
+        n += bool(rises & top) - bool(falls & top)
+        rises, falls = (rises << 1 | 1) & full, falls << 1 & full
+        up, down = falls | (full & ~(stays | rises)), rises & stays
+    return n
 
-    def row(previous: Column, x: Column) -> Column:
-        def cell(out: Column, y: Column) -> Column:
-            j = F.size(out)
-            cost = F.least(F.get(previous, j) + 1, F.get(out, j - 1) + 1, F.get(previous, j - 1) + F.when(x == y, 0).otherwise(1))
-            return F.concat(out, F.array(cost))
 
-        return F.aggregate(right, F.array(F.get(previous, 0) + 1), cell)
+def edit_distance(left: Column, right: Column) -> Column:
+    """distance() of two arrays; null where one is."""
+
+    def run(lefts: pa.Array, rights: pa.Array) -> pa.Array:
+        return pa.array([None if a is None or b is None else distance(a, b) for a, b in zip(lefts.to_pylist(), rights.to_pylist())], pa.int32())
 
-    return F.get(F.aggregate(left, F.sequence(F.lit(0), F.size(right)), row), F.size(right))
+    return F.arrow_udf(run, "int")(left, right)
 
 
 def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
@@ -84,24 +106,24 @@ def failures(scored: DataFrame, most: int = 100) -> DataFrame:
     return scored.where(~F.col("exact")).orderBy(F.col("error").isNull(), "id").limit(most)
 
 
-def number_rows(rows: DataFrame, key: str, index: str, stretches: int = 1000) -> tuple[DataFrame, int]:
-    """(rows with their position from 0 in the order of a numeric key, their count).
+def number_rows(rows: DataFrame, keys: str | list[str], index: str) -> tuple[DataFrame, int]:
+    """(rows with their position from 0 in the order of the keys, their count).
 
-    Rows are numbered within stretches of the key, after the counts of the stretches before: no task holds all rows. Rows
-    that share a key are numbered in any order, null keys first.
+    Rows are dealt by ranges of all keys, of any type, so rows that share the first key are parted by the others; each partition
+    numbers its own rows, and what the partitions before it hold is added. Partitions are written to the session's shared folder
+    once, so that numbers stay what they are when a task runs again. Null keys come first; rows equal in all keys are numbered in any order.
     """
-    low, high = rows.agg(F.min(key), F.max(key)).first()
-    low, wide = low or 0, max(1, -(-((high or 0) - (low or 0) + 1) // stretches))
-    stretch = F.coalesce(F.floor((F.col(key) - low) / wide), F.lit(-1)).cast("long")
-    counts = sorted(rows.groupBy(stretch.alias("s")).count().collect())
+    keys = [keys] if isinstance(keys, str) else keys
+    ranged = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    at = F.monotonically_increasing_id()  # the partition above 33 bits of the row's place in it
+    placed = written(ranged.withColumns({"__part": F.shiftright(at, 33), "__at": at.bitwiseAND(F.lit((1 << 33) - 1))}), "numbered")
     before, n = [], 0
-    for s, count in counts:
-        before.append((s, n))
+    # A row for each partition.
+    for part, count in sorted(placed.groupBy("__part").count().collect()):
+        before.append((part, n))
         n += count
-    offsets = rows.sparkSession.createDataFrame(before, "_stretch long, _before long")
-    placed = rows.withColumn("_stretch", stretch).join(F.broadcast(offsets), "_stretch")
-    place = F.row_number().over(Window.partitionBy("_stretch").orderBy(key)) - 1 + F.col("_before")
-    return placed.withColumn(index, place.cast("long")).drop("_stretch", "_before"), n
+    offsets = rows.sparkSession.createDataFrame(before, "__part long, __before long")
+    return placed.join(F.broadcast(offsets), "__part").withColumn(index, F.col("__at") + F.col("__before")).drop("__part", "__at", "__before"), n
 
 
 def sample(spark: SparkSession, rows: DataFrame, index: str, n: int, most: int | None, seed: int) -> DataFrame:

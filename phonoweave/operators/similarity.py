@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 #: Feature vectors by published phonetics: (consonant, place 0-8, manner 0-5, voice, aspirated, height 0-4, back 0-2, round, length or labial glide).
 _CONSONANTS = {
@@ -53,32 +56,98 @@ def weight(segment: str) -> float:
     return 1.0 + 0.5 * features(segment)[0]
 
 
+#: Cells of tables that are filled together; a pair with more is alone.
+CELLS = 1 << 23
+_MATCH, _DELETE, _INSERT = 0, 1, 2
+
+
+def _moves(left: np.ndarray, right: np.ndarray, apart: np.ndarray, alone: np.ndarray, n_left: np.ndarray, n_right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(moves, distances) of pairs of padded code rows, an anti-diagonal of all tables at a time: a cell needs only the two before.
+
+    A move is a byte; ties take the diagonal, then deletion.
+    """
+    pairs, m, n = len(left), left.shape[1], right.shape[1]
+    moves = np.zeros((pairs, m + 1, n + 1), np.uint8)
+    moves[:, 1:, 0], moves[:, 0, 1:] = _DELETE, _INSERT
+    down = np.concatenate([np.zeros((pairs, 1)), np.cumsum(alone[left], axis=1)], axis=1)
+    over = np.concatenate([np.zeros((pairs, 1)), np.cumsum(alone[right], axis=1)], axis=1)
+    out = np.where(n_right == 0, down[np.arange(pairs), n_left], over[np.arange(pairs), n_right])
+    # Costs of the last two diagonals, by row.
+    older, last = np.zeros((pairs, m + 1)), np.zeros((pairs, m + 1))
+    last[:, 0] = 0
+    for d in range(1, m + n + 1):
+        now = np.full((pairs, m + 1), np.inf)
+        if d <= n:
+            now[:, 0] = over[:, d]
+        if d <= m:
+            now[:, d] = down[:, d]
+        i = np.arange(max(1, d - n), min(m, d - 1) + 1)
+        if len(i):
+            a, b = left[:, i - 1], right[:, d - i - 1]
+            ways = np.stack([older[:, i - 1] + apart[a, b], last[:, i - 1] + alone[a], last[:, i] + alone[b]])
+            move = ways.argmin(axis=0)
+            moves[:, i, d - i] = move
+            now[:, i] = ways.min(axis=0)
+        ends = np.flatnonzero((n_left + n_right == d) & (n_left > 0) & (n_right > 0))
+        out[ends] = now[ends, n_left[ends]]
+        older, last = last, now
+    return moves, out
+
+
+def align_many(lefts: Sequence[Sequence[str]], rights: Sequence[Sequence[str]]) -> list[dict | str]:
+    """For each pair align()'s result, or what is wrong with it."""
+    segments = sorted({s for side in (lefts, rights) for row in side for s in row if s is not None})
+    wrong: dict[str | None, str] = {None: "no features for None"}
+    for s in segments:
+        try:
+            features(s)
+        except ValueError as e:
+            wrong[s] = str(e)
+    known = [s for s in segments if s not in wrong]
+    number = {s: k for k, s in enumerate(known)}
+    apart = np.array([[distance(a, b) for b in known] for a in known]).reshape(len(known), len(known))
+    alone = np.array([weight(s) for s in known])
+    out: list[dict | str] = []
+    for a, b in zip(lefts, rights):
+        bad = next((wrong[s] for s in (*a, *b) if s in wrong), None)
+        out.append("nothing to compare" if not a or not b else bad)
+    sizes = np.array([[len(a), len(b)] for a, b in zip(lefts, rights)], np.int64).reshape(-1, 2)
+    todo = [k for k in np.lexsort((sizes[:, 1], sizes[:, 0])).tolist() if out[k] is None]
+    at = 0
+    while at < len(todo):
+        end, m, n = at, 0, 0
+        while end < len(todo):
+            m2, n2 = max(m, int(sizes[todo[end], 0])), max(n, int(sizes[todo[end], 1]))
+            if end > at and (end - at + 1) * (m2 + 1) * (n2 + 1) > CELLS:
+                break
+            m, n, end = m2, n2, end + 1
+        group = todo[at:end]
+        left, right = np.zeros((len(group), m), np.int64), np.zeros((len(group), n), np.int64)
+        for row, k in enumerate(group):
+            left[row, : sizes[k, 0]] = [number[s] for s in lefts[k]]
+            right[row, : sizes[k, 1]] = [number[s] for s in rights[k]]
+        moves, costs = _moves(left, right, apart, alone, sizes[group, 0], sizes[group, 1])
+        for row, k in enumerate(group):
+            steps, i, j, table = [], int(sizes[k, 0]), int(sizes[k, 1]), moves[row]
+            whole = max(sum(alone[left[row, :i]].tolist()), sum(alone[right[row, :j]].tolist()))
+            while i or j:
+                move = int(table[i, j])
+                a, b = lefts[k][i - 1] if move != _INSERT else None, rights[k][j - 1] if move != _DELETE else None
+                cost = alone[number[a]] if b is None else alone[number[b]] if a is None else apart[number[a], number[b]]
+                steps.append(("insert" if a is None else "delete" if b is None else "match" if a == b else "substitute", a, b, float(cost)))
+                i, j = i - (move != _INSERT), j - (move != _DELETE)
+            got = float(costs[row])
+            out[k] = {"distance": got, "maximum": whole, "score": min(1.0, max(0.0, 1 - got / whole)), "steps": steps[::-1]}
+        at = end
+    return out
+
+
 def align(left: Sequence[str], right: Sequence[str]) -> dict:
     """Distance, the most it could be, score, and steps (operation, left, right, cost); ties take the diagonal, then deletion."""
-    if not left or not right:
-        raise ValueError("nothing to compare")
-    cost = [[0.0] * (len(right) + 1) for _ in range(len(left) + 1)]
-    for i, a in enumerate(left, 1):
-        cost[i][0] = cost[i - 1][0] + weight(a)
-    for j, b in enumerate(right, 1):
-        cost[0][j] = cost[0][j - 1] + weight(b)
-    for i, a in enumerate(left, 1):
-        for j, b in enumerate(right, 1):
-            cost[i][j] = min(cost[i - 1][j - 1] + distance(a, b), cost[i - 1][j] + weight(a), cost[i][j - 1] + weight(b))
-    steps, i, j = [], len(left), len(right)
-    while i or j:
-        a, b = left[i - 1] if i else None, right[j - 1] if j else None
-        if i and j and cost[i][j] == cost[i - 1][j - 1] + distance(a, b):
-            steps.append(("match" if a == b else "substitute", a, b, distance(a, b)))
-            i, j = i - 1, j - 1
-        elif i and cost[i][j] == cost[i - 1][j] + weight(a):
-            steps.append(("delete", a, None, weight(a)))
-            i -= 1
-        else:
-            steps.append(("insert", None, b, weight(b)))
-            j -= 1
-    most = max(cost[-1][0], cost[0][-1])
-    return {"distance": cost[-1][-1], "maximum": most, "score": min(1.0, max(0.0, 1 - cost[-1][-1] / most)), "steps": steps[::-1]}
+    (got,) = align_many([left], [right])
+    if isinstance(got, str):
+        raise ValueError(got)
+    return got
 
 
 RESULT = "distance double, maximum double, score double, alignment array<struct<op:string,left:string,right:string,cost:double>>, error string"
@@ -87,14 +156,15 @@ RESULT = "distance double, maximum double, score double, alignment array<struct<
 def compare(left: Column, right: Column) -> Column:
     """align() of two arrays of IPA segments as an Arrow UDF; what can't be compared has an error instead of values."""
 
-    def run(lefts: pd.Series, rights: pd.Series) -> pd.DataFrame:
+    kind = to_arrow_type(StructType.fromDDL(RESULT))
+
+    def run(lefts: pa.Array, rights: pa.Array) -> pa.Array:
         rows = []
-        for a, b in zip(lefts, rights):
-            try:
-                got = align(list(a) if a is not None else [], list(b) if b is not None else [])
-                rows.append((got["distance"], got["maximum"], got["score"], [dict(zip(("op", "left", "right", "cost"), s)) for s in got["steps"]], None))
-            except ValueError as e:
-                rows.append((None, None, None, None, f"SimilarityError: {e}"))
-        return pd.DataFrame(rows, columns=["distance", "maximum", "score", "alignment", "error"])
-
-    return F.pandas_udf(run, RESULT)(left, right)
+        for got in align_many(*([v or [] for v in side.to_pylist()] for side in (lefts, rights))):
+            if isinstance(got, str):
+                rows.append({"error": f"SimilarityError: {got}"})
+            else:
+                rows.append({"distance": got["distance"], "maximum": got["maximum"], "score": got["score"], "alignment": [dict(zip(("op", "left", "right", "cost"), s)) for s in got["steps"]]})
+        return pa.array(rows, kind)
+
+    return F.arrow_udf(run, RESULT)(left, right)

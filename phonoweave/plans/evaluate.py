@@ -9,6 +9,7 @@ import argparse
 import json
 import sys
 import time
+import uuid
 from collections.abc import Mapping
 
 import pyarrow as pa
@@ -23,31 +24,45 @@ from phonoweave.operators.utterance import Converter, Options
 from phonoweave.sources import corpora
 
 MODES = ("mandarin", "cantonese")
-_SPOKEN = "normalized string, units array<struct<native:string,source_spans:array<struct<start:int,end:int>>>>, error string, seconds double"
-_CONVERTERS: dict[str, Converter] = {}
+_SPOKEN = "normalized string, units array<struct<native:string,source_spans:array<struct<start:int,end:int>>>>, error string, seconds double, edits array<int>"
+#: By evaluation, mode and choice of sandhi.
+_CONVERTERS: dict[tuple[str, str | None, bool], Converter] = {}
 
 
-def spoken(mode: Column, text: Column, tone_sandhi: Column, options: Mapping[str, Mapping] | None = None) -> Column:
-    """What the engine says to each text: one converter in a worker for each mode and choice of sandhi; options by mode."""
-    options, kind = dict(options or {}), to_arrow_type(StructType.fromDDL(_SPOKEN))
+def spoken(mode: Column, text: Column, tone_sandhi: Column, targets: Column, options: Mapping[str, Mapping] | None = None) -> Column:
+    """What the engine says to each text, and the distance of each target's units from those expected: one converter in a worker
+    for each mode and choice of sandhi; options by mode."""
+    options, key, kind = dict(options or {}), uuid.uuid4().hex, to_arrow_type(StructType.fromDDL(_SPOKEN))
 
     def converter(of_mode: str, sandhi: bool) -> Converter:
-        chosen = Options(**{"mode": of_mode, "tone_sandhi": sandhi, **options.get(of_mode, {})})
-        return _CONVERTERS.setdefault(repr(chosen), Converter(chosen))
-
-    def one(of_mode: str | None, value: str | None, sandhi: bool | None) -> dict:
+        chosen = key, of_mode, sandhi
+        if chosen not in _CONVERTERS:
+            if any(k[0] != key for k in _CONVERTERS):
+                _CONVERTERS.clear()
+            _CONVERTERS[chosen] = Converter(Options(**{"mode": of_mode, "tone_sandhi": sandhi, **options.get(of_mode, {})}))
+        return _CONVERTERS[chosen]
+
+    def distances(units: list[dict], wanted: list[dict] | None) -> list[int]:
+        out = []
+        for t in wanted or []:
+            a, b = t["span"] or (0, sys.maxsize)
+            mine = units if t["span"] is None else [u for u in units if any(s["start"] < b and a < s["end"] for s in u["source_spans"])]
+            out.append(evaluation.distance(t["expected_native"] or [], [u["native"] for u in mine]))
+        return out
+
+    def one(of_mode: str | None, value: str | None, sandhi: bool | None, wanted: list[dict] | None) -> dict:
         began = time.perf_counter()
         try:
             r = converter(of_mode, sandhi is not False).result(value)
         except Exception as e:
-            return {"normalized": None, "units": [], "error": f"{type(e).__name__}: {e}", "seconds": 0.0}
+            return {"normalized": None, "units": [], "error": f"{type(e).__name__}: {e}", "seconds": 0.0, "edits": distances([], wanted)}
         units = [{"native": u.native, "source_spans": [{"start": a, "end": b} for a, b in u.spans]} for t in r.tokens for u in r.units.get(t.id, ())]
-        return {"normalized": None if r.error else r.normalized, "units": units, "error": r.error, "seconds": time.perf_counter() - began}
+        return {"normalized": None if r.error else r.normalized, "units": units, "error": r.error, "seconds": time.perf_counter() - began, "edits": distances(units, wanted)}
 
-    def run(modes: pa.Array, texts: pa.Array, sandhis: pa.Array) -> pa.Array:
-        return pa.array([one(*row) for row in zip(modes.to_pylist(), texts.to_pylist(), sandhis.to_pylist())], kind)
+    def run(*columns: pa.Array) -> pa.Array:
+        return pa.array([one(*row) for row in zip(*(c.to_pylist() for c in columns))], kind)
 
-    return F.arrow_udf(run, _SPOKEN)(mode, text, tone_sandhi)
+    return F.arrow_udf(run, _SPOKEN)(mode, text, tone_sandhi, targets)
 
 
 def evaluate(cases: DataFrame, options: Mapping[str, Mapping] | None = None) -> DataFrame:
@@ -56,8 +71,8 @@ def evaluate(cases: DataFrame, options: Mapping[str, Mapping] | None = None) ->
     A case without targets is one target, its whole text. A unit belongs to every target that its source overlaps. A case
     with an error has none of its units right; `normalized_exact` is null where nothing is expected.
     """
-    said = cases.withColumn("_said", spoken(F.col("mode"), F.col("text"), F.coalesce("tone_sandhi", F.lit(True)), options))
     whole = F.array(F.struct(F.lit(None).cast("array<int>").alias("span"), F.col("text").alias("text"), F.coalesce("expected_native", F.array().cast("array<string>")).alias("expected_native")))
+    said = cases.withColumn("_said", spoken(F.col("mode"), F.col("text"), F.coalesce("tone_sandhi", F.lit(True)), F.coalesce("targets", whole), options))
     native = lambda units: F.transform(units, lambda u: u["native"])
 
     def scored(t: Column) -> Column:
@@ -66,8 +81,7 @@ def evaluate(cases: DataFrame, options: Mapping[str, Mapping] | None = None) ->
         return F.struct(t["span"].alias("span"), t["text"].alias("text"), t["expected_native"].alias("expected_native"), actual.alias("actual_native"))
 
     rows = said.withColumn("_targets", F.transform(F.coalesce("targets", whole), scored))
-    edits = F.transform("_targets", lambda t: evaluation.edit_distance(t["expected_native"], t["actual_native"]))
-    rows = rows.withColumn("_edits", edits)
+    rows = rows.withColumn("_edits", F.col("_said.edits"))
     right = F.size(F.filter("_edits", lambda e: e == 0))
     total = lambda values: F.aggregate(values, F.lit(0), lambda a, x: a + x)
     error = F.col("_said.error")
@@ -132,7 +146,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     except ValueError as e:
         parser.error(str(e))
     if a.max_cases is not None:
-        numbered, n = evaluation.number_rows(cases, "i", "_place")
+        numbered, n = evaluation.number_rows(cases, ["i", "id"], "_place")
         cases = evaluation.sample(spark, numbered, "_place", n, a.max_cases, a.seed).drop("_place")
     options = {m: {"backend": b} for m in MODES if (b := getattr(a, f"{m}_backend"))}
     # Scored once: the report reads the rows several times.

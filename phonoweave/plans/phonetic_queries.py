@@ -151,6 +151,12 @@ def eval_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.sample(spark, numbered, "i", n, 100, 42).select("i", "id", "mode")
 
 
+def row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The position of every line in the order of a text key of few values, parted by two others."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_returnflag", "l_orderkey", "l_linenumber")
+    return evaluation.number_rows(lines, ["l_returnflag", "l_orderkey", "l_linenumber"], "place")[0]
+
+
 _KEYS = "l_orderkey, l_linenumber"
 _SYLLABLES = f"""syl AS (SELECT l_orderkey, l_linenumber, body, CAST(l_linenumber % 5 + 1 AS VARCHAR) AS tone FROM lineitem JOIN (SELECT * FROM {sql.values(enumerate(BODIES), "k, body")}) ON l_orderkey % {len(BODIES)} = k),
   loose AS (SELECT *, body || tone AS native, CASE WHEN body IN ('m', 'n', 'ng', 'hm', 'hng') THEN '' ELSE regexp_extract(body, '^(zh|ch|sh|[bpmfdtnlgkhjqxrzcsyw])?', 0) END AS li FROM syl),
@@ -216,10 +222,11 @@ QUERIES = {
     "split_pinyin": split_pinyin, "canonical_pinyin": canonical_pinyin, "pinyin_ipa": pinyin_ipa, "split_jyutping": split_jyutping, "jyutping_ipa": jyutping_ipa,
     "arpabet_ipa": arpabet, "with_tone": with_tone, "render_native": render_native, "bu_sandhi": _sandhi(sandhi.bu_rule), "yi_sandhi": _sandhi(sandhi.yi_rule),
     "third_tone_two": _sandhi(lambda _, t: sandhi.third_rule(t)), "sandhi_cascade": sandhi_cascade, "edit_distance": edit_distance, "eval_summary": eval_summary,
-    "eval_by_mode": eval_by_mode, "top_failures": top_failures, "target_overlap": target_overlap, "eval_sample": eval_sample,
+    "eval_by_mode": eval_by_mode, "top_failures": top_failures, "target_overlap": target_overlap, "eval_sample": eval_sample, "row_numbers": row_numbers,
 }
 
 ORACLE_SQL = {
+    "row_numbers": "SELECT l_returnflag, l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_returnflag, l_orderkey, l_linenumber) - 1 AS place FROM lineitem",
     "split_pinyin": f"WITH {_SYLLABLES} SELECT {_KEYS}, native, li AS loose_initial, lf AS loose_final, i AS initial, f AS final, tone FROM strict",
     "canonical_pinyin": f"WITH {_SYLLABLES} SELECT i AS ci, f AS cf, count(*) AS n FROM strict GROUP BY ALL",
     "pinyin_ipa": f"WITH {_SYLLABLES}, {_CMN_IPA} SELECT {_KEYS}, ipa, contour, ipa || {_letters('contour')} AS rendered FROM ipa",

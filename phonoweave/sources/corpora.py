@@ -64,19 +64,20 @@ def polyphones(sentences: DataFrame, labels: DataFrame) -> DataFrame:
 def cantonese(files: DataFrame) -> DataFrame:
     """Cases of a tagged Cantonese corpus; files: name, content with <sent_tag> blocks of `token/pos/jyutping/` lines.
 
-    Utterances with ASCII letters are left out; a Han token gives a target for each character where the syllables are as many.
+    `i` sorts as the source does, by path (or name) and sentence. Utterances with ASCII letters are left out; a Han token gives a target for each character where the syllables are as many.
     """
     block = F.regexp_extract_all("content", F.lit(r"(?s)<sent_tag>(.*?)</sent_tag>"), F.lit(1))
     line = F.transform(F.split("block", "\n"), lambda x: F.btrim(x, F.lit(" \t\r")))
     pattern = r"^(.*)/([^/]*)/([^/]*)/$"
     tokens = F.transform(F.filter(line, lambda x: x.rlike(pattern)), lambda x: F.struct(F.regexp_extract(x, pattern, 1).alias("text"), F.regexp_extract_all(F.lower(F.regexp_extract(x, pattern, 3)), F.lit("[a-z]+[1-6]"), F.lit(0)).alias("jyut")))
-    rows = files.select("name", F.posexplode(block).alias("k", "block")).select("name", tokens.alias("t"), "k").where(F.size("t") > 0)
+    path = F.col("path") if "path" in files.columns else F.col("name")
+    rows = files.select("name", path.alias("path"), F.posexplode(block).alias("k", "block")).select("name", "path", tokens.alias("t"), "k").where(F.size("t") > 0)
     text = F.array_join(F.transform("t", lambda x: x["text"]), "")
     before = lambda i: F.aggregate(F.slice("t", 1, i), F.lit(0), lambda a, x: a + F.length(x["text"]))
     usable = lambda x: x["text"].rlike(f"^[{scripts.HAN}]+$") & (F.size(x["jyut"]) == F.length(x["text"]))
     targets = F.flatten(F.transform("t", lambda x, i: F.when(usable(x), F.transform(x["jyut"], lambda s, j: F.struct(F.array(before(i) + j, before(i) + j + 1).alias("span"), F.substring(x["text"], j + 1, F.lit(1)).alias("text"), F.array(s).alias("expected_native")))).otherwise(F.slice(F.transform(x["jyut"], lambda s: F.struct(F.array(F.lit(0), F.lit(0)).alias("span"), s.alias("text"), F.array(s).alias("expected_native"))), 1, 0))))
-    cases = rows.select("name", "k", text.alias("text"), targets.alias("targets"))
-    return cases.where(~F.col("text").rlike("[A-Za-z]") & (F.size("targets") > 0)).select(F.concat(F.lit("hkcancor-"), "name", F.format_string("-%04d", F.col("k") + 1)).alias("id"), F.lit("cantonese").alias("mode"), "text", "targets")
+    cases = rows.select("name", "path", "k", text.alias("text"), targets.alias("targets"))
+    return cases.where(~F.col("text").rlike("[A-Za-z]") & (F.size("targets") > 0)).select(F.concat(F.lit("hkcancor-"), "name", F.format_string("-%04d", F.col("k") + 1)).alias("id"), F.lit("cantonese").alias("mode"), "text", "targets", F.struct("path", "k").alias("i"))
 
 
 def archive_members(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
@@ -135,7 +136,7 @@ def load_cantonese(spark: SparkSession, archive: str) -> DataFrame:
     """Cases of the Cantonese corpus: the files below utf8/ in the archive, one inside another."""
     files = archive_members(spark, archive).where("name like 'utf8/%' or name like '%/utf8/%'")
     name = F.regexp_extract("name", "([^/]+?)(?:\\.[^./]*)?$", 1)
-    return cantonese(files.select(name.alias("name"), "content")).withColumn("i", F.xxhash64("id"))
+    return cantonese(files.select(name.alias("name"), "content", F.col("name").alias("path")))
 
 
 #: Loaders by name.

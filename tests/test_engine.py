@@ -392,7 +392,7 @@ def test_evaluation_driver(spark, tmp_path, capsys):
             evaluate.main(bad, spark)
 
 
-def test_corpora_from_archives(spark, tmp_path):
+def test_corpora_from_archives(spark, tmp_path, capsys):
     import hashlib
     import io
     import tarfile
@@ -421,6 +421,15 @@ def test_corpora_from_archives(spark, tmp_path):
     tar(tmp_path / "h.tar.gz", {"data/all.zip": inner.getvalue()})
     got = corpora.load_corpus(spark, "hkcancor", str(tmp_path / "h.tar.gz")).collect()
     assert [(r.id, r.text) for r in got] == [("hkcancor-FC-1-0001", "你好")]
+    inner = io.BytesIO()
+    with zipfile.ZipFile(inner, "w") as z:
+        for name, chars in (("b", "你好"), ("a", "我你"), ("B2", "他")):
+            z.writestr(f"utf8/{name}.txt", "".join(f"<sent_tag>\n{c}/v/nei5/\n</sent_tag>\n" for c in chars))
+    tar(tmp_path / "i.tar.gz", {"data/all.zip": inner.getvalue()})
+    cases = corpora.load_corpus(spark, "hkcancor", str(tmp_path / "i.tar.gz"))
+    assert [r.id.removeprefix("hkcancor-") for r in cases.orderBy("i").collect()] == ["B2-0001", "a-0001", "a-0002", "b-0001", "b-0002"]
+    assert evaluate.main(["--corpus", "hkcancor", "--archive", str(tmp_path / "i.tar.gz"), "--max-cases", "3", "--seed", "1"], spark) == 0
+    assert "of 3 cases" in capsys.readouterr().out
     with pytest.raises(ValueError, match="no corpus"):
         corpora.load_corpus(spark, "other", "x")
     data = (tmp_path / "p.tar.gz").read_bytes()
