@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import re
 import unicodedata
 from functools import cache
@@ -139,32 +138,76 @@ def normalized_compatibility(value: str) -> str:
 
 _WIDE = re.compile(r"[^\x00-\x7f]")
 _STRETCH = re.compile(r"[\x00-\x7f][^\x00-\x7f]*|[^\x00-\x7f]+")
-#: Characters that realign() compares at a time: the search for blocks is quadratic.
-_MOST_ALIGNED = 400
+class _Substrings:
+    """All substrings of a text as a suffix automaton: for each state its longest length, its link, and where it first ends."""
+
+    def __init__(self, text: str):
+        self.next: list[dict[str, int]] = [{}]
+        self.length, self.link, self.end = [0], [-1], [0]
+        last = 0
+        for at, char in enumerate(text, 1):
+            new = self._add(self.length[last] + 1, {}, 0, at)
+            state = last
+            while state >= 0 and char not in self.next[state]:
+                self.next[state][char] = new
+                state = self.link[state]
+            if state >= 0:
+                goal = self.next[state][char]
+                if self.length[goal] > self.length[state] + 1:  # shorter strings of the goal also end here: part them
+                    part = self._add(self.length[state] + 1, dict(self.next[goal]), self.link[goal], self.end[goal])
+                    self.link[goal] = part
+                    while state >= 0 and self.next[state].get(char) == goal:
+                        self.next[state][char] = part
+                        state = self.link[state]
+                    goal = part
+                self.link[new] = goal
+            last = new
+
+    def _add(self, length: int, following: dict[str, int], link: int, end: int) -> int:
+        self.next.append(following)
+        self.length.append(length)
+        self.link.append(link)
+        self.end.append(end)
+        return len(self.length) - 1
+
+    def longest_in(self, other: str) -> tuple[int, int, int]:
+        """(place in other, place in the text, length) of the longest common substring: the first in other, then in the text."""
+        best, state, size = (0, 0, 0), 0, 0
+        for at, char in enumerate(other, 1):
+            while state and char not in self.next[state]:
+                state = self.link[state]
+                size = self.length[state]
+            if char in self.next[state]:
+                state, size = self.next[state][char], size + 1
+            if size > best[2]:
+                best = at - size, self.end[state] - size, size
+        return best
+
+
+def matching_blocks(old: str, new: str) -> list[tuple[int, int, int]]:
+    """(place in old, place in new, length): the longest common block, and so on to its left and right; in order."""
+    out, todo = [], [(0, len(old), 0, len(new))]
+    while todo:
+        a, b, c, d = todo.pop()
+        if a == b or c == d:
+            continue
+        i, j, n = (0, 0, b - a) if old[a:b] == new[c:d] else _Substrings(new[c:d]).longest_in(old[a:b])
+        if n:
+            out.append((a + i, c + j, n))
+            todo += [(a, a + i, c, c + j), (a + i + n, b, c + j + n, d)]
+    return sorted(out)
 
 
 def realign(old: str, new: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Source spans of the characters of `new`, by the longest matching blocks: equal characters keep theirs, a change shares one.
-
-    Long strings are cut where both have the same normalized stretch, or else share one span for their middle.
-    """
+    """Source spans of the characters of `new`, by the longest matching blocks: equal characters keep theirs, a change shares one."""
     out: list[tuple[int, int]] = []
-    if max(len(old), len(new)) > _MOST_ALIGNED:
-        head = next((k for k, (a, b) in enumerate(zip(old, new)) if a != b), min(len(old), len(new)))
-        tail = next((k for k, (a, b) in enumerate(zip(reversed(old[head:]), reversed(new[head:]))) if a != b), min(len(old), len(new)) - head)
-        cut = next((k for k in range(_MOST_ALIGNED // 2, 20, -1) if unicodedata.normalize("NFC", old[head : head + k]) == new[head : head + len(unicodedata.normalize("NFC", old[head : head + k]))]), 0)
-        if cut and head + cut < len(old) - tail:
-            done = head + len(unicodedata.normalize("NFC", old[head : head + cut]))
-            return spans[:head] + realign(old[head : head + cut], new[head:done], spans[head : head + cut]) + realign(old[head + cut :], new[done:], spans[head + cut :])
-        near = spans[head : len(old) - tail] or spans[max(0, head - 1) : head + 1]
-        return spans[:head] + [(near[0][0], near[-1][1])] * (len(new) - head - tail) + spans[len(old) - tail :]
-    for tag, a, b, c, d in difflib.SequenceMatcher(None, old, new, autojunk=False).get_opcodes():
-        if tag == "equal":
-            out += spans[a:b]
-        elif tag in ("replace", "insert"):
-            near = spans[a:b] or spans[max(0, a - 1) : a + 1]
-            merged = (min(s for s, _ in near), max(e for _, e in near)) if near else (0, 0)
-            out += [merged] * (d - c)
+    a = c = 0
+    for i, j, n in [*matching_blocks(old, new), (len(old), len(new), 0)]:
+        if j > c:  # replaced, or put in after a
+            near = spans[a:i] or spans[max(0, a - 1) : a + 1]
+            out += [(min(s for s, _ in near), max(e for _, e in near)) if near else (0, 0)] * (j - c)
+        out += spans[i : i + n]
+        a, c = i + n, j + n
     return out
 
 
