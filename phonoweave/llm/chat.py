@@ -38,7 +38,7 @@ def elements(messages: DataFrame) -> DataFrame:
     """conv_id, turn, place, role, kind (call, result, message), id, name, arguments (JSON), depends_on, content."""
     text, role = F.coalesce(F.col("text"), F.lit("")), F.lower(F.coalesce(F.col("role"), F.lit("")))
     base = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"))
-    json = F.when(F.col("text").startswith("{"), F.from_json("text", CALLS))
+    json = F.when(F.ltrim(F.col("text"), F.lit(" \t\r\n")).startswith("{"), F.from_json("text", CALLS))
     base = base.withColumn("json", json)
     has_calls = F.coalesce((F.col("role") == "assistant") & (F.size("json.tool_calls") > 0), F.lit(False))
     has_result = F.coalesce((F.col("role") == "tool") & F.col("json.tool_call_id").isNotNull(), F.lit(False))
@@ -124,7 +124,7 @@ def problems(arguments: Column, parameters: Column) -> Column:
 def link_calls(messages: DataFrame, tools: DataFrame) -> DataFrame:
     """All elements, linked, ordered, validated and serialised. tools: name, parameter, type, required.
 
-    Types are string, integer, number, boolean, object, array.
+    Types are string, integer, number, boolean, object, array. A tool without parameters has one row with a null parameter.
     """
     with Scratch(messages.sparkSession) as scratch:
         return _linked(messages, tools, scratch)
@@ -170,13 +170,16 @@ def _linked(messages: DataFrame, tools: DataFrame, scratch: Scratch) -> DataFram
     rows = linked.select(keep).unionByName(plain.select(keep))
 
     listed = tools.where("name is not null").groupBy("name", "parameter").agg(F.min("type").alias("type"), F.max("required").alias("required"))
-    schemas = listed.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("parameter", F.struct("type", "required")))).alias("parameters"))
+    # A tool without parameters has an empty map.
+    named = F.filter(F.collect_list(F.struct("parameter", F.struct("type", "required"))), lambda p: p["parameter"].isNotNull())
+    schemas = listed.groupBy("name").agg(F.map_from_entries(named).alias("parameters"))
     rows = rows.join(broadcast_if_small(schemas, MOST_TOOLS), "name", "left")
     rows = rows.withColumn("problems", F.when(is_call, problems(F.coalesce("arguments", F.lit("")), F.col("parameters"))).otherwise(F.expr(_NO_STRINGS)))
     canonical = F.coalesce(F.to_json(F.try_parse_json("arguments")), F.to_json(F.struct(F.coalesce("arguments", F.lit("")).alias("raw"))))
     quoted = lambda c: F.regexp_extract(F.to_json(F.struct(F.coalesce(c, F.lit("")).alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
+    own_id = F.when(F.col("id").isNull(), "null").otherwise(quoted(F.col("id")))
     json = (
-        F.when(is_call, F.concat(F.lit('{"arguments":'), canonical, F.lit(',"id":'), quoted(F.col("id")), F.lit(',"name":'), quoted(F.col("name")), F.lit(',"role":'), quoted(F.col("role")), F.lit(',"type":"call"}')))
+        F.when(is_call, F.concat(F.lit('{"arguments":'), canonical, F.lit(',"id":'), own_id, F.lit(',"name":'), quoted(F.col("name")), F.lit(',"role":'), quoted(F.col("role")), F.lit(',"type":"call"}')))
         .when(F.col("kind") == "result", F.concat(F.lit('{"content":'), quoted(F.col("content")), F.lit(',"id":'), quoted(F.col("id")), F.lit(',"role":'), quoted(F.col("role")), F.lit(',"type":"result"}')))
         .otherwise(F.concat(F.lit('{"content":'), quoted(F.col("content")), F.lit(',"role":'), quoted(F.col("role")), F.lit(',"type":"message"}')))
     )

@@ -327,3 +327,11 @@ def test_chat(spark):
     order = [(r.kind, r.id) for r in sorted((r for r in got if r.conv_id == 1 and r.status == "linked"), key=lambda r: (r.order_turn, r.order_depth, r.turn, r.place))]
     assert order == [("call", "a"), ("result", "a"), ("call", "b"), ("result", "b")]
     assert chat.link_calls(messages.limit(0), tools).count() == 0
+
+
+def test_chat_without_parameters_ids_or_a_clean_start(spark):
+    rows = [(1, 0, "assistant", ' \n{"tool_calls":[{"id":"a","name":"now","arguments":{}},{"name":"now","arguments":{"x":1}}]}'), (1, 1, "tool", '\t{"tool_call_id":"a","content":"r"}')]
+    tools = spark.createDataFrame([("now", None, None, None), (None, "p", "string", True)], "name string, parameter string, type string, required boolean")
+    got = chat.link_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), tools).orderBy("turn", "place").collect()
+    assert [(r.kind, r.id, r.status, r.problems) for r in got] == [("call", "a", "linked", ""), ("call", None, "no identifier", "unknown x"), ("result", "a", "linked", "")]
+    assert got[1].json == '{"arguments":{"x":1},"id":null,"name":"now","role":"assistant","type":"call"}'
