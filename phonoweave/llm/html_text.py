@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,7 +40,7 @@ ARTICLE, HOME = 64, 0.9
 #: Fixed values of HTML: elements that start a new line, and elements without content.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object select option button label canvas audio video".split())
+RAW = frozenset("script style textarea title noscript template iframe svg object select option button label canvas audio video".split())
 CUT = frozenset("nav header footer aside form menu head dialog".split()) | RAW
 CONTAINERS = frozenset("article center div main section td".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -144,6 +145,7 @@ class _Page:
 def _lines(page: str) -> _Page:
     out = _Page()
     open_: list[tuple[str, bool, int]] = []  # element, whether it started a stripped stretch, its number (of the block around it for others)
+    there: Counter[str] = Counter()  # how many of each element are open
     cut = linked = 0
     marked = False  # whether the stripped stretch has its line
     text: list[str] = []
@@ -162,6 +164,7 @@ def _lines(page: str) -> _Page:
         nonlocal cut, linked
         while len(open_) > k:
             name, stripped, number = open_.pop()
+            there[name] -= 1
             if name in BLOCKS:
                 out.close(number)
             cut -= stripped
@@ -189,7 +192,7 @@ def _lines(page: str) -> _Page:
             if name in BLOCKS:
                 # A block that ends without a line of its own is an empty one.
                 flush(bool(open_) and open_[-1][0] == name and out.spans[open_[-1][2]][0] == len(out.lines))
-            for k in range(len(open_) - 1, -1, -1):
+            for k in range(len(open_) - 1, -1, -1) if there[name] else ():
                 if open_[k][0] == name:
                     close(k)
                     break
@@ -219,6 +222,7 @@ def _lines(page: str) -> _Page:
         if name in BLOCKS:
             number = out.open(name, number, cue)
         open_.append((name, stripped, number))
+        there[name] += 1
         marked = marked and cut > 0
         cut += stripped
         linked += name == "a"

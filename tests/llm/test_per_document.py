@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import time
 import zlib
 
 import numpy as np
@@ -167,6 +168,9 @@ def test_html():
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<nav>a</nav>") == ""
     assert html_text.main_text("just text") == "just text"
     assert html_text.main_text("<article><p>cut off in a ta") == "cut off in a ta"
+    assert html_text.main_text("<article><p>Energy is <math><mi>E</mi></math> here</p></article>") == "Energy is E here"
+    began = time.time()
+    assert html_text.main_text("<article><p>" + "<span>" * 20_000 + "deep" + "</div>" * 20_000 + "</p></article>") == "deep" and time.time() - began < 5
 
 
 def test_html_keeps_an_article_that_adverts_and_links_interrupt():
@@ -247,7 +251,7 @@ def test_html_query(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'t' AS text", "1 AS n_chars")
     got = html_text.extract_text(pages).collect()
     assert len(got) == 5 and {r.page_id: r.n_chars for r in got}[2] == 0
-    assert all(r.n_chars == len(r.text) for r in got)
+    assert all(r.n_chars == len(r.text) for r in got) and html_text.extract_text(pages.limit(0)).count() == 0
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
