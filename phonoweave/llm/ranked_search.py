@@ -136,11 +136,31 @@ class _Slice:
         self.times = np.array([r.times for r in own], np.int64)
         self.hidden = np.minimum(self.level[self.item], self.times * np.array([r.top for r in own], np.int64))
         self.rest = np.bincount(self.item, self.hidden, len(self.items)).astype(np.int64)
-        # The least entry that some item gets of a term's list, and the most that some item does not get.
-        self.edge = edge = self.level[self.item] // self.times
-        self.least, self.under = np.full(len(self.terms), np.iinfo(np.int64).max), np.zeros(len(self.terms), np.int64)
-        np.minimum.at(self.least, self.term, edge + 1)
-        np.maximum.at(self.under, self.term, edge)
+        # The least entry of a term's list that some item gets.
+        self.least = np.full(len(self.terms), np.iinfo(np.int64).max)
+        np.minimum.at(self.least, self.term, self.level[self.item] // self.times + 1)
+        # Pairs of item and term, by number, for look-ups.
+        self.pair = self.item * len(self.terms) + self.term
+        self.order = np.argsort(self.pair)
+
+    def under_level(self, item: np.ndarray, row: np.ndarray, terms: np.ndarray, values: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """For each pair of item and row the sum of the row's entries in the item's lists that the lists do not yield."""
+        order = np.argsort(rows, kind="stable")
+        terms, values, rows = terms[order], values[order], rows[order]
+        begin, size = np.searchsorted(rows, row), np.searchsorted(rows, row, "right") - np.searchsorted(rows, row)
+        place = np.searchsorted(np.array(self.items, np.int64), item)
+        pairs, out, ends = self.pair[self.order], np.zeros(len(item), np.int64), np.cumsum(size)
+        for at in range(0, int(ends[-1]) if len(ends) else 0, 1 << 20):
+            k = np.arange(at, min(at + (1 << 20), int(ends[-1])))
+            of = np.searchsorted(ends, k, "right")
+            entry = begin[of] + k - (ends[of] - size[of])
+            key = place[of] * len(self.terms) + terms[entry]
+            found = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+            has = pairs[found] == key
+            of, gain = of[has], values[entry[has]] * self.times[self.order[found[has]]]
+            low = gain <= self.level[place[of]]
+            np.add.at(out, of[low], gain[low])
+        return out
 
     def sums(self, terms: np.ndarray, values: np.ndarray, rows: np.ndarray, n_rows: int):
         """(row, item, sum) of all that may reach the items' bounds, from entries of the lists."""
@@ -188,7 +208,7 @@ def _ranked(lists: DataFrame, n_entries: int, own: DataFrame, scratch: Scratch,
     if not of.items:
         return spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")
     sent = spark.sparkContext.broadcast(of)
-    terms = F.broadcast(spark.createDataFrame(list(zip(of.terms, range(len(of.terms)), of.least.tolist(), of.under.tolist())), "term string, t int, least long, under long"))
+    terms = F.broadcast(spark.createDataFrame(list(zip(of.terms, range(len(of.terms)), of.least.tolist())), "term string, t int, least long"))
 
     # Phase 2: all entries above the level, summed up by document.
     block = F.pmod(F.xxhash64("row"), F.lit(-(-n_entries // BLOCK)).cast("long"))
@@ -205,15 +225,18 @@ def _ranked(lists: DataFrame, n_entries: int, own: DataFrame, scratch: Scratch,
     open_ = deep.groupBy("block").applyInArrow(run, "item long, id long, row long, sum long")
     open_ = scratch.keep(open_, "search-open")
 
-    # Phase 3: what the lists have of the rest at or under the level.
-    edges = list(zip(of.term.tolist(), np.array(of.items)[of.item].tolist(), of.times.tolist(), of.edge.tolist()))
-    edges = F.broadcast(spark.createDataFrame(edges, "t int, item long, times long, edge long"))
+    # Phase 3: what the lists have of the rest at or under the level, again by blocks of documents.
     met = lists.join(broadcast_if_small(open_.select("row").distinct(), MOST_BROADCAST), "row", "left_semi")
-    low = met.join(terms, "term").where("value <= under").select("t", "value", "row").join(edges, "t").where("value <= edge")
-    low = low.join(open_.select("item", "row"), ["item", "row"]).select("item", "row", (F.col("times") * F.col("value")).alias("more"))
+    met = met.join(terms.select("term", "t"), "term").select(block.alias("block"), "t", "value", "row")
+
+    def look_up(_: tuple, pairs: pa.Table, entries: pa.Table) -> pa.Table:
+        item, row = pairs.column("item").to_numpy(), pairs.column("row").to_numpy()
+        more = sent.value.under_level(item, row, *(entries.column(c).to_numpy() for c in ("t", "value", "row")))
+        return pa.table({"item": pa.array(item), "id": pairs.column("id"), "row": pa.array(row), "score": pa.array(pairs.column("sum").to_numpy() + more)})
+
+    pairs = open_.withColumn("block", block).groupBy("block")
+    exact = pairs.cogroup(met.groupBy("block")).applyInArrow(look_up, "item long, id long, row long, score long")
     ids = F.broadcast(own.select("item", "item_id").distinct())
-    exact = open_.select("item", "id", "row", F.col("sum").alias("more")).union(low.select("item", F.lit(None).cast("long"), "row", "more"))
-    exact = exact.groupBy("item", "row").agg(F.max("id").alias("id"), F.sum("more").alias("score"))
     place = F.row_number().over(Window.partitionBy("item").orderBy(F.col("score").desc(), "id", "row"))
     ranked = exact.withColumn("rank", place).where(F.col("rank") <= most).join(ids, "item")
     return materialize(ranked.select("item_id", "rank", F.col("id").alias("doc_id"), "score"), "search-result")
