@@ -6,6 +6,7 @@ an associative scan, and a second pass reads off where pieces start. No regular
 a cached pair merging; piece offsets are kept, and decoding goes from the ids through the token table.
 
 Null and empty texts have no ids. Repeated rows are rows of their own. The caches are bounded; texts are never cut.
+An empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations

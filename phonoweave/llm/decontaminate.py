@@ -14,7 +14,7 @@ selects is the size of the item, by which both sides are joined, and the radius,
 Null, blank and empty texts match nothing, on either side. Documents or items of fewer than five words are one shingle. A
 window at a document's edge is moved inside; a document shorter than an item is one window. Rows repeated with one doc_id
 and item_id give one row, that of the highest similarity and then the smallest place; null is a doc_id like others, and
-contaminated_rows() tells its rows apart. Other columns are not read.
+contaminated_rows() tells its rows apart. Other columns are not read. Empty tables give no rows.
 """
 
 from __future__ import annotations

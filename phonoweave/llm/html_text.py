@@ -17,6 +17,7 @@ every page, and tags only weigh.
 
 Null and empty pages have empty texts; so do pages whose every line is boilerplate. Broken markup (unclosed tags, quotes or
 sections, a page cut off anywhere) is read to its end. Repeated rows are rows of their own; other columns are not read. Nothing is cut or capped.
+An empty table gives no rows.
 """
 
 from __future__ import annotations

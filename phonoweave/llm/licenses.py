@@ -10,7 +10,7 @@ by exact shingle containment.
 
 Null, blank and empty texts match nothing; a text shorter than a window is one window. Rows repeated with one doc_id and
 license give one row, that of the highest containment and then the smallest place; null is a doc_id like others. Other
-columns are not read. Templates need five words at least.
+columns are not read. Templates need five words at least. An empty table gives no rows.
 """
 
 from __future__ import annotations

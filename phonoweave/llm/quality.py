@@ -10,7 +10,7 @@ for each feature: the projection of its vector on the difference of the label ve
 Texts are scored whole, whatever their length, a stretch at a time. Null and empty texts have no features and score by the
 bias alone. Without any usable labels every text scores 0.5. doc_ids that are labelled more than once take the lowest label,
 and of a labelled id with several texts the least one teaches; null labels and null ids teach nothing. Only text enters a score. Repeated rows are rows of their own; other columns are not
-read.
+read. An empty table of documents gives no rows.
 """
 
 from __future__ import annotations

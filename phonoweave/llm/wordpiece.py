@@ -6,6 +6,7 @@ failure link may lead to another vocabulary, that of pieces inside a word (`cont
 
 Null and empty texts have no words and no tokens. A word with a symbol outside the vocabulary counts as one token, as
 word-piece encoders emit one unknown token for it, and is counted in n_unknown. Repeated rows are rows of their own.
+Null ids stay null, an empty table gives no rows, other columns are not read.
 """
 
 from __future__ import annotations
