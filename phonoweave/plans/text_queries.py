@@ -117,6 +117,13 @@ def han_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(F.broadcast(lexicon.han(spark)), "char", "left").select("doc_id", "char", F.array_join("mandarin", ",").alias("readings"))
 
 
+def heteronym_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each Han character with several readings occurs in all texts."""
+    chars = mixed(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit(f"[{scripts.HAN}]"), F.lit(0))).alias("char")).groupBy("char").agg(F.count("*").alias("n"))
+    several = lexicon.han(spark).where(F.size("mandarin") > 1).select("char", F.array_join("mandarin", ",").alias("readings"))
+    return chars.join(F.broadcast(several), "char")
+
+
 def english_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words each decision of the English backend takes, and their phones."""
     words = english.words(T.explode_tokens(dealt(spark, sf_dir), columns=("text", "language")))
@@ -166,7 +173,7 @@ def _ipa_sql() -> str:
 QUERIES = {
     "tokenize": tokenize, "token_kinds": token_kinds, "boundaries": boundaries, "lossless": lossless, "zh_projection": _projection("zh"),
     "en_projection": _projection("en"), "char_projection_collapse": _characters(False), "char_projection_context": _characters(True),
-    "latin_validate": latin_validate, "fold_diacritics": fold_diacritics, "apostrophe_norm": apostrophes, "han_scan": han_scan,
+    "latin_validate": latin_validate, "fold_diacritics": fold_diacritics, "apostrophe_norm": apostrophes, "han_scan": han_scan, "heteronym_counts": heteronym_counts,
     "english_words": english_words, "oov_words": oov_words, "english_ipa": english_ipa,
 }
 
@@ -184,6 +191,7 @@ ORACLE_SQL = {
     "fold_diacritics": f"SELECT doc_id, md5(translate(text, {sql.text(_SOURCE)}, {sql.text(_TARGET)})) AS folded FROM documents",
     "apostrophe_norm": "SELECT doc_id, md5(replace(text, 'e', '''')) AS unified FROM documents",
     "han_scan": f"WITH chars AS (SELECT DISTINCT doc_id, unnest(string_split(translate(text, '{LETTERS}', '{HAN}'), '')) AS char FROM documents) SELECT doc_id, char, readings FROM chars LEFT JOIN (SELECT * FROM {sql.values([(c, m) for c, (m, _) in lexicon.HAN_SEED.items()], 'c, readings')}) ON c = char WHERE char IN ('好', '中', '不')",
+    "heteronym_counts": f"SELECT char, readings, n FROM (SELECT char, count(*) AS n FROM (SELECT unnest(string_split(translate(text, '{LETTERS}', '{HAN}'), '')) AS char FROM documents) GROUP BY char) JOIN (SELECT * FROM {sql.values([(c, m) for c, (m, _) in lexicon.HAN_SEED.items() if ',' in m], 'c, readings')}) ON c = char",
     "english_words": _english_sql("SELECT doc_id, route, count(*) AS n, CAST(sum(len(string_split(native, ' '))) AS BIGINT) AS phones FROM done GROUP BY ALL"),
     "oov_words": _english_sql("SELECT lower(word) AS word, count(*) AS n FROM done WHERE route = 'segment' GROUP BY ALL"),
     "english_ipa": _ipa_sql(),

@@ -91,3 +91,20 @@ def test_row_numbers(spark, kind):
     order = (lambda t, v: (v is not None, v or 0, t)) if kind == "long" else (lambda t, v: (v is not None, str(v), t))
     want = sorted(enumerate(values), key=lambda x: order(*x)) if kind != "struct<a:string,b:int>" else sorted(enumerate(values), key=lambda x: (x[1] is not None, str(x[1]), x[0]))
     assert n == len(values) and [x.place for x in got] == list(range(n)) and [(x.tie, x.v) for x in got] == want
+
+
+def test_name_similarity_query(spark):
+    """The registered query against the plain table over each converter's phones."""
+    from phonoweave.operators.utterance import Converter, Options
+    from phonoweave.plans import engine_queries
+
+    sf = "/root/testdata/sf0.001"
+    one = Converter(Options(output="ipa"))
+    nations, regions = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("nation", "region"))
+    pairs = nations.join(regions, nations["n_regionkey"] == regions["r_regionkey"]).select("n_nationkey", F.initcap("n_name"), F.initcap("r_name")).collect()
+    got = {r.n_nationkey: (r.score, r.steps) for r in engine_queries.name_similarity(spark, sf).collect()}
+    assert len(got) == len(pairs) > 0
+    for key, left, right in pairs:
+        distance, most, steps = plain_align(*(one.result(t).base_phones for t in (left, right)))
+        score, n = got[key]
+        assert score == pytest.approx(min(1.0, max(0.0, 1 - distance / most)), abs=2e-6) and n == len(steps)
