@@ -30,6 +30,15 @@ def letter_to_sound(word: str) -> list[str]:
     return phones[:first] + [p[:-1] + "0" if p[-1] == "1" else p for p in phones[first:]]
 
 
+def by_letter(word: str) -> list[str]:
+    """What each letter says by the rules: a spelling's phones are its first letter's; without the choice of stress."""
+    out = [""] * len(word)
+    silent = len(word) > 2 and word.endswith("e") and word[-2] not in "aeiou"
+    for found in _SPELLING.finditer(word[:-1] if silent else word):
+        out[found.start()] = RULES[found.group()]
+    return out
+
+
 def segment_by_cost(word: str, unigrams: Mapping[str, int], bigrams: Mapping[tuple[str, str], int] | None = None) -> list[str]:
     """The most probable sequence of words by counts: a pair's where it was seen, else the word's own; a word never seen costs
     more with each letter. The last word is the state, so pairs count across all cuts."""
