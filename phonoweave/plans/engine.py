@@ -98,6 +98,29 @@ class Engine:
 
         return self._column(text, make, ddl, kind)
 
+    def summarize(self, df: DataFrame, text: str = "text", result: str = "result") -> DataFrame:
+        """Adds summary() and, in `<result>_by`, which backend answered: first, then, or null where there is an error.
+
+        A fallback is a second step over the same rows: it gets the texts whose first backend failed and nothing for the others, so that the
+        first one reads distinct words where it can, the input is read once, and no row moves. An error of normalization is no backend's.
+        """
+        o, by = self.options, f"{result}_by"
+        if o.fallback is None:
+            done = df.withColumn(result, self.summary(F.col(text)))
+            return done.withColumn(by, F.when(F.col(f"{result}.error").isNull(), "first"))
+        Converter(o)  # backends that can't go together are found here
+        first, then = (Engine(**{**o.__dict__, "backend": b, "fallback": None, "unknown": "strict"}) for b in (o.backend, o.fallback))
+        failed = F.coalesce(F.col("_first.error").startswith("BackendError: "), F.lit(False))
+        one = df.withColumn("_first", first.summary(F.col(text)))
+        two = one.withColumn("_failed", failed).withColumn("_then", then.summary(F.when(failed, F.col(text))))
+        named = callable(o.fallback) and not hasattr(o.fallback, "predict")
+        second = F.regexp_replace("_then.error", "^BackendError: (custom: )?", "fallback: ") if named else F.regexp_replace("_then.error", "^BackendError: ", "")
+        # The same words from both are no backend for Chinese.
+        both = F.when(F.col("_then.error") == F.col("_first.error"), F.col("_first.error")).when(F.col("_then.error").startswith("BackendError: "), F.concat("_first.error", F.lit("; "), second)).otherwise(F.col("_then.error"))
+        chosen = F.when(F.col("_failed"), F.col("_then").withField("error", both)).otherwise(F.col("_first"))
+        who = F.when(F.col(f"{result}.error").isNull(), F.when(F.col("_failed"), "then").otherwise("first"))
+        return two.withColumn(result, chosen).withColumn(by, who).drop("_first", "_failed", "_then")
+
     def failures(self, df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
         """keep, error: a row for each utterance that can't be converted."""
         options, engine, words = self.options, self.key, self.by_word

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phonoweave.functions import lexicon
+from phonoweave.functions import phonetics as P
 from phonoweave.functions import text as texts
 from phonoweave.operators import spelling
 from phonoweave.plans import engine, sql
-from phonoweave.plans.text_queries import _english_sql, dealt, mixed
+from phonoweave.plans.text_queries import HAN, LETTERS, _english_sql, dealt, mixed
 
 
 def convert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +47,19 @@ def heteronyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.han(spark).where(F.size("mandarin") > 1).select("char", F.array_join("mandarin", ",").alias("readings"))
 
 
-QUERIES = {"convert": convert, "result_errors": result_errors, "result_lines": result_lines, "compatibility_norm": compatibility, "name_similarity": name_similarity, "heteronyms": heteronyms}
+#: Readings of the first backend, and of the one that answers where it fails: 不 is known to the second alone.
+FIRST, THEN = {"好": "hao3", "中": "zhong1"}, {"好": "hao4", "中": "zhong4", "不": "bu4"}
+
+
+def fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Han texts made of three letters of the documents: the second backend reads those that the first one can't read."""
+    han = F.translate(F.regexp_replace("text", f"[^{LETTERS} ]", ""), LETTERS, HAN)
+    chosen = engine.Engine(han={c: [r] for c, r in FIRST.items()}, backend="dictionary", fallback=lambda word: [THEN[c] for c in word], tone_sandhi=False)
+    done = chosen.summarize(dealt(spark, sf_dir).select("doc_id", han.alias("han")), "han", "r")
+    return done.select("doc_id", F.col("r_by").alias("answered"), F.md5("r.phones").alias("phones"), "r.n_phones", F.split_part("r.error", F.lit(":"), F.lit(1)).alias("error"))
+
+
+QUERIES = {"fallback": fallback, "convert": convert, "result_errors": result_errors, "result_lines": result_lines, "compatibility_norm": compatibility, "name_similarity": name_similarity, "heteronyms": heteronyms}
 
 _OTHER = texts.latin_tables()[2]
 
@@ -74,7 +87,19 @@ def _lines_sql() -> str:
     ).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
+def _fallback_sql() -> str:
+    def said(readings: dict) -> str:
+        cases = " ".join(f"WHEN '{c}' THEN '{' '.join(P.split_pinyin(r, True)[:2])}{r[-1]}'" for c, r in readings.items())
+        return f"array_to_string(list_transform(string_split(replace(han, ' ', ''), ''), lambda c: CASE c {cases} END), ' ')"
+
+    return f"""WITH t AS (SELECT doc_id, translate(regexp_replace(text, '[^{LETTERS} ]', '', 'g'), '{LETTERS}', '{HAN}') AS han FROM documents),
+      r AS (SELECT doc_id, CASE WHEN han IS NULL THEN NULL WHEN contains(han, '不') THEN 'then' ELSE 'first' END AS answered, han FROM t)
+      SELECT doc_id, answered, md5(CASE WHEN han IS NULL OR trim(han) = '' THEN '' WHEN answered = 'then' THEN {said(THEN)} ELSE {said(FIRST)} END) AS phones,
+        CAST(2 * length(replace(coalesce(han, ''), ' ', '')) AS INTEGER) AS n_phones, CASE WHEN han IS NULL THEN 'TypeError' END AS error FROM r"""
+
+
 ORACLE_SQL = {
+    "fallback": _fallback_sql(),
     "result_lines": _lines_sql(),
     "result_errors": f"SELECT doc_id, 'NormalizationError' AS kind FROM documents WHERE regexp_matches(text, '[{_OTHER}]')",
     "compatibility_norm": "SELECT doc_id, md5(nfc_normalize(text)) AS normalized, true AS aligned FROM documents",
