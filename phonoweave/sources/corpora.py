@@ -3,20 +3,17 @@
 from __future__ import annotations
 
 import hashlib
-import io
 import os
 import shutil
-import tarfile
 import urllib.request
 import uuid
-import zipfile
 from collections.abc import Mapping
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phonoweave.functions import scripts
+from phonoweave.sources import archives
 
 CASES = "array<struct<id:string,mode:string,text:string,expected_normalized:string,tone_sandhi:boolean,expected_native:array<string>,targets:array<struct<span:array<int>,text:string,expected_native:array<string>>>>>"
 SCHEMA = f"schema_version int, name string, description string, cases {CASES}"
@@ -81,31 +78,14 @@ def cantonese(files: DataFrame) -> DataFrame:
 
 
 def archive_members(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
-    """name, content (UTF-8 text), sha256 of the members of tar and zip archives, in the order of names; archives nest once.
+    """name, content (UTF-8 text), sha256 of the members of tar and zip archives, a task each; archives nest once.
 
     A member that is no UTF-8 fails the job when its content is read.
     """
-
-    def unpack(name: str, data: bytes):
-        if zipfile.is_zipfile(io.BytesIO(data)):
-            with zipfile.ZipFile(io.BytesIO(data)) as z:
-                for n in sorted(z.namelist()):
-                    if not n.endswith("/"):
-                        yield n, z.read(n)
-        elif name.endswith((".tar", ".tar.gz", ".tgz")):
-            with tarfile.open(fileobj=io.BytesIO(data)) as t:
-                for m in sorted((m for m in t.getmembers() if m.isfile()), key=lambda m: m.name):
-                    yield m.name, t.extractfile(m).read()
-
-    def read(batches):
-        for batch in batches:
-            for top, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for name, body in unpack(top, data):
-                    for inner, content in list(unpack(name, body)) or [(name, body)]:
-                        if inner.endswith(suffix):
-                            yield pa.RecordBatch.from_pydict({"name": [inner], "content": [content.decode("utf-8-sig")], "sha256": [hashlib.sha256(content).hexdigest()]})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(read, "name string, content string, sha256 string")
+    members = archives.members(spark, path, suffix)
+    text = F.decode("content", "UTF-8")
+    text = F.when(F.startswith("content", F.lit(b"\xef\xbb\xbf")), F.decode(F.substring("content", F.lit(4), F.length("content")), "UTF-8")).otherwise(text)
+    return members.select("name", text.alias("content"), F.sha2("content", 256).alias("sha256"))
 
 
 def checked_members(members: DataFrame, wanted: Mapping[str, str | None]) -> DataFrame:
