@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phonoweave.functions.columns import spread, written
+from phonoweave.functions.columns import written
 from phonoweave.operators import spelling
 
 #: Units of an expected count.
@@ -175,7 +175,7 @@ def chances_of(counts: Iterable[tuple[str, str, int]]) -> dict[tuple[str, str],
 
 def align(lexicon: DataFrame, rounds: int = 8) -> DataFrame:
     """word, said: what each letter of a lexicon's words says; lexicon: word, phones with blanks between."""
-    pairs = written(spread(_pairs(lexicon)), "lexicon")
+    pairs = written(_pairs(lexicon).repartition(lexicon.sparkSession.sparkContext.defaultParallelism), "lexicon")
     chances = None
     for _ in range(rounds):
         chances = chances_of(map(tuple, expected_counts(pairs, chances).collect()))  # bounded by the alphabets

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonoweave.functions.columns import spread, written
+from phonoweave.functions.columns import written
 from phonoweave.operators import sounds, spelling
 from phonoweave.operators.evaluation import edit_distance
 from phonoweave.plans.text_queries import dealt
@@ -27,7 +27,7 @@ def learned_sounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     letters = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
     words = dealt(spark, sf_dir).select(F.explode(letters).alias("word")).distinct()
-    said = written(spread(words).select("word", F.arrow_udf(_by_rules, "string")("word").alias("phones")), "words")
+    said = written(words.select("word", F.arrow_udf(_by_rules, "string")("word").alias("phones")), "words")
     held = F.crc32(F.col("word").cast("binary")) % 5 == 0
     taught = said.where(~held).orderBy(F.xxhash64("word"), "word").limit(TAUGHT)
     model = sounds.Sounds.of(sounds.learn(taught))
