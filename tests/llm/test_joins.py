@@ -84,6 +84,36 @@ def test_jaccard_join_awkward(make, awkward):
     assert jaccard_join.jaccard_components(make([])).count() == 0
 
 
+def test_jaccard_join_takes_keys_and_families_some_at_a_time(make, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "KEYS_AT_ONCE", 300)
+    monkeypatch.setattr(jaccard_join, "CLASSES_AT_ONCE", 20)
+    taken, verified = [], jaccard_join._verified
+
+    def counted(texts, repeated, members, *more):
+        taken.append(members.count())
+        return verified(texts, repeated, members, *more)
+
+    monkeypatch.setattr(jaccard_join, "_verified", counted)
+    texts = [t for k in range(12) for t in near_copies(300 + k, prose(300 + k, 25 + 6 * k), 5, 2)]
+    rows = [*enumerate(texts), (500, "a b c"), (501, "A b C"), (502, None)]
+    assert check_jaccard(lambda r: make(r), rows)
+    assert len(taken) > 1 and max(taken) < sum(taken)
+
+
+def test_near_duplicates_leave_without_a_shuffle_of_the_texts(spark, make):
+    import corpus_pipeline
+
+    rows = [(k, prose(k, 30)) for k in range(20)] + [(100, prose(3, 30)), (101, " ")]
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = corpus_pipeline.near_duplicate_stage(spark, make(rows), "")
+        assert sorted(x.doc_id for x in kept.collect()) == [*range(20), 101]
+        assert "SortMergeJoin" not in kept._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+
+
 def test_jaccard_join_links_through_rows_without_an_id(spark, make):
     import corpus_pipeline
 
