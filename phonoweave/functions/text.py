@@ -7,7 +7,6 @@ import unicodedata
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -212,10 +211,25 @@ def realign(old: str, new: str, spans: list[tuple[int, int]]) -> list[tuple[int,
 
 
 def normalize_compatibility(text: Column) -> Column:
-    """compatibility() as an Arrow UDF: (text, sources)."""
-
-    def run(texts: pd.Series) -> pd.DataFrame:
-        rows = [compatibility(t or "") for t in texts]
-        return pd.DataFrame({"text": [r[0] for r in rows], "sources": [[{"start": a, "end": b} for a, b in r[1]] for r in rows]})
-
-    return F.pandas_udf(run, NORMALIZED)(text)
+    """compatibility() as an Arrow UDF: (text, sources); spans are flat arrays, a stretch of texts at a time."""
+    span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+    kind = pa.struct([("text", pa.string()), ("sources", pa.list_(span))])
+
+    def one(value: str) -> tuple[str, np.ndarray]:
+        if value.isascii() or unicodedata.is_normalized("NFKC", value):
+            at = np.arange(len(value), dtype=np.int32)
+            return value, np.stack([at, at + 1], axis=1)
+        new, spans = compatibility(value)
+        return new, np.array(spans, np.int32).reshape(-1, 2)
+
+    def run(texts: pa.Array) -> pa.Array:
+        parts = []
+        for part in scan.slices(texts):
+            rows = [one(t or "") for t in part.to_pylist()]
+            flat = np.concatenate([s for _, s in rows])
+            spans = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(flat[:, k])) for k in range(2)], fields=list(span))
+            begin = np.cumsum([0, *(len(s) for _, s in rows)])
+            parts.append(pa.StructArray.from_arrays([pa.array([t for t, _ in rows], pa.string()), pa.ListArray.from_arrays(pa.array(begin, pa.int32()), spans)], fields=list(kind)))
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+    return F.arrow_udf(run, NORMALIZED)(text)
