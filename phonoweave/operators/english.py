@@ -19,7 +19,12 @@ MOST_BROADCAST = 500_000
 
 def words(tokens: DataFrame) -> DataFrame:
     """English tokens with their folded spelling in `word`."""
-    return tokens.where("language = 'en'").withColumn("word", fold_latin(unify_apostrophes(F.col("text"))))
+    return folded(tokens.where("language = 'en'"))
+
+
+def folded(words: DataFrame) -> DataFrame:
+    """English words in `text` with their folded spelling in `word`."""
+    return words.withColumn("word", fold_latin(unify_apostrophes(F.col("text"))))
 
 
 def spelled(word: Column) -> Column:

@@ -80,6 +80,29 @@ def explode_tokens(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     return df.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
+def count_tokens(df: DataFrame, kind: int = S.LATIN, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keep, text, n: how often a row's text has each distinct token of a kind; without columns to keep, a stretch of rows counts
+    as one text. Rows of equal keep and text may follow, so counts are to be summed."""
+    kinds = dict(df.select(*keep, F.col(text).alias("_text")).dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "text string, n long"])
+
+    def run(batches):
+        for batch in batches:
+            at = 0
+            for part in S.slices(batch.column(len(keep))):
+                s = S.scan(part)
+                chosen = np.flatnonzero(s.kind == kind)
+                words = pc.dictionary_encode(s.texts().take(pa.array(chosen)))
+                size = max(1, len(words.dictionary))
+                of = s.of[chosen] if keep else np.zeros(len(chosen), np.int64)
+                pairs, n = np.unique(of * size + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
+                row = pa.array(pairs // size + at)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(row) for k in range(len(keep))), words.dictionary.take(pa.array(pairs % size)), pa.array(n, pa.int64())], names=[*keep, "text", "n"])
+                at += len(part)
+
+    return df.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+
+
 def _codes(target: str) -> tuple[int, int, str]:
     own, foreign = (S.HAN, S.LATIN) if target == "zh" else (S.LATIN, S.HAN)
     return own, foreign, scripts.PLACEHOLDERS["en" if target == "zh" else "zh"]

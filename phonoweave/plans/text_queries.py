@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from phonoweave.functions import lexicon, scripts
 from phonoweave.functions import text as texts
-from phonoweave.functions.columns import spread
+from phonoweave.functions.columns import small_batches, spread
 from phonoweave.operators import english
 from phonoweave.operators import tokens as T
 from phonoweave.plans import sql
@@ -21,7 +21,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents for work that costs more than a shuffle of a small table."""
+    """The documents for work that costs more than a shuffle of a small table, in small batches."""
+    small_batches(spark)
     return spread(documents(spark, sf_dir))
 
 
@@ -126,18 +127,23 @@ def heteronym_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def english_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words each decision of the English backend takes, and their phones."""
-    words = english.words(T.explode_tokens(dealt(spark, sf_dir), columns=("text", "language")))
+    words = english.folded(T.count_tokens(dealt(spark, sf_dir)))
     done = english.pronounce(words, lexicon.english(spark))
-    return done.groupBy("doc_id", "route").agg(F.count("*").alias("n"), F.sum(F.size(F.split("native", " "))).alias("phones"))
+    return done.groupBy("doc_id", "route").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.size(F.split("native", " "))).alias("phones"))
+
+
+def distinct_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct English words of all texts, and how often each occurs in n: what is a function of the word is found once."""
+    return english.folded(T.count_tokens(dealt(spark, sf_dir), keep=()).groupBy("text").agg(F.sum("n").alias("n")))
 
 
 def oov_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = english.words(T.explode_tokens(dealt(spark, sf_dir), columns=("text", "language")))
-    return english.pronounce(words, lexicon.english(spark)).where("route = 'segment'").groupBy(F.lower("word").alias("word")).agg(F.count("*").alias("n"))
+    words = distinct_words(spark, sf_dir)
+    return english.pronounce(words, lexicon.english(spark)).where("route = 'segment'").groupBy(F.lower("word").alias("word")).agg(F.sum("n").alias("n"))
 
 
 def english_ipa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = english.words(T.explode_tokens(dealt(spark, sf_dir), columns=("text", "language")))
+    words = distinct_words(spark, sf_dir)
     done = english.pronounce(words, lexicon.english(spark)).where("native is not null")
     return done.select("native").distinct().select("native", english.ipa(F.col("native")).alias("ipa"), english.base_phones(F.col("native")).alias("base"))
 
