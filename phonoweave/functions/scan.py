@@ -22,7 +22,7 @@ LANGUAGES = pa.array(["sym", "space", "zh", "num", "en", "sym", "sym"])
 KINDS = pa.array(["symbol", "space", "han", "number", "latin", "symbol", "punctuation"])
 BOUNDARIES = pa.array(["none", "soft", "code_switch", "pause", "sentence"])
 #: Bytes of text that are scanned together.
-SLICE = 1 << 22
+SLICE = 1 << 20
 
 
 @cache
