@@ -29,7 +29,7 @@ from phonoweave.operators.errors import PhoneticsError
 from phonoweave.operators.utterance import Converter, Options
 
 #: Words whose readings a Python worker keeps.
-MOST_KEPT = 100_000
+MOST_KEPT = 500_000
 
 
 def by_word(options: Options) -> bool:
