@@ -5,6 +5,9 @@ characters end a run, for segmentation, readings and tone sandhi alike. So the t
 read, and counts, phones, lines and errors are taken from the entries' arrays. Python sees distinct words only, and
 texts that are written otherwise after normalization.
 
+A caller's function of a word may answer otherwise each time, so it is asked for each word of each text, as the converter
+asks it; what follows from its answers is worked out once for each run and set of answers.
+
 Backends that look at whole utterances, a fallback, and normalizers or processors of the caller's are no function of
 the word: convert() of utterance.py serves them.
 """
@@ -12,7 +15,9 @@ the word: convert() of utterance.py serves them.
 from __future__ import annotations
 
 import itertools
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from dataclasses import dataclass, replace
 from functools import cache
 
 import numpy as np
@@ -24,7 +29,7 @@ from phonoweave.functions import scan as S
 from phonoweave.functions import scripts
 from phonoweave.functions.text import latin_tables, normalized_compatibility
 from phonoweave.operators import numbers
-from phonoweave.operators.backends import EnglishBackend, Token
+from phonoweave.operators.backends import EnglishBackend, RunBackend, Token
 from phonoweave.operators.errors import PhoneticsError
 from phonoweave.operators.utterance import Converter, Options
 
@@ -38,7 +43,8 @@ def by_word(options: Options) -> bool:
         return False
     if options.english_backend is not None and type(options.english_backend) is not EnglishBackend:
         return False
-    if options.backend is not None and options.backend not in ("dictionary", "contextual"):
+    a_function = callable(options.backend) and not hasattr(options.backend, "predict")
+    if options.backend is not None and not a_function and options.backend not in ("dictionary", "contextual"):
         return False
     phrases = options.phrases if options.mode == "mandarin" else options.cantonese_phrases
     return all(scripts.is_han(c) for p in phrases for c in p)
@@ -54,6 +60,28 @@ class Reading:
     unknown: tuple[tuple[str, int, int], ...] = ()
 
 
+class _Unlisted:
+    """An answer that is no list of readings: it fails whenever it is taken as one."""
+
+    def __init__(self, error: Exception):
+        self.error = error
+
+    def __iter__(self):
+        raise self.error
+
+
+def _listed(answer) -> tuple | _Unlisted:
+    try:
+        return tuple(answer)
+    except Exception as e:  # the converter finds it where it checks the answer
+        return _Unlisted(e)
+
+
+def _plain(answers: tuple) -> bool:
+    """Whether equal answers are read alike."""
+    return all(type(a) is tuple and all(r is None or isinstance(r, str) for r in a) for a in answers)
+
+
 @cache
 def _unfoldable() -> np.ndarray:
     table = np.zeros(0x110000, bool)
@@ -77,11 +105,14 @@ class Reader:
 
     def __init__(self, converter: Converter):
         self.converter, self.o = converter, converter.o
-        self.seen: dict[tuple[str, str, str | None], Reading] = {}
+        self.seen: dict[tuple[str, str, str | tuple | None], Reading] = {}
+        #: A caller's function of a word.
+        self.function = converter.han.function if isinstance(converter.han, RunBackend) else None
         self.homographs = {w for w in converter.english.homographs if w in converter.english.words} if isinstance(converter.english, EnglishBackend) else set()
 
-    def read(self, text: str, language: str, tag: str | None = None) -> Reading:
-        key = text, language, tag
+    def read(self, text: str, language: str, by: str | tuple | None = None) -> Reading:
+        """by: a homograph's tag, or the function's answers to the words of a Han run."""
+        key = text, language, by
         got = self.seen.get(key)
         if got is None:
             if len(self.seen) >= MOST_KEPT:  # the first seen are the most frequent
@@ -89,7 +120,23 @@ class Reader:
             got = self.seen[key] = self._read(*key)
         return got
 
-    def _read(self, text: str, language: str, tag: str | None) -> Reading:
+    @contextmanager
+    def answered(self, answers: Sequence) -> Iterator[Converter]:
+        """The converter with a function that gives these answers in turn."""
+        rest, asked = iter(answers), self.converter.han
+        self.converter.han = replace(asked, function=lambda _: next(rest))
+        try:
+            yield self.converter
+        finally:
+            self.converter.han = asked
+
+    def _read(self, text: str, language: str, by: str | tuple | None) -> Reading:
+        if isinstance(by, tuple):
+            with self.answered(by):
+                return self._said(text, language, None)
+        return self._said(text, language, by)
+
+    def _said(self, text: str, language: str, tag: str | None) -> Reading:
         if language == "en" and type(self.converter.english) is EnglishBackend:
             try:
                 phones = self.converter.english.sound(text, tag)
@@ -128,6 +175,13 @@ class Reader:
         new = [r for r in runs if (r, "zh", None) not in self.seen] if many else []
         c.cut = dict(zip(new, many(new))) if new else {}
 
+    def words(self, run: str) -> list[str] | str:
+        """The words of a Han run, or the error that kept it from being cut."""
+        try:
+            return [w for w, _ in self.converter.segment(run)]
+        except Exception as e:  # as any failure of a word
+            return f"{type(e).__name__}: {e}"
+
     def batch(self, texts: pa.Array) -> Batch:
         return Batch(self, texts)
 
@@ -160,7 +214,14 @@ class Batch:
         han = np.zeros(len(values), bool)
         han[self.entry] = s.kind[kept] == S.HAN
         reader.prepare([v for v, h in zip(values, han.tolist()) if h])
-        self.readings = [reader.read(v, "zh" if h else "en") for v, h in zip(values, han.tolist())]
+        #: Answers behind readings, and texts that fail before the function has answered.
+        self.answers: dict[int, tuple] = {}
+        self.unanswered: set[int] = set()
+        if reader.function is None:
+            self.readings = [reader.read(v, "zh" if h else "en") for v, h in zip(values, han.tolist())]
+        else:
+            self.readings = [Reading([]) if h else reader.read(v, "en") for v, h in zip(values, han.tolist())]
+            self._ask(values, han)
         self._tag(values)
         self._first_errors()
 
@@ -177,9 +238,51 @@ class Batch:
             except PhoneticsError as e:
                 self.error[k] = f"{type(e).__name__}: {e}"
 
+    def _ask(self, values: list[str], han: np.ndarray) -> None:
+        """Ask the function for each word, text by text and in order; a Han run gets an entry for each set of answers."""
+        reader, ask = self.reader, self.reader.function
+        words = [reader.words(v) if h else [] for v, h in zip(values, han.tolist())]
+        numbers_of: dict[tuple[int, tuple], int] = {}
+        places = np.flatnonzero(han[self.entry])
+        begins = np.flatnonzero(np.diff(self.of[places], prepend=-1)).tolist()
+        runs = self.entry[places].tolist()
+        for begin, end in zip(begins, [*begins[1:], len(runs)]):
+            text = int(self.of[places[begin]])
+            if self.error[text] is not None:
+                continue
+            uncut = next((words[r] for r in runs[begin:end] if isinstance(words[r], str)), None)
+            if uncut is not None:
+                self.error[text] = uncut
+                continue
+            try:
+                for k in range(begin, end):
+                    answers = tuple([_listed(ask(w)) for w in words[runs[k]]])
+                    try:
+                        number = numbers_of.get((runs[k], answers))
+                    except TypeError:  # a reading that can't be a key
+                        number = None
+                    runs[k] = self._number(values, runs[k], answers, numbers_of) if number is None else number
+            except PhoneticsError as e:
+                self.error[text] = f"{type(e).__name__}: {e}"
+            except Exception as e:  # as ask() of backends.py has it
+                self.error[text] = f"BackendError: {reader.converter.han.name}: {type(e).__name__}: {e}"
+        self.entry[places] = runs
+        self.unanswered = {k for k, e in enumerate(self.error) if e is not None}
+
+    def _number(self, values: list[str], run: int, answers: tuple, numbers_of: dict) -> int:
+        number = len(self.readings)
+        self.answers[number] = answers
+        if _plain(answers):
+            numbers_of[run, answers] = number
+            self.readings.append(self.reader.read(values[run], "zh", answers))
+        else:
+            self.readings.append(self.reader._read(values[run], "zh", answers))
+        return number
+
     def _tag(self, values: list[str]) -> None:
         """Homographs get an entry for each tag; only texts that hold one are tagged."""
-        asks = np.array([v.lower() in self.reader.homographs for v in values], bool)
+        asks = np.zeros(len(self.readings), bool)
+        asks[: len(values)] = [v.lower() in self.reader.homographs for v in values]
         if not asks.any():
             return
         places = np.flatnonzero(asks[self.entry])
@@ -204,12 +307,28 @@ class Batch:
         fails = np.array([r.error is not None for r in self.readings], bool)
         if not fails.any():
             return
+        if self.reader.function is not None:
+            return self._answered_errors(fails)
         for kind in (S.HAN, S.LATIN):
             places = np.flatnonzero(fails[self.entry] & (self.scan.kind[self.kept] == kind))
             of, first = np.unique(self.of[places], return_index=True)
             for text, place in zip(of.tolist(), places[first].tolist()):
                 self.error[text] = self.error[text] or self.readings[self.entry[place]].error
 
+    def _answered_errors(self, fails: np.ndarray) -> None:
+        """A text's error is the one of its only failing reading, else what the converter says to the same answers: it checks all runs' answers before it reads on."""
+        places = np.flatnonzero(fails[self.entry])
+        for text, group in itertools.groupby(places.tolist(), lambda p: int(self.of[p])):
+            if text in self.unanswered:
+                continue
+            failing = {int(self.entry[p]) for p in group}
+            if len(failing) == 1 and self.error[text] is None:
+                self.error[text] = self.readings[failing.pop()].error
+                continue
+            first, end = np.searchsorted(self.of, [text, text + 1])
+            with self.reader.answered([a for k in self.entry[first:end].tolist() for a in self.answers.get(k, ())]) as converter:
+                self.error[text] = converter.result(self.given[text]).error
+
     # Results.
 
     def _sums(self, each: np.ndarray) -> np.ndarray:

@@ -101,8 +101,8 @@ class Engine:
     def summarize(self, df: DataFrame, text: str = "text", result: str = "result") -> DataFrame:
         """Adds summary() and, in `<result>_by`, which backend answered: first, then, or null where there is an error.
 
-        A fallback is a second step over the same rows: it gets the texts whose first backend failed and nothing for the others, so that the
-        first one reads distinct words where it can, the input is read once, and no row moves. An error of normalization is no backend's.
+        A fallback is a second step over the same rows: it gets the texts whose first backend failed and nothing for the others, so that
+        both go by distinct readings where they can, the input is read once, and no row moves. An error of normalization is no backend's.
         """
         o, by = self.options, f"{result}_by"
         if o.fallback is None:

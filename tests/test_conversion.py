@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from phonoweave.operators import numbers, spelling
 from phonoweave.operators.backends import EnglishBackend
 from phonoweave.operators.conversion import Reader, by_word
+from phonoweave.operators.errors import BackendError
 from phonoweave.operators.lattice import Lattice
 from phonoweave.operators.utterance import Converter, Options
 from phonoweave.plans import engine_queries
@@ -53,6 +54,51 @@ def test_each_word_is_read_once(monkeypatch):
     assert sorted(calls) == ["one", "three", "two"]
 
 
+class Fickle:
+    """A function of a word whose answers are of many kinds, some of them bad, and that notes what it is asked."""
+
+    def __init__(self, seed, bad):
+        self.r, self.bad, self.asked = random.Random(seed), bad, []
+
+    def __call__(self, word):
+        self.asked.append(word)
+        kind = self.r.random()
+        good = [self.r.choice(["hao3", "bu4", "ma1 ma5"]) for _ in word]
+        if kind > self.bad:
+            return good
+        if kind < self.bad / 10:
+            raise BackendError("down")
+        if kind < self.bad / 5:
+            raise ZeroDivisionError
+        n = len(word)
+        return self.r.choice([[None] * n, ["hao9"] * n, [""] * n, [1] * n, [True] * n, [["hao3"]] * n, good[1:], None, 7, iter(good), "x", (x for x in good if 1 / 0), ["r5"] * n])
+
+
+@pytest.mark.parametrize("bad", [0, 0.02, 0.3])
+@pytest.mark.parametrize("options", [{}, {"unknown": "preserve"}, {"output": "ipa"}, {"segmenter": Lattice({"我们": 5, "好中": 3, "不不": 1, "一": 4}, {"一": {"m": 1}})}, {"segmenter": lambda run: [(run[1:], None)] if "长" in run else [(run, None)]}])
+def test_a_function_says_what_it_says_one_by_one(options, bad):
+    """The same words are asked in the same order, and the same comes of the answers, right and wrong ones."""
+    given, whole, single = texts(7), Fickle(1, bad), Fickle(1, bad)
+    o = Options(backend=whole, **options)
+    assert by_word(o)
+    batch, one = Reader(Converter(o)).batch(pa.array(given, pa.string())), Converter(Options(backend=single, **options))
+    got = zip(batch.normalized().to_pylist(), batch.n_tokens().to_pylist(), batch.phones().to_pylist(), batch.n_phones().to_pylist(), batch.warnings().to_pylist(), batch.errors().to_pylist(), batch.lines().to_pylist())
+    for text, row in zip(given, got):
+        r = one.result(text)
+        assert row == (r.normalized, len(r.tokens), " ".join(r.phones), len(r.phones), r.warnings, r.error, r.lines()), text
+    assert whole.asked == single.asked and whole.asked
+
+
+def test_a_function_is_asked_for_each_word_and_each_answer_is_read_once(monkeypatch):
+    asked, read = [], []
+    said = Reader._said
+    monkeypatch.setattr(Reader, "_said", lambda self, text, *a: read.append(text) or said(self, text, *a))
+    reader = Reader(Converter(Options(backend=lambda w: asked.append(w) or ["hao3"] * len(w))))
+    for _ in range(3):
+        assert reader.batch(pa.array(["好 中 好", "中 中 好中"])).n_phones().to_pylist() == [6, 8]
+    assert "".join(asked) == "好中好中中好中" * 3 and sorted(read) == sorted(["好", "中", "好中"])
+
+
 def test_engine_columns(spark):
     given = texts(9, 60)
     df = spark.createDataFrame([(k, t) for k, t in enumerate(given)], "doc_id long, text string").repartition(3)
